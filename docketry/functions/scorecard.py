@@ -1,257 +1,256 @@
-"""The 100-point scorecard: every check as a pair of columns.
+"""The 100-point scorecard: every check as SQL.
 
 A check yields one row (code, category, points, severity, detail) and the flags
 it raises. Codes and flags are not the same thing: a check may pass without a
 flag, and some flags are named differently from the code of their row.
+
+Input columns are those of an extraction (document_type and the structs income,
+account_summary, risk_flags) and of its report (authentic, confidence,
+auth_flags).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from docketry.functions import fixed_values as V
+from docketry.functions.sql import NO_STRINGS, case, let, quoted, struct
 from docketry.functions.text import money_text
 
+KIND = "coalesce(document_type, 'unknown')"
+IS_BANK = f"{KIND} = 'bank_statement'"
+
 
 @dataclass(frozen=True)
 class Outcome:
+    """``earned``, ``severity`` and ``detail`` are SQL; ``flag`` is plain text."""
+
     code: str
-    earned: int | Column
-    severity: str | Column
-    detail: str | Column
-    flag: str | None = None
+    earned: str
+    severity: str
+    detail: str
+    flag: str = ""
 
 
 @dataclass(frozen=True)
 class Check:
-    """Outcomes in order; the first whose condition holds applies.
+    """Outcomes in order; the first whose condition holds applies, and the last
+    one needs none.
 
-    The last condition is None (always). ``applies`` limits the check to some
-    documents; elsewhere its row is NULL and it raises no flag.
+    ``applies`` limits the check to some documents; elsewhere its row is NULL
+    and it raises no flag. ``flags`` replaces the outcomes' flags where one
+    outcome may raise several.
     """
 
     category: str
     possible: int
-    outcomes: tuple[tuple[Column | None, Outcome], ...]
-    applies: Column | None = None
-    flags: Column | None = None  # where one flag per outcome is not enough
-
-    def _choose(self, value_of, missing: Column) -> Column:
-        chain = F
-        for condition, outcome in self.outcomes:
-            value = value_of(outcome)
-            if condition is None:
-                chosen = value if chain is F else chain.otherwise(value)
-                break
-            chain = chain.when(condition, value)
-        return chosen if self.applies is None else F.when(self.applies, chosen).otherwise(missing)
-
-    def row(self) -> Column:
-        def build(o: Outcome) -> Column:
-            return F.struct(
-                F.lit(o.code).alias("code"),
-                F.lit(self.category).alias("category"),
-                _as_column(o.earned).cast("int").alias("points_earned"),
-                F.lit(self.possible).alias("points_possible"),
-                _as_column(o.severity).alias("severity"),
-                _as_column(o.detail).alias("detail"),
-            )
-
-        return self._choose(build, F.lit(None))
-
-    def points(self) -> Column:
-        return self._choose(lambda o: _as_column(o.earned).cast("int"), F.lit(0))
-
-    def points_possible(self) -> Column:
-        always = F.lit(self.possible)
-        return always if self.applies is None else F.when(self.applies, always).otherwise(0)
-
-    def raised(self) -> Column:
-        if self.flags is not None:
-            return self.flags
-        none = F.expr("cast(array() AS array<string>)")
+    outcomes: tuple[tuple[str, Outcome], ...]
+    applies: str = ""
+    flags: str = ""
+
+    def _choose(self, value_of: Callable[[Outcome], str], elsewhere: str) -> str:
+        *conditional, (_, last) = self.outcomes
+        chosen = case([(c, value_of(o)) for c, o in conditional], value_of(last))
+        return case([(self.applies, chosen)], elsewhere) if self.applies else chosen
+
+    def row(self) -> str:
         return self._choose(
-            lambda o: F.array(F.lit(o.flag)) if o.flag else none, none
+            lambda o: struct(
+                code=quoted(o.code),
+                category=quoted(self.category),
+                points_earned=f"int({o.earned})",
+                points_possible=str(self.possible),
+                severity=o.severity,
+                detail=o.detail,
+            ),
+            "NULL",
         )
 
+    def points(self) -> str:
+        return self._choose(lambda o: f"int({o.earned})", "0")
+
+    def points_possible(self) -> str:
+        return case([(self.applies, str(self.possible))], "0") if self.applies else str(self.possible)
 
-def _as_column(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
+    def raised(self) -> str:
+        return self.flags or self._choose(
+            lambda o: f"array({quoted(o.flag)})" if o.flag else NO_STRINGS, NO_STRINGS
+        )
 
 
-def _text(*parts: str | Column) -> Column:
-    return F.concat(*[_as_column(p) for p in parts])
+def _text(*parts: str) -> str:
+    """Concatenate; parts starting with ``=`` are SQL, the others plain text."""
+    return "concat(" + ", ".join(p[1:] if p.startswith("=") else quoted(p) for p in parts) + ")"
 
 
-def _document_type() -> Column:
-    return F.coalesce(F.col("document_type"), F.lit("unknown"))
+NONE, MEDIUM, HIGH, CRITICAL = (quoted(s) for s in ("none", "medium", "high", "critical"))
 
 
 def document_type_check() -> Check:
-    kind = _document_type()
     return Check("completeness", 5, (
-        (kind != "unknown", Outcome("DOC_TYPE_IDENTIFIED", 5, "none", _text("Document classified as ", kind))),
-        (None, Outcome(
-            "DOC_TYPE_UNKNOWN", 0, "high",
-            "Document type could not be determined — classification failed",
-            "DOC_TYPE_UNKNOWN",
+        (f"{KIND} <> 'unknown'", Outcome(
+            "DOC_TYPE_IDENTIFIED", "5", NONE, _text("Document classified as ", f"={KIND}"),
+        )),
+        ("", Outcome(
+            "DOC_TYPE_UNKNOWN", "0", HIGH,
+            quoted("Document type could not be determined — classification failed"), "DOC_TYPE_UNKNOWN",
         )),
     ))
 
 
 def income_check() -> Check:
-    income = F.col("income.monthly_net_estimated")
+    income = "income.monthly_net_estimated"
     return Check("completeness", 10, (
-        (income > 0, Outcome("INCOME_VERIFIED", 10, "none", _text("Monthly net income present: $", money_text(income)))),
-        (income == 0, Outcome(
-            "INCOME_ZERO", 4, "medium",
-            "Income field present but reported as $0 — verify with source", "INCOME_ZERO",
+        (f"{income} > 0", Outcome(
+            "INCOME_VERIFIED", "10", NONE, _text("Monthly net income present: $", f"={money_text(income)}"),
         )),
-        (None, Outcome(
-            "INCOME_MISSING", 0, "high",
-            "Monthly net income could not be extracted from document", "INCOME_MISSING",
+        (f"{income} = 0", Outcome(
+            "INCOME_ZERO", "4", MEDIUM,
+            quoted("Income field present but reported as $0 — verify with source"), "INCOME_ZERO",
+        )),
+        ("", Outcome(
+            "INCOME_MISSING", "0", HIGH,
+            quoted("Monthly net income could not be extracted from document"), "INCOME_MISSING",
         )),
     ))
 
 
 def balance_data_check() -> Check:
-    kind = _document_type()
-    opening = F.col("account_summary.opening_balance")
-    closing = F.col("account_summary.closing_balance")
+    opening, closing = "account_summary.opening_balance", "account_summary.closing_balance"
     return Check("completeness", 10, (
-        (kind != "bank_statement", Outcome(
-            "BALANCE_DATA_NA", 10, "none", _text("Balance data not applicable for ", kind),
+        (f"{KIND} <> 'bank_statement'", Outcome(
+            "BALANCE_DATA_NA", "10", NONE, _text("Balance data not applicable for ", f"={KIND}"),
         )),
-        (opening.isNotNull() & closing.isNotNull(), Outcome(
-            "BALANCE_DATA_PRESENT", 10, "none",
-            _text("Opening $", money_text(opening), " → Closing $", money_text(closing)),
+        (f"{opening} IS NOT NULL AND {closing} IS NOT NULL", Outcome(
+            "BALANCE_DATA_PRESENT", "10", NONE,
+            _text("Opening $", f"={money_text(opening)}", " → Closing $", f"={money_text(closing)}"),
         )),
-        (None, Outcome(
-            "BALANCE_DATA_MISSING", 0, "medium",
-            "Opening or closing balance not found in bank statement", "BALANCE_DATA_MISSING",
+        ("", Outcome(
+            "BALANCE_DATA_MISSING", "0", MEDIUM,
+            quoted("Opening or closing balance not found in bank statement"), "BALANCE_DATA_MISSING",
         )),
     ))
 
 
 def history_depth_check(min_months: int = V.MIN_STATEMENT_MONTHS) -> Check:
-    months = F.col("account_summary.statement_period_months")
-    shown = months.cast("string")
+    months = "account_summary.statement_period_months"
+    shown = f"=string({months})"
     return Check("completeness", 0, (
-        (months.isNull(), Outcome(
-            "HISTORY_DEPTH_UNKNOWN", 0, "medium",
-            "Statement period could not be determined from document", "INSUFFICIENT_HISTORY",
+        (f"{months} IS NULL", Outcome(
+            "HISTORY_DEPTH_UNKNOWN", "0", MEDIUM,
+            quoted("Statement period could not be determined from document"), "INSUFFICIENT_HISTORY",
         )),
-        (months < min_months, Outcome(
-            "INSUFFICIENT_HISTORY", 0, "high",
+        (f"{months} < {min_months}", Outcome(
+            "INSUFFICIENT_HISTORY", "0", HIGH,
             _text("Bank statement covers ", shown, f" month(s); {min_months} months required for underwriting"),
             "INSUFFICIENT_HISTORY",
         )),
-        (None, Outcome(
-            "HISTORY_DEPTH_OK", 0, "none",
+        ("", Outcome(
+            "HISTORY_DEPTH_OK", "0", NONE,
             _text("Bank statement covers ", shown, " months — meets minimum"),
         )),
-    ), applies=_document_type() == "bank_statement")
+    ), applies=IS_BANK)
 
 
 def authenticity_check() -> Check:
     """A missing report counts as not authentic."""
-    passed = F.coalesce(F.col("authentic"), F.lit(False))
-    confidence = F.coalesce(F.col("confidence"), F.lit(0).cast("decimal(4,2)"))
-    shown = confidence.cast("decimal(4,2)").cast("string")
-    flags = F.coalesce(F.col("auth_flags"), F.expr("cast(array() AS array<string>)"))
+    trust = "cast(coalesce(confidence, 0) AS decimal(4,2))"
+
+    def passed(least: str) -> str:
+        return f"coalesce(authentic, false) AND {trust} >= {least}"
 
-    def listed(count: int, otherwise: str) -> Column:
-        joined = F.array_join(F.slice(flags, 1, count), "; ")
-        return F.when(joined != "", joined).otherwise(otherwise)
+    def listed(count: int, otherwise: str) -> str:
+        joined = f"array_join(slice(coalesce(auth_flags, {NO_STRINGS}), 1, {count}), '; ')"
+        return "=" + f"coalesce(nullif({joined}, ''), {quoted(otherwise)})"
 
     return Check("integrity", 15, (
-        (passed & (confidence >= F.lit(V.AUTH_FULL_CONFIDENCE).cast("decimal(4,2)")), Outcome(
-            "AUTH_PASSED", 15, "none",
-            _text("Passed all authenticity checks (auth confidence: ", shown, ")"),
+        (passed(V.AUTH_FULL_CONFIDENCE), Outcome(
+            "AUTH_PASSED", "15", NONE,
+            _text("Passed all authenticity checks (auth confidence: ", f"=string({trust})", ")"),
         )),
-        (passed & (confidence >= F.lit(V.AUTHENTIC_MIN_CONFIDENCE).cast("decimal(4,2)")), Outcome(
-            "AUTH_LOW_CONFIDENCE", 8, "medium",
-            _text("Passed checks but auth confidence low (", shown, "): ", listed(2, "minor anomalies")),
+        (passed(V.AUTHENTIC_MIN_CONFIDENCE), Outcome(
+            "AUTH_LOW_CONFIDENCE", "8", MEDIUM,
+            _text("Passed checks but auth confidence low (", f"=string({trust})", "): ", listed(2, "minor anomalies")),
             "AUTH_LOW_CONFIDENCE",
         )),
-        (None, Outcome(
-            "AUTH_FAILED", 0, "high",
-            _text("Authentication failed: ", listed(3, "unknown reason")), "AUTH_FAILED",
+        ("", Outcome(
+            "AUTH_FAILED", "0", HIGH, _text("Authentication failed: ", listed(3, "unknown reason")), "AUTH_FAILED",
         )),
     ))
 
 
 def integrity_check() -> Check:
-    failed = F.coalesce(F.col("risk_flags.document_integrity_flag"), F.lit(False))
-    notes = F.col("risk_flags.notes")
-    shown = F.when(F.coalesce(notes, F.lit("")) != "", notes).otherwise("figures are self-contradictory")
+    notes = "=coalesce(nullif(risk_flags.notes, ''), 'figures are self-contradictory')"
     return Check("integrity", 10, (
-        (~failed, Outcome(
-            "INTEGRITY_OK", 10, "none",
-            "No mathematical inconsistencies or self-contradictions detected",
-        )),
-        (None, Outcome(
-            "INTEGRITY_FAIL", 0, "critical", _text("Document integrity issue: ", shown), "INTEGRITY_FAIL",
+        ("NOT coalesce(risk_flags.document_integrity_flag, false)", Outcome(
+            "INTEGRITY_OK", "10", NONE,
+            quoted("No mathematical inconsistencies or self-contradictions detected"),
         )),
+        ("", Outcome("INTEGRITY_FAIL", "0", CRITICAL, _text("Document integrity issue: ", notes), "INTEGRITY_FAIL")),
     ))
 
 
 def nsf_check() -> Check:
-    events = F.coalesce(F.col("risk_flags.nsf_fee_occurrences"), F.lit(0))
-    shown = events.cast("string")
+    events = "coalesce(risk_flags.nsf_fee_occurrences, 0)"
     return Check("risk", 10, (
-        (events == 0, Outcome("NO_NSF_FEES", 10, "none", "No NSF fee events")),
-        (events <= 2, Outcome(
-            "NSF_FEES_LOW", 5, "medium", _text(shown, " NSF fee event(s) — moderate risk signal"), "NSF_FEES",
+        (f"{events} = 0", Outcome("NO_NSF_FEES", "10", NONE, quoted("No NSF fee events"))),
+        (f"{events} <= 2", Outcome(
+            "NSF_FEES_LOW", "5", MEDIUM,
+            _text(f"=string({events})", " NSF fee event(s) — moderate risk signal"), "NSF_FEES",
         )),
-        (None, Outcome(
-            "NSF_FEES_HIGH", 0, "high", _text(shown, " NSF fee events — elevated risk"), "NSF_FEES_HIGH",
+        ("", Outcome(
+            "NSF_FEES_HIGH", "0", HIGH, _text(f"=string({events})", " NSF fee events — elevated risk"), "NSF_FEES_HIGH",
         )),
     ))
 
 
 def overdraft_check() -> Check:
-    events = F.coalesce(F.col("risk_flags.overdraft_occurrences"), F.lit(0))
-    shown = events.cast("string")
+    events = "coalesce(risk_flags.overdraft_occurrences, 0)"
     return Check("risk", 10, (
-        (events == 0, Outcome("NO_OVERDRAFTS", 10, "none", "No overdraft events")),
-        (events <= 2, Outcome("OVERDRAFTS_LOW", 5, "medium", _text(shown, " overdraft event(s)"), "OVERDRAFTS")),
-        (None, Outcome(
-            "OVERDRAFTS_HIGH", 0, "high", _text(shown, " overdraft events — elevated risk"), "OVERDRAFTS_HIGH",
+        (f"{events} = 0", Outcome("NO_OVERDRAFTS", "10", NONE, quoted("No overdraft events"))),
+        (f"{events} <= 2", Outcome(
+            "OVERDRAFTS_LOW", "5", MEDIUM, _text(f"=string({events})", " overdraft event(s)"), "OVERDRAFTS",
+        )),
+        ("", Outcome(
+            "OVERDRAFTS_HIGH", "0", HIGH,
+            _text(f"=string({events})", " overdraft events — elevated risk"), "OVERDRAFTS_HIGH",
         )),
     ))
 
 
+# Signal, flag, points lost, wording.
+BEHAVIOR_SIGNALS = (
+    ("gambling_transactions", "GAMBLING_TRANSACTIONS", 5, "gambling transactions present"),
+    ("irregular_large_deposits", "IRREGULAR_DEPOSITS", 3, "unexplained large deposits"),
+    ("large_cash_withdrawals", "LARGE_CASH_WITHDRAWALS", 2, "large cash withdrawals (>$1,000)"),
+)
+
+
 def behavior_check() -> Check:
     """Three signals share one row; each raises a flag of its own."""
-    # Flag, points lost, wording.
-    signals = (
-        ("gambling_transactions", "GAMBLING_TRANSACTIONS", 5, "gambling transactions present"),
-        ("irregular_large_deposits", "IRREGULAR_DEPOSITS", 3, "unexplained large deposits"),
-        ("large_cash_withdrawals", "LARGE_CASH_WITHDRAWALS", 2, "large cash withdrawals (>$1,000)"),
-    )
-    seen = {field: F.coalesce(F.col(f"risk_flags.{field}"), F.lit(False)) for field, *_ in signals}
-    lost = sum((seen[field].cast("int") * points for field, _, points, _ in signals), F.lit(0))
-    words = F.array_join(
-        F.array_compact(F.array(*[F.when(seen[field], text) for field, _, _, text in signals])), "; "
+
+    def present(values: list[tuple[str, str]]) -> str:
+        listed = ", ".join(case([(f"risk_flags.{signal}", quoted(v))]) for signal, v in values)
+        return f"array_compact(array({listed}))"
+
+    lost = " + ".join(
+        f"{points} * int(coalesce(risk_flags.{signal}, false))" for signal, _, points, _ in BEHAVIOR_SIGNALS
     )
-    sentence = F.concat(F.upper(F.left(words, F.lit(1))), F.lower(F.substring(words, 2, 1000)))
+    words = f"array_join({present([(s, text) for s, _, _, text in BEHAVIOR_SIGNALS])}, '; ')"
+    sentence = let("words_", words, "concat(upper(left(words_, 1)), lower(substring(words_, 2)))")
     return Check(
         "risk", 10,
         (
-            (lost == 0, Outcome(
-                "BEHAVIORAL_CLEAN", 10, "none",
-                "No gambling, irregular deposits, or large cash withdrawals",
+            (f"{lost} = 0", Outcome(
+                "BEHAVIORAL_CLEAN", "10", NONE,
+                quoted("No gambling, irregular deposits, or large cash withdrawals"),
             )),
-            (None, Outcome(
-                "BEHAVIORAL_FLAGS", F.greatest(F.lit(10) - lost, F.lit(0)),
-                F.when(lost >= 5, "high").otherwise("medium"), sentence,
+            ("", Outcome(
+                "BEHAVIORAL_FLAGS", f"greatest(10 - ({lost}), 0)", case([(f"{lost} >= 5", HIGH)], MEDIUM), sentence,
             )),
         ),
-        flags=F.array_compact(F.array(*[F.when(seen[field], flag) for field, flag, _, _ in signals])),
+        flags=present([(s, flag) for s, flag, _, _ in BEHAVIOR_SIGNALS]),
     )
 
 
@@ -261,38 +260,30 @@ def field_coverage_check() -> Check:
     An empty ``sources`` list counts as filled, the frequency ``unknown`` does
     not. Shares are compared and rounded in whole numbers.
     """
-    kind = _document_type()
-    frequency = F.coalesce(F.col("income.frequency"), F.lit("unknown"))
-    is_bank = kind == "bank_statement"
-    is_annual = kind.isin("w2", "tax_return")
-
-    def count(condition: Column) -> Column:
-        return condition.cast("int")
-
-    filled = (
-        count(F.col("income.monthly_net_estimated").isNotNull())
-        + count(frequency != "unknown")
-        + count(F.col("income.sources").isNotNull())
-        + count(F.col("risk_flags.overdraft_occurrences").isNotNull())
-        + count(F.col("risk_flags.document_integrity_flag").isNotNull())
-        + count(is_bank & F.col("account_summary.opening_balance").isNotNull())
-        + count(is_bank & F.col("account_summary.closing_balance").isNotNull())
-        + count(is_annual & F.col("income.annual_gross").isNotNull())
+    is_annual = f"{KIND} IN ('w2', 'tax_return')"
+    conditions = (
+        "income.monthly_net_estimated IS NOT NULL",
+        "coalesce(income.frequency, 'unknown') <> 'unknown'",
+        "income.sources IS NOT NULL",
+        "risk_flags.overdraft_occurrences IS NOT NULL",
+        "risk_flags.document_integrity_flag IS NOT NULL",
+        f"{IS_BANK} AND account_summary.opening_balance IS NOT NULL",
+        f"{IS_BANK} AND account_summary.closing_balance IS NOT NULL",
+        f"{is_annual} AND income.annual_gross IS NOT NULL",
     )
-    required = F.lit(5) + count(is_bank) * 2 + count(is_annual)
-    points = F.floor((filled * 40 + required) / (required * 2)).cast("int")
-    enough = filled * 10 >= required * 7
+    filled = "(" + " + ".join(f"int({c})" for c in conditions) + ")"
+    required = f"(5 + 2 * int({IS_BANK}) + int({is_annual}))"
+    points = f"({filled} * 40 + {required}) div ({required} * 2)"
     gaps = _text(
-        (required - filled).cast("string"), " of ", required.cast("string"),
-        " required fields missing or null",
+        f"=string({required} - {filled})", " of ", f"=string({required})", " required fields missing or null"
     )
     return Check("coverage", 20, (
-        (filled == required, Outcome(
-            "FULL_FIELD_COVERAGE", 20, "none",
-            _text("All ", required.cast("string"), " required fields populated by LLM"),
+        (f"{filled} = {required}", Outcome(
+            "FULL_FIELD_COVERAGE", "20", NONE,
+            _text("All ", f"=string({required})", " required fields populated by LLM"),
         )),
-        (enough, Outcome("PARTIAL_FIELD_COVERAGE", points, "medium", gaps)),
-        (None, Outcome("PARTIAL_FIELD_COVERAGE", points, "high", gaps, "LOW_FIELD_COVERAGE")),
+        (f"{filled} * 10 >= {required} * 7", Outcome("PARTIAL_FIELD_COVERAGE", points, MEDIUM, gaps)),
+        ("", Outcome("PARTIAL_FIELD_COVERAGE", points, HIGH, gaps, "LOW_FIELD_COVERAGE")),
     ))
 
 
@@ -312,18 +303,18 @@ def all_checks(min_months: int = V.MIN_STATEMENT_MONTHS) -> dict[str, Check]:
     }
 
 
-def risk_band(score: Column, threshold: Column) -> Column:
-    return (
-        F.when(score.isNull(), "Unknown")
-        .when(score >= F.lit(V.LOW_RISK_SCORE).cast("decimal(5,4)"), "Low Risk")
-        .when(score >= threshold, "Moderate Risk")
-        .otherwise("Elevated Risk")
+def risk_band(score: str = "score", threshold: str = V.SCORE_THRESHOLD) -> str:
+    return case(
+        [
+            (f"{score} IS NULL", "'Unknown'"),
+            (f"{score} >= {V.LOW_RISK_SCORE}", "'Low Risk'"),
+            (f"{score} >= {threshold}", "'Moderate Risk'"),
+        ],
+        "'Elevated Risk'",
     )
 
 
-def severity_rank(severity: Column) -> Column:
+def severity_rank(severity: str) -> str:
     """0 for critical to 4 for none; unheard-of severities rank last."""
-    chain = F
-    for rank, name in enumerate(V.SEVERITY_ORDER):
-        chain = chain.when(severity == name, rank)
-    return chain.otherwise(len(V.SEVERITY_ORDER) - 1)
+    ranks = [(f"{severity} = {quoted(name)}", str(i)) for i, name in enumerate(V.SEVERITY_ORDER)]
+    return case(ranks, str(len(V.SEVERITY_ORDER) - 1))

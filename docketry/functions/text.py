@@ -1,160 +1,111 @@
 """Text rules: keyword hits, labelled amounts, pattern matches with offsets.
 
-Patterns get the ``(?U)`` flag: word boundaries, digits and blanks follow
-Unicode whatever the JVM's default is (it changed between Java 17 and 21).
+Each function takes the SQL of its input and returns SQL. Patterns get the
+``(?U)`` flag: word boundaries, digits and blanks follow Unicode whatever the
+JVM's default is (it changed between Java 17 and 21).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from functools import reduce
-from operator import add
+from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from docketry.functions.sql import let, quoted
 
 MONEY = "decimal(18,2)"
 
 # Matches per slice of a running total. Appending to an array copies it, so a
 # text with very many matches is summed slice by slice.
-_SLICE = 256
+SLICE = 256
 
+# White space of any script.
+BLANKS = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 
-def unicode_aware(pattern: str, ignore_case: bool = False) -> str:
-    """Lead the pattern with the flags all engines of one meaning need."""
-    return ("(?iU)" if ignore_case else "(?U)") + pattern
-
+SPANS = "array<struct<start:int,end:int,value:string>>"
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body``.
 
-    Spark copies an expression to every place it is used when it moves a filter
-    below the projection that named it. Bound to a lambda variable, it stays
-    one expression that is evaluated once, and filters on plain columns still
-    reach the scan.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def unicode_aware(pattern: str, ignore_case: bool = False) -> str:
+    return ("(?iU)" if ignore_case else "(?U)") + pattern
 
 
-def keyword_hits(text: Column, groups: Iterable[Iterable[str]]) -> Column:
+def keyword_hits(text: str, groups: Iterable[Iterable[str]]) -> str:
     """Per group, how many of its lower-case keywords occur in the text."""
+    counts = [
+        " + ".join(f"int(contains(lowered_, {quoted(word)}))" for word in words) for words in groups
+    ]
+    return let("lowered_", f"lower({text})", f"array({', '.join(counts)})")
 
-    def count(lowered: Column, words: Iterable[str]) -> Column:
-        return reduce(add, [lowered.contains(word).cast("int") for word in words])
-
-    return bind(F.lower(text), lambda lowered: F.array(*[count(lowered, g) for g in groups]))
-
-
-def any_keyword(text: Column, keywords: Iterable[str]) -> Column:
-    """Whether one of the keywords occurs, in any case; stops at the first.
 
-    ``keywords`` are plain words: their only special characters are blanks,
-    commas, dashes and apostrophes, none of which a pattern interprets.
-    """
-    return text.rlike("(?i)" + "|".join(keywords))
+def any_keyword(text: str, keywords: Iterable[str]) -> str:
+    """Whether one of the lower-case keywords occurs; stops at the first."""
+    tests = " OR ".join(f"contains(lowered_, {quoted(word)})" for word in keywords)
+    return let("lowered_", f"lower({text})", f"({tests})")
 
 
-def is_blank(text: Column) -> Column:
+def is_blank(text: str) -> str:
     """NULL, empty or nothing but white space."""
-    return F.coalesce(~text.rlike(unicode_aware(r"\S")), F.lit(True))
+    return f"coalesce(btrim({text}, {quoted(BLANKS)}) = '', true)"
 
 
-def first_amount(text: Column, patterns: Iterable[str]) -> Column:
+def first_amount(text: str, patterns: Iterable[str]) -> str:
     """The first pattern whose first match parses as an amount; NULL if none."""
     found = [
-        F.replace(
-            F.regexp_extract(text, unicode_aware(pattern, ignore_case=True), 1),
-            F.lit(","),
-            F.lit(""),
-        ).try_cast(MONEY)
-        for pattern in patterns
+        f"try_cast(replace(regexp_extract({text}, {quoted(unicode_aware(p, ignore_case=True))}, 1), ',', '') AS {MONEY})"
+        for p in patterns
     ]
-    return F.coalesce(*found)
+    return f"coalesce({', '.join(found)})"
 
 
-def match_texts(text: Column, pattern: str) -> Column:
+def match_texts(text: str, pattern: str) -> str:
     """All matches of a pattern, in order."""
-    return F.regexp_extract_all(text, F.lit(unicode_aware(pattern)), F.lit(0))
+    return f"regexp_extract_all({text}, {quoted(unicode_aware(pattern))}, 0)"
 
 
-def _running_starts(gap_sizes: Column, hit_sizes: Column) -> Column:
-    """0-based start of every match, from the sizes of gaps and matches.
+def match_spans(text: str, pattern: str) -> str:
+    """All matches as an array of (start, end, value), 0-based, end exclusive.
 
-    Totals of whole slices are summed first, then positions inside each slice:
-    linear in the number of matches instead of quadratic.
+    Spark returns matches without positions, so the text between them is
+    split out with the same pattern and the sizes are added up: first inside
+    slices, then over slices, which is linear in the number of matches. A text
+    without a match costs one scan only.
     """
-    steps = F.zip_with(gap_sizes, hit_sizes, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    slices = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / F.lit(_SLICE)).cast("int")),
-        lambda i: F.slice(steps, i * _SLICE + 1, F.lit(_SLICE)),
+    steps = (
+        f"zip_with(slice(transform(split({text}, {quoted(unicode_aware(pattern))}, -1), gap_ -> length(gap_)), 1, size(hits_)), "
+        "hits_, (gap_, hit_) -> struct(gap_ AS gap, length(hit_) AS hit))"
     )
-    empty = F.expr("struct(0 AS at, cast(array() AS array<int>) AS starts)")
-
-    def place(acc: Column, step: Column) -> Column:
-        start = acc["at"] + step["gap"]
-        return F.struct(
-            (start + step["hit"]).alias("at"),
-            F.concat(acc["starts"], F.array(start)).alias("starts"),
-        )
-
-    # (length of the slice, starts relative to the slice)
-    local = F.transform(slices, lambda part: F.aggregate(part, empty, place))
-
-    def shift(acc: Column, part: Column) -> Column:
-        return F.struct(
-            (acc["at"] + part["at"]).alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"])).alias("starts"),
-        )
-
-    offsets = F.aggregate(local, empty, shift, lambda acc: acc["starts"])
-    return F.flatten(
-        F.zip_with(
-            local,
-            offsets,
-            lambda part, offset: F.transform(part["starts"], lambda start: start + offset),
-        )
+    nothing = "struct(0 AS at, cast(array() AS array<int>) AS starts)"
+    inside = (
+        f"transform(sequence(0, int((size(steps_) - 1) div {SLICE})), i_ -> "
+        f"aggregate(slice(steps_, i_ * {SLICE} + 1, {SLICE}), {nothing}, (acc_, step_) -> "
+        "struct(acc_.at + step_.gap + step_.hit AS at, concat(acc_.starts, array(acc_.at + step_.gap)) AS starts)))"
+    )
+    offsets = (
+        f"aggregate(parts_, {nothing}, (acc_, part_) -> "
+        "struct(acc_.at + part_.at AS at, concat(acc_.starts, array(acc_.at)) AS starts), acc_ -> acc_.starts)"
+    )
+    starts = f"flatten(zip_with(parts_, {offsets}, (part_, offset_) -> transform(part_.starts, at_ -> at_ + offset_)))"
+    spans = (
+        f"zip_with({let('steps_', steps, let('parts_', inside, starts))}, hits_, "
+        "(start_, hit_) -> struct(start_ AS start, start_ + length(hit_) AS end, hit_ AS value))"
+    )
+    return let(
+        "hits_",
+        match_texts(text, pattern),
+        f"(CASE WHEN size(hits_) > 0 THEN {spans} ELSE cast(array() AS {SPANS}) END)",
     )
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """All matches as ``array<struct<start, end, value>>``, 0-based, end exclusive.
-
-    Spark returns matches without positions, so the text between them is
-    split out with the same pattern and the sizes are added up. A text without
-    a match costs one scan only.
-    """
-    none = F.expr("cast(array() AS array<struct<start:int,end:int,value:string>>)")
-
-    def place(hits: Column) -> Column:
-        gaps = F.split(text, unicode_aware(pattern), -1)
-        starts = _running_starts(
-            F.slice(F.transform(gaps, F.length), F.lit(1), F.size(hits)),
-            F.transform(hits, F.length),
-        )
-        spans = F.zip_with(
-            starts,
-            hits,
-            lambda start, hit: F.struct(
-                start.alias("start"),
-                (start + F.length(hit)).alias("end"),
-                hit.alias("value"),
-            ),
-        )
-        return F.when(F.size(hits) > 0, spans).otherwise(none)
-
-    return bind(match_texts(text, pattern), place)
-
-
-def passes_luhn(value: Column) -> Column:
+def passes_luhn(value: str) -> str:
     """Luhn check over the digits of a match, blanks and dashes ignored."""
-    return F.call_function("luhn_check", F.regexp_replace(value, "[ -]", ""))
+    return f"luhn_check(replace(replace({value}, ' ', ''), '-', ''))"
 
 
-def percent(ratio: Column) -> Column:
+def percent(ratio: str) -> str:
     """0.33 as ``33%``."""
-    return F.concat(F.round(ratio * 100).cast("int").cast("string"), F.lit("%"))
+    return f"concat(string(int(round({ratio} * 100))), '%')"
 
 
-def money_text(amount: Column) -> Column:
+def money_text(amount: str) -> str:
     """1234.5 as ``1,234.50``."""
-    return F.format_number(amount, 2)
+    return f"format_number({amount}, 2)"

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
+from docketry.functions.sql import NO_STRINGS
 from docketry.operators.lifecycle import latest_job_per_document
 from docketry.operators.scoring import RESULT_COLUMNS, score_columns
 
@@ -133,7 +134,7 @@ def application_authenticity(reports: DataFrame) -> DataFrame:
     verdict = reports.groupBy("batch_id").agg(
         F.bool_and(F.coalesce("authentic", F.lit(False))).alias("authentic"),
         F.min(F.coalesce("confidence", F.lit(0).cast("decimal(4,2)"))).alias("confidence"),
-        F.sum(F.size(F.coalesce("flags", F.expr("cast(array() AS array<string>)")))).alias("flag_count"),
+        F.sum(F.size(F.coalesce("flags", F.expr(NO_STRINGS)))).alias("flag_count"),
     )
     in_order = Window.partitionBy("batch_id").orderBy("created_at", "doc_id", "position")
     quoted = (
@@ -149,7 +150,7 @@ def application_authenticity(reports: DataFrame) -> DataFrame:
         "confidence",
         "flag_count",
         F.coalesce(
-            F.transform("_quoted", lambda q: q["flag"]), F.expr("cast(array() AS array<string>)")
+            F.transform("_quoted", lambda q: q["flag"]), F.expr(NO_STRINGS)
         ).alias("auth_flags"),
     )
 
@@ -278,7 +279,7 @@ def per_document_summary(
     newest = latest_job_per_document(jobs).select(
         F.col("document_id").alias("doc_id"), "job_id", "status"
     )
-    none = F.expr("cast(array() AS array<string>)")
+    none = F.expr(NO_STRINGS)
     return (
         newest.join(documents.select("doc_id", "batch_id", "filename"), "doc_id", "inner")
         .join(extractions.select("doc_id", "document_type"), "doc_id", "left")

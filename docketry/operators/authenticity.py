@@ -2,48 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
-from docketry.functions.text import any_keyword, bind, first_amount, keyword_hits, percent
+from docketry.functions.sql import case, let, quoted, strings, struct
+from docketry.functions.text import any_keyword, first_amount, keyword_hits, percent
 
 CONFIDENCE = "decimal(4,2)"
 MONEY = "decimal(18,2)"
 AMOUNTS = tuple(V.AMOUNT_PATTERNS)
 
 
-def _decimal(value: str, kind: str = CONFIDENCE) -> Column:
-    return F.lit(value).cast(kind)
-
-
-def document_type(text: Column) -> Column:
+def document_type(text: str = "text") -> str:
     """struct<document_type, type_confidence>.
 
     A type's score is hits / 3, at most 1, so the best score belongs to the
     most hits after capping at three; ties go to the type listed first. One hit
     (0.33) is above the 0.15 floor, so only zero hits mean ``unknown``.
     """
-    names = F.array(*[F.lit(name) for name in V.TYPE_KEYWORDS])
-
-    def verdict(hits: Column) -> Column:
-        best = F.array_max(hits)
-        winner = F.get(names, (F.array_position(hits, best) - 1).cast("int"))
-        confidence = F.round(best.cast("decimal(4,0)") / V.TYPE_FULL_HITS, 2).cast(CONFIDENCE)
-        some = F.coalesce(best > 0, F.lit(False))
-        return F.struct(
-            F.when(some, winner).otherwise("unknown").alias("document_type"),
-            F.when(some, confidence).otherwise(_decimal("0.00")).alias("type_confidence"),
-        )
-
-    capped = F.transform(
-        keyword_hits(text, V.TYPE_KEYWORDS.values()), lambda n: F.least(n, F.lit(V.TYPE_FULL_HITS))
+    full = V.TYPE_FULL_HITS
+    capped = f"transform({keyword_hits(text, V.TYPE_KEYWORDS.values())}, n_ -> least(n_, {full}))"
+    some = "coalesce(array_max(hits_) > 0, false)"
+    winner = f"get({strings(V.TYPE_KEYWORDS)}, int(array_position(hits_, array_max(hits_)) - 1))"
+    confidence = f"cast(round(cast(array_max(hits_) AS decimal(4,0)) / {full}, 2) AS {CONFIDENCE})"
+    return let(
+        "hits_",
+        capped,
+        struct(
+            document_type=case([(some, winner)], "'unknown'"),
+            type_confidence=case([(some, confidence)], f"cast(0 AS {CONFIDENCE})"),
+        ),
     )
-    return bind(capped, verdict)
 
 
 def classify_document_type(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("_type", document_type(F.col("text"))).select(
+    return documents.withColumn("_type", F.expr(document_type())).select(
         *documents.columns, "_type.document_type", "_type.type_confidence"
     )
 
@@ -51,148 +45,110 @@ def classify_document_type(documents: DataFrame) -> DataFrame:
 def extract_amounts(documents: DataFrame) -> DataFrame:
     """Add the four labelled amounts of a statement's text."""
     return documents.withColumns(
-        {name: first_amount(F.col("text"), patterns) for name, patterns in V.AMOUNT_PATTERNS.items()}
+        {name: F.expr(first_amount("text", patterns)) for name, patterns in V.AMOUNT_PATTERNS.items()}
     )
 
 
-def reconciliation(amounts: Column) -> Column:
+def reconciliation(amounts: str) -> str:
     """struct<reconciled, delta, note> of a struct of the four amounts;
     reconciled is true, false or NULL."""
-    opening, closing, deposits, withdrawals = (amounts[name] for name in AMOUNTS)
-    expected = (opening + deposits - withdrawals).cast(MONEY)
-
-    def compare(values: Column) -> Column:
-        delta = values["delta"]
-        reconciled = delta <= _decimal(V.BALANCE_TOLERANCE, MONEY)
-        mismatch = F.concat(
-            F.lit("Balance mismatch: expected "),
-            values["expected"].cast("string"),
-            F.lit(", found "),
-            closing.cast("string"),
-            F.lit(" (delta $"),
-            delta.cast("string"),
-            F.lit(")"),
-        )
-        return F.struct(
-            reconciled.alias("reconciled"),
-            delta.alias("delta"),
-            F.when(delta.isNull(), V.NOTE_BALANCE_MISSING)
-            .when(reconciled, V.NOTE_BALANCE_OK)
-            .otherwise(mismatch)
-            .alias("note"),
-        )
-
-    return bind(
-        F.struct(expected.alias("expected"), F.abs(expected - closing).cast(MONEY).alias("delta")),
-        compare,
+    opening, closing, deposits, withdrawals = (f"{amounts}.{name}" for name in AMOUNTS)
+    expected = f"cast({opening} + {deposits} - {withdrawals} AS {MONEY})"
+    reconciled = f"delta_ <= cast({V.BALANCE_TOLERANCE} AS {MONEY})"
+    mismatch = (
+        f"concat('Balance mismatch: expected ', string(expected_), ', found ', string({closing}), "
+        "' (delta $', string(delta_), ')')"
+    )
+    note = case(
+        [("delta_ IS NULL", quoted(V.NOTE_BALANCE_MISSING)), (reconciled, quoted(V.NOTE_BALANCE_OK))],
+        mismatch,
+    )
+    result = struct(reconciled=reconciled, delta="delta_", note=note)
+    return let(
+        "expected_", expected, let("delta_", f"cast(abs(expected_ - {closing}) AS {MONEY})", result)
     )
 
 
 def reconcile_balances(amounts: DataFrame) -> DataFrame:
     """Add reconciled, delta and note."""
-    return amounts.withColumn("_result", reconciliation(F.struct(*AMOUNTS))).select(
+    both = let("amounts_", struct(**{name: name for name in AMOUNTS}), reconciliation("amounts_"))
+    return amounts.withColumn("_result", F.expr(both)).select(
         *amounts.columns, "_result.reconciled", "_result.delta", "_result.note"
     )
 
 
-def suspicious_producer(producer: Column) -> Column:
-    return any_keyword(F.coalesce(producer, F.lit("")), V.SUSPICIOUS_PRODUCERS)
+def suspicious_producer(producer: str = "producer") -> str:
+    return any_keyword(f"coalesce({producer}, '')", V.SUSPICIOUS_PRODUCERS)
 
 
-def metadata_modified(creation_date: Column, mod_date: Column) -> Column:
+def metadata_modified(creation_date: str = "creation_date", mod_date: str = "mod_date") -> str:
     """Both dates present and different."""
-    created = F.trim(F.coalesce(creation_date, F.lit("")))
-    modified = F.trim(F.coalesce(mod_date, F.lit("")))
-    return (created != "") & (modified != "") & (created != modified)
+    created, modified = (f"trim(coalesce({c}, ''))" for c in (creation_date, mod_date))
+    return f"({created} <> '' AND {modified} <> '' AND {created} <> {modified})"
 
 
 def inspect_document_metadata(documents: DataFrame) -> DataFrame:
     """Add suspicious_producer and metadata_modified."""
     return documents.withColumns(
         {
-            "suspicious_producer": suspicious_producer(F.col("producer")),
-            "metadata_modified": metadata_modified(F.col("creation_date"), F.col("mod_date")),
+            "suspicious_producer": F.expr(suspicious_producer()),
+            "metadata_modified": F.expr(metadata_modified()),
         }
     )
 
 
-def report(text: Column, producer: Column, creation_date: Column, mod_date: Column) -> Column:
+def report(text: str = "text") -> str:
     """The whole authenticity report of a document as one struct."""
-
-    def amounts(kind: Column) -> Column:
-        # Amounts are searched in bank statements only.
-        statement = F.when(kind["document_type"] == "bank_statement", text)
-        return F.struct(
-            *[first_amount(statement, patterns).alias(name) for name, patterns in V.AMOUNT_PATTERNS.items()]
-        )
-
-    def with_balance(kind: Column) -> Column:
-        return bind(
-            amounts(kind),
-            lambda found: bind(
-                reconciliation(found), lambda balance: _verdict(kind, found, balance, metadata)
-            ),
-        )
-
-    metadata = {
-        "producer": F.trim(producer),
-        "suspicious_producer": suspicious_producer(producer),
-        "metadata_modified": metadata_modified(creation_date, mod_date),
-    }
-    return bind(document_type(text), with_balance)
-
-
-def _verdict(kind: Column, found: Column, balance: Column, metadata: dict[str, Column]) -> Column:
-    doc_type = kind["document_type"]
-    is_bank = doc_type == "bank_statement"
-    unknown = doc_type == "unknown"
-    weak = ~unknown & (kind["type_confidence"] < _decimal("0.50"))
-    mismatch = is_bank & F.coalesce(~balance["reconciled"], F.lit(False))
-    missing = is_bank & balance["reconciled"].isNull()
-    suspicious = metadata["suspicious_producer"]
-    modified = metadata["metadata_modified"]
-
-    def cost(condition: Column, amount: str) -> Column:
-        return F.when(condition, _decimal(amount)).otherwise(_decimal("0.00"))
-
-    lost = (
-        cost(unknown, V.DEDUCT_UNKNOWN_TYPE)
-        + cost(weak, V.DEDUCT_WEAK_TYPE)
-        + cost(mismatch, V.DEDUCT_BALANCE_MISMATCH)
-        + cost(missing, V.DEDUCT_BALANCE_MISSING)
-        + cost(suspicious, V.DEDUCT_EDITING_TOOL)
-        + cost(modified, V.DEDUCT_MODIFIED)
+    is_bank = "kind_.document_type = 'bank_statement'"
+    # Amounts are searched in bank statements only.
+    base = struct(
+        suspicious=suspicious_producer(),
+        modified=metadata_modified(),
+        **{
+            name: case([(is_bank, first_amount(text, patterns))])
+            for name, patterns in V.AMOUNT_PATTERNS.items()
+        },
     )
-    weak_text = F.concat(
-        F.lit("Low confidence on document type ("), doc_type, F.lit(", "),
-        percent(kind["type_confidence"]), F.lit(")"),
+    unknown = "kind_.document_type = 'unknown'"
+    weak = "(kind_.document_type <> 'unknown' AND kind_.type_confidence < 0.50)"
+    mismatch = f"({is_bank} AND NOT coalesce(balance_.reconciled, true))"
+    missing = f"({is_bank} AND balance_.reconciled IS NULL)"
+    costs = (
+        (unknown, V.DEDUCT_UNKNOWN_TYPE),
+        (weak, V.DEDUCT_WEAK_TYPE),
+        (mismatch, V.DEDUCT_BALANCE_MISMATCH),
+        (missing, V.DEDUCT_BALANCE_MISSING),
+        ("base_.suspicious", V.DEDUCT_EDITING_TOOL),
+        ("base_.modified", V.DEDUCT_MODIFIED),
     )
-    tool_before, tool_after = V.FLAG_EDITING_TOOL
-    flags = F.array_compact(
-        F.array(
-            F.when(unknown, V.FLAG_TYPE_UNKNOWN),
-            F.when(weak, weak_text),
-            F.when(mismatch, F.concat(F.lit("Balance mismatch: "), balance["note"])),
-            F.when(missing, V.FLAG_BALANCE_MISSING),
-            F.when(suspicious, F.concat(F.lit(tool_before), metadata["producer"], F.lit(tool_after))),
-            F.when(modified, V.FLAG_MODIFIED),
-        )
+    lost = " + ".join(case([(condition, amount)], "0.00") for condition, amount in costs)
+    weak_text = (
+        "concat('Low confidence on document type (', kind_.document_type, ', ', "
+        f"{percent('kind_.type_confidence')}, ')')"
     )
-
-    def settled(confidence: Column) -> Column:
-        return F.struct(
-            (confidence >= _decimal(V.AUTHENTIC_MIN_CONFIDENCE)).alias("authentic"),
-            confidence.alias("confidence"),
-            flags.alias("flags"),
-            doc_type.alias("document_type"),
-            kind["type_confidence"].alias("type_confidence"),
-            *[found[name].alias(name) for name in AMOUNTS],
-            *[F.when(is_bank, balance[name]).alias(name) for name in ("reconciled", "delta", "note")],
-            suspicious.alias("suspicious_producer"),
-            modified.alias("metadata_modified"),
-        )
-
-    return bind(F.greatest(_decimal("1.00") - lost, _decimal("0.00")).cast(CONFIDENCE), settled)
+    before, after = V.FLAG_EDITING_TOOL
+    flags = (
+        (unknown, quoted(V.FLAG_TYPE_UNKNOWN)),
+        (weak, weak_text),
+        (mismatch, "concat('Balance mismatch: ', balance_.note)"),
+        (missing, quoted(V.FLAG_BALANCE_MISSING)),
+        ("base_.suspicious", f"concat({quoted(before)}, trim(producer), {quoted(after)})"),
+        ("base_.modified", quoted(V.FLAG_MODIFIED)),
+    )
+    verdict = struct(
+        authentic=f"confidence_ >= {V.AUTHENTIC_MIN_CONFIDENCE}",
+        confidence="confidence_",
+        flags=f"array_compact(array({', '.join(case([flag]) for flag in flags)}))",
+        document_type="kind_.document_type",
+        type_confidence="kind_.type_confidence",
+        **{name: f"base_.{name}" for name in AMOUNTS},
+        **{name: case([(is_bank, f"balance_.{name}")]) for name in ("reconciled", "delta", "note")},
+        suspicious_producer="base_.suspicious",
+        metadata_modified="base_.modified",
+    )
+    body = let("confidence_", f"cast(greatest(1.00 - ({lost}), 0.00) AS {CONFIDENCE})", verdict)
+    body = let("base_", base, let("balance_", reconciliation("base_"), body))
+    return let("kind_", document_type(text), body)
 
 
 def with_authenticity(documents: DataFrame) -> DataFrame:
@@ -200,10 +156,7 @@ def with_authenticity(documents: DataFrame) -> DataFrame:
 
     ``documents`` has text, producer, creation_date, mod_date.
     """
-    return documents.withColumn(
-        "report",
-        report(F.col("text"), F.col("producer"), F.col("creation_date"), F.col("mod_date")),
-    )
+    return documents.withColumn("report", F.expr(report()))
 
 
 def authenticity_report(documents: DataFrame) -> DataFrame:

@@ -112,24 +112,13 @@ def _expense_violations(expenses: Column, shape: Column) -> list[Column]:
 
 def output_pii_scan(responses: DataFrame, text: str = "text") -> DataFrame:
     """Add ``warnings`` (pattern order, then position) and ``blocked``."""
-    hits = {f"_hits_{i}": match_texts(F.col(text), p) for i, (_, p) in enumerate(V.OUTPUT_LEAK_PATTERNS)}
-
-    def worded(label: str, found: str) -> Column:
-        return F.transform(
-            found,
-            lambda hit: F.concat(
-                F.lit(f"Potential {label} found in LLM output: '"),
-                F.left(hit, F.lit(V.LEAK_SAMPLE_CHARS)),
-                F.lit("'"),
-            ),
-        )
-
-    labels = [label for label, _ in V.OUTPUT_LEAK_PATTERNS]
-    return (
-        responses.withColumns(hits)
-        .withColumn("warnings", F.concat(*[worded(label, name) for label, name in zip(labels, hits)]))
-        .withColumn("blocked", F.size("warnings") > 0)
-        .drop(*hits)
+    found = [
+        f"transform({match_texts(text, pattern)}, hit_ -> concat('Potential {label} found in LLM output: \\'', "
+        f"left(hit_, {V.LEAK_SAMPLE_CHARS}), '\\''))"
+        for label, pattern in V.OUTPUT_LEAK_PATTERNS
+    ]
+    return responses.withColumn("warnings", F.expr(f"concat({', '.join(found)})")).withColumn(
+        "blocked", F.size("warnings") > 0
     )
 
 
@@ -173,16 +162,19 @@ CASH_WORDS = ("atm", "cash withdrawal", "cash advance")
 PAYROLL_WORDS = ("direct deposit", "payroll")
 
 
+def _mentions(words: tuple[str, ...]) -> Column:
+    return F.expr(any_keyword("description", words))
+
+
 def risk_event_counts(documents: DataFrame, transactions: DataFrame) -> DataFrame:
     """NSF and overdraft counts, large cash withdrawals and gambling per
     document; 0 and false for other types and for statements without rows."""
-    words = F.col("description")
-    cash = any_keyword(words, CASH_WORDS) & (F.col("amount") < -F.lit(V.LARGE_CASH_AMOUNT).cast(MONEY))
+    cash = _mentions(CASH_WORDS) & (F.col("amount") < -F.lit(V.LARGE_CASH_AMOUNT).cast(MONEY))
     observed = transactions.groupBy("doc_id").agg(
-        F.count_if(any_keyword(words, ("nsf",))).alias("nsf"),
-        F.count_if(any_keyword(words, ("overdraft",))).alias("overdrafts"),
+        F.count_if(_mentions(("nsf",))).alias("nsf"),
+        F.count_if(_mentions(("overdraft",))).alias("overdrafts"),
         F.bool_or(cash).alias("cash"),
-        F.bool_or(any_keyword(words, GAMBLING_WORDS)).alias("gambling"),
+        F.bool_or(_mentions(GAMBLING_WORDS)).alias("gambling"),
     )
     is_bank = F.col("document_type") == "bank_statement"
     return documents.select("doc_id", "document_type").join(observed, "doc_id", "left").select(
@@ -198,7 +190,7 @@ def irregular_large_deposits(transactions: DataFrame, factor: str = "3") -> Data
     """Documents with a deposit other than payroll above ``factor`` times the
     median deposit. Only aggregates per document meet in the join."""
     deposits = transactions.where("amount > 0")
-    unexplained = ~any_keyword(F.col("description"), PAYROLL_WORDS)
+    unexplained = ~_mentions(PAYROLL_WORDS)
     largest = deposits.groupBy("doc_id").agg(
         F.max(F.when(unexplained, F.col("amount"))).alias("largest_unexplained")
     )
@@ -277,7 +269,7 @@ def document_integrity_rules(figures: DataFrame) -> DataFrame:
     """
     rules = F.array_compact(
         F.array(
-            F.when(any_keyword(F.col("text"), V.SELF_LABELS), "SELF_LABELLED"),
+            F.when(F.expr(any_keyword("text", V.SELF_LABELS)), "SELF_LABELLED"),
             F.when(F.col("net_pay") > F.col("gross_pay") - F.col("deductions"), "NET_ABOVE_GROSS"),
             F.when(F.col("social_security_wages") > F.col("wages"), "SS_WAGES_ABOVE_WAGES"),
             F.when(F.col("tax") > F.col("income"), "TAX_ABOVE_INCOME"),

@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
-from docketry.functions.text import any_keyword, bind, is_blank, keyword_hits, match_texts
+from docketry.functions.sql import case, let, quoted, strings, struct
+from docketry.functions.text import any_keyword, is_blank, keyword_hits, match_texts
 
 
-def ssn_count(text: Column) -> Column:
-    return F.size(match_texts(text, V.SSN_PATTERN))
+def ssn_count(text: str = "text") -> str:
+    """Number of SSN-shaped values; no dash, no search."""
+    return f"(CASE WHEN contains({text}, '-') THEN size({match_texts(text, V.SSN_PATTERN)}) ELSE 0 END)"
 
 
-def first_broken_rule(text: Column, content_type: Column, magic: Column, size: Column) -> Column:
+def first_broken_rule(text: str = "text") -> str:
     """Reason of the first failing screening rule, NULL if all hold.
 
     CASE WHEN stops at the first hit, so the text is only searched in files
@@ -21,48 +23,51 @@ def first_broken_rule(text: Column, content_type: Column, magic: Column, size: C
     texts without a strong keyword.
     """
     before, after = V.REJECT_PII_DUMP
-    ssns = ssn_count(text)
-    return (
-        F.when(~content_type.eqNullSafe(V.ACCEPTED_CONTENT_TYPE), V.REJECT_CONTENT_TYPE)
-        .when(~magic.eqNullSafe(V.ACCEPTED_MAGIC), V.REJECT_MAGIC)
-        .when(size < V.MIN_FILE_BYTES, V.REJECT_TOO_SMALL)
-        .when(size > V.MAX_FILE_BYTES, V.REJECT_TOO_LARGE)
-        .when(is_blank(text), V.REJECT_NO_TEXT)
-        .when(any_keyword(text, V.STRONG_KEYWORDS), F.lit(None).cast("string"))
-        .when(
-            ssns >= V.SSN_DUMP_COUNT,
-            F.concat(F.lit(before), ssns.cast("string"), F.lit(after)),
-        )
-        .otherwise(V.REJECT_NOT_FINANCIAL)
+    dump = let(
+        "ssns_",
+        ssn_count(text),
+        case(
+            [(f"ssns_ >= {V.SSN_DUMP_COUNT}", f"concat({quoted(before)}, string(ssns_), {quoted(after)})")],
+            quoted(V.REJECT_NOT_FINANCIAL),
+        ),
+    )
+    return case(
+        [
+            (f"NOT content_type <=> {quoted(V.ACCEPTED_CONTENT_TYPE)}", quoted(V.REJECT_CONTENT_TYPE)),
+            (f"NOT magic <=> {quoted(V.ACCEPTED_MAGIC)}", quoted(V.REJECT_MAGIC)),
+            (f"size_bytes < {V.MIN_FILE_BYTES}", quoted(V.REJECT_TOO_SMALL)),
+            (f"size_bytes > {V.MAX_FILE_BYTES}", quoted(V.REJECT_TOO_LARGE)),
+            (is_blank(text), quoted(V.REJECT_NO_TEXT)),
+            (any_keyword(text, V.STRONG_KEYWORDS), "NULL"),
+        ],
+        dump,
     )
 
 
 def guardrail_screen(documents: DataFrame) -> DataFrame:
     """Add ``reason`` (of the first rule broken) and ``accepted``."""
-    reason = first_broken_rule(
-        F.col("text"), F.col("content_type"), F.col("magic"), F.col("size_bytes")
+    return documents.withColumn("reason", F.expr(first_broken_rule())).withColumn(
+        "accepted", F.col("reason").isNull()
     )
-    return documents.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
 
 def pii_dump_screen(documents: DataFrame) -> DataFrame:
     """Number of SSN-shaped values and whether the page is a bare list of them."""
-    text = F.col("text")
-    counted = documents.withColumn("ssn_count", ssn_count(text))
+    counted = documents.withColumn("ssn_count", F.expr(ssn_count()))
     return counted.withColumn(
         "is_pii_dump",
-        (F.col("ssn_count") >= V.SSN_DUMP_COUNT) & ~any_keyword(text, V.STRONG_KEYWORDS),
+        F.expr(f"ssn_count >= {V.SSN_DUMP_COUNT} AND NOT {any_keyword('text', V.STRONG_KEYWORDS)}"),
     )
 
 
 def financial_keyword_screen(documents: DataFrame) -> DataFrame:
     """Counts of strong and supporting keywords; one strong hit is enough."""
-    hits = keyword_hits(F.col("text"), (V.STRONG_KEYWORDS, V.SUPPORTING_KEYWORDS))
-    return (
-        documents.withColumn("_hits", hits)
-        .withColumns({"strong_hits": F.get("_hits", F.lit(0)), "supporting_hits": F.get("_hits", F.lit(1))})
-        .withColumn("is_financial", F.col("strong_hits") >= 1)
-        .drop("_hits")
+    hits = keyword_hits("text", (V.STRONG_KEYWORDS, V.SUPPORTING_KEYWORDS))
+    return documents.withColumn("_hits", F.expr(hits)).selectExpr(
+        *documents.columns,
+        "_hits[0] AS strong_hits",
+        "_hits[1] AS supporting_hits",
+        "_hits[0] >= 1 AS is_financial",
     )
 
 
@@ -126,26 +131,21 @@ def required_document_set(documents: DataFrame) -> DataFrame:
     )
 
 
-def relevance(text: Column) -> Column:
+def relevance(text: str = "text") -> str:
     """struct<is_financial, category>: the category with most keywords, ties to
     the one listed first; fewer than two hits mean ``unknown``."""
-    names = F.array(*[F.lit(name) for name in V.RELEVANCE_KEYWORDS])
-
-    def verdict(hits: Column) -> Column:
-        best = F.array_max(hits)
-        winner = F.get(names, (F.array_position(hits, best) - 1).cast("int"))
-        relevant = F.coalesce(best >= V.RELEVANCE_MIN_MATCHES, F.lit(False))
-        return F.struct(
-            relevant.alias("is_financial"),
-            F.when(relevant, winner).otherwise("unknown").alias("category"),
-        )
-
-    return bind(keyword_hits(text, V.RELEVANCE_KEYWORDS.values()), verdict)
+    enough = f"coalesce(array_max(hits_) >= {V.RELEVANCE_MIN_MATCHES}, false)"
+    winner = f"get({strings(V.RELEVANCE_KEYWORDS)}, int(array_position(hits_, array_max(hits_)) - 1))"
+    return let(
+        "hits_",
+        keyword_hits(text, V.RELEVANCE_KEYWORDS.values()),
+        struct(is_financial=enough, category=case([(enough, winner)], "'unknown'")),
+    )
 
 
 def relevance_classify(documents: DataFrame) -> DataFrame:
     """Add is_financial and category."""
-    return documents.withColumn("_relevance", relevance(F.col("text"))).select(
+    return documents.withColumn("_relevance", F.expr(relevance())).select(
         *documents.columns, "_relevance.is_financial", "_relevance.category"
     )
 

@@ -6,14 +6,13 @@ shuffle. Only the comparison with the spans of a second detector joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
-from operator import or_
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.recognizers import (
+    FAMILY_TESTS,
     FIRST_PASS,
     RECOGNIZERS,
     SECOND_PASS,
@@ -21,46 +20,67 @@ from docketry.functions.recognizers import (
     SECOND_PASS_SCORE,
     Recognizer,
 )
-from docketry.functions.text import bind, match_spans, match_texts, passes_luhn, unicode_aware
+from docketry.functions.sql import case, let, quoted, struct
+from docketry.functions.text import match_spans, match_texts, passes_luhn, unicode_aware
 
 SCORE = "decimal(3,2)"
+SPAN_ROWS = f"array<struct<start:int,end:int,entity_type:string,score:{SCORE},recognizer:string>>"
 # Characters of one block of the position axis in the overlap join.
 BLOCK_CHARS = 1024
 
 
-def spans_of(text: Column, recognizers: Sequence[Recognizer] = RECOGNIZERS) -> Column:
+def _with_family_tests(text: str, recognizers: Iterable[Recognizer], body: str) -> str:
+    """Bind one flag per pattern family: can the text hold a match at all?"""
+    for family in sorted({r.family for r in recognizers if r.family}):
+        body = let(f"{family}_", f"{text} RLIKE {quoted(unicode_aware(FAMILY_TESTS[family]))}", body)
+    return body
+
+
+def _worth_searching(text: str, recognizer: Recognizer) -> str:
+    tests = [f"{recognizer.family}_"] if recognizer.family else []
+    if recognizer.literal:
+        tests.append(f"contains({text}, {quoted(recognizer.literal)})")
+    return " AND ".join(tests) or "true"
+
+
+def spans_of(text: str = "text", recognizers: Sequence[Recognizer] = RECOGNIZERS) -> str:
     """Every match of every recognizer as an array, in order of start.
 
-    Recognizers that share a pattern share its matches; each pattern is
-    searched once.
+    Recognizers that share a pattern share its matches. Texts that cannot hold
+    a match (no three digits in a row, no at sign and so on) are not searched.
     """
     by_pattern: dict[str, list[Recognizer]] = {}
     for r in recognizers:
         by_pattern.setdefault(r.pattern, []).append(r)
+    parts = [
+        case(
+            [(_worth_searching(text, group[0]), let("found_", match_spans(text, pattern), _all_rows(group)))],
+            f"cast(array() AS {SPAN_ROWS})",
+        )
+        for pattern, group in by_pattern.items()
+    ]
+    return _with_family_tests(text, recognizers, f"array_sort(concat({', '.join(parts)}))")
 
-    def rows_of(group: list[Recognizer]) -> Callable[[Column], Column]:
-        return lambda spans: F.concat(*[_rows(r, spans) for r in group])
 
-    parts = [bind(match_spans(text, p), rows_of(group)) for p, group in by_pattern.items()]
-    return F.array_sort(F.concat(*parts))
+def _all_rows(recognizers: Iterable[Recognizer]) -> str:
+    """Spans bound to ``found_`` as result rows of all the recognizers."""
+    return "concat(" + ", ".join(_rows(r) for r in recognizers) + ")"
 
 
-def _rows(recognizer: Recognizer, spans: Column) -> Column:
-    kept = F.filter(spans, lambda s: passes_luhn(s["value"])) if recognizer.luhn else spans
-    return F.transform(
-        kept,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.lit(recognizer.entity).alias("entity_type"),
-            F.lit(recognizer.score).cast(SCORE).alias("score"),
-            F.lit(recognizer.name).alias("recognizer"),
-        ),
+def _rows(r: Recognizer) -> str:
+    kept = f"filter(found_, s_ -> {passes_luhn('s_.value')})" if r.luhn else "found_"
+    row = struct(
+        start="s_.start",
+        end="s_.end",
+        entity_type=quoted(r.entity),
+        score=f"cast({r.score} AS {SCORE})",
+        recognizer=quoted(r.name),
     )
+    return f"transform({kept}, s_ -> {row})"
 
 
 def with_spans(documents: DataFrame, recognizers: Sequence[Recognizer] = RECOGNIZERS) -> DataFrame:
-    return documents.withColumn("spans", spans_of(F.col("text"), recognizers))
+    return documents.withColumn("spans", F.expr(spans_of("text", recognizers)))
 
 
 def _exploded(df: DataFrame, keys: Sequence[str], spans: Column | str) -> DataFrame:
@@ -87,28 +107,25 @@ def boost_spans_by_context(
     recognizer stands in the ``window_chars`` characters before them."""
     spans = with_spans(documents.select("doc_id", "text"), recognizers)
 
-    def near(span: Column) -> Column:
-        first = F.greatest(span["start"] - window_chars, F.lit(0))
-        before = F.lower(F.substring(F.col("text"), first + 1, span["start"] - first))
-        cases = [
-            (span["recognizer"] == r.name)
-            & reduce(or_, [before.contains(word) for word in r.context])
-            for r in recognizers
-            if r.context
-        ]
-        return reduce(or_, cases) if cases else F.lit(False)
-
-    boosted = F.transform(
-        "spans",
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["entity_type"].alias("entity_type"),
-            s["recognizer"].alias("recognizer"),
-            s["score"].alias("score"),
-            near(s).alias("in_context"),
-        ),
+    tests = [
+        f"s_.recognizer = {quoted(r.name)} AND ("
+        + " OR ".join(f"contains(before_, {quoted(word)})" for word in r.context)
+        + ")"
+        for r in recognizers
+        if r.context
+    ]
+    before = (
+        f"lower(substring(text, greatest(s_.start - {window_chars}, 0) + 1, "
+        f"s_.start - greatest(s_.start - {window_chars}, 0)))"
+    )
+    # Only recognizers with context words look around their matches.
+    named = ", ".join(quoted(r.name) for r in recognizers if r.context) or "''"
+    near = case([(f"s_.recognizer IN ({named})", let("before_", before, f"({' OR '.join(tests) or 'false'})"))], "false")
+    row = struct(
+        start="s_.start", end="s_.end", entity_type="s_.entity_type", recognizer="s_.recognizer",
+        score="s_.score", in_context=near,
     )
+    boosted = F.expr(f"transform(spans, s_ -> {row})")
     raised = F.least(F.col("score") + F.lit(boost).cast(SCORE), F.lit("1.00").cast(SCORE))
     return _exploded(spans, ["doc_id"], boosted).withColumn(
         "boosted_score", F.when(F.col("in_context"), raised).otherwise(F.col("score")).cast(SCORE)
@@ -183,45 +200,45 @@ def merge_second_pass_spans(first_pass: DataFrame, second_pass: DataFrame) -> Da
     return kept.unionByName(free)
 
 
-def redacted(text: Column, recognizers: Sequence[Recognizer] = RECOGNIZERS) -> Column:
+def redacted(text: str = "text", recognizers: Sequence[Recognizer] = RECOGNIZERS) -> str:
     """The text with every match replaced by ``[ENTITY]``.
 
     Patterns are applied in falling score order (ties: as listed), each to the
     result of the one before, so a stronger match is gone before a weaker one
     could claim a part of it. Linear in the text; no pairwise span comparison.
+    A placeholder never makes a text worth searching that was not before.
     """
     ordered = sorted(recognizers, key=lambda r: -float(r.score))
-    for r in ordered:
-        text = _replace_valid(text, r) if r.luhn else F.regexp_replace(
-            text, unicode_aware(r.pattern), f"[{r.entity}]"
+    steps = []
+    for i, r in enumerate(ordered):
+        replaced = (
+            _replace_valid("so_far_", r)
+            if r.luhn
+            else f"regexp_replace(so_far_, {quoted(unicode_aware(r.pattern))}, {quoted(f'[{r.entity}]')})"
         )
-    return text
+        steps.append((f"step_ = {i} AND {_worth_searching(text, r)}", replaced))
+    # A fold over the step numbers: one flat expression, however many steps.
+    body = f"aggregate(sequence(0, {len(ordered) - 1}), {text}, (so_far_, step_) -> {case(steps, 'so_far_')})"
+    return _with_family_tests(text, recognizers, body)
 
 
-def _replace_valid(text: Column, recognizer: Recognizer) -> Column:
+def _replace_valid(text: str, r: Recognizer) -> str:
     """Replace only the matches that pass the Luhn check; keep the others."""
-
-    def rebuilt(source: Column) -> Callable[[Column], Column]:
-        def rebuild(hits: Column) -> Column:
-            marked = F.transform(
-                hits, lambda hit: F.when(passes_luhn(hit), f"[{recognizer.entity}]").otherwise(hit)
-            )
-            gaps = F.split(source, unicode_aware(recognizer.pattern), -1)
-            pieces = F.zip_with(
-                gaps, marked, lambda gap, mark: F.concat(gap, F.coalesce(mark, F.lit("")))
-            )
-            return F.when(F.size(hits) > 0, F.array_join(pieces, "")).otherwise(source)
-
-        return rebuild
-
-    return bind(
-        text, lambda source: bind(match_texts(source, recognizer.pattern), rebuilt(source))
+    marked = case([(passes_luhn("hit_"), quoted(f"[{r.entity}]"))], "hit_")
+    pieces = (
+        f"zip_with(split({text}, {quoted(unicode_aware(r.pattern))}, -1), hits_, "
+        f"(gap_, hit_) -> concat(gap_, coalesce({marked}, '')))"
+    )
+    return let(
+        "hits_",
+        match_texts(text, r.pattern),
+        case([("size(hits_) > 0", f"array_join({pieces}, '')")], text),
     )
 
 
 def redact_text(documents: DataFrame, recognizers: Sequence[Recognizer] = RECOGNIZERS) -> DataFrame:
     """Add ``redacted_text``."""
-    return documents.withColumn("redacted_text", redacted(F.col("text"), recognizers))
+    return documents.withColumn("redacted_text", F.expr(redacted("text", recognizers)))
 
 
 def redaction_audit(spans: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
 from docketry.functions.scorecard import all_checks, risk_band, severity_rank
+from docketry.functions.sql import NO_STRINGS, case, let, quoted
 
 SCORE = "decimal(5,4)"
 
@@ -21,7 +22,7 @@ def single_check(scorable: DataFrame, name: str, min_months: int = V.MIN_STATEME
     """One check for every document it applies to."""
     check = all_checks(min_months)[name]
     return (
-        scorable.select("doc_id", check.row().alias("row"), check.raised().alias("flags"))
+        scorable.select("doc_id", F.expr(check.row()).alias("row"), F.expr(check.raised()).alias("flags"))
         .where("row IS NOT NULL")
         .select("doc_id", "row.*", "flags")
     )
@@ -32,12 +33,13 @@ def score_columns(scorable: DataFrame, threshold: str = V.SCORE_THRESHOLD, min_m
     checks = all_checks(min_months)
     # Points are added up on their own, so that nobody builds the worded rows
     # who only wants the score.
+    cards = checks.values()
     summed = scorable.withColumns(
         {
-            "total_earned": sum((c.points() for c in checks.values()), F.lit(0)),
-            "total_possible": sum((c.points_possible() for c in checks.values()), F.lit(0)),
-            "flags": F.concat(*[c.raised() for c in checks.values()]),
-            "breakdown": F.array_compact(F.array(*[c.row() for c in checks.values()])),
+            "total_earned": F.expr(" + ".join(c.points() for c in cards)),
+            "total_possible": F.expr(" + ".join(c.points_possible() for c in cards)),
+            "flags": F.expr(f"concat({', '.join(c.raised() for c in cards)})"),
+            "breakdown": F.expr(f"array_compact(array({', '.join(c.row() for c in cards)}))"),
         }
     )
     score = F.round(
@@ -74,22 +76,15 @@ def score_breakdown(scorecards: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def review_reason(flags: Column, score: Column, authentic: Column) -> Column:
+def review_reason() -> str:
     """First flag with a message, else the authenticity text, else the score."""
-    messages = F.create_map(*[F.lit(x) for pair in V.REVIEW_MESSAGES.items() for x in pair])
-    known = F.filter(flags, lambda flag: F.map_contains_key(messages, flag))
-    return F.coalesce(
-        F.try_element_at(messages, F.get(known, F.lit(0))),
-        F.when(~authentic, V.REVIEW_NOT_AUTHENTIC),
-        F.when(
-            score.isNotNull(),
-            F.concat(
-                F.lit("Confidence "),
-                F.round(score, 2).cast("decimal(4,2)").cast("string"),
-                F.lit(" below threshold"),
-            ),
-        ),
-        F.lit(V.REVIEW_NO_SCORE),
+    known = f"get(filter(coalesce(flags, {NO_STRINGS}), f_ -> f_ IN ({', '.join(map(quoted, V.REVIEW_MESSAGES))})), 0)"
+    worded = case([(f"flag_ = {quoted(f)}", quoted(m)) for f, m in V.REVIEW_MESSAGES.items()])
+    return (
+        f"coalesce({let('flag_', known, worded)}, "
+        f"{case([('NOT authentic', quoted(V.REVIEW_NOT_AUTHENTIC))])}, "
+        "concat('Confidence ', string(cast(round(score, 2) AS decimal(4,2))), ' below threshold'), "
+        f"{quoted(V.REVIEW_NO_SCORE)})"
     )
 
 
@@ -103,19 +98,12 @@ def review_routing(scorecards: DataFrame) -> DataFrame:
     return scorecards.select(
         "doc_id",
         F.when(needed, "NEEDS_REVIEW").otherwise("SUCCEEDED").alias("status"),
-        F.when(
-            needed,
-            review_reason(
-                F.coalesce(F.col("flags"), F.expr("cast(array() AS array<string>)")),
-                F.col("score"),
-                F.col("authentic"),
-            ),
-        ).alias("error_message"),
+        F.when(needed, F.expr(review_reason())).alias("error_message"),
     )
 
 
 def risk_bands(scored: DataFrame, threshold: str = V.SCORE_THRESHOLD) -> DataFrame:
-    return scored.withColumn("risk_band", risk_band(F.col("score"), F.lit(threshold).cast(SCORE)))
+    return scored.withColumn("risk_band", F.expr(risk_band("score", threshold)))
 
 
 def review_findings(scorecards: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -123,19 +111,13 @@ def review_findings(scorecards: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Ordered inside the row, where a card has at most a dozen checks.
     """
-    serious = ("medium", "high", "critical")
-    numbered = F.transform(
-        "breakdown",
-        lambda row, i: F.struct(
-            severity_rank(row["severity"]).alias("rank"), i.alias("position"), row.alias("row")
-        ),
-    )
-    found = F.filter(
-        numbered,
-        lambda x: x["row"]["severity"].isin(*serious)
-        | (x["row"]["points_earned"] < x["row"]["points_possible"]),
+    ranked = f"struct({severity_rank('row_.severity')} AS rank, i_ AS position, row_ AS row)"
+    found = (
+        f"filter(transform(breakdown, (row_, i_) -> {ranked}), x_ -> "
+        "x_.row.severity IN ('medium', 'high', 'critical') "
+        "OR x_.row.points_earned < x_.row.points_possible)"
     )
-    ordered = F.transform(F.array_sort(found), lambda x: x["row"])
+    ordered = F.expr(f"transform(array_sort({found}), x_ -> x_.row)")
     return (
         scorecards.select(key, F.posexplode_outer(ordered).alias("place", "row"))
         .where("place IS NOT NULL")
@@ -158,5 +140,5 @@ def adverse_action_notes(decisions: DataFrame, scorecards: DataFrame) -> DataFra
         "job_id",
         "doc_id",
         "decision",
-        F.array_join(F.coalesce("flags", F.expr("cast(array() AS array<string>)")), "; ").alias("reason_codes"),
+        F.array_join(F.coalesce("flags", F.expr(NO_STRINGS)), "; ").alias("reason_codes"),
     )
