@@ -337,6 +337,10 @@ oracle("output_pii_scan", f"""
 SELECT conv_id, turn, len(w) > 0 AS blocked, array_to_string(w, ' | ') AS warnings
 FROM (SELECT conv_id, turn, {leaks} AS w FROM {{fx_response}}) AS r
 """)
+oracle("output_pii_scan_over_documents", f"""
+SELECT doc_id, len(w) > 0 AS blocked, array_to_string(w, ' | ') AS warnings
+FROM (SELECT doc_id, {leaks} AS w FROM {{documents}}) AS r
+""")
 oracle("stamp_provenance", "SELECT conv_id, turn, 'model-1' AS model, 'v5.1' AS prompt_version, doc_id, job_id FROM {fx_response}")
 oracle("normalize_income", f"""
 SELECT doc_id, document_type, CASE WHEN document_type IN ('w2', 'tax_return')

@@ -17,7 +17,7 @@ from docketry.operators import gates
 from docketry.operators import lifecycle as life
 from docketry.operators import redaction as red
 from docketry.operators import scoring
-from docketry.plans.views import Catalog
+from docketry.plans.views import Catalog, spread
 from docketry.session import configure, work_folder
 from docketry.sources.artifacts import manifest, write_step_artifacts
 from docketry.sources.extractions import load_extractions
@@ -114,12 +114,9 @@ def merged_spans(c: Catalog) -> DataFrame:
     return red.merge_second_pass_spans(red.detect_pii_spans(c["documents"]), ner_spans(c))
 
 
-def orders_stream(c: Catalog) -> DataFrame:
-    return table_stream(c.spark, c.path("orders"))
-
-
-def events_stream(c: Catalog) -> DataFrame:
-    return table_stream(c.spark, c.path("events"))
+def stream_of(c: Catalog, table: str) -> DataFrame:
+    path = c.path(table)
+    return spread(table_stream(c.spark, path), like=c.spark.read.parquet(path))
 
 
 # --- sources and sinks -------------------------------------------------------------
@@ -330,6 +327,11 @@ def _(c):
     )
 
 
+@query("output_pii_scan_over_documents")
+def _(c):
+    return ext.output_pii_scan(c["documents"]).select("doc_id", "blocked", listed("warnings").alias("warnings"))
+
+
 @query("stamp_provenance")
 def _(c):
     stamped = ext.stamp_provenance(c["fx_response"], model="model-1", prompt_version="v5.1")
@@ -660,19 +662,19 @@ def _(c):
 
 @query("stream_intake")
 def _(c):
-    stream = c.view("fx_document", orders=orders_stream(c))
+    stream = c.view("fx_document", orders=stream_of(c, "orders"))
     return streams.run_intake(stream, work_folder(c.spark, "intake")).withColumn("flags", listed("flags"))
 
 
 @query("stream_dedup")
 def _(c):
-    stream = c.view("fx_file", documents=table_stream(c.spark, c.path("documents")))
+    stream = c.view("fx_file", documents=stream_of(c, "documents"))
     return streams.run_dedup(gates.with_content_hash(stream).drop("content"), work_folder(c.spark, "dedup"))
 
 
 @query("stream_step_metrics")
 def _(c):
-    stream = c.view("fx_step_event", events=events_stream(c))
+    stream = c.view("fx_step_event", events=stream_of(c, "events"))
     return streams.run_step_metrics(stream, work_folder(c.spark, "steps")).withColumn(
         "window_start", stamp("window_start")
     )
@@ -680,7 +682,7 @@ def _(c):
 
 @query("stream_request_rate")
 def _(c):
-    stream = c.view("fx_step_event", events=events_stream(c))
+    stream = c.view("fx_step_event", events=stream_of(c, "events"))
     return streams.run_request_rate(stream, work_folder(c.spark, "rate")).withColumn(
         "window_start", stamp("window_start")
     )
@@ -688,13 +690,13 @@ def _(c):
 
 @query("stream_batch_status")
 def _(c):
-    stream = c.view("fx_job", orders=orders_stream(c))
+    stream = c.view("fx_job", orders=stream_of(c, "orders"))
     return streams.run_batch_status(stream, c["fx_batch"], work_folder(c.spark, "status"))
 
 
 @query("stream_stuck_batches")
 def _(c):
-    stream = c.view("fx_status_event", events=events_stream(c))
+    stream = c.view("fx_status_event", events=stream_of(c, "events"))
     return streams.run_stuck_batches(stream, work_folder(c.spark, "stuck")).select(
         "batch_id", stamp("session_start").alias("session_start"), "last_status", "events"
     )

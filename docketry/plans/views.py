@@ -203,9 +203,10 @@ SELECT conv_id AS doc_id, conv_id * 100 + turn AS job_id, conv_id, turn, text
 FROM {conversations} WHERE role = 'assistant'
 """
 
-# Files with real content: exact copies occur; a batch is one source.
+# Files with real content: exact copies occur; a batch is one language, so a
+# few batches hold all rows.
 VIEWS["fx_file"] = """
-SELECT doc_id, source AS batch_id, 'bank_' || CAST(doc_id AS string) || '.pdf' AS filename, text AS content,
+SELECT doc_id, lang AS batch_id, 'bank_' || CAST(doc_id AS string) || '.pdf' AS filename, text AS content,
   CAST('2024-01-01 00:00:00' AS timestamp) AS created_at
 FROM {documents}
 """
@@ -262,6 +263,19 @@ def references(sql: str) -> list[str]:
     return list(dict.fromkeys(name for _, name, _, _ in Formatter().parse(sql) if name))
 
 
+def spread(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """Use all cores on an input of a few small files.
+
+    A table that is read as fewer partitions than there are cores is hashed by
+    its first column. A large table has many more and is left as it is, so this
+    never adds a shuffle at scale. ``like`` is the stored table of a stream.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if (df if like is None else like).rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, df.columns[0])
+
+
 class Catalog:
     """The given tables and the views of one data folder, built on demand."""
 
@@ -276,7 +290,7 @@ class Catalog:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
             self._built[name] = (
-                self.spark.read.parquet(self.path(name)) if name in TABLES else self.view(name)
+                spread(self.spark.read.parquet(self.path(name))) if name in TABLES else self.view(name)
             )
         return self._built[name]
 
