@@ -6,7 +6,7 @@ flag, and some flags are named differently from the code of their row.
 
 Input columns are those of an extraction (document_type and the structs income,
 account_summary, risk_flags) and of its report (authentic, confidence,
-auth_flags).
+auth_flags), plus the derived ones of ``DERIVED``, which several outcomes use.
 """
 
 from __future__ import annotations
@@ -15,13 +15,46 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from docketry.functions import fixed_values as V
-from docketry.functions.sql import NO_STRINGS, case, let, quoted, struct
+from docketry.functions.sql import NO_STRINGS, case, quoted, struct
 from docketry.functions.text import money_text
 
-KIND = "coalesce(document_type, 'unknown')"
+KIND = "_kind"
 IS_BANK = f"{KIND} = 'bank_statement'"
 
 
+# Signal, flag, points lost, wording.
+BEHAVIOR_SIGNALS = (
+    ("gambling_transactions", "GAMBLING_TRANSACTIONS", 5, "gambling transactions present"),
+    ("irregular_large_deposits", "IRREGULAR_DEPOSITS", 3, "unexplained large deposits"),
+    ("large_cash_withdrawals", "LARGE_CASH_WITHDRAWALS", 2, "large cash withdrawals (>$1,000)"),
+)
+
+# Required fields, counted if filled: an empty ``sources`` list is filled, the
+# frequency ``unknown`` is not.
+_REQUIRED_FIELDS = (
+    "income.monthly_net_estimated IS NOT NULL",
+    "coalesce(income.frequency, 'unknown') <> 'unknown'",
+    "income.sources IS NOT NULL",
+    "risk_flags.overdraft_occurrences IS NOT NULL",
+    "risk_flags.document_integrity_flag IS NOT NULL",
+    f"({IS_BANK} AND account_summary.opening_balance IS NOT NULL)",
+    f"({IS_BANK} AND account_summary.closing_balance IS NOT NULL)",
+    f"({KIND} IN ('w2', 'tax_return') AND income.annual_gross IS NOT NULL)",
+)
+
+# Columns the checks share, in two steps as the second uses the first.
+DERIVED = (
+    {KIND: "coalesce(document_type, 'unknown')"},
+    {
+        "_filled": " + ".join(f"int({field})" for field in _REQUIRED_FIELDS),
+        "_required": f"5 + 2 * int({IS_BANK}) + int({KIND} IN ('w2', 'tax_return'))",
+        "_lost": " + ".join(
+            f"{points} * int(coalesce(risk_flags.{signal}, false))" for signal, _, points, _ in BEHAVIOR_SIGNALS
+        ),
+    },
+)
+
+
 @dataclass(frozen=True)
 class Outcome:
     """``earned``, ``severity`` and ``detail`` are SQL; ``flag`` is plain text."""
@@ -219,14 +252,6 @@ def overdraft_check() -> Check:
     ))
 
 
-# Signal, flag, points lost, wording.
-BEHAVIOR_SIGNALS = (
-    ("gambling_transactions", "GAMBLING_TRANSACTIONS", 5, "gambling transactions present"),
-    ("irregular_large_deposits", "IRREGULAR_DEPOSITS", 3, "unexplained large deposits"),
-    ("large_cash_withdrawals", "LARGE_CASH_WITHDRAWALS", 2, "large cash withdrawals (>$1,000)"),
-)
-
-
 def behavior_check() -> Check:
     """Three signals share one row; each raises a flag of its own."""
 
@@ -234,20 +259,17 @@ def behavior_check() -> Check:
         listed = ", ".join(case([(f"risk_flags.{signal}", quoted(v))]) for signal, v in values)
         return f"array_compact(array({listed}))"
 
-    lost = " + ".join(
-        f"{points} * int(coalesce(risk_flags.{signal}, false))" for signal, _, points, _ in BEHAVIOR_SIGNALS
-    )
     words = f"array_join({present([(s, text) for s, _, _, text in BEHAVIOR_SIGNALS])}, '; ')"
-    sentence = let("words_", words, "concat(upper(left(words_, 1)), lower(substring(words_, 2)))")
+    sentence = f"concat(upper(left({words}, 1)), lower(substring({words}, 2)))"
     return Check(
         "risk", 10,
         (
-            (f"{lost} = 0", Outcome(
+            ("_lost = 0", Outcome(
                 "BEHAVIORAL_CLEAN", "10", NONE,
                 quoted("No gambling, irregular deposits, or large cash withdrawals"),
             )),
             ("", Outcome(
-                "BEHAVIORAL_FLAGS", f"greatest(10 - ({lost}), 0)", case([(f"{lost} >= 5", HIGH)], MEDIUM), sentence,
+                "BEHAVIORAL_FLAGS", "greatest(10 - _lost, 0)", case([("_lost >= 5", HIGH)], MEDIUM), sentence,
             )),
         ),
         flags=present([(s, flag) for s, flag, _, _ in BEHAVIOR_SIGNALS]),
@@ -255,24 +277,9 @@ def behavior_check() -> Check:
 
 
 def field_coverage_check() -> Check:
-    """20 points by the share of required fields that are filled.
-
-    An empty ``sources`` list counts as filled, the frequency ``unknown`` does
-    not. Shares are compared and rounded in whole numbers.
-    """
-    is_annual = f"{KIND} IN ('w2', 'tax_return')"
-    conditions = (
-        "income.monthly_net_estimated IS NOT NULL",
-        "coalesce(income.frequency, 'unknown') <> 'unknown'",
-        "income.sources IS NOT NULL",
-        "risk_flags.overdraft_occurrences IS NOT NULL",
-        "risk_flags.document_integrity_flag IS NOT NULL",
-        f"{IS_BANK} AND account_summary.opening_balance IS NOT NULL",
-        f"{IS_BANK} AND account_summary.closing_balance IS NOT NULL",
-        f"{is_annual} AND income.annual_gross IS NOT NULL",
-    )
-    filled = "(" + " + ".join(f"int({c})" for c in conditions) + ")"
-    required = f"(5 + 2 * int({IS_BANK}) + int({is_annual}))"
+    """20 points by the share of required fields that are filled, compared and
+    rounded in whole numbers."""
+    filled, required = "_filled", "_required"
     points = f"({filled} * 40 + {required}) div ({required} * 2)"
     gaps = _text(
         f"=string({required} - {filled})", " of ", f"=string({required})", " required fields missing or null"

@@ -19,6 +19,7 @@ from docketry.functions.recognizers import (
     SECOND_PASS_LABELS,
     SECOND_PASS_SCORE,
     Recognizer,
+    in_redaction_order,
 )
 from docketry.functions.sql import case, let, quoted, struct
 from docketry.functions.text import match_spans, match_texts, passes_luhn, unicode_aware
@@ -203,12 +204,12 @@ def merge_second_pass_spans(first_pass: DataFrame, second_pass: DataFrame) -> Da
 def redacted(text: str = "text", recognizers: Sequence[Recognizer] = RECOGNIZERS) -> str:
     """The text with every match replaced by ``[ENTITY]``.
 
-    Patterns are applied in falling score order (ties: as listed), each to the
-    result of the one before, so a stronger match is gone before a weaker one
+    Patterns are applied in falling score order, each to the result of the one
+    before, so a stronger match is gone before a weaker one
     could claim a part of it. Linear in the text; no pairwise span comparison.
     A placeholder never makes a text worth searching that was not before.
     """
-    ordered = sorted(recognizers, key=lambda r: -float(r.score))
+    ordered = in_redaction_order(recognizers)
     steps = []
     for i, r in enumerate(ordered):
         replaced = (
@@ -253,15 +254,28 @@ def redaction_audit(spans: DataFrame) -> DataFrame:
     ).orderBy("doc_id", "start", "end", "entity_type")
 
 
-def entity_counts_per_document(documents: DataFrame) -> DataFrame:
+def entity_counts_of(text: str = "text", recognizers: Sequence[Recognizer] = RECOGNIZERS) -> str:
+    """Matches per recognizer, without working out where they are."""
+
+    def row(r: Recognizer) -> str:
+        found = match_texts(text, r.pattern)
+        if r.luhn:
+            found = f"filter({found}, hit_ -> {passes_luhn('hit_')})"
+        count = case([(_worth_searching(text, r), f"size({found})")], "0")
+        return struct(entity_type=quoted(r.entity), matches=count)
+
+    body = f"filter(array({', '.join(row(r) for r in recognizers)}), x_ -> x_.matches > 0)"
+    return _with_family_tests(text, recognizers, body)
+
+
+def entity_counts_per_document(documents: DataFrame, recognizers: Sequence[Recognizer] = RECOGNIZERS) -> DataFrame:
     """entity_count (overlaps included) and the sorted list of entity types,
     NULL if a document has none. Computed in the row: no shuffle."""
-    counted = with_spans(documents.select("doc_id", "text"))
-    types = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["entity_type"])))
-    return counted.select(
+    counted = documents.select("doc_id", F.expr(entity_counts_of("text", recognizers)).alias("_found"))
+    return counted.selectExpr(
         "doc_id",
-        F.size("spans").alias("entity_count"),
-        F.when(F.size("spans") > 0, F.array_join(types, ",")).alias("pii_types_found"),
+        "coalesce(aggregate(_found, 0, (n_, x_) -> n_ + x_.matches), 0) AS entity_count",
+        "CASE WHEN size(_found) > 0 THEN array_join(array_sort(array_distinct(_found.entity_type)), ',') END AS pii_types_found",
     )
 
 

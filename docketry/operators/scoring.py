@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
-from docketry.functions.scorecard import all_checks, risk_band, severity_rank
+from docketry.functions.scorecard import DERIVED, all_checks, risk_band, severity_rank
 from docketry.functions.sql import NO_STRINGS, case, let, quoted
 
 SCORE = "decimal(5,4)"
@@ -18,11 +18,18 @@ def with_auth_report(extractions: DataFrame, reports: DataFrame) -> DataFrame:
     return extractions.join(slim, "doc_id", "left")
 
 
+def _with_derived(scorable: DataFrame) -> DataFrame:
+    for step in DERIVED:
+        scorable = scorable.withColumns({name: F.expr(sql) for name, sql in step.items()})
+    return scorable
+
+
 def single_check(scorable: DataFrame, name: str, min_months: int = V.MIN_STATEMENT_MONTHS) -> DataFrame:
     """One check for every document it applies to."""
     check = all_checks(min_months)[name]
     return (
-        scorable.select("doc_id", F.expr(check.row()).alias("row"), F.expr(check.raised()).alias("flags"))
+        _with_derived(scorable)
+        .select("doc_id", F.expr(check.row()).alias("row"), F.expr(check.raised()).alias("flags"))
         .where("row IS NOT NULL")
         .select("doc_id", "row.*", "flags")
     )
@@ -34,14 +41,14 @@ def score_columns(scorable: DataFrame, threshold: str = V.SCORE_THRESHOLD, min_m
     # Points are added up on their own, so that nobody builds the worded rows
     # who only wants the score.
     cards = checks.values()
-    summed = scorable.withColumns(
+    summed = _with_derived(scorable).withColumns(
         {
             "total_earned": F.expr(" + ".join(c.points() for c in cards)),
             "total_possible": F.expr(" + ".join(c.points_possible() for c in cards)),
             "flags": F.expr(f"concat({', '.join(c.raised() for c in cards)})"),
             "breakdown": F.expr(f"array_compact(array({', '.join(c.row() for c in cards)}))"),
         }
-    )
+    ).drop(*[name for step in DERIVED for name in step])
     score = F.round(
         F.col("total_earned").cast("decimal(5,0)") / F.col("total_possible").cast("decimal(5,0)"), 4
     ).cast(SCORE)

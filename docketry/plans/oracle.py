@@ -8,7 +8,7 @@ shared.
 from __future__ import annotations
 
 from docketry.functions import fixed_values as V
-from docketry.functions.recognizers import RECOGNIZERS
+from docketry.functions.recognizers import RECOGNIZERS, in_redaction_order
 from docketry.plans.views import TABLES, VIEWS, references
 
 SQL_VIEWS: dict[str, str] = {}
@@ -278,7 +278,7 @@ SELECT doc_id, entity_type, CAST(span_start AS bigint) AS span_start, CAST(span_
 
 
 def redacted(text: str) -> str:
-    for r in sorted(RECOGNIZERS, key=lambda r: -float(r.score)):
+    for r in in_redaction_order(RECOGNIZERS):
         tag = f"[{r.entity}]"
         if r.luhn:
             p = q(r.pattern)

@@ -92,8 +92,16 @@ def reports(c: Catalog) -> DataFrame:
     return auth.authenticity_report(accepted_documents(c))
 
 
-def scorecards(c: Catalog) -> DataFrame:
-    return scoring.scorecard(nested_extractions(c), reports(c))
+def stored(c: Catalog, purpose: str, df: DataFrame) -> DataFrame:
+    """Write a slim result that a query uses more than once to the shared
+    folder and read it back, instead of searching all texts again."""
+    folder = work_folder(c.spark, purpose)
+    df.write.parquet(folder)
+    return c.spark.read.schema(df.schema).parquet(folder)
+
+
+def scorecards(c: Catalog, from_reports: DataFrame | None = None) -> DataFrame:
+    return scoring.scorecard(nested_extractions(c), reports(c) if from_reports is None else from_reports)
 
 
 def newest_time(jobs: DataFrame) -> Column:
@@ -111,7 +119,8 @@ def ner_spans(c: Catalog) -> DataFrame:
 
 
 def merged_spans(c: Catalog) -> DataFrame:
-    return red.merge_second_pass_spans(red.detect_pii_spans(c["documents"]), ner_spans(c))
+    first_pass = stored(c, "spans", red.detect_pii_spans(c["documents"]))
+    return red.merge_second_pass_spans(first_pass, ner_spans(c))
 
 
 def stream_of(c: Catalog, table: str) -> DataFrame:
@@ -176,16 +185,20 @@ def _(c):
     )
 
 
+def repeated_files(c: Catalog) -> DataFrame:
+    """The contents are read and hashed once; all else works on the hashes."""
+    hashed = gates.with_content_hash(c["fx_file"]).drop("content")
+    return gates.duplicate_files_in_batch(stored(c, "hashes", hashed))
+
+
 @query("duplicate_files_in_batch")
 def _(c):
-    return gates.duplicate_files_in_batch(gates.with_content_hash(c["fx_file"])).select(
-        "batch_id", "doc_id", "filename", "content_hash", "first_doc_id"
-    )
+    return repeated_files(c).select("batch_id", "doc_id", "filename", "content_hash", "first_doc_id")
 
 
 @query("rejected_batches")
 def _(c):
-    return gates.rejected_batches(gates.duplicate_files_in_batch(gates.with_content_hash(c["fx_file"])))
+    return gates.rejected_batches(repeated_files(c))
 
 
 @query("required_document_set")
@@ -497,7 +510,9 @@ def _(c):
 
 @query("application_authenticity")
 def _(c):
-    return app.application_authenticity(reports(c)).withColumn("auth_flags", listed("auth_flags"))
+    return app.application_authenticity(stored(c, "reports", reports(c))).withColumn(
+        "auth_flags", listed("auth_flags")
+    )
 
 
 @query("application_flags")
@@ -512,7 +527,9 @@ def _(c):
 
 @query("application_decision")
 def _(c):
-    decided = app.application_decision(c["fx_batch"], c["fx_job"], nested_extractions(c), reports(c))
+    decided = app.application_decision(
+        c["fx_batch"], c["fx_job"], nested_extractions(c), stored(c, "reports", reports(c))
+    )
     codes = F.transform("breakdown", lambda row: row["code"])
     return _score_row(
         decided.withColumn("codes", listed(codes)),
@@ -566,13 +583,14 @@ def _(c):
 def _(c):
     documents = accepted_documents(c)
     relevant = gates.relevance_classify(documents).where("is_financial")
-    cards = scorecards(c).where("score >= 0.5")
+    found = stored(c, "reports", reports(c))
+    cards = scorecards(c, found).where("score >= 0.5")
     artifacts = {
         "extraction": nested_extractions(c)
         .where("document_type <> 'unknown'")
         .select("doc_id", F.struct("document_type").alias("extraction")),
         "score_breakdown": cards.select("doc_id", F.struct("score").alias("score_breakdown")),
-        "authenticity_report": reports(c).select(
+        "authenticity_report": found.select(
             "doc_id", F.struct("authentic", "confidence").alias("authenticity_report")
         ),
         "redaction_report": red.entity_counts_per_document(relevant).select(

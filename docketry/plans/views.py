@@ -152,8 +152,10 @@ FROM (
     CASE o_orderkey % 4 WHEN 1 THEN 'PERSON' WHEN 2 THEN 'PERSON,US_SSN'
       WHEN 3 THEN 'LOCATION,PERSON,PHONE_NUMBER' END AS pii_types_found,
     CASE WHEN o_orderkey % 25 = 0 THEN 'approved' END AS review_status
-  FROM {orders} CROSS JOIN (SELECT 1 AS run UNION ALL SELECT 2 AS run) AS runs
-  WHERE run = 1 OR o_orderkey % 3 = 0
+  FROM (
+    SELECT o_orderkey, o_custkey, o_orderdate, 1 AS run FROM {orders}
+    UNION ALL SELECT o_orderkey, o_custkey, o_orderdate, 2 AS run FROM {orders} WHERE o_orderkey % 3 = 0
+  ) AS runs
 ) AS jobs
 """
 
@@ -164,8 +166,10 @@ SELECT o_orderkey * 2 + nth AS review_id,
   CASE WHEN (o_orderkey + nth) % 3 = 0 THEN 'approved' ELSE 'rejected' END AS decision,
   CASE WHEN o_orderkey % 2 = 0 THEN 'income unclear' END AS notes,
   CAST(o_orderdate AS timestamp) + (CASE nth WHEN 1 THEN INTERVAL '3' DAY ELSE INTERVAL '2' DAY END) AS submitted_at
-FROM {orders} CROSS JOIN (SELECT 0 AS nth UNION ALL SELECT 1 AS nth) AS tries
-WHERE nth = 0 OR o_orderkey % 8 = 0
+FROM (
+  SELECT o_orderkey, o_orderdate, 0 AS nth FROM {orders}
+  UNION ALL SELECT o_orderkey, o_orderdate, 1 AS nth FROM {orders} WHERE o_orderpriority = '1-URGENT'
+) AS tries
 """
 
 VIEWS["fx_step_event"] = """
