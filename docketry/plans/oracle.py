@@ -201,6 +201,10 @@ FROM {ox_report}
 """)
 # Reports exist for documents that passed the screening.
 SQL_VIEWS["ox_auth"] = "SELECT * FROM {ox_report} WHERE reason IS NULL"
+# Both steps have a result of every such document.
+oracle("write_step_artifacts", """
+SELECT 'authenticate' AS step, count(*) AS documents FROM {ox_auth} UNION ALL SELECT 'redact', count(*) FROM {ox_auth}
+""")
 
 # --- personal data ----------------------------------------------------------------------------
 
@@ -277,21 +281,35 @@ SELECT doc_id, entity_type, CAST(span_start AS bigint) AS span_start, CAST(span_
 """)
 
 
+# For replacing, accented letters are put between word characters and taken out
+# again at the end (and for e-mail, whose pattern would take those).
+def wrapped(text: str) -> str:
+    return f"regexp_replace({text}, '([À-ÖØ-öø-ſ])', '_\\1_', 'g')"
+
+
+def unwrapped(text: str) -> str:
+    return f"regexp_replace({text}, '_([À-ÖØ-öø-ſ])_', '\\1', 'g')"
+
+
 def redacted(text: str) -> str:
+    text = wrapped(text)
     for r in in_redaction_order(RECOGNIZERS):
-        tag = f"[{r.entity}]"
-        if r.luhn:
-            p = q(r.pattern)
-            text = f"""(SELECT coalesce(string_agg(g || CASE WHEN h IS NULL THEN '' WHEN {luhn('h')} THEN '{tag}' ELSE h END, '' ORDER BY i), '')
-              FROM (SELECT unnest(regexp_split_to_array({text}, {p})) AS g, unnest(regexp_extract_all({text}, {p})) AS h,
-                unnest(range(1, len(regexp_split_to_array({text}, {p})) + 1)) AS i) AS pieces)"""
-        elif r.name in RE2:
-            pattern, _, lead, _, kept = RE2[r.name]
-            replacement = kept + tag if lead else tag + kept
-            text = f"regexp_replace({text}, {q(pattern)}, {q(replacement)}, 'g')"
-        else:
-            text = f"regexp_replace({text}, {q(r.pattern)}, {q(tag)}, 'g')"
-    return text
+        text = wrapped(redacted_by(r, unwrapped(text))) if r.name == "email" else redacted_by(r, text)
+    return unwrapped(text)
+
+
+def redacted_by(r, text: str) -> str:
+    tag = f"[{r.entity}]"
+    if r.luhn:
+        p = q(r.pattern)
+        return f"""(SELECT coalesce(string_agg(g || CASE WHEN h IS NULL THEN '' WHEN {luhn('h')} THEN '{tag}' ELSE h END, '' ORDER BY i), '')
+          FROM (SELECT unnest(regexp_split_to_array({text}, {p})) AS g, unnest(regexp_extract_all({text}, {p})) AS h,
+            unnest(range(1, len(regexp_split_to_array({text}, {p})) + 1)) AS i) AS pieces)"""
+    if r.name in RE2:
+        pattern, _, lead, _, kept = RE2[r.name]
+        replacement = kept + tag if lead else tag + kept
+        return f"regexp_replace({text}, {q(pattern)}, {q(replacement)}, 'g')"
+    return f"regexp_replace({text}, {q(r.pattern)}, {q(tag)}, 'g')"
 
 
 oracle("redact_text", f"SELECT doc_id, {redacted('text')} AS redacted_text FROM {{documents}}")

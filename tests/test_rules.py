@@ -222,3 +222,10 @@ def test_preview_keeps_no_value(spark):
     assert [e.entity_type for e in row[0].redaction_report] == ["SSN_LAST4"]
     assert row[1].redaction_report == []
     assert "7291" not in str(row[0])
+
+
+def test_preview_from_stored_parts(spark):
+    texts = spark.createDataFrame([(0, "[US_SSN]"), (1, "plain")], "doc_id long, redacted_text string")
+    reports = redaction.redacted_preview(frame(spark, ["123-45-6789"])).drop("redacted_text")
+    rows = redaction.preview_from_artifacts(texts, reports).orderBy("doc_id").collect()
+    assert [len(r.redaction_report) for r in rows] == [1, 0]
