@@ -115,8 +115,14 @@ def type_from_filename(filename: Column) -> Column:
 
 def required_document_set(documents: DataFrame) -> DataFrame:
     """Initial job status per document: QUEUED, or NEEDS_REVIEW if the batch
-    lacks a bank statement or a paystub."""
-    guessed = documents.withColumn("guessed_type", type_from_filename(F.col("filename")))
+    lacks a bank statement or a paystub.
+
+    Only keys and names are shuffled, never the text. The documents are on the
+    left of the join, where a batch with very many of them can be split.
+    """
+    guessed = documents.select(
+        "doc_id", "batch_id", "filename", type_from_filename(F.col("filename")).alias("guessed_type")
+    )
     per_batch = guessed.groupBy("batch_id").agg(
         (
             F.coalesce(F.bool_or(F.col("guessed_type") == "bank_statement"), F.lit(False))

@@ -100,12 +100,13 @@ def purge_manifest(documents: DataFrame, jobs: DataFrame) -> DataFrame:
     """Keys with personal data that may go: the raw file and the extracted text
     of documents that a run has finished.
 
-    Jobs parked because the batch lacks documents have not run yet.
+    Jobs parked because the batch lacks documents have not run yet. Finished
+    runs are reduced to their documents before the shuffle.
     """
     finished = jobs.where(
         F.col("status").isin(*V.TERMINAL_STATUSES)
         & ~F.coalesce(F.col("error_message") == V.MISSING_DOCUMENTS_MESSAGE, F.lit(False))
-    ).select(F.col("document_id").alias("doc_id"))
+    ).select(F.col("document_id").alias("doc_id")).distinct()
     doc = F.col("doc_id").cast("string")
     keys = F.array(
         F.concat(F.lit("raw/"), doc, F.lit("/"), F.col("filename")),

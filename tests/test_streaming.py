@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from docketry.session import CLUSTER_SETTINGS
 from docketry.streaming import jobs
 from docketry.streaming.replay import run_to_folder, table_stream, with_closing_marker
 
@@ -50,6 +51,20 @@ def test_dedup_across_files(spark, tmp_path):
     ]
 
 
+def test_cluster_state_store(spark, tmp_path):
+    """The same duplicates with the state store a cluster uses."""
+    schema = "doc_id long, batch_id long, content_hash string, created_at timestamp"
+    arrive(spark, tmp_path / "in", [(i, i % 3, f"h{i % 7}", at(i)) for i in range(100)], schema)
+    default = {key: spark.conf.get(key) for key in CLUSTER_SETTINGS}
+    try:
+        for key, value in CLUSTER_SETTINGS.items():
+            spark.conf.set(key, value)
+        assert jobs.run_dedup(table_stream(spark, str(tmp_path / "in")), str(tmp_path / "out")).count() == 21
+    finally:
+        for key, value in default.items():
+            spark.conf.set(key, value)
+
+
 def test_restart_adds_nothing(spark, tmp_path):
     schema = "ts timestamp, doc_id long"
     source, out = tmp_path / "in", str(tmp_path / "out")
