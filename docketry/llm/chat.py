@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("message", "regenerate", "edit")
-FIRST = -(2**63)
+FIRST = -(2**62)  # where null sorts; turns are larger
 
 
 @dataclass(frozen=True)

@@ -49,3 +49,43 @@ SELECT page_id, host, path, rule, coalesce(best.verdict,
   CASE WHEN c.canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM c LEFT JOIN best USING (page_id)
 """
+
+ORACLES["op3_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
+grams AS (
+  SELECT doc_id, i, words[i:i + 7] AS gram
+  FROM w, LATERAL (SELECT unnest(generate_series(1, len(words) - 7)) AS i) WHERE len(words) > 8),
+again AS (
+  SELECT doc_id, i FROM grams
+  QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, range(8) AS r(k) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, source, nth, line, trim(regexp_replace(
+    translate(lower(line), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+          unnest(range(len(string_split(text, chr(10))))) AS nth FROM d)),
+dups AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE norm <> '' GROUP BY doc_id),
+hosts AS (SELECT source, count(*) AS host_docs FROM documents GROUP BY source),
+frequent AS (
+  SELECT l.source, norm, min(doc_id) AS spared FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
+  WHERE norm <> '' GROUP BY l.source, norm
+  HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) * 100 > any_value(host_docs) * 5),
+removed AS (
+  SELECT l.doc_id, sum(len(string_split(l.norm, ' '))) AS removed_words FROM lines l
+  JOIN frequent f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source
+  WHERE l.doc_id <> f.spared GROUP BY l.doc_id),
+c AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(removed_words, 0) AS BIGINT) AS removed_words
+  FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN removed USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+SELECT *, NOT base_failed AND 100 * (n_words - removed_words) >= 30 * n_words AS kept FROM f
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat, shards, urls
+from docketry.llm import chat, quality_rules, shards, simhash, urls
 from docketry.llm.common import table
 from docketry.session import configure, work_folder
 
@@ -86,3 +86,24 @@ def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
         urls.canonical(F.col("url")).alias("url")
     )
     return urls.filter_urls(pages, listed, URL_RULES).drop("listed")
+
+
+# --- 3: quality rules -----------------------------------------------------------
+
+
+@query
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Hosts are the sources of the documents."""
+    return quality_rules.quality_verdicts(table(spark, folder, "documents")).select(
+        "doc_id", "rules.*", "removed_words", "base_failed", "kept"
+    )
+
+
+# --- 4: SimHash near-duplicates -------------------------------------------------
+
+
+@query
+def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", simhash.hex_digits(F.col("print")).alias("fingerprint"), "component_id"
+    )
