@@ -89,3 +89,32 @@ c AS (
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
 SELECT *, NOT base_failed AND 100 * (n_words - removed_words) >= 30 * n_words AS kept FROM f
 """
+
+ORACLES["op8_benchmark_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+sizes AS (SELECT DISTINCT least(13, len(w)) AS size FROM b WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS size, w[i:i + least(13, len(w)) - 1] AS gram
+  FROM b, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i) WHERE len(w) > 0),
+grams AS (
+  SELECT doc_id, size, i, w[i:i + size - 1] AS gram
+  FROM d, sizes, LATERAL (SELECT unnest(generate_series(1, len(w) - size + 1)) AS i) WHERE len(w) >= size),
+found AS (SELECT doc_id, i, size, item_id FROM grams JOIN windows USING (size, gram)),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM found, LATERAL (SELECT unnest(generate_series(i, i + size - 1)) AS p) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

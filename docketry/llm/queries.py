@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat, quality_rules, shards, simhash, urls
+from docketry.llm import chat, decontaminate, quality_rules, shards, simhash, urls
 from docketry.llm.common import table
 from docketry.session import configure, work_folder
 
@@ -107,3 +107,21 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", simhash.hex_digits(F.col("print")).alias("fingerprint"), "component_id"
     )
+
+
+# --- 8: benchmark decontamination -----------------------------------------------
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
