@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat, decontaminate, quality_rules, shards, simhash, urls
-from docketry.llm.common import table
+from docketry.llm import (
+    chat,
+    decontaminate,
+    lattice_lm,
+    quality_rules,
+    sampling,
+    shards,
+    simhash,
+    urls,
+)
+from docketry.llm.common import id_remainder, table
 from docketry.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +134,53 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+# --- 7: language-model scoring --------------------------------------------------
+
+PIECES = "piece_bpe_32k.model"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Trains on the documents whose id's remainder is not 1."""
+    scored = lattice_lm.score_documents(
+        table(spark, folder, "documents"),
+        id_remainder(F.col("doc_id"), 5) != 1,
+        tokenizer_path(PIECES),
+    )
+    return scored.select(
+        "doc_id",
+        (~F.col("training")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
+# --- 9: SentencePiece encoding and decoding -------------------------------------
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Two sampled segmentations of every text, and what they decode to."""
+    path = tokenizer_path(PIECES)
+    sampled = sampling.encode(table(spark, folder, "documents"), path, samples=2)
+    return sampled.select(
+        "doc_id",
+        "sample",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_hash"),
+        "log_prob",
+        "log_inclusion",
+        "text_crc32",
+        F.crc32(sampling.decode(spark, F.col("ids"), path)).alias("decoded_crc32"),
+    )
