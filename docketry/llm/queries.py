@@ -11,6 +11,7 @@ from docketry.llm import (
     chat,
     decontaminate,
     lattice_lm,
+    quality_model,
     quality_rules,
     sampling,
     shards,
@@ -184,3 +185,26 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
         "text_crc32",
         F.crc32(sampling.decode(spark, F.col("ids"), path)).alias("decoded_crc32"),
     )
+
+
+# --- 2: quality classifier ------------------------------------------------------
+
+GOOD_ENOUGH = 0.3
+
+
+def quality_model_of(spark: SparkSession, documents: DataFrame, folder: str):
+    """Learns labels only of ids whose remainder is not 0."""
+    return quality_model.fit_quality(
+        documents, table(spark, folder, "labels"), id_remainder(F.col("doc_id"), 5) != 0
+    )
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = quality_model_of(spark, documents, folder)
+    return documents.select(
+        "doc_id",
+        (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
+        model.score(documents, F.col("text")).alias("score"),
+    ).withColumn("predicted", (F.col("score") >= GOOD_ENOUGH).cast("int"))
