@@ -43,6 +43,8 @@ REACH = 2
 MAX_LABELLED = 20_000
 HIDDEN = 24
 EPOCHS = 60
+DECAY = 1e-3
+DOUBT_WORDS = 10
 SEED = 5
 PORTION = 200_000
 FEATURES = 2 * DIMENSIONS + 4
@@ -145,8 +147,13 @@ class Network:
     temperature: float = 1.0
     prior: float | None = None
 
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """Standardised; drawn towards the average as far as a text is short."""
+        words = np.expm1(x[:, -1:])
+        return (x - self.mean) / self.spread * (words / (words + DOUBT_WORDS))
+
     def hidden(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((x - self.mean) / self.spread @ self.w1 + self.b1)
+        return np.tanh(self.inputs(x) @ self.w1 + self.b1)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return self.hidden(x) @ self.w2 + self.b2
@@ -188,9 +195,9 @@ def fit_network(x: np.ndarray, y: np.ndarray, calibration: np.ndarray, seed: int
             error = (sigmoid(h @ net.w2 + net.b2) - ys[rows]) / len(rows)
             back = np.outer(error, net.w2) * (1 - h * h)
             gradients = {
-                "w1": ((xs[rows] - net.mean) / net.spread).T @ back + 1e-4 * net.w1,
+                "w1": net.inputs(xs[rows]).T @ back + DECAY * net.w1,
                 "b1": back.sum(axis=0),
-                "w2": h.T @ error + 1e-4 * net.w2,
+                "w2": h.T @ error + DECAY * net.w2,
                 "b2": error.sum(),
             }
             for name in names:
