@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -26,3 +26,24 @@ def ascii_lower_bytes(text: str | None) -> bytes:
 def id_remainder(key: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % parts
+
+
+def running_starts(amounts: DataFrame, place: str, amount: str, block: int = 1024) -> DataFrame:
+    """(of_place, before): the sum of ``amount`` over all smaller places.
+
+    One row for each place, numbered from 0. Places are summed in blocks, so only
+    one row of a thousand meets in a single task.
+    """
+    blocked = amounts.select(place, amount, F.floor(F.col(place) / block).alias("block"))
+    earlier = Window.orderBy("of_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        blocked.groupBy(F.col("block").alias("of_block"))
+        .agg(F.sum(amount).alias("whole"))
+        .select("of_block", F.coalesce(F.sum("whole").over(earlier), F.lit(0)).alias("before_block"))
+    )
+    within = Window.partitionBy("block").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        blocked.withColumn("inside", F.coalesce(F.sum(amount).over(within), F.lit(0)))
+        .join(blocks, F.col("block") == F.col("of_block"))
+        .select(F.col(place).alias("of_place"), (F.col("before_block") + F.col("inside")).alias("before"))
+    )

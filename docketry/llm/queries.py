@@ -16,6 +16,7 @@ from docketry.llm import (
     sampling,
     shards,
     simhash,
+    token_files,
     urls,
 )
 from docketry.llm.common import id_remainder, table
@@ -208,3 +209,23 @@ def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
         model.score(documents, F.col("text")).alias("score"),
     ).withColumn("predicted", (F.col("score") >= GOOD_ENOUGH).cast("int"))
+
+
+# --- 10: token-id / binary output -----------------------------------------------
+
+WORD_PIECES = "word_bpe_49k.json"
+
+
+@query
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Written in ascending order of the ids, then read back from the segments."""
+    path = work_folder(spark, "token-files")
+    token_files.write_token_files(table(spark, folder, "documents"), path, tokenizer_path(WORD_PIECES))
+    documents = token_files.read_token_files(spark, path).select(
+        "file", "segment", "doc_id", "first", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+    starts = token_files.segment_starts(spark, path)
+    same = (F.col("file") == F.col("of_file")) & (F.col("segment") == F.col("of_segment"))
+    return documents.join(starts, same).select(
+        "doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"
+    )

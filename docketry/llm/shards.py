@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.common import running_starts
+
 BUCKET_BYTES = 16 << 20
 MAX_BUCKETS = 1 << 20
 
@@ -34,26 +36,6 @@ def record_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16
 
 
-def bucket_offsets(buckets: DataFrame) -> DataFrame:
-    """Rows before each bucket, summed in blocks of 1,024 buckets."""
-    counts = buckets.groupBy("bucket").count()
-    blocked = counts.withColumn("block", F.floor(F.col("bucket") / 1024))
-    earlier = Window.orderBy("of_block").rowsBetween(Window.unboundedPreceding, -1)
-    before_block = (
-        blocked.groupBy(F.col("block").alias("of_block"))
-        .agg(F.sum("count").alias("rows"))
-        .select("of_block", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
-    )
-    within = (
-        Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        blocked.withColumn("inside", F.coalesce(F.sum("count").over(within), F.lit(0)))
-        .join(before_block, F.col("block") == F.col("of_block"))
-        .select(F.col("bucket").alias("of_bucket"), (F.col("before") + F.col("inside")).alias("offset"))
-    )
-
-
 def shuffle_into_shards(
     records: DataFrame,
     path: str,
@@ -71,7 +53,7 @@ def shuffle_into_shards(
     rows = total["rows"]
     buckets = min(max_buckets, max(1, math.ceil((total["bytes"] or 0) / bucket_bytes)))
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(buckets)).cast("int")
-    offsets = bucket_offsets(records.select(bucket.alias("bucket")))
+    offsets = running_starts(records.groupBy(bucket.alias("bucket")).count(), "bucket", "count")
     scattered = (
         records.select(
             bucket.alias("bucket"),
@@ -87,9 +69,9 @@ def shuffle_into_shards(
     placed = (
         scattered.groupBy("bucket")
         .agg(F.collect_list("record").alias("records"))
-        .join(F.broadcast(offsets), F.col("bucket") == F.col("of_bucket"))
-        .select("offset", F.posexplode(F.shuffle("records", F.lit(seed))).alias("position", "record"))
-        .select((F.col("offset") + F.col("position")).cast("long").alias("place"), "record")
+        .join(F.broadcast(offsets), F.col("bucket") == F.col("of_place"))
+        .select("before", F.posexplode(F.shuffle("records", F.lit(seed))).alias("position", "record"))
+        .select((F.col("before") + F.col("position")).cast("long").alias("place"), "record")
         .withColumn("shard", F.expr(f"CAST(place * {shards} div {n} AS INT)"))
     )
     first = F.expr(f"(shard * BIGINT({n}) + {shards - 1}) div {shards}")
