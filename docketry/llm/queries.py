@@ -19,8 +19,8 @@ from docketry.llm import (
     token_files,
     urls,
 )
-from docketry.llm.common import id_remainder, table
-from docketry.session import configure, work_folder
+from docketry.llm.common import id_remainder, ready, table
+from docketry.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,7 +29,7 @@ def query(function):
     """Register under the function's name; sets the session options first."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return function(configure(spark), folder)
+        return function(ready(spark), folder)
 
     run.__name__ = function.__name__
     run.__doc__ = function.__doc__
