@@ -19,7 +19,7 @@ distinct one is built once and kept while it fits. All random numbers come from
 a hash of the row's key, the sample and the place, so a row's samples do not
 depend on its neighbours, and a repeated task draws the same.
 
-Scale: in the row, without a shuffle; rows are worked on in portions of 150,000
+Scale: in the row, without a shuffle; rows are worked on in portions of 50,000
 units and the lattices kept are bounded, so memory follows the longest text.
 The vocabulary is read on the driver and broadcast (2 MB).
 
@@ -44,9 +44,10 @@ from pyspark.sql import types as T
 
 from docketry.llm import lattice
 
-PORTION = 150_000
-MAX_NODES = 1_200_000
-MAX_EDGES = 5_000_000
+# Bounds of a worker's memory: units worked on at once, and the lattices kept.
+PORTION = 50_000
+MAX_NODES = 500_000
+MAX_EDGES = 2_000_000
 SAMPLES = 2
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,6 +83,7 @@ def truncated_gumbel(location: np.ndarray, most: np.ndarray, u: np.ndarray) -> n
 class Lattices:
     """The lattices of the units met so far, in arrays.
 
+    ``piece``: an id, or -1 less the code point of a character written as bytes.
     A node's edges follow each other, long ones first; ``upto`` is the share of a
     node's edges up to and including this one, 2 for the last.
     """
@@ -96,11 +98,10 @@ class Lattices:
         self.n_nodes = self.n_edges = 0
         self.begin = np.zeros(nodes + 1, np.int64)
         self.is_end = np.zeros(nodes, bool)
-        self.upto = np.zeros(edges)
+        self.upto = np.zeros(edges, np.float32)
         self.log_share = np.zeros(edges)
         self.target = np.zeros(edges, np.int32)
         self.piece = np.zeros(edges, np.int32)
-        self.code = np.zeros(edges, np.int32)
 
     def ids(self, units: list[str]) -> np.ndarray:
         """Number of each unit; builds the lattices of new ones."""
@@ -142,8 +143,8 @@ class Lattices:
         self.upto[b : b + n] = upto
         self.log_share[b : b + n] = log_share
         self.target[b : b + n] = a + target
-        self.piece[b : b + n] = edges.piece
-        self.code[b : b + n] = codes[edges.start]
+        bare = edges.piece == lattice.BYTE
+        self.piece[b : b + n] = np.where(bare, -1 - codes[edges.start], edges.piece)
         counts = np.bincount(source, minlength=nodes)
         self.begin[a + 1 : a + nodes + 1] = b + np.cumsum(counts)
         ends = bounds[1:] + np.arange(len(units))
@@ -320,12 +321,12 @@ def sampled_paths(tables: Lattices, texts: list[list[str]], seeds: np.ndarray, s
 
 def piece_ids(tables: Lattices, path: np.ndarray) -> np.ndarray:
     ids = tables.piece[path]
-    bare = np.flatnonzero(ids == lattice.BYTE)
+    bare = np.flatnonzero(ids < 0)
     if not len(bare):
         return ids
     parts, last = [], 0
     for i in bare:
-        data = lattice.bytes_of(int(tables.code[path[i]]))
+        data = lattice.bytes_of(-1 - int(ids[i]))
         parts += [ids[last:i], tables.vocabulary.byte_ids[list(data)].astype(np.int32)]
         last = i + 1
     return np.concatenate([*parts, ids[last:]])
