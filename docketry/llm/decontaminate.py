@@ -195,7 +195,9 @@ def thinned(index: DataFrame, rows: DataFrame) -> DataFrame:
 
 def phrase_matches(index: DataFrame, items: TestItems, size: int = SIZE) -> DataFrame:
     """(row, item, start, stop): unbroken runs of at least a window, exactly."""
-    found = stored(candidates(index, rarest_positions(index, items, size)), "candidates")
+    # stored, so that its true size decides how it meets the postings
+    rarest = stored(rarest_positions(index, items, size), "rarest")
+    found = stored(candidates(index, rarest), "candidates")
     wanted = (
         found.join(items.places, "item")
         .where(F.col("shift") + F.col("at") >= 0)
