@@ -16,14 +16,6 @@ class Recognizer:
     # What every match implies, to skip texts cheaply; empty means no test.
     family: str = ""  # a key of FAMILY_TESTS
     literal: str = ""  # a string every match contains
-    # Its matches contain those of another recognizer of the same score, which
-    # must not claim a part of them first.
-    encloses: bool = False
-
-
-def in_redaction_order(recognizers):
-    """Falling score; on a tie enclosing patterns first, then as listed."""
-    return sorted(recognizers, key=lambda r: (-float(r.score), not r.encloses))
 
 
 # One scan of the text for a whole family of patterns.
@@ -94,7 +86,6 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
         "phone_parens", "PHONE_NUMBER", "0.75",
         r"\(\d{3}\)\s*\d{3}[-.\s]\d{4}",
         family="digits", literal="(",
-        encloses=True,
     ),
     Recognizer(
         "email", "EMAIL_ADDRESS", "0.80",

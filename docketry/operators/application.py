@@ -57,6 +57,7 @@ def _income_columns() -> list[Column]:
     ]
 
 
+# What a profile without a bank statement shows.
 DEFAULT_RISK_FLAGS = (
     "named_struct('overdraft_occurrences', 0, 'nsf_fee_occurrences', 0, "
     "'large_cash_withdrawals', false, 'gambling_transactions', false, "
@@ -68,38 +69,40 @@ DEFAULT_RISK_FLAGS = (
 def application_profile(extractions: DataFrame) -> DataFrame:
     """One profile per batch, shaped like a single extraction.
 
-    ``documents_received`` counts the documents of each type: it has at most one entry per type
-    however many documents a batch has. ``documents_in_order`` lists them.
+    ``documents_received`` counts the documents of every type that occurs, in
+    order of the first upload. Documents are reduced per batch and type first,
+    so a batch of any size meets as one row per type; ``documents_in_order``
+    lists them all.
     """
     best, first = _income_choice()
-    is_bank = F.col("document_type") == "bank_statement"
-    bank = F.min(
-        F.when(is_bank, F.struct("created_at", "doc_id", "account_summary", "risk_flags"))
-    )
-    counts = {name: F.count_if(F.col("document_type") == name) for name in V.DOCUMENT_TYPES}
-    grouped = extractions.groupBy("batch_id").agg(
+    upload = F.struct("created_at", "doc_id")
+    bank = F.struct("created_at", "doc_id", "account_summary", "risk_flags")
+    per_type = extractions.groupBy("batch_id", "document_type").agg(
         best.alias("_best"),
         first.alias("_first"),
-        bank.alias("_bank"),
-        *[count.alias(f"_n_{name}") for name, count in counts.items()],
+        F.min(F.when(F.col("document_type") == "bank_statement", bank)).alias("_bank"),
+        F.min(upload).alias("_upload"),
+        F.count("*").alias("_documents"),
     )
-    received = F.filter(
-        F.array(
-            *[
-                F.struct(F.lit(name).alias("document_type"), F.col(f"_n_{name}").alias("documents"))
-                for name in V.DOCUMENT_TYPES
-            ]
-        ),
-        lambda entry: entry["documents"] > 0,
+    named = F.when(
+        F.col("document_type") != "",
+        F.struct("_upload", "document_type", F.col("_documents").alias("documents")),
+    )
+    grouped = per_type.groupBy("batch_id").agg(
+        F.min("_best").alias("_best"),
+        F.min("_first").alias("_first"),
+        F.min("_bank").alias("_bank"),
+        F.array_sort(F.collect_list(named)).alias("_received"),
     )
-    has_bank = F.col("_n_bank_statement") > 0
     defaults = F.expr(DEFAULT_RISK_FLAGS).cast(extractions.schema["risk_flags"].dataType)
     return grouped.select(
         "batch_id",
-        F.when(has_bank, "bank_statement")
+        F.when(F.col("_bank").isNotNull(), "bank_statement")
         .otherwise(F.coalesce("_first.document_type", F.lit("unknown")))
         .alias("document_type"),
-        received.alias("documents_received"),
+        F.transform(
+            "_received", lambda e: F.struct(e["document_type"].alias("document_type"), e["documents"].alias("documents"))
+        ).alias("documents_received"),
         *_income_columns(),
         F.col("_bank.account_summary").alias("account_summary"),
         F.coalesce("_bank.risk_flags", defaults).alias("risk_flags"),
@@ -107,11 +110,12 @@ def application_profile(extractions: DataFrame) -> DataFrame:
 
 
 def documents_in_order(extractions: DataFrame) -> DataFrame:
-    """The list of received documents in long form, in upload order."""
+    """The list of received documents in long form; upload order is by
+    created_at, then doc_id. Rows are only sorted where they are."""
     return (
-        extractions.where("document_type IS NOT NULL")
+        extractions.where("document_type <> ''")
         .select("batch_id", "created_at", "doc_id", "document_type")
-        .orderBy("batch_id", "created_at", "doc_id")
+        .sortWithinPartitions("batch_id", "created_at", "doc_id")
     )
 
 
@@ -125,33 +129,26 @@ def application_flags(reports: DataFrame) -> DataFrame:
 
 
 def application_authenticity(reports: DataFrame) -> DataFrame:
-    """Authentic only if every report is; confidence is the lowest.
-
-    ``auth_flags`` holds the first three flags of the batch (all the scorecard
-    quotes) and ``flag_count`` their whole number; ``application_flags`` has
-    them all. The ranking is cut to three per batch before the shuffle.
-    """
-    verdict = reports.groupBy("batch_id").agg(
+    """Authentic only if every report is; confidence is the lowest; the number
+    of flags. The flags themselves, all of them, are ``application_flags``."""
+    return reports.groupBy("batch_id").agg(
         F.bool_and(F.coalesce("authentic", F.lit(False))).alias("authentic"),
         F.min(F.coalesce("confidence", F.lit(0).cast("decimal(4,2)"))).alias("confidence"),
         F.sum(F.size(F.coalesce("flags", F.expr(NO_STRINGS)))).alias("flag_count"),
     )
+
+
+def quoted_flags(reports: DataFrame) -> DataFrame:
+    """The flags that a scorecard quotes, ``auth_flags``: the first three of the
+    batch. The ranking is cut to three per batch before the shuffle."""
     in_order = Window.partitionBy("batch_id").orderBy("created_at", "doc_id", "position")
-    quoted = (
+    return (
         application_flags(reports)
         .withColumn("_place", F.row_number().over(in_order))
         .where(F.col("_place") <= QUOTED_FLAGS)
         .groupBy("batch_id")
         .agg(F.array_sort(F.collect_list(F.struct("_place", "flag"))).alias("_quoted"))
-    )
-    return verdict.join(quoted, "batch_id", "left").select(
-        "batch_id",
-        "authentic",
-        "confidence",
-        "flag_count",
-        F.coalesce(
-            F.transform("_quoted", lambda q: q["flag"]), F.expr(NO_STRINGS)
-        ).alias("auth_flags"),
+        .select("batch_id", F.transform("_quoted", lambda q: q["flag"]).alias("auth_flags"))
     )
 
 
@@ -218,8 +215,11 @@ def application_decision(
     breakdown. A set that is not complete adds its code to the flags after the
     recommendation is made, and so never changes it.
     """
-    profile = application_profile(extractions).join(
-        application_authenticity(reports), "batch_id", "inner"
+    profile = (
+        application_profile(extractions)
+        .join(application_authenticity(reports), "batch_id", "inner")
+        .join(quoted_flags(reports), "batch_id", "left")
+        .withColumn("auth_flags", F.coalesce("auth_flags", F.expr(NO_STRINGS)))
     )
     scored = score_columns(profile, threshold, min_months)
 
@@ -275,9 +275,10 @@ def application_decision(
 def per_document_summary(
     documents: DataFrame, jobs: DataFrame, extractions: DataFrame, scorecards: DataFrame
 ) -> DataFrame:
-    """Job, file name, status, type, score and flags of every document with a job."""
+    """Job, file name, status, message, time, type, score and flags of every
+    document with a job."""
     newest = latest_job_per_document(jobs).select(
-        F.col("document_id").alias("doc_id"), "job_id", "status"
+        F.col("document_id").alias("doc_id"), "job_id", "status", "error_message", "created_at"
     )
     none = F.expr(NO_STRINGS)
     return (
@@ -285,5 +286,8 @@ def per_document_summary(
         .join(extractions.select("doc_id", "document_type"), "doc_id", "left")
         .join(scorecards.select("doc_id", "score", "flags"), "doc_id", "left")
         .withColumn("flags", F.coalesce("flags", none))
-        .select("batch_id", "doc_id", "job_id", "filename", "status", "document_type", "score", "flags")
+        .select(
+            "batch_id", "doc_id", "job_id", "filename", "status", "error_message", "created_at",
+            "document_type", "score", "flags",
+        )
     )

@@ -85,17 +85,18 @@ def confidence_histogram(jobs: DataFrame) -> DataFrame:
     return _counts_as_rows(jobs, cases, "bucket", "jobs")
 
 
-def pii_type_ranking(jobs: DataFrame, shown: int = V.PII_RANKING_SHOWN) -> DataFrame:
-    """Documents per type of personal data, most first, the top ``shown``."""
+def pii_type_ranking(jobs: DataFrame, shown: int | None = None) -> DataFrame:
+    """Documents per type of personal data, most first: all of them, or the top
+    ``shown`` as the page shows them (``fixed_values.PII_RANKING_SHOWN``)."""
     types = jobs.select(F.explode(F.split("pii_types_found", ",")).alias("pii_type"))
-    return (
+    ranked = (
         types.select(F.trim("pii_type").alias("pii_type"))
         .where("pii_type <> ''")
         .groupBy("pii_type")
         .agg(F.count("*").alias("documents"))
         .orderBy(F.desc("documents"), "pii_type")
-        .limit(shown)
     )
+    return ranked if shown is None else ranked.limit(shown)
 
 
 def success_rate(jobs: DataFrame) -> DataFrame:

@@ -89,25 +89,47 @@ def extraction_conformance(raw: DataFrame) -> DataFrame:
     )
 
 
+# Name, type, nullable, allowed values, required.
+EXPENSE_RULES = (
+    ("category", "string", False, (), True),
+    ("average_monthly_amount", "number", True, (), False),
+    ("frequency", "string", False, V.EXPENSE_FREQUENCIES, True),
+)
+
+
 def _expense_violations(expenses: Column, shape: Column) -> list[Column]:
-    items = F.from_json(
-        F.to_json(expenses), "array<struct<category string, frequency string>>"
-    )
-    listed = shape.rlike("^ARRAY<")
-    return [
-        F.when(
-            listed & F.exists(items, lambda i: i["category"].isNull()),
-            "missing:recurring_expenses.category",
-        ),
-        F.when(
-            listed & F.exists(items, lambda i: i["frequency"].isNull()),
-            "missing:recurring_expenses.frequency",
-        ),
-        F.when(
-            listed & F.exists(items, lambda i: F.coalesce(~i["frequency"].isin(*V.EXPENSE_FREQUENCIES), F.lit(False))),
-            "enum:recurring_expenses.frequency",
-        ),
-    ]
+    """Violations that some item of the list has, each named once."""
+    items = F.try_variant_get(expenses, "$", "array<variant>")
+    listed = shape.rlike(_TYPE_NAMES["array"])
+
+    def some(test) -> Column:
+        return listed & F.coalesce(F.exists(items, test), F.lit(False))
+
+    def is_object(item: Column) -> Column:
+        return F.schema_of_variant(item).rlike(_TYPE_NAMES["object"])
+
+    def kind_of(item: Column, name: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant"))
+
+    def expense_checks(name: str, kind: str, nullable: bool, allowed: tuple, required: bool) -> list[Column]:
+        path = f"recurring_expenses.{name}"
+        accepted = f"{_TYPE_NAMES[kind]}|^VOID$" if nullable else _TYPE_NAMES[kind]
+        checks = [F.when(some(lambda i: is_object(i) & ~kind_of(i, name).rlike(accepted)), f"type:{path}")]
+        if required:
+            checks.insert(0, F.when(some(lambda i: is_object(i) & kind_of(i, name).isNull()), f"missing:{path}"))
+        if allowed:
+
+            def other_value(i: Column) -> Column:
+                value = F.try_variant_get(i, f"$.{name}", "string")
+                return (kind_of(i, name) == "STRING") & ~value.isin(*allowed)
+
+            checks.append(F.when(some(other_value), f"enum:{path}"))
+        return checks
+
+    found = [F.when(some(lambda i: ~F.coalesce(is_object(i), F.lit(False))), "type:recurring_expenses[]")]
+    for rule in EXPENSE_RULES:
+        found.extend(expense_checks(*rule))
+    return found
 
 
 def output_pii_scan(responses: DataFrame, text: str = "text") -> DataFrame:
@@ -176,7 +198,7 @@ def risk_event_counts(documents: DataFrame, transactions: DataFrame) -> DataFram
         F.bool_or(cash).alias("cash"),
         F.bool_or(_mentions(GAMBLING_WORDS)).alias("gambling"),
     )
-    is_bank = F.col("document_type") == "bank_statement"
+    is_bank = F.coalesce(F.col("document_type") == "bank_statement", F.lit(False))
     return documents.select("doc_id", "document_type").join(observed, "doc_id", "left").select(
         "doc_id",
         F.when(is_bank, F.coalesce("nsf", F.lit(0))).otherwise(0).alias("nsf_fee_occurrences"),
@@ -186,16 +208,24 @@ def risk_event_counts(documents: DataFrame, transactions: DataFrame) -> DataFram
     )
 
 
-def irregular_large_deposits(transactions: DataFrame, factor: str = "3") -> DataFrame:
-    """Documents with a deposit other than payroll above ``factor`` times the
-    median deposit. Only aggregates per document meet in the join."""
-    deposits = transactions.where("amount > 0")
+def of_bank_statements(documents: DataFrame, transactions: DataFrame) -> DataFrame:
+    """The transactions of documents whose type is bank_statement."""
+    banks = documents.where("document_type = 'bank_statement'").select("doc_id")
+    return transactions.join(banks, "doc_id", "left_semi")
+
+
+def irregular_large_deposits(documents: DataFrame, transactions: DataFrame, factor: str = "3") -> DataFrame:
+    """Whether a document has a deposit other than payroll above ``factor``
+    times its median deposit: one row for every document, false for other types
+    than bank statements and without deposits. Only aggregates per document
+    meet in the joins."""
+    deposits = of_bank_statements(documents, transactions.where("amount > 0"))
     unexplained = ~_mentions(PAYROLL_WORDS)
     largest = deposits.groupBy("doc_id").agg(
         F.max(F.when(unexplained, F.col("amount"))).alias("largest_unexplained")
     )
     median = exact_quantile(deposits, ["doc_id"], "amount", 50, "median_deposit")
-    return largest.join(median, "doc_id", "inner").select(
+    return documents.select("doc_id").join(largest, "doc_id", "left").join(median, "doc_id", "left").select(
         "doc_id",
         "median_deposit",
         "largest_unexplained",
@@ -227,15 +257,16 @@ def average_daily_balance(statements: DataFrame, transactions: DataFrame) -> Dat
     )
 
 
-def recurring_expenses(transactions: DataFrame) -> DataFrame:
-    """Average monthly amount and cadence per document and expense category.
+def recurring_expenses(documents: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Average monthly amount and cadence per bank statement and expense
+    category; other types have none.
 
     Expenses are netted per day before anything is sorted, so a category has
     at most one row per calendar day. A category seen on one day only is not
     recurring. Cadence is the median gap between days with an expense.
     """
     daily = (
-        transactions.where("amount < 0")
+        of_bank_statements(documents, transactions.where("amount < 0"))
         .groupBy("doc_id", F.col("description").alias("category"), "txn_date")
         .agg(F.sum(-F.col("amount")).alias("spent"))
     )

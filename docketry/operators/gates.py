@@ -44,25 +44,33 @@ def first_broken_rule(text: str = "text") -> str:
     )
 
 
+def first_page(documents: DataFrame) -> str:
+    """The column that upload rules look at: page 1 (``first_page_text``, which
+    ``assemble_pages`` supplies), or the text where pages are not told apart."""
+    return "first_page_text" if "first_page_text" in documents.columns else "text"
+
+
 def guardrail_screen(documents: DataFrame) -> DataFrame:
     """Add ``reason`` (of the first rule broken) and ``accepted``."""
-    return documents.withColumn("reason", F.expr(first_broken_rule())).withColumn(
+    broken = first_broken_rule(first_page(documents))
+    return documents.withColumn("reason", F.expr(broken)).withColumn(
         "accepted", F.col("reason").isNull()
     )
 
 
 def pii_dump_screen(documents: DataFrame) -> DataFrame:
     """Number of SSN-shaped values and whether the page is a bare list of them."""
-    counted = documents.withColumn("ssn_count", F.expr(ssn_count()))
+    page = first_page(documents)
+    counted = documents.withColumn("ssn_count", F.expr(ssn_count(page)))
     return counted.withColumn(
         "is_pii_dump",
-        F.expr(f"ssn_count >= {V.SSN_DUMP_COUNT} AND NOT {any_keyword('text', V.STRONG_KEYWORDS)}"),
+        F.expr(f"ssn_count >= {V.SSN_DUMP_COUNT} AND NOT {any_keyword(page, V.STRONG_KEYWORDS)}"),
     )
 
 
 def financial_keyword_screen(documents: DataFrame) -> DataFrame:
     """Counts of strong and supporting keywords; one strong hit is enough."""
-    hits = keyword_hits("text", (V.STRONG_KEYWORDS, V.SUPPORTING_KEYWORDS))
+    hits = keyword_hits(first_page(documents), (V.STRONG_KEYWORDS, V.SUPPORTING_KEYWORDS))
     return documents.withColumn("_hits", F.expr(hits)).selectExpr(
         *documents.columns,
         "_hits[0] AS strong_hits",
@@ -106,6 +114,41 @@ def rejected_batches(duplicates: DataFrame) -> DataFrame:
     )
 
 
+def batch_gate(documents: DataFrame) -> DataFrame:
+    """Add ``gate_reason`` (NULL if the document may enter the pipeline) and
+    ``gate_outcome``.
+
+    A repeated file rejects its whole batch; a file that breaks a screening
+    rule is rejected; a batch without a bank statement and a paystub waits for
+    review. ``documents`` has the columns of ``guardrail_screen``, batch_id,
+    doc_id, filename and whole batches. Hashes, names and verdicts meet per
+    batch; the facts of the batches are joined to the documents.
+    """
+    screened = guardrail_screen(documents)
+    named = screened.select("doc_id", "batch_id", "filename", F.sha2("text", 256).alias("content_hash"))
+    repeated = rejected_batches(duplicate_files_in_batch(named)).select(
+        "batch_id", F.col("reason").alias("_repeated")
+    )
+    lacking = (
+        required_document_set(named)
+        .where(~F.col("requirements_met"))
+        .groupBy("batch_id")
+        .agg(F.first("error_message").alias("_lacking"))
+    )
+    return (
+        screened.join(repeated, "batch_id", "left")
+        .join(lacking, "batch_id", "left")
+        .withColumn("gate_reason", F.coalesce("_repeated", "reason", "_lacking"))
+        .withColumn(
+            "gate_outcome",
+            F.when(F.coalesce("_repeated", "reason").isNotNull(), "REJECTED").when(
+                F.col("_lacking").isNotNull(), "NEEDS_REVIEW"
+            ),
+        )
+        .drop("_repeated", "_lacking")
+    )
+
+
 def type_from_filename(filename: Column) -> Column:
     lowered = F.lower(filename)
     return F.when(lowered.contains("bank"), "bank_statement").when(

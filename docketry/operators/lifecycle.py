@@ -73,20 +73,18 @@ def conflicting_review_decisions(decisions: DataFrame, jobs: DataFrame) -> DataF
     )
 
 
-def job_results(jobs: DataFrame, artifacts: dict[str, DataFrame]) -> DataFrame:
+RESULT_PARTS = ("extraction", "score_breakdown", "authenticity_report", "redaction_report")
+
+
+def job_results(jobs: DataFrame, results: DataFrame) -> DataFrame:
     """The stored parts of a job's result side by side.
 
-    Each artifact has doc_id and one column of its own name. Absent parts are
-    NULL; a job with none has no row.
+    ``results`` has doc_id and the four parts, NULL where absent; an empty
+    redaction report counts as absent. A job with no part has no row.
     """
     slim = jobs.select("job_id", F.col("document_id").alias("doc_id"))
-    joined = reduce(
-        lambda left, name: left.join(artifacts[name].select("doc_id", name), "doc_id", "left"),
-        artifacts,
-        slim,
-    )
-    present = reduce(lambda a, b: a | b, [F.col(name).isNotNull() for name in artifacts])
-    return joined.where(present)
+    present = reduce(lambda a, b: a | b, [F.col(name).isNotNull() for name in RESULT_PARTS])
+    return slim.join(results.select("doc_id", *RESULT_PARTS).where(present), "doc_id", "inner")
 
 
 def job_state_from_events(events: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Personal data: detection, context boost, second detector, redaction, audit.
 
 Detection and redaction work inside the row, over the whole text, and need no
-shuffle. Only the comparison with the spans of a second detector joins.
+shuffle. Only the spans of a second detector are joined.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from docketry.functions.recognizers import (
     SECOND_PASS_LABELS,
     SECOND_PASS_SCORE,
     Recognizer,
-    in_redaction_order,
 )
 from docketry.functions.sql import case, let, quoted, struct
 from docketry.functions.text import match_spans, match_texts, passes_luhn, unicode_aware
@@ -98,16 +97,16 @@ def detect_pii_spans(documents: DataFrame, recognizers: Sequence[Recognizer] = R
     )
 
 
-def boost_spans_by_context(
-    documents: DataFrame,
+def boosted(
+    spans: str = "spans",
+    text: str = "text",
     window_chars: int = 40,
     boost: str = "0.35",
     recognizers: Sequence[Recognizer] = RECOGNIZERS,
-) -> DataFrame:
-    """Spans with their score raised (at most to 1) if a context word of their
-    recognizer stands in the ``window_chars`` characters before them."""
-    spans = with_spans(documents.select("doc_id", "text"), recognizers)
-
+) -> str:
+    """The spans with in_context and boosted_score: raised (at most to 1) if a
+    context word of their recognizer stands in the ``window_chars`` characters
+    before them."""
     tests = [
         f"s_.recognizer = {quoted(r.name)} AND ("
         + " OR ".join(f"contains(before_, {quoted(word)})" for word in r.context)
@@ -116,21 +115,30 @@ def boost_spans_by_context(
         if r.context
     ]
     before = (
-        f"lower(substring(text, greatest(s_.start - {window_chars}, 0) + 1, "
+        f"lower(substring({text}, greatest(s_.start - {window_chars}, 0) + 1, "
         f"s_.start - greatest(s_.start - {window_chars}, 0)))"
     )
     # Only recognizers with context words look around their matches.
     named = ", ".join(quoted(r.name) for r in recognizers if r.context) or "''"
     near = case([(f"s_.recognizer IN ({named})", let("before_", before, f"({' OR '.join(tests) or 'false'})"))], "false")
+    raised = f"least(s_.score + cast({boost} AS {SCORE}), cast(1 AS {SCORE}))"
     row = struct(
         start="s_.start", end="s_.end", entity_type="s_.entity_type", recognizer="s_.recognizer",
-        score="s_.score", in_context=near,
-    )
-    boosted = F.expr(f"transform(spans, s_ -> {row})")
-    raised = F.least(F.col("score") + F.lit(boost).cast(SCORE), F.lit("1.00").cast(SCORE))
-    return _exploded(spans, ["doc_id"], boosted).withColumn(
-        "boosted_score", F.when(F.col("in_context"), raised).otherwise(F.col("score")).cast(SCORE)
+        score="s_.score", in_context="near_",
+        boosted_score=f"cast(CASE WHEN near_ THEN {raised} ELSE s_.score END AS {SCORE})",
     )
+    return f"transform({spans}, s_ -> {let('near_', near, row)})"
+
+
+def boost_spans_by_context(
+    documents: DataFrame,
+    window_chars: int = 40,
+    boost: str = "0.35",
+    recognizers: Sequence[Recognizer] = RECOGNIZERS,
+) -> DataFrame:
+    """One row per match with its score before and after the look at its context."""
+    spans = with_spans(documents.select("doc_id", "text"), recognizers)
+    return _exploded(spans, ["doc_id"], F.expr(boosted("spans", "text", window_chars, boost, recognizers)))
 
 
 def _blocks(start: str, end: str) -> Column:
@@ -201,49 +209,149 @@ def merge_second_pass_spans(first_pass: DataFrame, second_pass: DataFrame) -> Da
     return kept.unionByName(free)
 
 
-def redacted(text: str = "text", recognizers: Sequence[Recognizer] = RECOGNIZERS) -> str:
-    """The text with every match replaced by ``[ENTITY]``.
+# Spans per step of a running maximum, and covers per cut of a text: appending
+# to an array copies it, and cutting a text walks to the place.
+SPAN_SLICE = 256
+COVER_SLICE = 64
+
 
-    Patterns are applied in falling score order, each to the result of the one
-    before, so a stronger match is gone before a weaker one
-    could claim a part of it. Linear in the text; no pairwise span comparison.
-    A placeholder never makes a text worth searching that was not before.
+def _with_covers(df: DataFrame) -> DataFrame:
+    """Add ``_covers``: the spans in ``_spans`` merged where they overlap, in
+    order of start, each named after its span of the highest score (then the
+    longest, then the first).
+
+    A span starts a new cover if it starts at or after the end of all before
+    it. Ends are summed up slice by slice, so the work is linear.
     """
-    ordered = in_redaction_order(recognizers)
-    steps = []
-    for i, r in enumerate(ordered):
-        replaced = (
-            _replace_valid("so_far_", r)
-            if r.luhn
-            else f"regexp_replace(so_far_, {quoted(unicode_aware(r.pattern))}, {quoted(f'[{r.entity}]')})"
+    none = "cast(array() AS array<int>)"
+    running = f"struct(-1 AS top, {none} AS tops)"
+    label = "struct(s_.score AS score, s_.end - s_.start AS length, -s_.start AS place, s_.entity_type AS entity_type)"
+    cover = struct(
+        start="group_[0].start",
+        end="array_max(transform(group_, s_ -> s_.end))",
+        entity_type=f"array_max(transform(group_, s_ -> {label})).entity_type",
+    )
+    upto = "coalesce(get(_heads, k_ + 1), size(_ordered) + 1)"
+    return (
+        df.withColumn("_ordered", F.expr("array_sort(filter(_spans, s_ -> s_.start >= 0 AND s_.start < s_.end))"))
+        .withColumn(
+            "_tops",
+            F.expr(
+                f"transform(sequence(0, int((size(_ordered) - 1) div {SPAN_SLICE})), i_ -> "
+                f"aggregate(slice(_ordered, i_ * {SPAN_SLICE} + 1, {SPAN_SLICE}), {running}, (acc_, s_) -> "
+                "struct(greatest(acc_.top, s_.end) AS top, concat(acc_.tops, array(acc_.top)) AS tops)))"
+            ),
         )
-        steps.append((f"step_ = {i} AND {_worth_searching(text, r)}", replaced))
-    # A fold over the step numbers: one flat expression, however many steps.
-    body = f"aggregate(sequence(0, {len(ordered) - 1}), {text}, (so_far_, step_) -> {case(steps, 'so_far_')})"
-    return _with_family_tests(text, recognizers, body)
+        .withColumn(
+            "_carried",
+            F.expr(
+                f"aggregate(_tops, {running}, (acc_, part_) -> "
+                "struct(greatest(acc_.top, part_.top) AS top, concat(acc_.tops, array(acc_.top)) AS tops), acc_ -> acc_.tops)"
+            ),
+        )
+        .withColumn(
+            "_before",
+            F.expr("flatten(zip_with(_tops, _carried, (part_, at_) -> transform(part_.tops, top_ -> greatest(top_, at_))))"),
+        )
+        .withColumn(
+            "_heads",
+            F.expr(
+                f"CASE WHEN size(_ordered) = 0 THEN {none} ELSE filter(sequence(1, size(_ordered)), "
+                "i_ -> _ordered[i_ - 1].start >= _before[i_ - 1]) END"
+            ),
+        )
+        .withColumn(
+            "_covers",
+            F.expr(f"transform(_heads, (h_, k_) -> {let('group_', f'slice(_ordered, h_, {upto} - h_)', cover)})"),
+        )
+        .drop("_ordered", "_tops", "_carried", "_before", "_heads")
+    )
+
+
+def _replaced(text: str = "text") -> str:
+    """The text with every cover in ``_covers`` replaced by ``[ENTITY]``."""
+    n = COVER_SLICE
+    from_ = f"CASE WHEN i_ = 0 THEN 0 ELSE _covers[i_ * {n} - 1].end END"
+    piece = f"substring({text}, from_ + 1, covers_[size(covers_) - 1].end - from_)"
+    gap = "CASE WHEN k_ = 0 THEN from_ ELSE covers_[k_ - 1].end END"
+    parts = (
+        "array_join(transform(covers_, (c_, k_) -> concat("
+        f"substring(piece_, {gap} - from_ + 1, c_.start - ({gap})), '[', c_.entity_type, ']')), '')"
+    )
+    cut = let("from_", from_, let("covers_", f"slice(_covers, i_ * {n} + 1, {n})", let("piece_", piece, parts)))
+    whole = (
+        f"concat(array_join(transform(sequence(0, int((size(_covers) - 1) div {n})), i_ -> {cut}), ''), "
+        f"substring({text}, _covers[size(_covers) - 1].end + 1))"
+    )
+    return f"CASE WHEN size(_covers) > 0 THEN {whole} ELSE {text} END"
+
+
+def _second_pass_lists(spans: DataFrame) -> DataFrame:
+    """The spans of each document as one list; a document's spans are fewer
+    than its characters."""
+    return spans.groupBy(F.col("doc_id").alias("_doc")).agg(
+        F.collect_list(
+            F.struct(
+                F.col("start").cast("int").alias("start"),
+                F.col("end").cast("int").alias("end"),
+                "entity_type",
+                F.col("score").cast(SCORE).alias("score"),
+            )
+        ).alias("_more")
+    )
 
 
-def _replace_valid(text: str, r: Recognizer) -> str:
-    """Replace only the matches that pass the Luhn check; keep the others."""
-    marked = case([(passes_luhn("hit_"), quoted(f"[{r.entity}]"))], "hit_")
-    pieces = (
-        f"zip_with(split({text}, {quoted(unicode_aware(r.pattern))}, -1), hits_, "
-        f"(gap_, hit_) -> concat(gap_, coalesce({marked}, '')))"
+def _with_all_spans(documents: DataFrame, second_pass: DataFrame | None, recognizers: Sequence[Recognizer]) -> DataFrame:
+    """Add ``spans`` (first pass) and ``_spans``: those with their boosted
+    scores, and the second pass where there is one."""
+    found = with_spans(documents, recognizers).withColumn(
+        "_spans",
+        F.transform(
+            F.expr(boosted("spans", "text", recognizers=recognizers)),
+            lambda s: F.struct(
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                s["entity_type"].alias("entity_type"),
+                s["boosted_score"].alias("score"),
+            ),
+        ),
     )
-    return let(
-        "hits_",
-        match_texts(text, r.pattern),
-        case([("size(hits_) > 0", f"array_join({pieces}, '')")], text),
+    if second_pass is None:
+        return found
+    within = F.transform(
+        "_more", lambda s: s.withField("end", F.least(s["end"], F.char_length("text")))
     )
+    joined = found.join(
+        _second_pass_lists(second_pass), F.col("doc_id") == F.col("_doc"), "left"
+    ).withColumn("_more", within)
+    return joined.withColumn("_spans", F.concat("_spans", F.coalesce("_more", F.slice("_spans", 1, 0)))).drop("_doc")
+
 
+def redact_text(
+    documents: DataFrame,
+    second_pass: DataFrame | None = None,
+    recognizers: Sequence[Recognizer] = RECOGNIZERS,
+) -> DataFrame:
+    """Add ``redacted_text``: no character of any span is left.
+
+    Overlapping spans are merged to one cover, replaced by the type of its
+    strongest span (scores after the look at the context). Without a second
+    pass everything happens in the row. ``second_pass`` has doc_id, start, end,
+    entity_type, score (see ``second_pass_spans``); only then are texts joined.
+    """
+    covered = _with_covers(_with_all_spans(documents, second_pass, recognizers))
+    kept = [c for c in documents.columns if c != "redacted_text"]
+    return covered.withColumn("redacted_text", F.expr(_replaced())).select(*kept, "redacted_text")
 
-def redact_text(documents: DataFrame, recognizers: Sequence[Recognizer] = RECOGNIZERS) -> DataFrame:
-    """Add ``redacted_text``."""
-    return documents.withColumn("redacted_text", F.expr(redacted("text", recognizers)))
+
+def second_pass_spans(merged: DataFrame) -> DataFrame:
+    """What the second detector added to the first."""
+    return merged.where(F.col("detector") == SECOND_PASS)
 
 
 def redaction_audit(spans: DataFrame) -> DataFrame:
-    """The span report without the raw values, ordered by document and start."""
+    """The span report without the raw values; sorted where the rows are, as the
+    order only matters within a document."""
     return spans.select(
         "doc_id",
         "entity_type",
@@ -251,7 +359,7 @@ def redaction_audit(spans: DataFrame) -> DataFrame:
         "end",
         (F.col("end") - F.col("start")).alias("char_count"),
         "detector",
-    ).orderBy("doc_id", "start", "end", "entity_type")
+    ).sortWithinPartitions("doc_id", "start", "end", "entity_type")
 
 
 def entity_counts_of(text: str = "text", recognizers: Sequence[Recognizer] = RECOGNIZERS) -> str:
@@ -294,22 +402,30 @@ def entity_totals(spans: DataFrame) -> DataFrame:
     return spans.groupBy("entity_type").agg(F.count("*").alias("entities"))
 
 
-def redacted_preview(documents: DataFrame) -> DataFrame:
+def redacted_preview(documents: DataFrame, second_pass: DataFrame | None = None) -> DataFrame:
     """Redacted text next to its span report, an empty list if there is none;
-    documents without a text are left out. Computed in the row: no shuffle."""
+    documents without a text are left out."""
     readable = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    report = F.transform(
-        "spans",
-        lambda s: F.struct(
-            s["entity_type"].alias("entity_type"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            (s["end"] - s["start"]).alias("char_count"),
-            F.lit(FIRST_PASS).alias("detector"),
-        ),
-    )
-    return redact_text(with_spans(readable)).select(
-        "doc_id", "redacted_text", report.alias("redaction_report")
+    covered = _with_covers(_with_all_spans(readable, second_pass, RECOGNIZERS))
+
+    def entries(spans: str, detector: str) -> Column:
+        return F.transform(
+            spans,
+            lambda s: F.struct(
+                s["entity_type"].alias("entity_type"),
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                (s["end"] - s["start"]).alias("char_count"),
+                F.lit(detector).alias("detector"),
+            ),
+        )
+
+    report = entries("spans", FIRST_PASS)
+    if second_pass is not None:
+        more = entries("_more", SECOND_PASS)
+        report = F.concat(report, F.coalesce(more, F.slice(report, 1, 0)))
+    return covered.select(
+        "doc_id", F.expr(_replaced()).alias("redacted_text"), report.alias("redaction_report")
     )
 
 

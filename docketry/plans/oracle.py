@@ -8,7 +8,7 @@ shared.
 from __future__ import annotations
 
 from docketry.functions import fixed_values as V
-from docketry.functions.recognizers import RECOGNIZERS, in_redaction_order
+from docketry.functions.recognizers import RECOGNIZERS
 from docketry.plans.views import TABLES, VIEWS, references
 
 SQL_VIEWS: dict[str, str] = {}
@@ -62,7 +62,8 @@ def rounded(cents: str, divisor: str) -> str:
 # --- sources ------------------------------------------------------------------------
 
 oracle("assemble_pages", """
-SELECT doc_id, string_agg('--- Page ' || page_num || ' ---' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY page_num) AS text
+SELECT doc_id, string_agg('--- Page ' || page_num || ' ---' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY page_num) AS text,
+  coalesce(first(text ORDER BY page_num), '') AS first_page_text
 FROM {fx_page} GROUP BY doc_id
 """)
 
@@ -78,6 +79,11 @@ SELECT r.doc_id, ok AS readable,
 FROM (SELECT doc_id, json_valid(body) AS ok FROM {fx_raw_extraction}) AS r JOIN {fx_extraction} AS e ON r.doc_id = e.doc_id
 """)
 
+# Files hold one line for each text; their sizes add up to texts and line ends.
+oracle("scan_raw_documents", """
+SELECT 'lang=' || lang AS folder, CAST(sum(strlen(text) + 1) AS bigint) AS bytes FROM {documents} GROUP BY lang
+""")
+
 # --- gates -----------------------------------------------------------------------------
 
 before, after = (q(part) for part in V.REJECT_PII_DUMP)
@@ -87,12 +93,13 @@ SELECT d.*, CASE
     WHEN magic <> '%PDF' THEN {q(V.REJECT_MAGIC)}
     WHEN size_bytes < 1024 THEN {q(V.REJECT_TOO_SMALL)}
     WHEN size_bytes > 52428800 THEN {q(V.REJECT_TOO_LARGE)}
-    WHEN trim(text) = '' THEN {q(V.REJECT_NO_TEXT)}
+    WHEN trim(first_page_text) = '' THEN {q(V.REJECT_NO_TEXT)}
     WHEN ssns >= 3 AND strong = 0 THEN {before} || ssns || {after}
     WHEN strong = 0 THEN {q(V.REJECT_NOT_FINANCIAL)} END AS reason
 FROM (
-  SELECT *, {hits(V.STRONG_KEYWORDS)} AS strong, {hits(V.SUPPORTING_KEYWORDS)} AS supporting,
-    len(regexp_extract_all(text, {q(V.SSN_PATTERN)})) AS ssns
+  SELECT *, {hits(V.STRONG_KEYWORDS, 'lower(first_page_text)')} AS strong,
+    {hits(V.SUPPORTING_KEYWORDS, 'lower(first_page_text)')} AS supporting,
+    len(regexp_extract_all(first_page_text, {q(V.SSN_PATTERN)})) AS ssns
   FROM {{fx_document}}
 ) AS d
 """
@@ -201,19 +208,15 @@ FROM {ox_report}
 """)
 # Reports exist for documents that passed the screening.
 SQL_VIEWS["ox_auth"] = "SELECT * FROM {ox_report} WHERE reason IS NULL"
-# Both steps have a result of every such document.
-oracle("write_step_artifacts", """
-SELECT 'authenticate' AS step, count(*) AS documents FROM {ox_auth} UNION ALL SELECT 'redact', count(*) FROM {ox_auth}
-""")
 
 # --- personal data ----------------------------------------------------------------------------
 
-# RE2 has no look-around: what surrounds the match is captured, with the number
-# of characters in front of the value.
+# RE2 has no look-around: what surrounds the match is captured. Pattern, group
+# of the value, number of characters in front of it.
 RE2 = {
-    "firstname_then_initial": (r"(\b[A-Z][a-z]{2,}\s+[A-Z]\.)(\s|$|,)", 1, 0, r"\1", r"\2"),
-    "tabular_name_after_c3": (r"(C\d\d\d )([A-Z][a-z]{2,}(?:\s+[A-Z]\.)?\s+[A-Z][a-z]{2,})", 2, 5, r"\2", r"\1"),
-    "tabular_name_after_c4": (r"(C\d\d\d\d )([A-Z][a-z]{2,}(?:\s+[A-Z]\.)?\s+[A-Z][a-z]{2,})", 2, 6, r"\2", r"\1"),
+    "firstname_then_initial": (r"(\b[A-Z][a-z]{2,}\s+[A-Z]\.)(\s|$|,)", 1, 0),
+    "tabular_name_after_c3": (r"(C\d\d\d )([A-Z][a-z]{2,}(?:\s+[A-Z]\.)?\s+[A-Z][a-z]{2,})", 2, 5),
+    "tabular_name_after_c4": (r"(C\d\d\d\d )([A-Z][a-z]{2,}(?:\s+[A-Z]\.)?\s+[A-Z][a-z]{2,})", 2, 6),
 }
 # Its \b knows ASCII only, so accented letters are first made word characters
 # of the same length (not for e-mail, whose pattern takes the stand-in itself).
@@ -231,7 +234,7 @@ def luhn(value: str) -> str:
 def spans(table: str) -> str:
     parts = []
     for r in RECOGNIZERS:
-        pattern, group, lead, *_ = RE2.get(r.name, (r.pattern, 0, 0))
+        pattern, group, lead = RE2.get(r.name, (r.pattern, 0, 0))
         text = "text" if r.name == "email" else ASCII_WORDS
         p = q(pattern)
         parts.append(f"""
@@ -258,13 +261,21 @@ context = " OR ".join(
     f"(recognizer = {q(r.name)} AND (" + " OR ".join(f"contains(ahead, {q(w)})" for w in r.context) + "))"
     for r in RECOGNIZERS if r.context
 )
-oracle("boost_spans_by_context", f"""
+
+
+def in_context(spans_view: str, table: str) -> str:
+    return f"""
 SELECT doc_id, entity_type, span_start, span_end, recognizer, score, near AS in_context,
   CAST(CASE WHEN near THEN least(score + 0.35, 1.00) ELSE score END AS decimal(3,2)) AS boosted_score
 FROM (SELECT *, {context} AS near FROM (
   SELECT s.*, lower(substr(d.text, greatest(span_start - 40, 0) + 1, span_start - greatest(span_start - 40, 0))) AS ahead
-  FROM {{ox_statement_spans}} AS s JOIN {{fx_document}} AS d ON s.doc_id = d.doc_id) AS a) AS b
-""")
+  FROM {{{spans_view}}} AS s JOIN {{{table}}} AS d ON s.doc_id = d.doc_id) AS a) AS b
+"""
+
+
+SQL_VIEWS["ox_boosted"] = in_context("ox_spans", "documents")
+SQL_VIEWS["ox_statement_boosted"] = in_context("ox_statement_spans", "fx_document")
+oracle("boost_spans_by_context", "SELECT * FROM {ox_statement_boosted}")
 
 SQL_VIEWS["ox_merged"] = """
 SELECT doc_id, entity_type, span_start, span_end, score, 'first_pass' AS detector FROM {ox_spans}
@@ -281,39 +292,41 @@ SELECT doc_id, entity_type, CAST(span_start AS bigint) AS span_start, CAST(span_
 """)
 
 
-# For replacing, accented letters are put between word characters and taken out
-# again at the end (and for e-mail, whose pattern would take those).
-def wrapped(text: str) -> str:
-    return f"regexp_replace({text}, '([À-ÖØ-öø-ſ])', '_\\1_', 'g')"
-
-
-def unwrapped(text: str) -> str:
-    return f"regexp_replace({text}, '_([À-ÖØ-öø-ſ])_', '\\1', 'g')"
-
-
-def redacted(text: str) -> str:
-    text = wrapped(text)
-    for r in in_redaction_order(RECOGNIZERS):
-        text = wrapped(redacted_by(r, unwrapped(text))) if r.name == "email" else redacted_by(r, text)
-    return unwrapped(text)
-
-
-def redacted_by(r, text: str) -> str:
-    tag = f"[{r.entity}]"
-    if r.luhn:
-        p = q(r.pattern)
-        return f"""(SELECT coalesce(string_agg(g || CASE WHEN h IS NULL THEN '' WHEN {luhn('h')} THEN '{tag}' ELSE h END, '' ORDER BY i), '')
-          FROM (SELECT unnest(regexp_split_to_array({text}, {p})) AS g, unnest(regexp_extract_all({text}, {p})) AS h,
-            unnest(range(1, len(regexp_split_to_array({text}, {p})) + 1)) AS i) AS pieces)"""
-    if r.name in RE2:
-        pattern, _, lead, _, kept = RE2[r.name]
-        replacement = kept + tag if lead else tag + kept
-        return f"regexp_replace({text}, {q(pattern)}, {q(replacement)}, 'g')"
-    return f"regexp_replace({text}, {q(r.pattern)}, {q(tag)}, 'g')"
+# Spans that overlap form an island; its strongest span names it, and the text
+# between islands is what stays.
+def redacted_texts(table: str, all_spans: str) -> str:
+    return f"""
+SELECT d.doc_id, CASE WHEN i.doc_id IS NULL THEN d.text ELSE i.front || substr(d.text, i.last_end + 1) END AS redacted_text
+FROM {{{table}}} AS d LEFT JOIN (
+  SELECT doc_id, max(island_end) AS last_end,
+    string_agg(substr(text, previous_end + 1, island_start - previous_end) || '[' || label || ']', '' ORDER BY island_start) AS front
+  FROM (
+    SELECT g.*, t.text, coalesce(lag(island_end) OVER (PARTITION BY g.doc_id ORDER BY island_start), 0) AS previous_end
+    FROM (
+      SELECT doc_id, island, min(span_start) AS island_start, max(span_end) AS island_end,
+        arg_max(entity_type, (strength, span_end - span_start, -span_start, entity_type)) AS label
+      FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY span_start, span_end, entity_type ROWS UNBOUNDED PRECEDING) AS island
+        FROM (
+          SELECT *, CASE WHEN span_start < max(span_end) OVER (PARTITION BY doc_id ORDER BY span_start, span_end, entity_type
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
+          FROM ({all_spans}) AS every) AS marked) AS numbered
+      GROUP BY doc_id, island) AS g JOIN {{{table}}} AS t ON g.doc_id = t.doc_id) AS placed
+  GROUP BY doc_id) AS i ON d.doc_id = i.doc_id
+"""
 
 
-oracle("redact_text", f"SELECT doc_id, {redacted('text')} AS redacted_text FROM {{documents}}")
-oracle("redact_statements", f"SELECT doc_id, {redacted('text')} AS redacted_text FROM {{fx_document}}")
+FIRST_SPANS = "SELECT doc_id, entity_type, span_start, span_end, boosted_score AS strength FROM "
+SQL_VIEWS["ox_redacted"] = redacted_texts(
+    "documents",
+    FIRST_SPANS + "{ox_boosted}"
+    " UNION ALL SELECT doc_id, entity_type, span_start, span_end, score FROM {ox_merged} WHERE detector = 'second_pass'",
+)
+SQL_VIEWS["ox_statement_redacted"] = redacted_texts(
+    "fx_document", FIRST_SPANS + "{ox_statement_boosted}"
+)
+oracle("redact_text", "SELECT doc_id, redacted_text FROM {ox_redacted}")
+oracle("redact_statements", "SELECT doc_id, redacted_text FROM {ox_statement_redacted}")
 oracle("entity_counts_per_document", """
 SELECT d.doc_id, count(s.doc_id) AS entity_count, string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS pii_types_found
 FROM {documents} AS d LEFT JOIN {ox_spans} AS s ON d.doc_id = s.doc_id GROUP BY d.doc_id
@@ -323,12 +336,12 @@ SELECT d.doc_id, count(s.doc_id) AS entity_count, string_agg(DISTINCT entity_typ
 FROM {documents} AS d LEFT JOIN {ox_merged} AS s ON d.doc_id = s.doc_id GROUP BY d.doc_id
 """)
 oracle("entity_totals", "SELECT entity_type, count(*) AS entities FROM {ox_merged} GROUP BY entity_type")
-oracle("redacted_preview", f"""
-SELECT d.doc_id, {redacted('d.text')} AS redacted_text, coalesce(r.listed, '') AS redaction_report
-FROM {{documents}} AS d LEFT JOIN (
+oracle("redacted_preview", """
+SELECT d.doc_id, d.redacted_text, coalesce(r.listed, '') AS redaction_report
+FROM {ox_redacted} AS d LEFT JOIN (
   SELECT doc_id, string_agg(item, ' | ' ORDER BY item) AS listed
-  FROM (SELECT doc_id, entity_type || ':' || span_start || ':' || span_end AS item FROM {{ox_spans}}) AS i GROUP BY doc_id
-) AS r ON d.doc_id = r.doc_id
+  FROM (SELECT doc_id, entity_type || ':' || span_start || ':' || span_end AS item FROM {ox_merged}) AS i GROUP BY doc_id
+) AS r ON d.doc_id = r.doc_id WHERE d.redacted_text IS NOT NULL
 """)
 
 # --- extraction results ----------------------------------------------------------------------------
@@ -341,6 +354,10 @@ SELECT doc_id, CASE WHEN NOT json_valid(body) THEN 'invalid_json' ELSE array_to_
   CASE WHEN doc_id % 61 = 0 THEN 'missing:risk_flags' END,
   CASE WHEN doc_id % 61 <> 0 AND doc_id % 41 = 0 THEN 'type:risk_flags.overdraft_occurrences' END,
   CASE WHEN doc_id % 61 <> 0 AND doc_id % 41 = 0 THEN 'type:risk_flags.nsf_fee_occurrences' END,
+  CASE WHEN json_type(body, '$.recurring_expenses[0].category') <> 'VARCHAR' THEN 'type:recurring_expenses.category' END,
+  CASE WHEN json_type(body, '$.recurring_expenses[0].average_monthly_amount') = 'VARCHAR' THEN 'type:recurring_expenses.average_monthly_amount' END,
+  CASE WHEN json_array_length(body, '$.recurring_expenses') > 0 AND json_type(body, '$.recurring_expenses[0].frequency') IS NULL
+    THEN 'missing:recurring_expenses.frequency' END,
   CASE WHEN json_extract_string(body, '$.recurring_expenses[0].frequency') NOT IN ('weekly', 'biweekly', 'monthly', 'irregular')
     THEN 'enum:recurring_expenses.frequency' END], lambda x: x IS NOT NULL), ' | ') END AS violations
 FROM (SELECT doc_id, CASE WHEN json_valid(body) THEN body ELSE 'x' END AS body FROM {fx_raw_extraction}) AS r
@@ -383,9 +400,10 @@ SELECT e.doc_id,
 FROM {fx_extraction} AS e LEFT JOIN {fx_txn} AS t ON e.doc_id = t.doc_id GROUP BY e.doc_id
 """)
 oracle("irregular_large_deposits", """
-SELECT doc_id, CAST(mid AS decimal(20,4)) AS median_deposit, largest AS largest_unexplained, coalesce(largest > mid * 1.5, false) AS irregular_large_deposits
-FROM (SELECT doc_id, median(amount) AS mid, max(amount) FILTER (WHERE description = 'Wire Deposit') AS largest
-  FROM {fx_txn} WHERE amount > 0 GROUP BY doc_id) AS d
+SELECT e.doc_id, CAST(mid AS decimal(20,4)) AS median_deposit, largest AS largest_unexplained, coalesce(largest > mid * 1.5, false) AS irregular_large_deposits
+FROM {fx_extraction} AS e LEFT JOIN (
+  SELECT doc_id, median(amount) AS mid, max(amount) FILTER (WHERE description = 'Wire Deposit') AS largest
+  FROM {fx_txn} WHERE amount > 0 GROUP BY doc_id) AS d ON e.doc_id = d.doc_id AND e.document_type = 'bank_statement'
 """)
 oracle("average_daily_balance", f"""
 SELECT s.doc_id, b.average AS average_daily_balance
@@ -412,7 +430,7 @@ FROM (
     SELECT *, txn_date - lag(txn_date) OVER (PARTITION BY doc_id, category ORDER BY txn_date) AS gap
     FROM (SELECT doc_id, description AS category, txn_date, sum(-amount) AS spent FROM {{fx_txn}} WHERE amount < 0 GROUP BY ALL) AS d
   ) AS g GROUP BY doc_id, category
-) AS c WHERE gap IS NOT NULL
+) AS c WHERE gap IS NOT NULL AND doc_id IN (SELECT doc_id FROM {{fx_extraction}} WHERE document_type = 'bank_statement')
 """)
 oracle("document_integrity_rules", """
 SELECT doc_id, array_to_string(r, ' | ') AS broken_rules, len(r) > 0 AS document_integrity_flag
@@ -620,11 +638,11 @@ LEFT JOIN (SELECT * FROM {fx_extraction} WHERE document_type = 'bank_statement'
 JOIN {ox_signal} AS s ON i.batch_id = s.batch_id
 """
 SQL_VIEWS["ox_signal"] = """
-SELECT batch_id, string_agg(document_type || '=' || n, ' | ' ORDER BY list_position(['bank_statement', 'paystub', 'w2', 'tax_return', 'unknown'], document_type)) AS received,
+SELECT batch_id, string_agg(document_type || '=' || n, ' | ' ORDER BY first_upload) AS received,
   CASE WHEN bool_or(document_type = 'bank_statement') AND bool_or(document_type IN ('paystub', 'w2', 'tax_return')) THEN 'DOC_SET_COMPLETE'
     WHEN bool_or(document_type IN ('paystub', 'w2', 'tax_return')) THEN 'DOC_SET_MISSING_BANK_STATEMENT'
     WHEN bool_or(document_type = 'bank_statement') THEN 'DOC_SET_MISSING_INCOME_DOCUMENT' ELSE 'DOC_SET_INCOMPLETE' END AS signal
-FROM (SELECT batch_id, document_type, count(*) AS n FROM {fx_extraction} GROUP BY ALL) AS t GROUP BY batch_id
+FROM (SELECT batch_id, document_type, count(*) AS n, min((created_at, doc_id)) AS first_upload FROM {fx_extraction} GROUP BY batch_id, document_type) AS t GROUP BY batch_id
 """
 oracle("application_profile", """
 SELECT batch_id, document_type, received AS documents_received, income_source_document, monthly_net_estimated, opening_balance,
@@ -645,7 +663,7 @@ FROM {ox_auth} AS a LEFT JOIN (SELECT batch_id, list(flag ORDER BY created_at, d
   ON a.batch_id = l.batch_id GROUP BY a.batch_id
 """
 oracle("application_authenticity", """
-SELECT batch_id, authentic, confidence, flag_count, coalesce(array_to_string(listed[1:3], ' | '), '') AS auth_flags FROM {ox_app_auth}
+SELECT batch_id, authentic, confidence, flag_count FROM {ox_app_auth}
 """)
 oracle("document_set_signals", "SELECT batch_id, signal FROM {ox_signal}")
 
@@ -672,7 +690,8 @@ SELECT b.batch_id, b.status, p.document_type, p.income_source_document, p.authen
 FROM {ox_batch} AS b LEFT JOIN {ox_app_in} AS p ON b.batch_id = p.batch_id LEFT JOIN {ox_app_card} AS c ON b.batch_id = c.batch_id
 """)
 oracle("per_document_summary", """
-SELECT d.batch_id, d.doc_id, j.job_id, d.filename, j.status, e.document_type, c.score, coalesce(c.flags, '') AS flags
+SELECT d.batch_id, d.doc_id, j.job_id, d.filename, j.status, j.error_message, strftime(j.created_at, '%Y-%m-%d %H:%M:%S') AS created_at,
+  e.document_type, c.score, coalesce(c.flags, '') AS flags
 FROM {fx_document} AS d JOIN {ox_latest} AS j ON d.doc_id = j.document_id LEFT JOIN {fx_extraction} AS e ON d.doc_id = e.doc_id
 LEFT JOIN {ox_card} AS c ON d.doc_id = c.doc_id
 """)
@@ -700,14 +719,19 @@ SELECT r.review_id, r.job_id, r.decision, j.status, CASE WHEN j.job_id IS NULL T
 FROM {fx_review} AS r LEFT JOIN {fx_job} AS j ON r.job_id = j.job_id LEFT JOIN {ox_first_review} AS f ON r.review_id = f.review_id
 WHERE j.job_id IS NULL OR j.status <> 'NEEDS_REVIEW' OR f.review_id IS NULL
 """)
+SQL_VIEWS["ox_span_report"] = """
+SELECT doc_id, string_agg(item, ' | ' ORDER BY item) AS listed
+FROM (SELECT doc_id, entity_type || ':' || span_start || ':' || span_end AS item FROM {ox_statement_spans}) AS i GROUP BY doc_id
+"""
 oracle("job_results", """
-SELECT j.job_id, j.document_id AS doc_id, e.document_type, c.score, a.authentic, a.confidence, r.entity_count
+SELECT j.job_id, j.document_id AS doc_id, e.document_type, e.monthly_net_estimated, c.score, c.recommendation, c.codes,
+  a.authentic, a.confidence, array_to_string(a.flags, ' | ') AS auth_flags, r.listed AS redaction_report
 FROM {fx_job} AS j
-LEFT JOIN (SELECT * FROM {fx_extraction} WHERE document_type <> 'unknown') AS e ON j.document_id = e.doc_id
-LEFT JOIN (SELECT * FROM {ox_card} WHERE score >= 0.5) AS c ON j.document_id = c.doc_id
+LEFT JOIN {fx_extraction} AS e ON j.document_id = e.doc_id
+LEFT JOIN {ox_card} AS c ON j.document_id = c.doc_id
 LEFT JOIN {ox_auth} AS a ON j.document_id = a.doc_id
-LEFT JOIN (SELECT v.doc_id, count(s.doc_id) AS entity_count FROM {ox_relevance} AS v LEFT JOIN {ox_statement_spans} AS s ON v.doc_id = s.doc_id
-  WHERE v.best >= 2 AND v.reason IS NULL GROUP BY v.doc_id) AS r ON j.document_id = r.doc_id
+LEFT JOIN (SELECT s.* FROM {ox_span_report} AS s JOIN {ox_relevance} AS v ON s.doc_id = v.doc_id WHERE v.best >= 2 AND v.reason IS NULL) AS r
+  ON j.document_id = r.doc_id
 WHERE e.doc_id IS NOT NULL OR c.doc_id IS NOT NULL OR a.doc_id IS NOT NULL OR r.doc_id IS NOT NULL
 """)
 oracle("job_state_from_events", """
@@ -724,6 +748,17 @@ FROM {ox_decided} AS d LEFT JOIN {ox_card} AS c ON d.document_id = c.doc_id
 WHERE d.review_status = 'rejected' OR c.recommendation = 'NEEDS_REVIEW'
 """)
 
+# The bodies of seven kinds of artifact, one line for each document and kind.
+oracle("write_step_artifacts", """
+SELECT 'parsed_text' AS step, doc_id, text AS content FROM {fx_document} WHERE doc_id IN (SELECT doc_id FROM {ox_auth})
+UNION ALL SELECT 'authenticity_report', doc_id, document_type || '|' || authentic || '|' || confidence || '|' || len(flags) FROM {ox_auth}
+UNION ALL SELECT 'redacted_text', t.doc_id, t.redacted_text FROM {ox_statement_redacted} AS t JOIN {ox_auth} AS a ON t.doc_id = a.doc_id
+UNION ALL SELECT 'redaction_report', a.doc_id, coalesce(s.listed, '') FROM {ox_auth} AS a LEFT JOIN {ox_span_report} AS s ON a.doc_id = s.doc_id
+UNION ALL SELECT 'extraction', doc_id, document_type || '|' || coalesce(CAST(monthly_net_estimated AS varchar), '') FROM {fx_extraction}
+UNION ALL SELECT 'extraction_meta', doc_id, 'model-1|v5.1|' || doc_id FROM {fx_extraction}
+UNION ALL SELECT 'score_breakdown', doc_id, score || '|' || total_earned || '|' || codes FROM {ox_card}
+""")
+
 # --- dashboard ---------------------------------------------------------------------------------------------------
 
 oracle("status_counts", """
@@ -758,7 +793,7 @@ LEFT JOIN {{fx_job}} AS j ON least(CAST(floor(confidence_score * 10) AS int), 9)
 """)
 oracle("pii_type_ranking", """
 SELECT pii_type, count(*) AS documents FROM (SELECT trim(unnest(string_split(pii_types_found, ','))) AS pii_type FROM {fx_job}) AS t
-WHERE pii_type <> '' GROUP BY pii_type ORDER BY documents DESC, pii_type LIMIT 8
+WHERE pii_type <> '' GROUP BY pii_type
 """)
 oracle("success_rate", """
 SELECT CAST(round(100.0 * count(*) FILTER (WHERE status = 'SUCCEEDED') / count(*), 6) AS decimal(18,6)) AS success_rate FROM {fx_job}
@@ -787,13 +822,23 @@ SELECT strftime(date_trunc('day', created_at), '%Y-%m-%d %H:%M:%S') AS window_st
 
 # --- streaming ------------------------------------------------------------------------------------------------------
 
-oracle("stream_intake", f"""
-SELECT v.doc_id, v.batch_id, CASE WHEN v.reason IS NOT NULL THEN 'REJECTED' WHEN v.best < 2 THEN 'FAILED' ELSE 'PROCESSED' END AS outcome, v.reason,
-  CASE WHEN v.reason IS NULL THEN v.category END AS category,
+SQL_VIEWS["ox_gate"] = f"""
+SELECT v.*, coalesce('Duplicate file detected: ' || r.name, v.reason, CASE WHEN NOT r.met THEN {q(V.MISSING_DOCUMENTS_MESSAGE)} END) AS gate_reason,
+  CASE WHEN r.name IS NOT NULL OR v.reason IS NOT NULL THEN 'REJECTED' WHEN NOT r.met THEN 'NEEDS_REVIEW' END AS gate_outcome
+FROM {{ox_relevance}} AS v JOIN (
+  SELECT batch_id, arg_min(filename, doc_id) FILTER (WHERE doc_id > first_doc) AS name,
+    bool_or(filename ILIKE '%bank%') AND bool_or(filename ILIKE '%pay%' AND filename NOT ILIKE '%bank%') AS met
+  FROM (SELECT *, min(doc_id) OVER (PARTITION BY batch_id, text) AS first_doc FROM {{fx_document}}) AS f GROUP BY batch_id
+) AS r ON v.batch_id = r.batch_id
+"""
+oracle("stream_intake", """
+SELECT v.doc_id, v.batch_id, coalesce(v.gate_outcome, CASE WHEN v.best < 2 THEN 'FAILED' ELSE 'PROCESSED' END) AS outcome, v.gate_reason AS reason,
+  CASE WHEN gate_outcome IS NULL THEN v.category END AS category,
   CASE WHEN done THEN r.document_type END AS document_type, CASE WHEN done THEN r.authentic END AS authentic,
   CASE WHEN done THEN r.confidence END AS confidence, CASE WHEN done THEN array_to_string(r.flags, ' | ') END AS flags,
-  CASE WHEN done THEN {redacted('v.text')} END AS redacted_text
-FROM (SELECT *, reason IS NULL AND best >= 2 AS done FROM {{ox_relevance}}) AS v JOIN {{ox_report}} AS r ON v.doc_id = r.doc_id
+  CASE WHEN done THEN t.redacted_text END AS redacted_text
+FROM (SELECT *, gate_outcome IS NULL AND best >= 2 AS done FROM {ox_gate}) AS v JOIN {ox_report} AS r ON v.doc_id = r.doc_id
+JOIN {ox_statement_redacted} AS t ON v.doc_id = t.doc_id
 """)
 oracle("stream_dedup", "SELECT DISTINCT batch_id, sha256(content) AS content_hash FROM {fx_file}")
 oracle("stream_step_metrics", """

@@ -17,14 +17,14 @@ from docketry.operators import gates
 from docketry.operators import lifecycle as life
 from docketry.operators import redaction as red
 from docketry.operators import scoring
-from docketry.plans.views import Catalog, spread
+from docketry.plans.views import Catalog
 from docketry.session import configure, work_folder
-from docketry.sources.artifacts import manifest, write_step_artifacts
+from docketry.sources.artifacts import read_step_artifacts, write_step_artifacts
 from docketry.sources.extractions import load_extractions
 from docketry.sources.pages import assemble_pages
 from docketry.sources.raw_objects import scan_raw_documents
 from docketry.streaming import jobs as streams
-from docketry.streaming.replay import table_stream
+from docketry.streaming.replay import table_stream, with_closing_marker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,16 +124,18 @@ def merged_spans(c: Catalog) -> DataFrame:
 
 
 def stream_of(c: Catalog, table: str) -> DataFrame:
-    path = c.path(table)
-    return spread(table_stream(c.spark, path), like=c.spark.read.parquet(path))
+    return table_stream(c.spark, c.path(table))
 
 
 # --- sources and sinks -------------------------------------------------------------
 
 @query("scan_raw_documents")
 def _(c):
-    found = scan_raw_documents(c.spark, c.folder)
-    return found.select("doc_id", "filename", "size_bytes", F.decode("magic", "UTF-8").alias("magic"))
+    """The texts written as files, one folder for each language."""
+    folder = work_folder(c.spark, "raw")
+    c["documents"].select("lang", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("lang").text(folder)
+    found = scan_raw_documents(c.spark, folder, "*.txt")
+    return found.groupBy(F.col("doc_id").alias("folder")).agg(F.sum("size_bytes").alias("bytes"))
 
 
 @query("assemble_pages")
@@ -143,10 +145,54 @@ def _(c):
 
 @query("write_step_artifacts")
 def _(c):
+    """All seven kinds, read back: what each body holds as one line."""
     folder = work_folder(c.spark, "artifacts")
-    write_step_artifacts(reports(c), "authenticate", folder)
-    write_step_artifacts(red.entity_counts_per_document(accepted_documents(c)), "redact", folder)
-    return manifest(c.spark, folder)
+    documents = accepted_documents(c)
+    extractions = nested_extractions(c)
+    previews = red.redacted_preview(documents)
+    stamped = ext.stamp_provenance(
+        extractions.select("doc_id", F.col("doc_id").alias("job_id")), model="model-1", prompt_version="v5.1"
+    )
+    artifacts = {
+        "parsed_text": documents.select("doc_id", "text"),
+        "authenticity_report": reports(c),
+        "redacted_text": previews.select("doc_id", "redacted_text"),
+        "redaction_report": previews.select("doc_id", "redaction_report"),
+        "extraction": extractions,
+        "extraction_meta": stamped.select("doc_id", "_meta"),
+        "score_breakdown": scorecards(c).select("doc_id", "score", "total_earned", "breakdown"),
+    }
+    for step, result in artifacts.items():
+        write_step_artifacts(result, step, folder)
+
+    def at(path: str) -> Column:
+        return F.coalesce(F.get_json_object("body", f"$.{path}"), F.lit(""))
+
+    def number(path: str, kind: str) -> Column:
+        return F.coalesce(F.get_json_object("body", f"$.{path}").cast(kind).cast("string"), F.lit(""))
+
+    def line(*paths: str) -> Column:
+        return F.concat_ws("|", *map(at, paths))
+
+    entries = F.from_json(
+        at("redaction_report"), "array<struct<entity_type: string, start: string, end: string>>"
+    )
+    shown = F.transform(entries, lambda e: F.concat_ws(":", e["entity_type"], e["start"], e["end"]))
+    codes = F.transform(F.from_json(at("breakdown"), "array<struct<code: string>>"), lambda r: r["code"])
+    flags = F.size(F.from_json(at("flags"), "array<string>")).cast("string")
+    content = {
+        "parsed_text": at("text"),
+        "authenticity_report": F.concat_ws("|", at("document_type"), at("authentic"), number("confidence", "decimal(4,2)"), flags),
+        "redacted_text": at("redacted_text"),
+        "redaction_report": listed(F.array_sort(shown)),
+        "extraction": F.concat_ws("|", at("document_type"), number("income.monthly_net_estimated", "decimal(18,2)")),
+        "extraction_meta": line("_meta.model", "_meta.prompt_version", "_meta.doc_id"),
+        "score_breakdown": F.concat_ws("|", number("score", "decimal(5,4)"), at("total_earned"), listed(codes)),
+    }
+    chosen = F.lit(None).cast("string")
+    for step, value in content.items():
+        chosen = F.when(F.col("step") == step, value).otherwise(chosen)
+    return read_step_artifacts(c.spark, folder).select("step", "doc_id", chosen.alias("content"))
 
 
 @query("load_extractions")
@@ -285,7 +331,7 @@ def _(c):
 
 @query("redact_text")
 def _(c):
-    return red.redact_text(c["documents"]).select("doc_id", "redacted_text")
+    return red.redact_text(c["documents"], red.second_pass_spans(merged_spans(c))).select("doc_id", "redacted_text")
 
 
 @query("redact_statements")
@@ -321,7 +367,7 @@ def _(c):
         "redaction_report",
         lambda s: F.concat_ws(":", s["entity_type"], s["start"].cast("string"), s["end"].cast("string")),
     )
-    return red.redacted_preview(c["documents"]).select(
+    return red.redacted_preview(c["documents"], red.second_pass_spans(merged_spans(c))).select(
         "doc_id", "redacted_text", listed(F.array_sort(shown)).alias("redaction_report")
     )
 
@@ -372,7 +418,7 @@ def _(c):
 
 @query("irregular_large_deposits")
 def _(c):
-    return ext.irregular_large_deposits(c["fx_txn"], factor="1.5")
+    return ext.irregular_large_deposits(c["fx_extraction"], c["fx_txn"], factor="1.5")
 
 
 def bank_statements(c: Catalog) -> DataFrame:
@@ -386,7 +432,7 @@ def _(c):
 
 @query("recurring_expenses")
 def _(c):
-    return ext.recurring_expenses(c["fx_txn"])
+    return ext.recurring_expenses(c["fx_extraction"], c["fx_txn"])
 
 
 @query("document_integrity_rules")
@@ -510,9 +556,7 @@ def _(c):
 
 @query("application_authenticity")
 def _(c):
-    return app.application_authenticity(stored(c, "reports", reports(c))).withColumn(
-        "auth_flags", listed("auth_flags")
-    )
+    return app.application_authenticity(reports(c))
 
 
 @query("application_flags")
@@ -541,7 +585,7 @@ def _(c):
 def _(c):
     return app.per_document_summary(
         c["fx_document"], c["fx_job"], nested_extractions(c), scorecards(c)
-    ).withColumn("flags", listed("flags"))
+    ).withColumns({"flags": listed("flags"), "created_at": stamp("created_at")})
 
 
 @query("batch_status")
@@ -581,30 +625,42 @@ def _(c):
 
 @query("job_results")
 def _(c):
-    documents = accepted_documents(c)
-    relevant = gates.relevance_classify(documents).where("is_financial")
-    found = stored(c, "reports", reports(c))
-    cards = scorecards(c, found).where("score >= 0.5")
-    artifacts = {
-        "extraction": nested_extractions(c)
-        .where("document_type <> 'unknown'")
-        .select("doc_id", F.struct("document_type").alias("extraction")),
-        "score_breakdown": cards.select("doc_id", F.struct("score").alias("score_breakdown")),
-        "authenticity_report": found.select(
-            "doc_id", F.struct("authentic", "confidence").alias("authenticity_report")
-        ),
-        "redaction_report": red.entity_counts_per_document(relevant).select(
-            "doc_id", F.struct("entity_count").alias("redaction_report")
-        ),
-    }
-    return life.job_results(c["fx_job"], artifacts).select(
+    # One pass over the texts gives the report and the spans of a document.
+    screened = gates.relevance_classify(accepted_documents(c))
+    parts = red.with_spans(auth.with_authenticity(screened)).select(
+        "doc_id",
+        F.col("report").alias("authenticity_report"),
+        F.when(F.col("is_financial") & (F.size("spans") > 0), F.col("spans")).alias("redaction_report"),
+    )
+    report = F.col("authenticity_report")
+    scored = scoring.score_columns(
+        nested_extractions(c)
+        .join(parts, "doc_id", "left")
+        .withColumns({"authentic": report["authentic"], "confidence": report["confidence"], "auth_flags": report["flags"]})
+    )
+    results = scored.select(
+        "doc_id",
+        F.struct("document_type", "income", "account_summary", "risk_flags").alias("extraction"),
+        F.struct(*scoring.RESULT_COLUMNS).alias("score_breakdown"),
+        "authenticity_report",
+        "redaction_report",
+    )
+    shown = F.transform(
+        "redaction_report",
+        lambda s: F.concat_ws(":", s["entity_type"], s["start"].cast("string"), s["end"].cast("string")),
+    )
+    return life.job_results(c["fx_job"], results).select(
         "job_id",
         "doc_id",
         "extraction.document_type",
+        "extraction.income.monthly_net_estimated",
         "score_breakdown.score",
+        "score_breakdown.recommendation",
+        listed(F.transform("score_breakdown.breakdown", lambda r: r["code"])).alias("codes"),
         "authenticity_report.authentic",
         "authenticity_report.confidence",
-        long("redaction_report.entity_count").alias("entity_count"),
+        listed("authenticity_report.flags").alias("auth_flags"),
+        listed(F.array_sort(shown)).alias("redaction_report"),
     )
 
 
@@ -680,6 +736,7 @@ def _(c):
 
 @query("stream_intake")
 def _(c):
+    """The replay is one micro-batch, so batches arrive whole."""
     stream = c.view("fx_document", orders=stream_of(c, "orders"))
     return streams.run_intake(stream, work_folder(c.spark, "intake")).withColumn("flags", listed("flags"))
 
@@ -692,18 +749,19 @@ def _(c):
 
 @query("stream_step_metrics")
 def _(c):
-    stream = c.view("fx_step_event", events=stream_of(c, "events"))
-    return streams.run_step_metrics(stream, work_folder(c.spark, "steps")).withColumn(
-        "window_start", stamp("window_start")
-    )
+    folder = work_folder(c.spark, "steps")
+    stream = with_closing_marker(c.view("fx_step_event", events=stream_of(c, "events")), "ts", folder)
+    metrics = streams.run_step_metrics(stream, folder).where("step IS NOT NULL")  # the marker has none
+    return metrics.withColumn("window_start", stamp("window_start"))
 
 
 @query("stream_request_rate")
 def _(c):
-    stream = c.view("fx_step_event", events=stream_of(c, "events"))
-    return streams.run_request_rate(stream, work_folder(c.spark, "rate")).withColumn(
-        "window_start", stamp("window_start")
-    )
+    folder = work_folder(c.spark, "rate")
+    events = c.view("fx_step_event", events=stream_of(c, "events")).select("ts")
+    rate = streams.run_request_rate(with_closing_marker(events, "ts", folder), folder)
+    # Only the marker lies after this time.
+    return rate.where("window_start < timestamp '2199-01-01'").withColumn("window_start", stamp("window_start"))
 
 
 @query("stream_batch_status")
@@ -714,7 +772,8 @@ def _(c):
 
 @query("stream_stuck_batches")
 def _(c):
-    stream = c.view("fx_status_event", events=stream_of(c, "events"))
-    return streams.run_stuck_batches(stream, work_folder(c.spark, "stuck")).select(
+    folder = work_folder(c.spark, "stuck")
+    stream = with_closing_marker(c.view("fx_status_event", events=stream_of(c, "events")), "ts", folder)
+    return streams.run_stuck_batches(stream, folder).select(
         "batch_id", stamp("session_start").alias("session_start"), "last_status", "events"
     )

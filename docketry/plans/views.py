@@ -20,8 +20,10 @@ VIEWS: dict[str, str] = {}
 VIEWS["fx_batch"] = "SELECT c_custkey AS batch_id FROM {customer}"
 
 # One document per order: two kinds of bank statement, paystub, W-2, tax
-# return, receipt, by order key.
+# return, receipt, by order key. Some have a blank first page or a cover letter.
 VIEWS["fx_document"] = """
+SELECT *, CASE WHEN doc_id % 101 = 0 THEN ' ' WHEN doc_id % 103 = 0 THEN 'Cover letter' ELSE text END AS first_page_text
+FROM (
 SELECT doc_id, batch_id, kind, created_at,
   (CASE kind WHEN 0 THEN 'bank_' WHEN 1 THEN 'bank_' WHEN 2 THEN 'paystub_' WHEN 3 THEN 'w2_'
              WHEN 4 THEN 'tax_return_' ELSE 'receipt_' END) || CAST(doc_id AS string) || '.pdf' AS filename,
@@ -45,7 +47,8 @@ SELECT doc_id, batch_id, kind, created_at,
       'Earnings Statement Pay Period Gross Pay: $' || CAST(price AS string)
       || ' Net Pay: $' || CAST(CAST(price - 100 AS decimal(18,2)) AS string)
       || ' SSN (last 4): ' || CAST(1000 + doc_id % 9000 AS string)
-      || ' C' || CAST(100 + doc_id % 900 AS string) || ' James Whitfield 4821 Elmwood Drive, Apt 3B'
+      || (CASE WHEN doc_id % 4 = 0 THEN ' C' || CAST(100 + doc_id % 900 AS string) || ' Nadia Q. Okafor 1609 Juniper Lane, Unit 7C'
+          ELSE ' Paid to Nadia Q. Okafor SSN 55' || CAST(1000000 + doc_id % 9000000 AS string) END)
     WHEN kind = 3 THEN
       'Form W-2 Wage and Tax Statement Wages, Tips: $' || CAST(price AS string)
       || ' Medicare Wages: $' || CAST(price AS string)
@@ -66,6 +69,7 @@ FROM (
               ELSE CAST(o_totalprice AS decimal(18,2)) - o_orderkey % 900 END AS decimal(18,2)) AS withdrawn
   FROM {orders}
 ) AS base
+) AS whole
 """
 
 # Bank transactions: one per line item.
@@ -126,7 +130,9 @@ FROM (
     || ',"irregular_large_deposits":' || CAST(irregular_large_deposits AS string)
     || ',"document_integrity_flag":' || CAST(document_integrity_flag AS string) || ',"notes":null}}' END)
     || ',"recurring_expenses":' || (CASE WHEN document_type <> 'bank_statement' THEN '[]'
-       ELSE '[{{"category":"rent","frequency":"' || (CASE WHEN doc_id % 47 = 0 THEN 'daily' ELSE 'monthly' END) || '"}}]' END)
+       ELSE '[{{"category":' || (CASE WHEN doc_id % 67 = 0 THEN '5' ELSE '"rent"' END)
+       || (CASE WHEN doc_id % 71 = 0 THEN ',"average_monthly_amount":"abc"' WHEN doc_id % 5 = 0 THEN ',"average_monthly_amount":null' ELSE '' END)
+       || (CASE WHEN doc_id % 73 = 0 THEN '' ELSE ',"frequency":"' || (CASE WHEN doc_id % 47 = 0 THEN 'daily' ELSE 'monthly' END) || '"' END) || '}}]' END)
     || '}}' AS body
   FROM {fx_extraction}
 ) AS built
@@ -267,19 +273,6 @@ def references(sql: str) -> list[str]:
     return list(dict.fromkeys(name for _, name, _, _ in Formatter().parse(sql) if name))
 
 
-def spread(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
-    """Use all cores on an input of a few small files.
-
-    A table that is read as fewer partitions than there are cores is hashed by
-    its first column. A large table has many more and is left as it is, so this
-    never adds a shuffle at scale. ``like`` is the stored table of a stream.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if (df if like is None else like).rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, df.columns[0])
-
-
 class Catalog:
     """The given tables and the views of one data folder, built on demand."""
 
@@ -294,7 +287,7 @@ class Catalog:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
             self._built[name] = (
-                spread(self.spark.read.parquet(self.path(name))) if name in TABLES else self.view(name)
+                self.spark.read.parquet(self.path(name)) if name in TABLES else self.view(name)
             )
         return self._built[name]
 

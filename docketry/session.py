@@ -18,35 +18,22 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Sessions of a hot key are merged in each task before the shuffle.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
-}
-
-
-# Stream state grows with the documents, so on a cluster it must not live on the
-# heap. A local run has many small stores, for which the default is quicker.
-CLUSTER_SETTINGS = {
+    # Stream state grows with the documents, so it must not live on the heap.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
 }
 
 
-SPARK_DEFAULT_PARTITIONS = "200"
-
-
 def is_local(spark: SparkSession) -> bool:
     return spark.conf.get("spark.master", "").startswith("local")
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else built."""
-    local = is_local(spark)
-    settings = RUNTIME_SETTINGS if local else {**RUNTIME_SETTINGS, **CLUSTER_SETTINGS}
-    for key, value in settings.items():
+    """Apply the runtime settings to a session somebody else built: the same on
+    one machine as on a cluster."""
+    for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
-    # One machine needs no more shuffle partitions than cores; a number that
-    # somebody chose stays.
-    if local and spark.conf.get("spark.sql.shuffle.partitions") == SPARK_DEFAULT_PARTITIONS:
-        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
 
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.functions import fixed_values as V
-
 
 def scan_raw_documents(spark: SparkSession, root: str, name_glob: str = "*") -> DataFrame:
     """doc_id, filename, size_bytes and the first four bytes of every file.
 
-    The content is only read of files an upload may have (up to 50 MB): the
-    size test reaches the scan, and larger files keep a NULL ``magic``.
+    One listing. The first bytes of a file are only known with its content,
+    which Spark reads whole; ``size_bytes`` alone reads none. A file above
+    ``spark.sql.sources.binaryFile.maxLength`` (2 GB) cannot be read.
     """
     files = (
         spark.read.format("binaryFile")
@@ -20,17 +19,9 @@ def scan_raw_documents(spark: SparkSession, root: str, name_glob: str = "*") ->
         .option("recursiveFileLookup", "true")
         .load(root)
     )
-
-    def shaped(part: DataFrame, magic) -> DataFrame:
-        return part.select(
-            F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("doc_id"),
-            F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"),
-            F.col("length").alias("size_bytes"),
-            magic.alias("magic"),
-        )
-
-    readable = files.where(F.col("length") <= V.MAX_FILE_BYTES)
-    oversized = files.where(F.col("length") > V.MAX_FILE_BYTES)
-    return shaped(readable, F.substring("content", 1, 4)).unionByName(
-        shaped(oversized, F.lit(None).cast("binary"))
+    return files.select(
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("doc_id"),
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"),
+        F.col("length").alias("size_bytes"),
+        F.substring("content", 1, 4).alias("magic"),
     )

@@ -9,41 +9,45 @@ from docketry.functions import fixed_values as V
 from docketry.operators.application import status_of_batches
 from docketry.operators.authenticity import with_authenticity
 from docketry.operators.dashboard import RATE
-from docketry.operators.gates import guardrail_screen, relevance_classify
+from docketry.operators.gates import batch_gate, relevance_classify
 from docketry.operators.redaction import redact_text
-from docketry.streaming.replay import run_to_folder, with_closing_marker
+from docketry.streaming.replay import run_to_folder
 
 # Spread of a hot duplicate key in the first of two dedup steps.
 DEDUP_SALTS = 32
 
 
 def intake(documents: DataFrame) -> DataFrame:
-    """Screen, classify, authenticate and redact documents as they arrive.
+    """Gate, classify, authenticate and redact documents.
 
-    Stateless and without a shuffle; works on a table as well as on a stream.
-    A document that fails a gate is not processed further.
+    ``documents`` holds whole batches. Documents of a batch with a repeated
+    file, rejected ones and those of an incomplete batch do not enter the
+    pipeline; neither are irrelevant ones processed further.
     """
-    screened = guardrail_screen(documents)
-    gated = relevance_classify(
-        screened.withColumn("_passed", F.when(F.col("accepted"), F.col("text"))).drop("text")
+    gated = batch_gate(documents)
+    open_ = F.col("gate_outcome").isNull()
+    classified = relevance_classify(
+        gated.withColumn("_passed", F.when(open_, F.col("text"))).drop("text", "first_page_text")
         .withColumnRenamed("_passed", "text")
     )
-    relevant = gated.withColumn("text", F.when(F.col("is_financial"), F.col("text")))
+    relevant = classified.withColumn("text", F.when(F.col("is_financial"), F.col("text")))
     processed = redact_text(with_authenticity(relevant))
     done = F.col("text").isNotNull()
     return processed.select(
         "doc_id",
         "batch_id",
-        F.when(~F.col("accepted"), "REJECTED").when(~done, "FAILED").otherwise("PROCESSED").alias("outcome"),
-        "reason",
-        F.when(F.col("accepted"), F.col("category")).alias("category"),
+        F.coalesce("gate_outcome", F.when(~done, "FAILED").otherwise("PROCESSED")).alias("outcome"),
+        F.col("gate_reason").alias("reason"),
+        F.when(open_, F.col("category")).alias("category"),
         *[F.when(done, F.col(f"report.{c}")).alias(c) for c in ("document_type", "authentic", "confidence", "flags")],
         "redacted_text",
     )
 
 
 def run_intake(documents: DataFrame, folder: str) -> DataFrame:
-    return run_to_folder(intake(documents), folder).drop("epoch")
+    """Each micro-batch is gated as a whole: the files of an upload arrive in
+    one, as they come with one request."""
+    return run_to_folder(documents, folder, each=intake).drop("epoch")
 
 
 def deduplicated(files: DataFrame, event_time: str, delay: str) -> DataFrame:
@@ -81,8 +85,8 @@ def step_metrics(step_events: DataFrame, delay: str = "10 minutes") -> DataFrame
 
 
 def run_step_metrics(step_events: DataFrame, folder: str) -> DataFrame:
-    closing = with_closing_marker(step_events, "ts", folder)
-    return run_to_folder(step_metrics(closing), folder).where("step IS NOT NULL").drop("epoch")
+    """The minutes that are complete; later runs on the folder add more."""
+    return run_to_folder(step_metrics(step_events), folder).drop("epoch")
 
 
 def live_request_rate(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -113,10 +117,8 @@ def live_request_rate(requests: DataFrame, delay: str = "10 minutes") -> DataFra
 
 
 def run_request_rate(requests: DataFrame, folder: str) -> DataFrame:
-    closing = with_closing_marker(requests.select("ts"), "ts", folder)
-    stored = run_to_folder(live_request_rate(closing), folder)
-    # Only the marker lies after this time.
-    return stored.where("window_start < timestamp '2199-01-01'").drop("epoch")
+    """The windows that are complete; later runs on the folder add more."""
+    return run_to_folder(live_request_rate(requests.select("ts")), folder).drop("epoch")
 
 
 def document_states(job_events: DataFrame) -> DataFrame:
@@ -159,6 +161,5 @@ def quiet_sessions(status_events: DataFrame, delay: str = "10 minutes") -> DataF
 
 def run_stuck_batches(status_events: DataFrame, folder: str) -> DataFrame:
     """Sessions that fell silent while the batch was still running."""
-    closing = with_closing_marker(status_events, "ts", folder)
-    stored = run_to_folder(quiet_sessions(closing), folder)
+    stored = run_to_folder(quiet_sessions(status_events), folder)
     return stored.where(F.col("batch_id").isNotNull() & F.col("last_status").isin("RUNNING", "QUEUED")).drop("epoch")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +27,13 @@ def table_stream(spark: SparkSession, path: str, max_files_per_trigger: int | No
 
 
 def with_closing_marker(stream: DataFrame, event_time: str, folder: str) -> DataFrame:
-    """Append one row far in the future (all else NULL) to a bounded stream.
+    """Append one row far in the future (all else NULL) to a replay that ends for good.
 
-    It moves the watermark past every real window. Remove its results from the
-    stored rows, not in the stream: a filter would be pushed below the
-    watermark.
+    It moves the watermark past every real window, so a table can be replayed
+    to its last window. The checkpoint keeps that watermark: never use it on a
+    folder that a later run goes on with, whose new rows would all be late.
+    Remove its results from the stored rows, not in the stream: a filter would
+    be pushed below the watermark.
     """
     spark = stream.sparkSession
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in stream.schema])
@@ -42,17 +46,27 @@ def with_closing_marker(stream: DataFrame, event_time: str, folder: str) -> Data
     return stream.unionByName(spark.readStream.schema(schema).parquet(path))
 
 
-def run_to_folder(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def run_to_folder(
+    stream: DataFrame,
+    folder: str,
+    mode: str = "append",
+    each: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Run to the end of the available input and return the stored rows.
 
+    ``each`` is applied to every micro-batch as a table before it is stored.
+
     Each micro-batch overwrites a folder of its own, so a repeated one leaves
     no duplicates. ``epoch`` tells them apart.
     """
     rows = f"{folder}/rows"
-    empty = T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])
+    spark = stream.sparkSession
+    each = each or (lambda batch: batch)
+    shape = each(spark.createDataFrame([], stream.schema)).schema
+    empty = T.StructType([*shape.fields, T.StructField("epoch", T.LongType())])
 
     def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{rows}/epoch={epoch}")
+        each(batch).write.mode("overwrite").parquet(f"{rows}/epoch={epoch}")
 
     query = (
         stream.writeStream.outputMode(mode)
@@ -62,4 +76,4 @@ def run_to_folder(stream: DataFrame, folder: str, mode: str = "append") -> DataF
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(empty).parquet(rows)
+    return spark.read.schema(empty).parquet(rows)

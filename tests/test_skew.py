@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import extraction, gates, lifecycle, redaction
-from docketry.operators.application import application_authenticity, application_flags
+from docketry.operators.application import application_authenticity, application_flags, quoted_flags
 from docketry.operators.quantiles import exact_quantile
 
 
@@ -82,11 +82,12 @@ def test_quoted_flags_of_a_hot_batch(spark):
         "IF(id % 2 = 0, array(concat('f', id), concat('g', id)), cast(array() AS array<string>)) AS flags",
     )
     found = application_authenticity(reports).where("batch_id = 7").first()
+    quoted = quoted_flags(reports).where("batch_id = 7").first()
     everything = (
         application_flags(reports).where("batch_id = 7").orderBy("created_at", "doc_id", "position").collect()
     )
     assert found.flag_count == len(everything) > 5000
-    assert found.auth_flags == [r.flag for r in everything[:3]]
+    assert quoted.auth_flags == [r.flag for r in everything[:3]]
 
 
 def test_repeated_files_of_a_hot_hash(spark):
@@ -133,10 +134,12 @@ def test_recurring_cadence(spark):
     plans = {"weekly": 7, "biweekly": 14, "monthly": 30, "irregular": 50}
     txns = [(1, start + timedelta(days=step * i), Decimal("-10.00"), name) for name, step in plans.items() for i in range(5)]
     txns += [(1, start, Decimal("-10.00"), "weekly")] * 3  # same day again
+    txns += [(2, start + timedelta(days=7 * i), Decimal("-1.00"), "other type") for i in range(5)]
     txns += [(1, start, Decimal("-99.00"), "once"), (1, start, Decimal("5.00"), "income")]
     found = {
         r.category: (r.frequency, r.average_monthly_amount)
         for r in extraction.recurring_expenses(
+            spark.createDataFrame([(1, "bank_statement"), (2, "paystub")], "doc_id long, document_type string"),
             spark.createDataFrame(txns, "doc_id long, txn_date date, amount decimal(18,2), description string")
         ).collect()
     }

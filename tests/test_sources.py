@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
+from docketry.operators.gates import guardrail_screen
 from docketry.operators.extraction import extraction_conformance, output_pii_scan, stamp_provenance
 from docketry.sources import artifacts
 from docketry.sources.extractions import load_extractions
@@ -16,16 +17,23 @@ def test_scan(spark, tmp_path, monkeypatch):
         folder.mkdir(parents=True)
         (folder / name).write_bytes(content)
     monkeypatch.setattr(V, "MAX_FILE_BYTES", 50)
-    rows = scan_raw_documents(spark, str(tmp_path / "raw"), "*.pdf").orderBy("doc_id").collect()
-    assert [(r.doc_id, r.filename, r.size_bytes, r.magic and bytes(r.magic)) for r in rows] == [
-        ("7", "bank.pdf", 10, b"%PDF"), ("8", "pay.pdf", 2, b"PN"), ("9", "big.pdf", 104, None),
+    monkeypatch.setattr(V, "MIN_FILE_BYTES", 5)
+    found = scan_raw_documents(spark, str(tmp_path / "raw"), "*.pdf").orderBy("doc_id")
+    assert [(r.doc_id, r.filename, r.size_bytes, bytes(r.magic)) for r in found.collect()] == [
+        ("7", "bank.pdf", 10, b"%PDF"), ("8", "pay.pdf", 2, b"PN"), ("9", "big.pdf", 104, b"%PDF"),
+    ]
+    documents = found.withColumns(
+        {"content_type": F.lit("application/pdf"), "magic": F.decode("magic", "UTF-8"), "text": F.lit("net pay")}
+    )
+    assert [r.reason for r in guardrail_screen(documents).orderBy("doc_id").collect()] == [
+        None, V.REJECT_MAGIC, V.REJECT_TOO_LARGE,
     ]
 
 
 def test_pages(spark):
     pages = spark.createDataFrame([(1, 2, "two"), (1, 1, "one"), (1, 10, None), (2, 1, "x")], "doc_id long, page_num long, text string")
-    assert {r.doc_id: r.text for r in assemble_pages(pages).collect()} == {
-        1: "--- Page 1 ---\none\n\n--- Page 2 ---\ntwo\n\n--- Page 10 ---\n", 2: "--- Page 1 ---\nx",
+    assert {r.doc_id: (r.text, r.first_page_text) for r in assemble_pages(pages).collect()} == {
+        1: ("--- Page 1 ---\none\n\n--- Page 2 ---\ntwo\n\n--- Page 10 ---\n", "one"), 2: ("--- Page 1 ---\nx", "x"),
     }
 
 
@@ -72,6 +80,11 @@ def test_conformance(spark):
         GOOD.replace('"nsf_fee_occurrences":0', '"nsf_fee_occurrences":0.5'): ["type:risk_flags.nsf_fee_occurrences"],
         GOOD.replace('"recurring_expenses":[]', '"recurring_expenses":[{"category":"rent"},{"category":"x","frequency":"daily"}]'):
             ["missing:recurring_expenses.frequency", "enum:recurring_expenses.frequency"],
+        GOOD.replace('"recurring_expenses":[]', '"recurring_expenses":[{"category":5,"average_monthly_amount":"abc","frequency":"weekly"}]'):
+            ["type:recurring_expenses.category", "type:recurring_expenses.average_monthly_amount"],
+        GOOD.replace('"recurring_expenses":[]', '"recurring_expenses":[{"category":"a","average_monthly_amount":null,"frequency":"weekly"},{"frequency":null}]'):
+            ["missing:recurring_expenses.category", "type:recurring_expenses.frequency"],
+        GOOD.replace('"recurring_expenses":[]', '"recurring_expenses":[7]'): ["type:recurring_expenses[]"],
         "{}": ["missing:document_type", "missing:income", "missing:account_summary", "missing:risk_flags", "missing:recurring_expenses"],
         "[]": ["missing:document_type", "missing:income", "missing:account_summary", "missing:risk_flags", "missing:recurring_expenses"],
     }
