@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketry.functions import fixed_values as V
 from docketry.operators.application import status_of_batches
@@ -121,24 +122,49 @@ def run_request_rate(requests: DataFrame, folder: str) -> DataFrame:
     return run_to_folder(live_request_rate(requests.select("ts")), folder).drop("epoch")
 
 
-def document_states(job_events: DataFrame) -> DataFrame:
-    """Status of the newest job per document, updated as events arrive."""
+# Micro-batches between two compactions of the change log.
+COMPACT_AFTER = 50
+
+
+def newest_jobs(job_events: DataFrame) -> DataFrame:
+    """The newest job of each document: (batch_id, document_id, newest)."""
     newest = F.max(F.struct("created_at", (-F.col("job_id")).alias("_order"), "status"))
-    return job_events.groupBy("batch_id", "document_id").agg(newest.alias("_newest")).select(
-        "batch_id", "document_id", "_newest.status"
-    )
+    return job_events.groupBy("batch_id", "document_id").agg(newest.alias("newest"))
 
 
-def run_batch_status(job_events: DataFrame, batches: DataFrame, folder: str) -> DataFrame:
+def run_batch_status(
+    job_events: DataFrame, batches: DataFrame, folder: str, compact_after: int = COMPACT_AFTER
+) -> DataFrame:
     """Status of every batch after the events so far.
 
-    The stream keeps a change log of document states; the last change of each
-    document gives the status of its batch.
+    The stream keeps no state: each micro-batch stores the newest job of the
+    documents it has seen, and the newest of those counts. After
+    ``compact_after`` micro-batches the log is summed up in a base, one row per
+    document, and later runs read that and what came after. Folders of
+    micro-batches that a base holds are read no more and may be deleted.
     """
-    log = run_to_folder(document_states(job_events), folder, mode="update")
-    last_change = Window.partitionBy("document_id").orderBy(F.desc("epoch"))
-    states = log.withColumn("_place", F.row_number().over(last_change)).where("_place = 1")
-    return status_of_batches(batches, states.select("batch_id", "status"))
+    spark = job_events.sparkSession
+    log = run_to_folder(job_events, folder, each=newest_jobs)
+    base = f"{folder}/base"
+    shape = T.StructType([*log.drop("epoch").schema.fields, T.StructField("upto", T.LongType())])
+    # The first, empty base lets every run read the folder in the same way.
+    spark.createDataFrame([], shape).drop("upto").write.mode("overwrite").parquet(f"{base}/upto=-1")
+    bases = spark.read.schema(shape).parquet(base)
+    done = bases.agg(F.max("upto")).first()[0]
+    done = -1 if done is None else done
+    since = log.where(F.col("epoch") > done)
+    newest = (
+        bases.where(F.col("upto") == done)
+        .drop("upto")
+        .unionByName(since.drop("epoch"))
+        .groupBy("batch_id", "document_id")
+        .agg(F.max("newest").alias("newest"))
+    )
+    last = since.agg(F.max("epoch")).first()[0]
+    if last is not None and last - done >= compact_after:
+        newest.write.mode("overwrite").parquet(f"{base}/upto={last}")
+        newest = spark.read.schema(newest.schema).parquet(f"{base}/upto={last}")
+    return status_of_batches(batches, newest.select("batch_id", "newest.status"))
 
 
 def quiet_sessions(status_events: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from docketry.streaming import jobs
@@ -84,13 +85,14 @@ def test_restart_adds_nothing(spark, tmp_path):
         assert stored.count() == 10
 
 
-def test_batch_status_follows_the_newest_job(spark, tmp_path):
+@pytest.mark.parametrize("compact_after", [1, 50])
+def test_batch_status_follows_the_newest_job(spark, tmp_path, compact_after):
     schema = "job_id long, document_id long, batch_id long, created_at timestamp, status string"
     source, out = tmp_path / "in", str(tmp_path / "out")
     batches = spark.createDataFrame([(1,), (2,), (3,)], "batch_id long")
 
     def statuses():
-        found = jobs.run_batch_status(table_stream(spark, str(source)), batches, out)
+        found = jobs.run_batch_status(table_stream(spark, str(source)), batches, out, compact_after)
         return {r.batch_id: r.status for r in found.collect()}
 
     arrive(spark, source, [(1, 1, 1, at(0), "RUNNING"), (2, 2, 1, at(0), "SUCCEEDED"), (3, 3, 2, at(0), "FAILED")], schema)
