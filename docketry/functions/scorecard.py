@@ -120,6 +120,8 @@ def _text(*parts: str) -> str:
 NONE, MEDIUM, HIGH, CRITICAL = (quoted(s) for s in ("none", "medium", "high", "critical"))
 
 
+# Fixed values in all checks below: codes, categories, points, severities and the
+# wording of each row.
 def document_type_check() -> Check:
     return Check("completeness", 5, (
         (f"{KIND} <> 'unknown'", Outcome(
