@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.functions import fixed_values as V
-from docketry.functions.scorecard import all_checks
 from docketry.operators import application as app
 from docketry.operators import authenticity as auth
 from docketry.operators import dashboard as dash
