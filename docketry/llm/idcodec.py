@@ -29,16 +29,19 @@ VERSION = 1
 BLOCK = 8192
 LEAST_BLOCK = 1024
 LANES = 1024  # wanted before blocks grow
-TABLE = 8_000_000  # entries of the order-0 tables: bounds the lanes worked on at once
-SLOTS = 4096  # of the order-2 table of a block
-FIRST_SUM = 32
-GAIN = 24  # weight of one occurrence in order 0, against 1 for each id of the alphabet
+TABLE = 1 << 24  # entries of the order-0 tables: bounds the lanes worked on at once
+SLOT_BITS = 11  # of the order-2 table of a block
+FIRST_SUM = 64
+DENSE = 1 << 22  # ids below are ranked by a table
+# Order 0 shares out a power of two, at least 2**14 and 4 for each id of the
+# alphabet: 1 to each id, the rest by how often it has occurred.
+LEAST_SHARES = 14
 # Adaptive weights: 12 bits, moved by a 32nd of the distance to HIT or MISS.
 WEIGHT_BITS, HIT, MISS, RATE = 12, 4080, 8, 5
 U = np.uint64
 WORD = U(16)
 SETTLED = U(1 << 48)
-# Left after every id, so 12 bits of weights and 20 of order 0 can follow.
+# Left after every id, so 12 bits of weights and up to 20 of order 0 can follow.
 LEAST_RANGE = U(1 << 42)
 
 
@@ -110,8 +113,14 @@ class Coder:
         return [table[i, :n] for i, n in enumerate(self.at.tolist())]
 
 
+# What the weights of order 2 and of order 1 move to after each kind of outcome.
+GOALS = np.array([[HIT, MISS, MISS], [MISS, HIT, MISS]], np.int16)
 # Confidence after a wrong (first row) or right (second row) prediction.
-NEXT_TRUST = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.int64)
+NEXT_TRUST = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.int32)
+
+
+def share_bits(size: int) -> int:
+    return max(LEAST_SHARES, int(size).bit_length() + 2)
 
 
 class Model:
@@ -121,54 +130,49 @@ class Model:
     """
 
     def __init__(self, lanes: int, size: int):
-        self.lanes, self.size = lanes, size
-        self.levels = int(size).bit_length()
+        self.lanes, self.size, self.bits = lanes, size, share_bits(size)
+        kind = np.uint16 if size < 1 << 14 else np.uint32
         rows = np.arange(lanes)
-        self.rows1, self.rows2 = rows * size, rows * SLOTS
-        self.row_weights, self.row_tables = rows * 32, rows << self.levels
+        self.rows1, self.rows2 = rows * size, rows << SLOT_BITS
+        self.row_weights, self.row_shares, self.row_tables = rows * 32, rows << self.bits, rows * (size + 1)
         self.last = np.zeros(lanes, np.int64)
         self.before_last = np.zeros(lanes, np.int64)
-        self.guesses1 = np.zeros(lanes * size, np.int32)
-        self.guesses2 = np.zeros(lanes * SLOTS, np.int32)
+        self.guesses1 = np.zeros(lanes * size, kind)
+        self.guesses2 = np.zeros(lanes << SLOT_BITS, kind)
         # by confidences and agreement, in 4096ths: order 2 is right, order 1 is right
         trusts = [(b, a, same) for b in range(4) for a in range(4) for same in (0, 1)]
-        self.weights2 = np.tile(np.array([MISS + 600 * b for b, _, _ in trusts], np.int32), lanes)
+        self.weights2 = np.tile(np.array([MISS + 600 * b for b, _, _ in trusts], np.int16), lanes)
         self.weights1 = np.tile(
-            np.array([MISS + (0 if same else 300 * a) for _, a, same in trusts], np.int32), lanes
+            np.array([MISS + (0 if same else 300 * a) for _, a, same in trusts], np.int16), lanes
         )
-        self.counts = np.zeros(lanes * size, np.int32)
         self.steps, self.due = 0, FIRST_SUM
-        self.sum_up()
-
-    def sum_up(self) -> None:
-        """Order-0 tables: entry s of a lane is what lies below symbol s."""
-        table = np.full((self.lanes, 1 << self.levels), np.iinfo(np.int32).max, np.int32)
-        table[:, 0] = 0
-        np.cumsum(
-            self.counts.reshape(self.lanes, self.size) * np.int32(GAIN) + np.int32(1),
-            axis=1,
-            out=table[:, 1 : self.size + 1],
-        )
-        self.total = table[:, self.size].astype(U)
-        self.table = table.reshape(-1)
-
-    def find(self, lanes: np.ndarray, point: np.ndarray) -> np.ndarray:
-        """The symbol of each lane whose share of the table holds ``point``."""
-        start = self.row_tables.take(lanes)
-        place = start.copy()
-        for level in range(self.levels - 1, -1, -1):
-            further = place + (1 << level)
-            place = np.where(self.table.take(further) <= point, further, place)
-        return place - start
+        self.sum_up(np.zeros((0, lanes), np.int32))
+
+    def sum_up(self, seen: np.ndarray) -> None:
+        """Order-0 shares after the symbols so far (steps x lanes): entry s of
+        ``below`` is what lies below symbol s, ``owner`` the symbol of a share."""
+        places = (self.rows1[: seen.shape[1]] + seen).reshape(-1)
+        counts = np.bincount(places, minlength=self.lanes * self.size).reshape(self.lanes, self.size)
+        spare = (1 << self.bits) - self.size
+        upto = np.cumsum(counts, axis=1)
+        # with nothing seen yet, or in lanes that have ended, as if each was seen once
+        total = upto[:, -1:] + self.size
+        upto = (upto * 16 + np.arange(1, self.size + 1)) * spare // (total * 16 - 15 * self.size)
+        below = np.zeros((self.lanes, self.size + 1), np.int32)
+        below[:, 1:] = upto + np.arange(1, self.size + 1)
+        kind = np.uint16 if self.size < 1 << 16 else np.uint32
+        symbols = np.tile(np.arange(self.size, dtype=kind), self.lanes)
+        self.owner = np.repeat(symbols, np.diff(below, axis=1).reshape(-1))
+        self.below = below.reshape(-1)
 
     def contexts(self, lanes: int) -> None:
         """Looks up the predictions for the next id of the first ``lanes`` lanes."""
         last = self.last[:lanes]
         self.place1 = self.rows1[:lanes] + last
         mixed = (self.before_last[:lanes] * 0x9E3779B1 + last * 0x85EBCA77) & 0xFFFFFFFF
-        self.place2 = self.rows2[:lanes] + (mixed >> 20)
-        found2 = self.guesses2.take(self.place2)
-        found1 = self.guesses1.take(self.place1)
+        self.place2 = self.rows2[:lanes] + (mixed >> (32 - SLOT_BITS))
+        found2 = self.guesses2.take(self.place2).astype(np.int32)
+        found1 = self.guesses1.take(self.place1).astype(np.int32)
         self.trust2, self.trust1 = found2 & 3, found1 & 3
         self.second, self.first = found2 >> 2, found1 >> 2
         context = (self.trust2 << 3) + (self.trust1 << 1) + (self.first == self.second)
@@ -177,8 +181,8 @@ class Model:
         self.weight1 = self.weights1.take(self.context)
 
     def learn(self, lanes: int, symbols: np.ndarray, kind: np.ndarray) -> None:
-        for weights, weight, own in ((self.weights2, self.weight2, 0), (self.weights1, self.weight1, 1)):
-            weights[self.context] = weight + ((np.where(kind == own, HIT, MISS) - weight) >> RATE)
+        self.weights2[self.context] = self.weight2 + ((GOALS[0].take(kind) - self.weight2) >> RATE)
+        self.weights1[self.context] = self.weight1 + ((GOALS[1].take(kind) - self.weight1) >> RATE)
         for guesses, place, guess, trust in (
             (self.guesses2, self.place2, self.second, self.trust2),
             (self.guesses1, self.place1, self.first, self.trust1),
@@ -186,60 +190,63 @@ class Model:
             right = guess == symbols
             kept = np.where(trust > 1, guess, symbols)  # the same if it was right
             guesses[place] = (kept << 2) + NEXT_TRUST.take((right << 2) + trust)
-        self.counts[self.rows1[:lanes] + symbols] += 1
         self.before_last[:lanes] = self.last[:lanes]
         self.last[:lanes] = symbols
         self.steps += 1
-        if self.steps == self.due:
-            self.due *= 2
-            self.sum_up()
 
 
 def run(model: Model, coder: Coder, symbols: np.ndarray, lengths: np.ndarray) -> None:
     """Code ``symbols`` (steps x blocks), or fill it in when the coder reads.
     Longer blocks come first."""
-    one = U(1)
+    whole, bits = 1 << WEIGHT_BITS, U(model.bits)
     for t in range(int(lengths[0])):
         lanes = model.lanes if lengths[-1] > t else int(np.searchsorted(-lengths, -t))
         model.contexts(lanes)
-        weight2, weight1 = model.weight2, model.weight1
-        both = weight2 + weight1
-        unit = coder.range[:lanes] >> U(WEIGHT_BITS)
+        weight2 = model.weight2
+        both = weight2 + model.weight1
+        low, span = coder.low[:lanes], coder.range[:lanes]
+        unit = span >> U(WEIGHT_BITS)
         if coder.reading:
-            point = ((coder.code[:lanes] - coder.low[:lanes]) // unit).astype(np.int64)
+            point = ((coder.code[:lanes] - low) // unit).astype(np.int64)
             kind = (point >= weight2).astype(np.int64) + (point >= both)
             now = np.where(kind == 0, model.second, model.first)
         else:
             now = symbols[t, :lanes]
             kind = np.where(now == model.second, 0, np.where(now == model.first, 1, 2))
-        plain = kind == 2
-        below = np.where(plain, both, np.where(kind == 0, 0, weight2))
-        width = np.where(plain, (1 << WEIGHT_BITS) - both, np.where(kind == 0, weight2, weight1))
-        coder.low[:lanes] += unit * below.astype(U)
-        coder.range[:lanes] = unit * width.astype(U)
-        plain = np.flatnonzero(plain)
+        # bounds of the three kinds, side by side
+        edges = np.zeros((4, lanes), U)
+        edges[1], edges[2], edges[3] = weight2, both, whole
+        place = kind * lanes + np.arange(lanes)
+        below = edges.reshape(-1).take(place)
+        low += unit * below
+        np.multiply(unit, edges.reshape(-1).take(place + lanes) - below, out=span)
+        plain = np.flatnonzero(kind == 2)
         if len(plain):
-            low, total = coder.low.take(plain), model.total.take(plain)
-            unit = coder.range.take(plain) // total
+            start = low.take(plain)
+            unit = span.take(plain) >> bits
             if coder.reading:
-                point = np.minimum((coder.code.take(plain) - low) // unit, total - one)
-                symbol = model.find(plain, point.astype(np.int64))
+                point = ((coder.code.take(plain) - start) // unit).astype(np.int64)
+                np.minimum(point, (1 << model.bits) - 1, out=point)
+                symbol = model.owner.take(model.row_shares.take(plain) + point)
                 now[plain] = symbol
             else:
                 symbol = now.take(plain)
             place = model.row_tables.take(plain) + symbol
-            below = model.table.take(place)
-            width = model.table.take(place + 1) - below
-            coder.low[plain] = low + unit * below.astype(U)
-            coder.range[plain] = unit * width.astype(U)
+            below = model.below.take(place)
+            width = model.below.take(place + 1) - below
+            low[plain] = start + unit * below.astype(U)
+            span[plain] = unit * width.astype(U)
         coder.settle(lanes)
         if coder.reading:
             symbols[t, :lanes] = now
         model.learn(lanes, now, kind)
+        if model.steps == model.due:
+            model.due *= 2
+            model.sum_up(symbols[: model.steps])
 
 
 def lane_groups(n_blocks: int, size: int) -> list[slice]:
-    step = max(1, TABLE >> int(size).bit_length())
+    step = max(1, TABLE >> share_bits(size))
     return [slice(a, min(a + step, n_blocks)) for a in range(0, n_blocks, step)]
 
 
@@ -251,11 +258,20 @@ def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in order, and the place of each id among them."""
+    if not len(ids) or int(ids.max()) >= DENSE:
+        return np.unique(ids, return_inverse=True)
+    met = np.zeros(int(ids.max()) + 1, bool)
+    met[ids] = True
+    return np.flatnonzero(met), (np.cumsum(met, dtype=np.int32) - np.int32(1))[ids]
+
+
 def encode_segment(ids: np.ndarray) -> bytes:
     """The ids, non-negative and below 2**32, as one segment."""
-    ids = np.ascontiguousarray(ids, np.int64)
+    ids = np.asarray(ids)
     length = block_length(len(ids))
-    alphabet, symbols = np.unique(ids, return_inverse=True)
+    alphabet, symbols = ranked(ids)
     n_blocks = -(-len(ids) // length)
     padded = np.zeros(n_blocks * length, np.int32)
     padded[: len(ids)] = symbols

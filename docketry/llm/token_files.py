@@ -2,7 +2,7 @@
 
 Documents are range-partitioned and sorted by id, encoded with an existing
 tokenizer and closed with an end id. Each partition writes *segments* of whole
-documents, about 8 million ids each, as rows of a table in the shared folder:
+documents, about 2 million ids each, as rows of a table in the shared folder:
 (file, segment, documents, data). ``data`` is a segment of the range coder
 (``idcodec``): blocks that are coded from a fresh model and checked one by one.
 Rows of a table, not loose files, so that Spark's commit keeps a repeated task
@@ -37,9 +37,9 @@ from docketry.llm.common import running_starts
 from docketry.llm.idcodec import decode_segment, encode_segment
 
 END = 1
-SEGMENT = 8_000_000
+SEGMENT = 2_000_000
 PORTION = 200_000
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 250_000
 
 
 class Encoder:
