@@ -29,7 +29,7 @@ VERSION = 1
 BLOCK = 8192
 LEAST_BLOCK = 1024
 LANES = 1024  # wanted before blocks grow
-TABLE = 1 << 24  # entries of the order-0 tables: bounds the lanes worked on at once
+TABLE = 1 << 23  # entries of the order-0 tables: bounds the lanes worked on at once
 SLOT_BITS = 11  # of the order-2 table of a block
 FIRST_SUM = 64
 DENSE = 1 << 22  # ids below are ranked by a table

@@ -40,6 +40,7 @@ END = 1
 SEGMENT = 2_000_000
 PORTION = 200_000
 KNOWN_WORDS = 250_000
+WORDS_AT_ONCE = 10_000
 
 
 class Encoder:
@@ -57,7 +58,10 @@ class Encoder:
         self.ids = np.zeros(0, np.int32)
 
     def learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found: list[list[int]] = []
+        for a in range(0, len(words), WORDS_AT_ONCE):  # an encoding is far larger than its ids
+            batch = self.tokenizer.encode_batch_fast(words[a : a + WORDS_AT_ONCE], add_special_tokens=False)
+            found += [e.ids for e in batch]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words))))
         self.start = np.r_[self.start, self.start[-1] + np.cumsum(lengths)]
