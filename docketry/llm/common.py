@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketry.session import configure
 
 # Rows that cross to Python at once: bounds its memory where texts are long.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "500"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 

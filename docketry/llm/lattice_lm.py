@@ -12,8 +12,9 @@ probabilities of the corpus. Next to it stands the plain word model of the
 base score.
 
 Scale: words are counted in each task before the shuffle; lattices are built
-once for each distinct word, not for each occurrence. The ``head`` most frequent
-words (50,000, a few MB, whatever the corpus) are broadcast with their scores;
+once for each distinct word, not for each occurrence. The most frequent words, at
+most ``head`` (50,000, a few MB, whatever the corpus), are broadcast with their
+scores;
 each document sums those at once and keeps only its other words, which are
 joined with the word table by word. No word of the join can be hot: each is
 rarer than every word of the head. Piece probabilities are one row per piece of
@@ -44,7 +45,7 @@ from docketry.session import work_folder
 END = "\n"  # no word has it
 HEAD = 50_000
 ROUNDS = 2
-FLUSH = 400_000
+FLUSH = 250_000  # distinct words that a task holds before it passes its counts on
 LATTICE_WORDS = 50_000
 
 
@@ -203,6 +204,24 @@ def word_table(
     return spark.read.parquet(path)
 
 
+def head_count(words: DataFrame, head: int) -> int:
+    """The count from which on there are ``head`` words at most, or fewer.
+
+    From the number of words in each eighth of a power of two: a few hundred rows.
+    """
+    steps = F.floor(F.log2("seen") * 8)
+    classes = words.groupBy(steps.alias("step")).agg(
+        F.count(F.lit(1)).alias("words"), F.min("seen").alias("least")
+    )
+    taken, least = 0, 2**62
+    for row in sorted(classes.collect(), key=lambda r: -r["step"]):
+        taken += row["words"]
+        if taken > head:
+            break
+        least = row["least"]
+    return least
+
+
 def score_documents(
     documents: DataFrame,
     training: Column,
@@ -226,7 +245,7 @@ def score_documents(
         (F.col("logp") / math.log(10)).alias("model"),
         "seen",
     )
-    top = valued.orderBy(F.desc("seen"), "word").limit(head).collect()
+    top = valued.where(F.col("seen") >= head_count(valued, head)).collect()  # head rows at most
     table = spark.sparkContext.broadcast(
         {r["word"].encode("utf-8", "surrogatepass"): (r["known"], r["base"], r["model"]) for r in top}
     )
@@ -235,28 +254,32 @@ def score_documents(
         scores = table.value
         for batch in batches:
             sums: list[tuple] = []
-            rest: list[list[dict]] = []
+            words, times_, ends = [], [], [0]
             for text_ in batch.column("scored_text"):
                 found = Counter(words_in(text_.as_py()))
                 found[END.encode()] += 1
                 known = base = model = 0
-                others = []
                 for word, times in found.items():
                     if (score := scores.get(word)) is None:
-                        others.append({"word": word.decode("utf-8", "surrogatepass"), "times": times})
+                        words.append(word)
+                        times_.append(times)
                     else:
                         known += times * score[0]
                         base += times * score[1]
                         model += times * score[2]
                 sums.append((found.total(), known, float(base), float(model)))
-                rest.append(others)
+                ends.append(len(words))
             columns = list(zip(*sums)) or [[]] * 4
+            others = pa.StructArray.from_arrays(
+                [pa.array(words, pa.binary()).cast(pa.string()), pa.array(times_, pa.int64())],
+                names=["word", "times"],
+            )
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("scored_key"),
                     batch.column("scored_training"),
                     *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))),
-                    pa.array(rest, pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others),
                 ],
                 names=["key", "training", "n_tokens", "known", "base", "model", "others"],
             )
