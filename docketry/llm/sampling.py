@@ -19,7 +19,7 @@ distinct one is built once and kept while it fits. All random numbers come from
 a hash of the row's key, the sample and the place, so a row's samples do not
 depend on its neighbours, and a repeated task draws the same.
 
-Scale: in the row, without a shuffle; rows are worked on in portions of 50,000
+Scale: in the row, without a shuffle; rows are worked on in portions of 30,000
 units and the lattices kept are bounded, so memory follows the longest text.
 The vocabulary is read on the driver and broadcast (2 MB).
 
@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from docketry.llm import lattice
 
 # Bounds of a worker's memory: units worked on at once, and the lattices kept.
-PORTION = 50_000
+PORTION = 30_000
 MAX_NODES = 500_000
 MAX_EDGES = 2_000_000
 SAMPLES = 2
