@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm.common import LOWER, UPPER
@@ -132,13 +132,12 @@ def rarest_positions(index: DataFrame, items: TestItems, size: int = SIZE) -> Da
     Windows with a word that no document has are left out.
     """
     counts = index.where("term >= 0").groupBy("term").agg(F.count(F.lit(1)).alias("postings"))
-    placed = items.places.join(items.items.select("item", "n"), "item")
+    # counts first: a frequent term is one row for each place, not for each window
+    placed = items.places.join(counts, "term").join(items.items.select("item", "n"), "item")
     # a place belongs to the windows that start up to size - 1 before it
     first = F.greatest(F.col("at") - (size - 1), F.lit(0))
     last = F.least(F.col("at"), F.greatest(F.col("n") - size, F.lit(0)))
-    windows = placed.select(
-        "item", "n", "at", "term", F.explode(F.sequence(first, last)).alias("window")
-    ).join(counts, "term")
+    windows = placed.withColumn("window", F.explode(F.sequence(first, last)))
     return (
         windows.groupBy("item", "window")
         .agg(
