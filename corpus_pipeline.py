@@ -29,7 +29,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_regular(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without lines above the limits."""
     ready(spark)
-    cleaned = quality_rules.clean_documents(docs)
+    cleaned = quality_rules.clean_documents(docs, quality_rules.ABSOLUTE)
     return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -6,7 +6,8 @@ their host, and each document counts once per line. A line above the limits (in
 more than ``max_docs`` documents and more than ``max_share_percent`` of the documents of
 its host) is removed everywhere but in the host's document of the smallest id
 that has it. A document that keeps less than ``min_left_percent`` of its words is
-depleted.
+depleted. ``ABSOLUTE`` has no share, so a limit means the same in a host of any
+size, and a far lower count for lines of more than ``long_words`` words.
 
 Scale: line counts are combined before the shuffle, so a line of a third of all
 documents is one row per task; lines travel as two numbers and meet the few
@@ -44,9 +45,19 @@ class Limits:
     max_docs: int = 20
     max_share_percent: int = 5
     min_left_percent: int = 30
+    long_words: int = 50
+    max_docs_long: int | None = None  # None: long lines are as others
+
+    def exceeded(self, docs: Column, words: Column) -> Column:
+        """By the count of documents alone."""
+        common = docs > self.max_docs
+        if self.max_docs_long is None:
+            return common
+        return common | ((words > self.long_words) & (docs > self.max_docs_long))
 
 
 DEFAULT = Limits()
+ABSOLUTE = Limits(max_share_percent=0, max_docs_long=3)
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -121,15 +132,23 @@ def frequent_lines(
         ).alias("content"),
     ).where("content <> ''")
     counted = (
-        lines.select("doc_key", "doc_host", line_hash(F.col("doc_host"), F.col("content")).alias("line"))
+        lines.select(
+            "doc_key",
+            "doc_host",
+            line_words(F.col("content")).alias("words"),
+            line_hash(F.col("doc_host"), F.col("content")).alias("line"),
+        )
         .groupBy("line")
         .agg(
             F.count(F.lit(1)).alias("docs"),
             F.min("doc_key").alias("spared"),
             F.first("doc_host").alias("line_host"),
+            F.first("words").alias("words"),
         )
-        .where(F.col("docs") > limits.max_docs)
+        .where(limits.exceeded(F.col("docs"), F.col("words")))
     )
+    if not limits.max_share_percent:
+        return counted.select("line", "spared")
     hosts = documents.groupBy(F.col(host).alias("of_host")).agg(F.count(F.lit(1)).alias("host_docs"))
     return (
         counted.join(hosts, F.col("line_host").eqNullSafe(F.col("of_host")))

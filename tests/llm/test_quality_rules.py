@@ -1,5 +1,7 @@
 import re
+from dataclasses import replace
 
+import corpus_pipeline
 import pytest
 from helpers import AWKWARD, documents, rows, with_clashing_columns
 from hypothesis import given, settings
@@ -55,6 +57,25 @@ def test_limits_are_exclusive(spark):
     assert rows(Q.quality_verdicts(more), "removed_words") == [(0,)] + [(2,)] * 20
 
 
+@pytest.mark.parametrize("others", [0, 1_000])
+def test_a_limit_means_the_same_in_a_hot_host(spark, others):
+    passage = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(51))
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits count as equal
+    own = [" ".join(f"own{i}x{k}".translate(letters) for k in range(26)) for i in range(30 + others)]
+    data = [(i, f"{own[i]}\nshared line", "h") for i in range(25)]
+    data += [(i, f"{own[i]} {own[i][::-1]}\n{passage}", "h") for i in range(25, 29)]
+    data += [(i, own[i], "h") for i in range(29, 30 + others)]
+    data += [(5_000 + i, f"{own[i]} {own[i][::-1]}\n{passage}", "other") for i in range(3)]
+    frame = documents(spark, data)
+    limits = replace(Q.ABSOLUTE, max_repeat_percent=100)
+    lost = {r.doc_id: r.removed_words for r in Q.quality_verdicts(frame, limits).collect()}
+    assert {i: n for i, n in lost.items() if n} == dict.fromkeys(range(1, 25), 2) | dict.fromkeys(range(26, 29), 51)
+    cleaned = {r.doc_id: r.text for r in corpus_pipeline.keep_regular(spark, frame, "").collect()}
+    assert cleaned[0] == data[0][1] and all(cleaned[i] == own[i] for i in range(1, 25))
+    with_passage = {i for i, t in cleaned.items() if passage in t}
+    assert with_passage == {25, 5_000, 5_001, 5_002}
+
+
 def test_awkward_rows(spark):
     frame = with_clashing_columns(documents(spark, AWKWARD))
     got = Q.quality_verdicts(frame).collect()
