@@ -12,8 +12,9 @@ words of an item, or the whole of a shorter one.
    Unbroken runs of matches as long as a window are exact phrase matches, and
    their union is what is hit.
 
-``proximity_matches`` returns the rows in which an item's two rarest terms stand
-within ``slop`` words of each other, in any order.
+4. Proximity matches: the two rarest different terms of a window that occur in
+the documents at all stand, in any order, at most ``slop`` words further apart
+than in the item. They are reported; the verdict is by exact matches alone.
 
 Scale: only words of test items are stored. The frequent terms, most of the
 index, are only read for rows that have a candidate: a blocked Bloom filter of
@@ -216,37 +217,78 @@ def phrase_matches(index: DataFrame, items: TestItems, size: int = SIZE) -> Data
     )
 
 
-def proximity_matches(index: DataFrame, items: TestItems, slop: int = 5) -> DataFrame:
-    """(row, item, distance): the smallest distance, up to ``slop``, of the
-    item's two rarest different terms."""
+def rarest_pairs(index: DataFrame, items: TestItems, size: int = SIZE) -> DataFrame:
+    """(item, a, b, apart): the two rarest different terms of each window among
+    those that have postings, and their smallest distance in the window."""
     counts = index.where("term >= 0").groupBy("term").agg(F.count(F.lit(1)).alias("postings"))
-    pairs = (
-        items.places.select("item", "term")
-        .distinct()
-        .join(counts, "term", "left")
-        .groupBy("item")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct(F.coalesce("postings", F.lit(0)).alias("postings"), "term"))
-            ).alias("terms")
+    placed = items.places.join(counts, "term").join(items.items.select("item", "n"), "item")
+    first = F.greatest(F.col("at") - (size - 1), F.lit(0))
+    last = F.least(F.col("at"), F.greatest(F.col("n") - size, F.lit(0)))
+    places = lambda term: F.filter("places", lambda p: p["term"] == F.col(term))
+    return (
+        placed.withColumn("window", F.explode(F.sequence(first, last)))
+        .groupBy("item", "window")
+        .agg(F.sort_array(F.collect_list(F.struct("postings", "term", "at"))).alias("places"))
+        .withColumn("a", F.col("places")[0]["term"])
+        .withColumn("b", F.get(F.filter("places", lambda p: p["term"] != F.col("a")), F.lit(0))["term"])
+        .where(F.col("b").isNotNull())
+        .select(
+            "item",
+            "a",
+            "b",
+            F.array_min(
+                F.transform(
+                    places("a"),
+                    lambda p: F.array_min(F.transform(places("b"), lambda q: F.abs(p["at"] - q["at"]))),
+                )
+            ).alias("apart"),
         )
-        .where(F.size("terms") > 1)
-        .select("item", F.col("terms")[0]["term"].alias("a"), F.col("terms")[1]["term"].alias("b"))
+        .groupBy("item", "a", "b")
+        .agg(F.max("apart").alias("apart"))
     )
-    postings = index.select("term", "row", "pos")
-    near = F.floor(F.col("pos") / (slop + 1))
-    left = postings.join(pairs, F.col("term") == F.col("a")).select(
-        "row", "item", F.col("pos").alias("left_pos"), F.explode(F.array(near - 1, near, near + 1)).alias("cell")
-    )
-    right = postings.join(pairs, F.col("term") == F.col("b")).select(
-        "row", "item", F.col("pos").alias("right_pos"), near.alias("cell")
+
+
+def proximity_matches(
+    index: DataFrame, items: TestItems, slop: int = 5, size: int = SIZE
+) -> DataFrame:
+    """(row, item, distance): the smallest distance of the two rarest terms of a
+    window, in any order, up to ``slop`` more than in the item itself."""
+    pairs = stored(rarest_pairs(index, items, size), "rarest-pairs")
+    postings = index.where("term >= 0").select("term", "row", "pos")
+    # one row for each pair of terms, however many items have it
+    wanted = pairs.groupBy("a", "b").agg((F.max("apart") + slop).alias("reach"))
+    near = F.floor(F.col("pos") / (size + slop))
+    left = postings.join(wanted, F.col("term") == F.col("a")).select(
+        "row", "a", "b", "reach", F.col("pos").alias("left_pos"),
+        F.explode(F.array(near - 1, near, near + 1)).alias("cell"),
     )
+    right = postings.join(
+        wanted.select(F.col("b").alias("term")).distinct(), "term", "left_semi"
+    ).select("row", F.col("term").alias("b"), F.col("pos").alias("right_pos"), near.alias("cell"))
     distance = F.abs(F.col("left_pos") - F.col("right_pos"))
+    found = (
+        left.join(right, ["row", "b", "cell"])
+        .where(distance <= F.col("reach"))
+        .groupBy("row", "a", "b")
+        .agg(F.min(distance).alias("distance"))
+    )
     return (
-        left.join(right, ["row", "item", "cell"])
-        .where(distance <= slop)
+        found.join(pairs, ["a", "b"])
+        .where(F.col("distance") <= F.col("apart") + slop)
         .groupBy("row", "item")
-        .agg(F.min(distance).alias("distance"))
+        .agg(F.min("distance").alias("distance"))
+    )
+
+
+def ids_of(matches: DataFrame, items: TestItems, name: str) -> DataFrame:
+    """(row, name): the ids of the items matched in a row, sorted as text."""
+    return (
+        matches.select("row", "item")
+        .distinct()
+        .join(items.items.select("item", "ids"), "item")
+        .select("row", F.explode("ids").alias("id"))
+        .groupBy("row")
+        .agg(F.sort_array(F.collect_set("id")).alias(name))
     )
 
 
@@ -257,11 +299,13 @@ def contamination(
     percent: int = 5,
     key: str = "doc_id",
     text: str = "text",
+    slop: int | None = 5,
 ) -> DataFrame:
-    """(key, n_words, n_hit, n_items, items, contaminated) of every row.
+    """(key, n_words, n_hit, n_items, items, contaminated, n_near, near_items) of every row.
 
-    ``items``: ids of the items with matches, sorted as text. Contaminated: at
-    least ``percent`` of the words are hit.
+    ``items``: ids of the items with exact matches, sorted as text; ``near_items``:
+    of those with proximity matches, none sought if ``slop`` is null. Contaminated:
+    at least ``percent`` of the words are hit.
     """
     items = read_items(benchmark)
     index = build_index(documents, items, key, text)
@@ -283,21 +327,20 @@ def contamination(
             ).alias("n_hit")
         )
     )
-    named = (
-        matches.select("row", "item")
-        .distinct()
-        .join(items.items.select("item", "ids"), "item")
-        .select("row", F.explode("ids").alias("id"))
-        .groupBy("row")
-        .agg(F.sort_array(F.collect_set("id")).alias("items"))
-    )
+    named = ids_of(matches, items, "items")
+    if slop is None:
+        near = named.select("row", F.array().cast("array<string>").alias("near_items"))
+    else:
+        near = ids_of(stored(proximity_matches(index, items, slop, size), "near"), items, "near_items")
     n_words, n_hit = F.col("pos").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long")
     return (
         index.where("term = -1")
         .select("row", "doc_key", "pos")
         .join(hits, "row", "left")
         .join(named, "row", "left")
+        .join(near, "row", "left")
         .withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+        .withColumn("near_items", F.coalesce("near_items", F.array().cast("array<string>")))
         .select(
             F.col("doc_key").alias(key),
             n_words.alias("n_words"),
@@ -305,6 +348,8 @@ def contamination(
             F.size("items").cast("long").alias("n_items"),
             "items",
             ((n_hit > 0) & (n_hit * 100 >= n_words * percent)).alias("contaminated"),
+            F.size("near_items").cast("long").alias("n_near"),
+            "near_items",
         )
     )
 
@@ -314,7 +359,7 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows whose id no contaminated row has; rows without an id stay."""
     gone = (
-        contamination(documents, benchmark, key=key, text=text)
+        contamination(documents, benchmark, key=key, text=text, slop=None)
         .where("contaminated")
         .select(F.col(key).alias("dropped"))
         .distinct()

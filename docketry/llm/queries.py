@@ -135,6 +135,8 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
         "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
+        "n_near",
+        F.sha2(F.array_join("near_items", ","), 256).alias("near_sha256"),
     )
 
 

@@ -84,6 +84,32 @@ def test_proximity(spark):
     assert found == {1: 3, 2: 1}
 
 
+def near(spark, data, items):
+    found = D.contamination(documents(spark, data), benchmark(spark, items)).collect()
+    return {r.doc_id: (r.n_near, r.near_items, r.n_hit) for r in found}
+
+
+def test_proximity_of_words_far_apart_in_the_item(spark):
+    item = "zebra the a of to in and is quark"
+    filler = "the a of to in and is " * 9
+    data = [(1, item), (2, "zebra the a of to to in and is quark"), (3, "zebra " + "x " * 13 + "quark"), (4, filler)]
+    got = near(spark, data, [(1, item)])
+    assert got == {1: (1, ["1"], 9), 2: (1, ["1"], 0), 3: (0, [], 0), 4: (0, [], 0)}
+
+
+def test_proximity_with_a_word_that_no_document_has(spark):
+    data = [(1, "zebra of quark"), (2, "quark zebra"), (3, "of of zebra of")]
+    got = near(spark, data, [(1, "zebra unheard of quark")])
+    assert got == {1: (1, ["1"], 0), 2: (1, ["1"], 0), 3: (0, [], 0)}
+
+
+def test_proximity_by_window_and_repeated_terms(spark):
+    item = "alpha beta " + "the " * 20 + "gamma delta"
+    data = [(1, "gamma x delta"), (2, "beta x x alpha"), (3, "alpha delta"), (4, "the the the the")]
+    got = near(spark, data, [(7, item), (8, item), (9, "the the")])
+    assert got[1][:2] == got[2][:2] == (2, ["7", "8"]) and got[3][0] == got[4][0] == 0
+
+
 def test_awkward_rows(spark):
     frame = with_clashing_columns(documents(spark, AWKWARD))
     tests = benchmark(spark, [(1, "same words here"), (2, "text without an id"), (3, "long " * 13)])
