@@ -1,8 +1,10 @@
+import re
 import zlib
 from collections import Counter
 
 import pytest
 from helpers import AWKWARD, documents, with_clashing_columns
+from pyspark.sql import functions as F
 
 from docketry.llm import shards
 
@@ -40,6 +42,18 @@ def test_order_is_mixed(spark, tmp_path):
     assert chi < 160
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_a_repeated_id_is_many_buckets(spark, tmp_path, hot):
+    rows = [(hot, "the same text " * 4)] * 1_000 + [(100 + i, f"text {i} " * 6) for i in range(1_000)]
+    out = shards.shuffle_into_shards(documents(spark, rows), f"{tmp_path}/a", shards=5, bucket_bytes=10_000)
+    got = out.withColumn("file", F.input_file_name()).collect()
+    assert Counter((r.record.doc_id, r.record.text) for r in got) == Counter(rows)
+    for s in range(5):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(400))
+    tasks = Counter(re.search(r"part-(\d+)", r.file)[1] for r in got)
+    assert max(tasks.values()) < 300
+
+
 def test_awkward_rows(spark, tmp_path):
     frame = with_clashing_columns(documents(spark, AWKWARD))
     out = shards.shuffle_into_shards(frame, f"{tmp_path}/a", shards=40, bucket_bytes=1_000)
