@@ -118,3 +118,70 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+ORACLES["op13_merkle_manifest"] = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, text, 'h' AS tag,
+    CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END
+    || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+    || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+    || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head
+  FROM documents),
+crc_table AS (
+  SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+  FROM range(256) AS r(n)),
+crcs AS (
+  SELECT doc_id, 0 AS pos, CAST(doc_id AS VARCHAR) AS id, 4294967295::BIGINT AS c
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL
+  SELECT doc_id, pos + 1, id, xor(crcs.c // 256, t.c)
+  FROM crcs JOIN crc_table t ON t.n = xor(crcs.c % 256, ascii(id[pos + 1])) WHERE pos < length(id)),
+touched AS (SELECT doc_id FROM crcs WHERE pos = length(id) AND xor(c, 4294967295) % 2 = 0),
+l AS (
+  SELECT doc_id, source,
+    sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+    sha256(head || CASE WHEN text IS NULL THEN '-' WHEN t.doc_id IS NULL THEN strlen(text) || ':' || text
+      ELSE strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '') END) AS shown
+  FROM f LEFT JOIN touched t USING (doc_id)),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY source) AS n FROM l),
+tree AS (
+  SELECT source, 0 AS level, place, leaf AS h, n FROM p
+  UNION ALL
+  SELECT source, level + 1, place // 3, sha256(string_agg(h, '' ORDER BY place)), (any_value(n) + 2) // 3
+  FROM tree WHERE n > 1 GROUP BY source, level, place // 3),
+subroots AS (
+  SELECT source, level AS depth, h AS subroot,
+    row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+  FROM tree WHERE n = 1),
+crown AS (
+  SELECT 0 AS level, place, subroot AS h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 3, sha256(string_agg(h, '' ORDER BY place)), (any_value(n) + 2) // 3
+  FROM crown WHERE n > 1 GROUP BY level, place // 3),
+nodes AS (
+  SELECT s.place AS tree, level, t.place, h, t.n > 1 AS below FROM tree t JOIN subroots s ON s.source IS NOT DISTINCT FROM t.source
+  UNION ALL SELECT -1, level, place, h, n > 1 FROM crown),
+runs AS (
+  SELECT tree, level, place // 3 AS run, list(h ORDER BY place) AS hs FROM nodes WHERE below
+  GROUP BY tree, level, place // 3),
+walk AS (
+  SELECT p.doc_id, leaf, subroot, s.place AS home, s.place AS tree, 0 AS level, s.depth AS depth,
+    p.place AS place, shown AS h, '' AS proof
+  FROM p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source
+  UNION ALL
+  SELECT doc_id, leaf, subroot, home,
+    CASE WHEN climbs THEN w.tree ELSE -1 END, CASE WHEN climbs THEN w.level + 1 ELSE 0 END, depth,
+    CASE WHEN climbs THEN w.place // 3 ELSE home END,
+    CASE WHEN climbs THEN sha256(array_to_string(
+      list_concat(hs[:w.place % 3], [h], hs[w.place % 3 + 2:]), '')) ELSE h END,
+    CASE WHEN climbs THEN proof || array_to_string(list_concat(hs[:w.place % 3], hs[w.place % 3 + 2:]), '')
+      ELSE proof END
+  FROM (SELECT *, tree = -1 OR level < depth AS climbs FROM walk) w
+  LEFT JOIN runs r ON w.tree = r.tree AND w.level = r.level AND w.place // 3 = r.run
+  WHERE NOT climbs OR hs IS NOT NULL)
+SELECT doc_id, leaf, subroot, c.h AS root, sha256(proof) AS proof_sha256, w.h AS folded_root, w.h = c.h AS verified
+FROM walk w JOIN (SELECT level, h FROM crown WHERE n = 1) c ON w.tree = -1 AND w.level = c.level
+"""

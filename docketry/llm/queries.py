@@ -11,6 +11,7 @@ from docketry.llm import (
     chat,
     decontaminate,
     lattice_lm,
+    merkle,
     quality_model,
     quality_rules,
     sampling,
@@ -231,3 +232,29 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return documents.join(starts, same).select(
         "doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"
     )
+
+
+# --- 13: Merkle dataset manifest ------------------------------------------------
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """A tree for each source; every second document (by crc32 of its id) is then
+    tampered with, and its proof checked."""
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    text = F.col("text")
+    touched = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    shown = F.when(touched, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    found = merkle.manifest(
+        table(spark, folder, "documents"),
+        merkle.leaf_of(*fields, text),
+        carry={"shown_leaf": merkle.leaf_of(*fields, shown)},
+    )
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_of(F.col("path")).alias("proof_sha256"),
+        merkle.folded(F.col("shown_leaf"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
