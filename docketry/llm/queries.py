@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docketry.llm import (
     chat,
     decontaminate,
+    hard_negatives,
     lattice_lm,
     merkle,
     quality_model,
@@ -258,3 +259,15 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
         merkle.proof_of(F.col("path")).alias("proof_sha256"),
         merkle.folded(F.col("shown_leaf"), F.col("path")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# --- 11: hard-negative mining ---------------------------------------------------
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Anchors are every hundredth row; every seventh row's label is moved by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(
+        table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label
+    )
