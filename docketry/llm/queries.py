@@ -11,6 +11,7 @@ from docketry.llm import (
     chat,
     decontaminate,
     hard_negatives,
+    language,
     lattice_lm,
     merkle,
     quality_model,
@@ -271,3 +272,17 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.hard_negatives(
         table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label
     )
+
+
+# --- 12: language identification ------------------------------------------------
+
+
+@query
+def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns only from ids whose remainder is not 1."""
+    documents = table(spark, folder, "documents")
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    model = language.fit_language(documents, ~held_out)
+    return documents.select(
+        "doc_id", held_out.alias("held_out"), model.predict(documents, F.col("text")).alias("found")
+    ).select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
