@@ -13,13 +13,12 @@ class Recognizer:
     pattern: str
     context: tuple[str, ...] = ()
     luhn: bool = False  # keep a match only if its digits pass the Luhn check
-    # What every match implies, to skip texts cheaply; empty means no test.
-    family: str = ""  # a key of FAMILY_TESTS
-    literal: str = ""  # a string every match contains
+    needs_context: bool = False  # keep a match only if a context word stands before it
+    literal: str = ""  # a string every match contains: other texts are not searched; may be left empty
 
 
-# One scan of the text for a whole family of patterns.
-FAMILY_TESTS = {"digits": r"\d{3}", "initials": r"[A-Z]\."}
+# Characters before a match in which its context words count.
+CONTEXT_CHARS = 40
 
 
 # Entity, score, pattern and context words of every recognizer.
@@ -30,62 +29,56 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
         r"\s+(?:Street|St|Avenue|Ave|Drive|Dr|Road|Rd|"
         r"Boulevard|Blvd|Lane|Ln|Way|Court|Ct|Place|Pl|Circle|Cir)"
         r"(?:\s*,\s*(?:Apt|Suite|Ste|Unit|#)\s*\w+)?\b",
-        family="digits",
     ),
     Recognizer(
         "initial_then_surname", "PERSON", "0.70",
         r"\b[A-Z]\.\s+[A-Z][a-z]{2,}\b",
-        family="initials",
+        literal=".",
     ),
     Recognizer(
         "firstname_then_initial", "PERSON", "0.70",
         r"\b[A-Z][a-z]{2,}\s+[A-Z]\.(?=\s|$|,)",
-        family="initials",
+        literal=".",
     ),
     Recognizer(
         "tabular_name_after_c3", "PERSON", "0.85",
         r"(?<=C\d\d\d )[A-Z][a-z]{2,}(?:\s+[A-Z]\.)?\s+[A-Z][a-z]{2,}",
-        family="digits",
     ),
     Recognizer(
         "tabular_name_after_c4", "PERSON", "0.85",
         r"(?<=C\d\d\d\d )[A-Z][a-z]{2,}(?:\s+[A-Z]\.)?\s+[A-Z][a-z]{2,}",
-        family="digits",
     ),
     Recognizer(
         "routing_9digit", "ROUTING_NUMBER", "0.60", r"\b\d{9}\b",
         context=("routing", "aba", "rtn", "transit", "number"),
-        family="digits",
     ),
     Recognizer(
         "masked_account", "ACCOUNT_NUMBER", "0.90",
         r"\*{4}\s\*{4}\s\*{4}\s\d{4}",
-        family="digits", literal="****",
+        literal="****",
     ),
     Recognizer(
         "ssn_last4_labeled", "SSN_LAST4", "0.95",
         r"(?i)ssn\s*\(last\s*4\)\s*[:\-]?\s*\d{4}",
-        family="digits", literal="(",
+        literal="(",
     ),
     Recognizer(
         "ssn_dashes", "US_SSN", "0.85", r"\b\d{3}-\d{2}-\d{4}\b",
         context=("ssn", "social security", "social security number"),
-        family="digits", literal="-",
+        literal="-",
     ),
     Recognizer(
         "ssn_nodashes", "US_SSN", "0.40", r"\b\d{9}\b",
         context=("ssn", "social security", "social security number"),
-        family="digits",
     ),
     Recognizer(
         "phone_hyphens", "PHONE_NUMBER", "0.75",
         r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b",
-        family="digits",
     ),
     Recognizer(
         "phone_parens", "PHONE_NUMBER", "0.75",
         r"\(\d{3}\)\s*\d{3}[-.\s]\d{4}",
-        family="digits", literal="(",
+        literal="(",
     ),
     Recognizer(
         "email", "EMAIL_ADDRESS", "0.80",
@@ -96,7 +89,12 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
     Recognizer(
         "credit_card", "CREDIT_CARD", "1.00", r"\b\d(?:[ -]?\d){12,15}\b",
         luhn=True,
-        family="digits",
+    ),
+    # Score and context words of our own; only next to a word for an account.
+    Recognizer(
+        "us_bank_number", "US_BANK_NUMBER", "0.05", r"\b\d{8,17}\b",
+        context=("bank", "account", "acct", "checking", "savings"),
+        needs_context=True,
     ),
 )
 

@@ -7,7 +7,7 @@ JVM's default is (it changed between Java 17 and 21).
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from docketry.functions.sql import let, quoted
 
@@ -22,8 +22,6 @@ BLANKS = "".join(
     map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
 
-SPANS = "array<struct<start:int,end:int,value:string>>"
-
 
 def unicode_aware(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iU)" if ignore_case else "(?U)") + pattern
@@ -62,38 +60,58 @@ def match_texts(text: str, pattern: str) -> str:
     return f"regexp_extract_all({text}, {quoted(unicode_aware(pattern))}, 0)"
 
 
-def match_spans(text: str, pattern: str) -> str:
-    """All matches as an array of (start, end, value), 0-based, end exclusive.
+def all_spans(text: str, patterns: Sequence[str], searched: Sequence[str]) -> str:
+    """The matches of all patterns as an array of (pattern, start, end, value).
+
+    ``pattern`` is a place in ``patterns``; start is 0-based, end exclusive.
+    Matches of different patterns may overlap.
 
-    Spark returns matches without positions, so the text between them is
-    split out with the same pattern and the sizes are added up: first inside
-    slices, then over slices, which is linear in the number of matches. A text
-    without a match costs one scan only.
+    Every pattern searches the text once, if its condition in ``searched`` holds. Spark returns matches without places, so
+    for the patterns with matches, and only for those, the text between them is
+    split out and the sizes are added up, slice by slice: linear in the number of
+    matches. The places are worked out by one expression for all patterns.
     """
-    steps = (
-        f"zip_with(slice(transform(split({text}, {quoted(unicode_aware(pattern))}, -1), gap_ -> length(gap_)), 1, size(hits_)), "
-        "hits_, (gap_, hit_) -> struct(gap_ AS gap, length(hit_) AS hit))"
+    unicode_patterns = ", ".join(quoted(unicode_aware(p)) for p in patterns)
+    searches = ", ".join(
+        f"struct({i} AS pattern, CASE WHEN {worth} THEN {match_texts(text, p)} END AS hits)"
+        for i, (p, worth) in enumerate(zip(patterns, searched))
     )
-    nothing = "struct(0 AS at, cast(array() AS array<int>) AS starts)"
-    inside = (
-        f"transform(sequence(0, int((size(steps_) - 1) div {SLICE})), i_ -> "
-        f"aggregate(slice(steps_, i_ * {SLICE} + 1, {SLICE}), {nothing}, (acc_, step_) -> "
-        "struct(acc_.at + step_.gap + step_.hit AS at, concat(acc_.starts, array(acc_.at + step_.gap)) AS starts)))"
+    starts = in_slices(
+        "steps_",
+        "int(0)",
+        "array<int>",
+        lambda at, step: f"struct({at} + {step}.gap + {step}.hit AS next, {at} + {step}.gap AS out)",
+    )
+    steps = (
+        f"zip_with(slice(split({text}, array({unicode_patterns})[found_.pattern], -1), 1, size(found_.hits)), found_.hits, "
+        "(gap_, hit_) -> struct(length(gap_) AS gap, length(hit_) AS hit))"
     )
-    offsets = (
-        f"aggregate(parts_, {nothing}, (acc_, part_) -> "
-        "struct(acc_.at + part_.at AS at, concat(acc_.starts, array(acc_.at)) AS starts), acc_ -> acc_.starts)"
+    placed = (
+        f"zip_with({let('steps_', steps, starts)}, found_.hits, (at_, hit_) -> "
+        "struct(found_.pattern AS pattern, at_ AS start, at_ + length(hit_) AS end, hit_ AS value))"
     )
-    starts = f"flatten(zip_with(parts_, {offsets}, (part_, offset_) -> transform(part_.starts, at_ -> at_ + offset_)))"
-    spans = (
-        f"zip_with({let('steps_', steps, let('parts_', inside, starts))}, hits_, "
-        "(start_, hit_) -> struct(start_ AS start, start_ + length(hit_) AS end, hit_ AS value))"
+    return f"flatten(transform(filter(array({searches}), found_ -> size(found_.hits) > 0), found_ -> {placed}))"
+
+
+def in_slices(items: str, start: str, outputs: str, step: Callable[[str, str], str]) -> str:
+    """An output for each item, with a state that goes from one to the next.
+
+    ``step`` turns (state, item) into a struct of the next state and the output.
+    Appending to an array copies it, so outputs are gathered slice by slice.
+    """
+    nothing = f"cast(array() AS {outputs})"
+    one = let("step_", step("acc_.state", "item_"), "struct(step_.next AS state, concat(acc_.out, array(step_.out)) AS out)")
+    part = (
+        f"aggregate(slice({items}, i_ * {SLICE} + 1, {SLICE}), struct(all_.state AS state, {nothing} AS out), "
+        f"(acc_, item_) -> {one})"
     )
-    return let(
-        "hits_",
-        match_texts(text, pattern),
-        f"(CASE WHEN size(hits_) > 0 THEN {spans} ELSE cast(array() AS {SPANS}) END)",
+    whole = (
+        f"aggregate(sequence(0, int((size({items}) - 1) div {SLICE})), "
+        f"struct({start} AS state, cast(array() AS array<{outputs}>) AS out), "
+        f"(all_, i_) -> {let('part_', part, 'struct(part_.state AS state, concat(all_.out, array(part_.out)) AS out)')}, "
+        "all_ -> flatten(all_.out))"
     )
+    return whole
 
 
 def passes_luhn(value: str) -> str:

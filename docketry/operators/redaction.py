@@ -6,13 +6,13 @@ shuffle. Only the spans of a second detector are joined.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.recognizers import (
-    FAMILY_TESTS,
+    CONTEXT_CHARS,
     FIRST_PASS,
     RECOGNIZERS,
     SECOND_PASS,
@@ -21,7 +21,7 @@ from docketry.functions.recognizers import (
     Recognizer,
 )
 from docketry.functions.sql import case, let, quoted, struct
-from docketry.functions.text import match_spans, match_texts, passes_luhn, unicode_aware
+from docketry.functions.text import all_spans, in_slices, match_texts, passes_luhn
 
 SCORE = "decimal(3,2)"
 SPAN_ROWS = f"array<struct<start:int,end:int,entity_type:string,score:{SCORE},recognizer:string>>"
@@ -29,54 +29,68 @@ SPAN_ROWS = f"array<struct<start:int,end:int,entity_type:string,score:{SCORE},re
 BLOCK_CHARS = 1024
 
 
-def _with_family_tests(text: str, recognizers: Iterable[Recognizer], body: str) -> str:
-    """Bind one flag per pattern family: can the text hold a match at all?"""
-    for family in sorted({r.family for r in recognizers if r.family}):
-        body = let(f"{family}_", f"{text} RLIKE {quoted(unicode_aware(FAMILY_TESTS[family]))}", body)
-    return body
-
-
-def _worth_searching(text: str, recognizer: Recognizer) -> str:
-    tests = [f"{recognizer.family}_"] if recognizer.family else []
-    if recognizer.literal:
-        tests.append(f"contains({text}, {quoted(recognizer.literal)})")
-    return " AND ".join(tests) or "true"
-
-
 def spans_of(text: str = "text", recognizers: Sequence[Recognizer] = RECOGNIZERS) -> str:
     """Every match of every recognizer as an array, in order of start.
 
-    Recognizers that share a pattern share its matches. Texts that cannot hold
-    a match (no three digits in a row, no at sign and so on) are not searched.
+    Recognizers that share a pattern share its matches.
     """
     by_pattern: dict[str, list[Recognizer]] = {}
     for r in recognizers:
         by_pattern.setdefault(r.pattern, []).append(r)
-    parts = [
-        case(
-            [(_worth_searching(text, group[0]), let("found_", match_spans(text, pattern), _all_rows(group)))],
-            f"cast(array() AS {SPAN_ROWS})",
-        )
-        for pattern, group in by_pattern.items()
+    kinds = ", ".join(f"array({', '.join(map(_kind, group))})" for group in by_pattern.values())
+    row = struct(
+        start="m_.start", end="m_.end", entity_type="k_.entity_type", score="k_.score", recognizer="k_.recognizer"
+    )
+    tests = [
+        f"NOT k_.{flag} OR {test}"
+        for flag, test in (("luhn", passes_luhn("m_.value")), ("near", _in_context("m_.start", text, "k_.recognizer", recognizers)))
+        if any(r.luhn if flag == "luhn" else r.needs_context for r in recognizers)
     ]
-    return _with_family_tests(text, recognizers, f"array_sort(concat({', '.join(parts)}))")
+    kept = f"filter(kinds_[m_.pattern], k_ -> {' AND '.join(f'({t})' for t in tests)})" if tests else "kinds_[m_.pattern]"
+    rows = f"array_sort(flatten(transform(matches_, m_ -> transform({kept}, k_ -> {row}))))"
+    return let(
+        "matches_",
+        all_spans(text, list(by_pattern), [_worth_searching(text, *group) for group in by_pattern.values()]),
+        f"(CASE WHEN size(matches_) = 0 THEN cast(array() AS {SPAN_ROWS}) ELSE {let('kinds_', f'array({kinds})', rows)} END)",
+    )
 
 
-def _all_rows(recognizers: Iterable[Recognizer]) -> str:
-    """Spans bound to ``found_`` as result rows of all the recognizers."""
-    return "concat(" + ", ".join(_rows(r) for r in recognizers) + ")"
+def _worth_searching(text: str, *recognizers: Recognizer) -> str:
+    """False only where none of the recognizers can match."""
+    if any(not r.literal for r in recognizers):
+        return "true"
+    return " OR ".join(f"contains({text}, {quoted(r.literal)})" for r in recognizers)
 
 
-def _rows(r: Recognizer) -> str:
-    kept = f"filter(found_, s_ -> {passes_luhn('s_.value')})" if r.luhn else "found_"
-    row = struct(
-        start="s_.start",
-        end="s_.end",
+def _kind(r: Recognizer) -> str:
+    """What a match of the recognizer's pattern becomes."""
+    return struct(
         entity_type=quoted(r.entity),
         score=f"cast({r.score} AS {SCORE})",
         recognizer=quoted(r.name),
+        luhn=str(r.luhn).lower(),
+        near=str(r.needs_context).lower(),
+    )
+
+
+def _in_context(
+    start: str, text: str, name: str, recognizers: Sequence[Recognizer], window_chars: int = CONTEXT_CHARS
+) -> str:
+    """Whether a context word of the named recognizer stands before ``start``."""
+    tests = [
+        f"{name} = {quoted(r.name)} AND ("
+        + " OR ".join(f"contains(before_, {quoted(word)})" for word in r.context)
+        + ")"
+        for r in recognizers
+        if r.context
+    ]
+    before = (
+        f"lower(substring({text}, greatest({start} - {window_chars}, 0) + 1, "
+        f"{start} - greatest({start} - {window_chars}, 0)))"
     )
-    return f"transform({kept}, s_ -> {row})"
+    # Only recognizers with context words look around their matches.
+    named = ", ".join(quoted(r.name) for r in recognizers if r.context) or "''"
+    return case([(f"{name} IN ({named})", let("before_", before, f"({' OR '.join(tests) or 'false'})"))], "false")
 
 
 def with_spans(documents: DataFrame, recognizers: Sequence[Recognizer] = RECOGNIZERS) -> DataFrame:
@@ -100,27 +114,14 @@ def detect_pii_spans(documents: DataFrame, recognizers: Sequence[Recognizer] = R
 def boosted(
     spans: str = "spans",
     text: str = "text",
-    window_chars: int = 40,
+    window_chars: int = CONTEXT_CHARS,
     boost: str = "0.35",
     recognizers: Sequence[Recognizer] = RECOGNIZERS,
 ) -> str:
     """The spans with in_context and boosted_score: raised (at most to 1) if a
     context word of their recognizer stands in the ``window_chars`` characters
     before them."""
-    tests = [
-        f"s_.recognizer = {quoted(r.name)} AND ("
-        + " OR ".join(f"contains(before_, {quoted(word)})" for word in r.context)
-        + ")"
-        for r in recognizers
-        if r.context
-    ]
-    before = (
-        f"lower(substring({text}, greatest(s_.start - {window_chars}, 0) + 1, "
-        f"s_.start - greatest(s_.start - {window_chars}, 0)))"
-    )
-    # Only recognizers with context words look around their matches.
-    named = ", ".join(quoted(r.name) for r in recognizers if r.context) or "''"
-    near = case([(f"s_.recognizer IN ({named})", let("before_", before, f"({' OR '.join(tests) or 'false'})"))], "false")
+    near = _in_context("s_.start", text, "s_.recognizer", recognizers, window_chars)
     raised = f"least(s_.score + cast({boost} AS {SCORE}), cast(1 AS {SCORE}))"
     row = struct(
         start="s_.start", end="s_.end", entity_type="s_.entity_type", recognizer="s_.recognizer",
@@ -132,7 +133,7 @@ def boosted(
 
 def boost_spans_by_context(
     documents: DataFrame,
-    window_chars: int = 40,
+    window_chars: int = CONTEXT_CHARS,
     boost: str = "0.35",
     recognizers: Sequence[Recognizer] = RECOGNIZERS,
 ) -> DataFrame:
@@ -209,9 +210,7 @@ def merge_second_pass_spans(first_pass: DataFrame, second_pass: DataFrame) -> Da
     return kept.unionByName(free)
 
 
-# Spans per step of a running maximum, and covers per cut of a text: appending
-# to an array copies it, and cutting a text walks to the place.
-SPAN_SLICE = 256
+# Covers per cut of a text: cutting a text walks to the place.
 COVER_SLICE = 64
 
 
@@ -220,52 +219,30 @@ def _with_covers(df: DataFrame) -> DataFrame:
     order of start, each named after its span of the highest score (then the
     longest, then the first).
 
-    A span starts a new cover if it starts at or after the end of all before
-    it. Ends are summed up slice by slice, so the work is linear.
+    A span starts a new cover if it starts at or after the end of all before it.
     """
-    none = "cast(array() AS array<int>)"
-    running = f"struct(-1 AS top, {none} AS tops)"
+    ordered = "array_sort(filter(_spans, s_ -> s_.start >= 0 AND s_.start < s_.end))"
+    fresh = in_slices(
+        "ordered_",
+        "int(-1)",
+        "array<boolean>",
+        lambda top, span: f"struct(greatest({top}, {span}.end) AS next, {span}.start >= {top} AS out)",
+    )
+    heads = "filter(sequence(1, size(ordered_)), i_ -> fresh_[i_ - 1])"
     label = "struct(s_.score AS score, s_.end - s_.start AS length, -s_.start AS place, s_.entity_type AS entity_type)"
     cover = struct(
         start="group_[0].start",
         end="array_max(transform(group_, s_ -> s_.end))",
         entity_type=f"array_max(transform(group_, s_ -> {label})).entity_type",
     )
-    upto = "coalesce(get(_heads, k_ + 1), size(_ordered) + 1)"
-    return (
-        df.withColumn("_ordered", F.expr("array_sort(filter(_spans, s_ -> s_.start >= 0 AND s_.start < s_.end))"))
-        .withColumn(
-            "_tops",
-            F.expr(
-                f"transform(sequence(0, int((size(_ordered) - 1) div {SPAN_SLICE})), i_ -> "
-                f"aggregate(slice(_ordered, i_ * {SPAN_SLICE} + 1, {SPAN_SLICE}), {running}, (acc_, s_) -> "
-                "struct(greatest(acc_.top, s_.end) AS top, concat(acc_.tops, array(acc_.top)) AS tops)))"
-            ),
-        )
-        .withColumn(
-            "_carried",
-            F.expr(
-                f"aggregate(_tops, {running}, (acc_, part_) -> "
-                "struct(greatest(acc_.top, part_.top) AS top, concat(acc_.tops, array(acc_.top)) AS tops), acc_ -> acc_.tops)"
-            ),
-        )
-        .withColumn(
-            "_before",
-            F.expr("flatten(zip_with(_tops, _carried, (part_, at_) -> transform(part_.tops, top_ -> greatest(top_, at_))))"),
-        )
-        .withColumn(
-            "_heads",
-            F.expr(
-                f"CASE WHEN size(_ordered) = 0 THEN {none} ELSE filter(sequence(1, size(_ordered)), "
-                "i_ -> _ordered[i_ - 1].start >= _before[i_ - 1]) END"
-            ),
-        )
-        .withColumn(
-            "_covers",
-            F.expr(f"transform(_heads, (h_, k_) -> {let('group_', f'slice(_ordered, h_, {upto} - h_)', cover)})"),
-        )
-        .drop("_ordered", "_tops", "_carried", "_before", "_heads")
+    upto = "coalesce(get(heads_, k_ + 1), size(ordered_) + 1)"
+    covers = let(
+        "heads_",
+        let("fresh_", fresh, heads),
+        f"transform(heads_, (h_, k_) -> {let('group_', f'slice(ordered_, h_, {upto} - h_)', cover)})",
     )
+    whole = let("ordered_", ordered, f"(CASE WHEN size(ordered_) > 0 THEN {covers} END)")
+    return df.withColumn("_covers", F.expr(f"CASE WHEN size(_spans) > 0 THEN {whole} END"))
 
 
 def _replaced(text: str = "text") -> str:
@@ -363,17 +340,19 @@ def redaction_audit(spans: DataFrame) -> DataFrame:
 
 
 def entity_counts_of(text: str = "text", recognizers: Sequence[Recognizer] = RECOGNIZERS) -> str:
-    """Matches per recognizer, without working out where they are."""
+    """Matches per recognizer; only those that need their context are placed."""
 
     def row(r: Recognizer) -> str:
-        found = match_texts(text, r.pattern)
-        if r.luhn:
-            found = f"filter({found}, hit_ -> {passes_luhn('hit_')})"
-        count = case([(_worth_searching(text, r), f"size({found})")], "0")
+        if r.needs_context:
+            count = f"size({spans_of(text, [r])})"
+        elif r.luhn:
+            count = f"size(filter({match_texts(text, r.pattern)}, hit_ -> {passes_luhn('hit_')}))"
+        else:
+            count = f"size({match_texts(text, r.pattern)})"
+        count = case([(_worth_searching(text, r), count)], "0")
         return struct(entity_type=quoted(r.entity), matches=count)
 
-    body = f"filter(array({', '.join(row(r) for r in recognizers)}), x_ -> x_.matches > 0)"
-    return _with_family_tests(text, recognizers, body)
+    return f"filter(array({', '.join(map(row, recognizers))}), x_ -> x_.matches > 0)"
 
 
 def entity_counts_per_document(documents: DataFrame, recognizers: Sequence[Recognizer] = RECOGNIZERS) -> DataFrame:

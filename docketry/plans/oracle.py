@@ -231,6 +231,11 @@ def luhn(value: str) -> str:
     return LUHN.replace("{d}", f"regexp_replace({value}, '[ -]', '', 'g')")
 
 
+def near(r) -> str:
+    ahead = "lower(substr(t, greatest(span_start - 40, 0) + 1, span_start - greatest(span_start - 40, 0)))"
+    return "(" + " OR ".join(f"contains({ahead}, {q(w)})" for w in r.context) + ")"
+
+
 def spans(table: str) -> str:
     parts = []
     for r in RECOGNIZERS:
@@ -241,14 +246,14 @@ def spans(table: str) -> str:
 SELECT doc_id, {q(r.entity)} AS entity_type, span_start, span_start + length(value) AS span_end,
   CAST({r.score} AS decimal(3,2)) AS score, {q(r.name)} AS recognizer
 FROM (
-  SELECT doc_id, value, CAST({lead} + sum(length(gap)) OVER run + sum(length(whole)) OVER run - length(whole) AS bigint) AS span_start
+  SELECT doc_id, t, value, CAST({lead} + sum(length(gap)) OVER run + sum(length(whole)) OVER run - length(whole) AS bigint) AS span_start
   FROM (
-    SELECT doc_id, unnest(wholes) AS whole, unnest(vals) AS value, unnest(gaps[1:len(wholes)]) AS gap, unnest(range(1, len(wholes) + 1)) AS i
-    FROM (SELECT doc_id, regexp_extract_all(t, {p}, 0) AS wholes, regexp_extract_all(t, {p}, {group}) AS vals, regexp_split_to_array(t, {p}) AS gaps
+    SELECT doc_id, t, unnest(wholes) AS whole, unnest(vals) AS value, unnest(gaps[1:len(wholes)]) AS gap, unnest(range(1, len(wholes) + 1)) AS i
+    FROM (SELECT doc_id, t, regexp_extract_all(t, {p}, 0) AS wholes, regexp_extract_all(t, {p}, {group}) AS vals, regexp_split_to_array(t, {p}) AS gaps
       FROM (SELECT doc_id, {text} AS t FROM {{{table}}}) AS x) AS y
     WHERE len(wholes) > 0) AS z
   WINDOW run AS (PARTITION BY doc_id ORDER BY i)) AS placed
-{"WHERE " + luhn("value") if r.luhn else ""}""")
+{"WHERE " + luhn("value") if r.luhn else ""}{"WHERE " + near(r) if r.needs_context else ""}""")
     return " UNION ALL ".join(parts)
 
 

@@ -58,6 +58,9 @@ SELECT doc_id, batch_id, kind, created_at,
       'Form 1040 Adjusted Gross Income: $' || CAST(price AS string)
       || ' Filing Status: Single Call 1-800-555-0192'
     WHEN doc_id % 4 = 1 THEN 'List A 123-45-6789 B 223-45-6789 C 323-45-6789'
+    WHEN doc_id % 8 = 3 THEN 'Receipt Subtotal $' || CAST(price AS string)
+      || ' Card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 or 41-11 11-11 11-11 11-11 of account 00'
+      || CAST(1000000 + doc_id % 9000000 AS string) || '1 voucher 55' || CAST(10000000 + doc_id % 9000000 AS string)
     ELSE 'Receipt Subtotal $' || CAST(price AS string)
   END AS text
 FROM (

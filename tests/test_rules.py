@@ -2,13 +2,16 @@
 
 import random
 import re
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
-from docketry.functions.recognizers import RECOGNIZERS
+from docketry.functions.recognizers import RECOGNIZERS, Recognizer
 from docketry.operators import authenticity, gates, redaction
 from docketry.sources.pages import assemble_pages
 
@@ -193,6 +196,11 @@ REDACTED = [
     ("write to reed.heron@example.org now", "write to [EMAIL_ADDRESS] now"),
     ("card 5555 5555 5555 4444 ok", "card [CREDIT_CARD] ok"),
     ("card 5555 5555 5555 4445 no", "card 5555 5555 5555 4445 no"),
+    ("card 41 11 11 11 11 11 11 11", "card [CREDIT_CARD]"),
+    ("card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "card [CREDIT_CARD]"),
+    ("card 41-11 11-11 11 1 1-1 1 11", "card [CREDIT_CARD]"),
+    ("account 4455667788 at the bank", "account [US_BANK_NUMBER] at the bank"),
+    ("in a savings book 00998811", "in a savings book [US_BANK_NUMBER]"),
     ("", ""),
     (None, None),
 ]
@@ -263,11 +271,50 @@ def test_spans_equal_a_plain_search(spark):
         for r in RECOGNIZERS
         for m in re.finditer(r.pattern, text)
         if not r.luhn or _luhn(m.group())
+        if not r.needs_context or any(w in text[max(0, m.start() - 40) : m.start()].lower() for w in r.context)
     }
     assert found == expected
     assert len([f for f in found if f[0] == len(REDACTED) + 1]) == 1400
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_no_literal_rejects_what_its_pattern_matches(data):
+    """Also where the match stands in a text; the empty literal rejects nothing."""
+    r = data.draw(st.sampled_from([r for r in RECOGNIZERS if r.literal]))
+    ahead = data.draw(st.sampled_from(["C217 ", "C2170 ", "ssn ", ""]))
+    text = ahead + data.draw(st.from_regex(re.compile(r.pattern), alphabet=st.characters(codec="latin-1")))
+    for match in re.finditer(r.pattern, text):
+        assert r.literal in match.group()
+
+
+def test_generated_matches_are_found(spark):
+    """Texts made from every pattern, one of the user's own among them, and a plain search."""
+    rows = (*RECOGNIZERS, Recognizer("ticket", "TICKET", "0.90", r"\bT(?P<n>\d)-(?:[a-z]{2}){1,3}\b", literal="T"))
+    java = tuple(replace(r, pattern=r.pattern.replace("(?P<", "(?<")) for r in rows)
+    rng, texts = random.Random(4), []
+    digits = ["4111111111111111", "5555555555554444", "4222222222222", "123456789", "12345678901234567"]
+    for _ in range(150):
+        value = rng.choice(digits)
+        broken = "".join(d + rng.choice(["", "", " ", "-"]) for d in value[:-1]) + value[-1]
+        names = rng.choice(["Nadia Q. Okafor", "C217 Nadia Okafor", "1609 Juniper Lane, Unit 7C", "T4-abcd", "a@b.co", "(206) 555-0147"])
+        texts.append(f"{rng.choice(['bank', 'ssn', ''])} {broken} {names} {rng.choice(digits)}")
+    found = {
+        (r.doc_id, r.recognizer, r.start, r.end)
+        for r in redaction.detect_pii_spans(frame(spark, texts), java).collect()
+    }
+    expected = {
+        (i, r.name, m.start(), m.end())
+        for i, text in enumerate(texts)
+        for r in rows
+        for m in re.finditer(r.pattern, text)
+        if not r.luhn or _luhn(m.group())
+        if not r.needs_context or any(w in text[max(0, m.start() - 40) : m.start()].lower() for w in r.context)
+    }
+    assert found == expected
+    assert sum(f[1] == "credit_card" for f in found) > 40
+
+
 def test_counts_equal_spans(spark):
     df = frame(spark, [t for t, _ in REDACTED] + [BANK])
     in_row = ordered(redaction.entity_counts_per_document(df), "doc_id", "entity_count", "pii_types_found")
