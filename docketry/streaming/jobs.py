@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docketry.functions import fixed_values as V
 from docketry.operators.application import status_of_batches
@@ -12,7 +11,7 @@ from docketry.operators.authenticity import with_authenticity
 from docketry.operators.dashboard import RATE
 from docketry.operators.gates import batch_gate, relevance_classify
 from docketry.operators.redaction import redact_text
-from docketry.streaming.replay import run_to_folder
+from docketry.streaming.replay import run_to_folder, run_to_state, state_of
 
 # Spread of a hot duplicate key in the first of two dedup steps.
 DEDUP_SALTS = 32
@@ -122,48 +121,28 @@ def run_request_rate(requests: DataFrame, folder: str) -> DataFrame:
     return run_to_folder(live_request_rate(requests.select("ts")), folder).drop("epoch")
 
 
-# Micro-batches between two compactions of the change log.
-COMPACT_AFTER = 50
-
-
 def newest_jobs(job_events: DataFrame) -> DataFrame:
     """The newest job of each document: (batch_id, document_id, newest)."""
     newest = F.max(F.struct("created_at", (-F.col("job_id")).alias("_order"), "status"))
     return job_events.groupBy("batch_id", "document_id").agg(newest.alias("newest"))
 
 
-def run_batch_status(
-    job_events: DataFrame, batches: DataFrame, folder: str, compact_after: int = COMPACT_AFTER
-) -> DataFrame:
+def run_batch_status(job_events: DataFrame, batches: DataFrame, folder: str) -> DataFrame:
     """Status of every batch after the events so far.
 
-    The stream keeps no state: each micro-batch stores the newest job of the
-    documents it has seen, and the newest of those counts. After
-    ``compact_after`` micro-batches the log is summed up in a base, one row per
-    document, and later runs read that and what came after. Folders of
-    micro-batches that a base holds are read no more and may be deleted.
+    The newest job of each document is the keyed state of the stream, one row for a
+    document, in the state store under ``folder``. It is read as of the last
+    micro-batch that was committed, so a run that was cut off counts as far as it
+    came, and the next one goes on from there. Nothing else is stored.
     """
-    spark = job_events.sparkSession
-    log = run_to_folder(job_events, folder, each=newest_jobs)
-    base = f"{folder}/base"
-    shape = T.StructType([*log.drop("epoch").schema.fields, T.StructField("upto", T.LongType())])
-    # The first, empty base lets every run read the folder in the same way.
-    spark.createDataFrame([], shape).drop("upto").write.mode("overwrite").parquet(f"{base}/upto=-1")
-    bases = spark.read.schema(shape).parquet(base)
-    done = bases.agg(F.max("upto")).first()[0]
-    done = -1 if done is None else done
-    since = log.where(F.col("epoch") > done)
-    newest = (
-        bases.where(F.col("upto") == done)
-        .drop("upto")
-        .unionByName(since.drop("epoch"))
-        .groupBy("batch_id", "document_id")
-        .agg(F.max("newest").alias("newest"))
-    )
-    last = since.agg(F.max("epoch")).first()[0]
-    if last is not None and last - done >= compact_after:
-        newest.write.mode("overwrite").parquet(f"{base}/upto={last}")
-        newest = spark.read.schema(newest.schema).parquet(f"{base}/upto={last}")
+    run_to_state(newest_jobs(job_events), folder)
+    return stored_batch_status(batches, folder)
+
+
+def stored_batch_status(batches: DataFrame, folder: str) -> DataFrame:
+    """The same from what earlier runs on the folder have committed."""
+    state = state_of(batches.sparkSession, folder)
+    newest = state.select("key.batch_id", "value.*").toDF("batch_id", "newest")
     return status_of_batches(batches, newest.select("batch_id", "newest.status"))
 
 

@@ -77,3 +77,21 @@ def run_to_folder(
     )
     query.awaitTermination()
     return spark.read.schema(empty).parquet(rows)
+
+
+def run_to_state(stream: DataFrame, folder: str) -> None:
+    """Run an aggregating stream to the end of the available input; only its state
+    is kept."""
+    query = (
+        stream.writeStream.format("noop")
+        .outputMode("update")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def state_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The state of the last micro-batch that was committed: (key, value, partition_id)."""
+    return spark.read.format("statestore").load(f"{folder}/checkpoint")

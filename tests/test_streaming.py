@@ -85,14 +85,13 @@ def test_restart_adds_nothing(spark, tmp_path):
         assert stored.count() == 10
 
 
-@pytest.mark.parametrize("compact_after", [1, 50])
-def test_batch_status_follows_the_newest_job(spark, tmp_path, compact_after):
+def test_batch_status_follows_the_newest_job(spark, tmp_path):
     schema = "job_id long, document_id long, batch_id long, created_at timestamp, status string"
     source, out = tmp_path / "in", str(tmp_path / "out")
     batches = spark.createDataFrame([(1,), (2,), (3,)], "batch_id long")
 
     def statuses():
-        found = jobs.run_batch_status(table_stream(spark, str(source)), batches, out, compact_after)
+        found = jobs.run_batch_status(table_stream(spark, str(source)), batches, out)
         return {r.batch_id: r.status for r in found.collect()}
 
     arrive(spark, source, [(1, 1, 1, at(0), "RUNNING"), (2, 2, 1, at(0), "SUCCEEDED"), (3, 3, 2, at(0), "FAILED")], schema)
@@ -101,6 +100,27 @@ def test_batch_status_follows_the_newest_job(spark, tmp_path, compact_after):
     assert statuses() == {1: "SUCCEEDED", 2: "FAILED", 3: "EMPTY"}
 
 
+def test_batch_status_after_a_run_that_was_cut_off(spark, tmp_path):
+    """The micro-batch that failed leaves nothing; the next run takes it up again."""
+    schema = "job_id long, document_id long, batch_id long, created_at timestamp, status string"
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    batches = spark.createDataFrame([(1,), (2,)], "batch_id long")
+
+    def found(frame):
+        return {r.batch_id: r.status for r in frame.collect()}
+
+    arrive(spark, source, [(1, 1, 1, at(0), "RUNNING")], schema)
+    assert found(jobs.run_batch_status(table_stream(spark, str(source)), batches, out)) == {1: "RUNNING", 2: "EMPTY"}
+    arrive(spark, source, [(2, 1, 1, at(60), "SUCCEEDED"), (3, 2, 2, at(0), "FAILED")], schema)
+    broken = table_stream(spark, str(source)).withColumn(
+        "status", F.when(F.col("status") == "FAILED", F.raise_error(F.lit("lost"))).otherwise(F.col("status"))
+    )
+    with pytest.raises(Exception, match="lost"):
+        jobs.run_batch_status(broken, batches, out)
+    assert found(jobs.stored_batch_status(batches, out)) == {1: "RUNNING", 2: "EMPTY"}
+    assert found(jobs.run_batch_status(table_stream(spark, str(source)), batches, out)) == {1: "SUCCEEDED", 2: "FAILED"}
+
+
 def test_stuck_sessions(spark, tmp_path):
     schema = "event_id long, ts timestamp, batch_id long, job_id long, status string"
     source, out = tmp_path / "in", str(tmp_path / "out")
