@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame that is written as Parquet and read again as the docs of
 the next. All but the last return the columns of documents.
 
-Each stage judges rows, so repeated rows, null texts and null ids pass or fail
-by the rules that the operators state; an empty table stays empty.
+Each stage judges rows, whatever ids they share or lack; null texts pass or fail by
+the rules that the operators state; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_regular(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without lines above the limits."""
     ready(spark)
-    cleaned = quality_rules.clean_documents(docs, quality_rules.ABSOLUTE)
+    cleaned = quality_rules.clean_documents(docs)
     return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies."""
+    """One row of each group of near copies, that of the smallest id."""
     ready(spark)
     return simhash.drop_near_duplicates(docs)
 

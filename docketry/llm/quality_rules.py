@@ -2,23 +2,26 @@
 
 The rules count words, symbols, repeated lines and repeated 8-word windows of a
 text. Lines are normalised (lower case, digits as 0, single spaces), hashed with
-their host, and each document counts once per line. A line above the limits (in
-more than ``max_docs`` documents and more than ``max_share_percent`` of the documents of
-its host) is removed everywhere but in the host's document of the smallest id
-that has it. A document that keeps less than ``min_left_percent`` of its words is
-depleted. ``ABSOLUTE`` has no share, so a limit means the same in a host of any
-size, and a far lower count for lines of more than ``long_words`` words.
-
-Scale: line counts are combined before the shuffle, so a line of a third of all
-documents is one row per task; lines travel as two numbers and meet the few
-lines above the limits in a join whose hot keys adaptive execution splits; only
-removed lines are gathered per document. The rules run in the row, over Arrow
-batches.
+their host, and each document (id) counts once per line. A line in more than
+``max_docs`` documents of its host, or in more than ``max_docs_long`` if it has more
+than ``long_words`` words, is removed everywhere but in the host's document of the
+smallest id that has it. Limits are counts of documents, so they mean the same in a
+host of any size. A document that keeps less than ``min_left_percent`` of its words
+is depleted.
+
+Scale: texts are taken apart into lines once; the lines are stored as numbers.
+Rows of a line are counted first, combined before the shuffle; only lines whose
+rows exceed a limit are then counted by distinct document, spread by line and
+document, so a line of a third of all documents is many groups. The stored lines
+meet the few lines above the limits in a join whose hot keys adaptive execution
+splits; only removed lines are gathered per document. The rules run in the row, over
+Arrow batches.
 
 Edge cases: null and empty texts have no words and fail the rules; null hosts
-are one host; a row is a document for the counts, rows of equal id, host and
-text share a verdict; a line that only null ids hold is removed from all; an
-empty table gives no rows; other columns may have any names.
+are one host; rows of one id are one document for the counts, rows without an id
+one for each different text; rows of equal id, host and text share a verdict; a line
+that only null ids hold is removed from all; an empty table gives no rows; other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.session import work_folder
+
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -43,21 +48,15 @@ class Limits:
     min_words: int = 20
     max_repeat_percent: int = 30
     max_docs: int = 20
-    max_share_percent: int = 5
     min_left_percent: int = 30
     long_words: int = 50
-    max_docs_long: int | None = None  # None: long lines are as others
+    max_docs_long: int = 3
 
     def exceeded(self, docs: Column, words: Column) -> Column:
-        """By the count of documents alone."""
-        common = docs > self.max_docs
-        if self.max_docs_long is None:
-            return common
-        return common | ((words > self.long_words) & (docs > self.max_docs_long))
+        return (docs > self.max_docs) | ((words > self.long_words) & (docs > self.max_docs_long))
 
 
 DEFAULT = Limits()
-ABSOLUTE = Limits(max_share_percent=0, max_docs_long=3)
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -120,68 +119,57 @@ def line_hash(host: Column, line: Column) -> Column:
     return F.xxhash64(F.coalesce(host, F.lit("")), F.lit("\n"), line)
 
 
-def frequent_lines(
-    documents: DataFrame, limits: Limits, key: str, text: str, host: str
-) -> DataFrame:
-    """(line, spared) of the lines above the limits; ``line`` is the hash."""
-    lines = documents.select(
+def content_key(key: str, text: str, host: str) -> Column:
+    """One number for rows of equal id, host and text."""
+    return F.xxhash64(F.col(key), F.col(host), F.col(text))
+
+
+def stored_lines(documents: DataFrame, key: str, text: str, host: str) -> DataFrame:
+    """(row_key, doc_key, nth, words, line) of every line with a word; ``line`` is
+    its hash with the host."""
+    path = work_folder(documents.sparkSession, "lines")
+    documents.select(
+        content_key(key, text, host).alias("row_key"),
         F.col(key).alias("doc_key"),
         F.col(host).alias("doc_host"),
-        F.explode(
-            F.array_distinct(F.transform(F.split(F.col(text), "\n"), normalised))
-        ).alias("content"),
-    ).where("content <> ''")
-    counted = (
-        lines.select(
-            "doc_key",
-            "doc_host",
-            line_words(F.col("content")).alias("words"),
-            line_hash(F.col("doc_host"), F.col("content")).alias("line"),
-        )
+        F.posexplode(F.transform(F.split(F.col(text), "\n"), normalised)).alias("nth", "content"),
+    ).where("content <> ''").select(
+        "row_key",
+        "doc_key",
+        "nth",
+        line_words(F.col("content")).alias("words"),
+        line_hash(F.col("doc_host"), F.col("content")).alias("line"),
+    ).write.parquet(path)
+    return documents.sparkSession.read.parquet(path)
+
+
+def frequent_lines(lines: DataFrame, limits: Limits) -> DataFrame:
+    """(line, spared) of the lines above the limits."""
+    rows = lines.groupBy("line").agg(F.count(F.lit(1)).alias("rows"), F.first("words").alias("words"))
+    likely = rows.where(limits.exceeded(F.col("rows"), F.col("words"))).select("line")
+    nameless = F.when(F.col("doc_key").isNull(), F.col("row_key"))
+    return (
+        lines.join(likely, "line", "left_semi")
+        .groupBy("line", "doc_key", nameless.alias("nameless"))
+        .agg(F.first("words").alias("words"))
         .groupBy("line")
         .agg(
             F.count(F.lit(1)).alias("docs"),
             F.min("doc_key").alias("spared"),
-            F.first("doc_host").alias("line_host"),
             F.first("words").alias("words"),
         )
         .where(limits.exceeded(F.col("docs"), F.col("words")))
-    )
-    if not limits.max_share_percent:
-        return counted.select("line", "spared")
-    hosts = documents.groupBy(F.col(host).alias("of_host")).agg(F.count(F.lit(1)).alias("host_docs"))
-    return (
-        counted.join(hosts, F.col("line_host").eqNullSafe(F.col("of_host")))
-        .where(F.col("docs") * 100 > F.col("host_docs") * limits.max_share_percent)
         .select("line", "spared")
     )
 
 
-def content_key(key: str, text: str, host: str) -> Column:
-    """One number for rows of equal id, host and text."""
-    return F.xxhash64(F.col(key), F.col(host), F.col(text))
-
-
-def removed_lines(
-    documents: DataFrame, limits: Limits, key: str, text: str, host: str
-) -> DataFrame:
+def removed_lines(documents: DataFrame, limits: Limits, key: str, text: str, host: str) -> DataFrame:
     """(removed_from, removed_words, removed): hashes of the lines a row loses."""
-    lines = documents.select(
-        content_key(key, text, host).alias("removed_from"),
-        F.col(key).alias("doc_key"),
-        F.col(host).alias("doc_host"),
-        F.posexplode(F.transform(F.split(F.col(text), "\n"), normalised)).alias("nth", "content"),
-    ).where("content <> ''")
+    lines = stored_lines(documents, key, text, host)
     return (
-        lines.select(
-            "removed_from",
-            "doc_key",
-            "nth",
-            line_words(F.col("content")).alias("words"),
-            line_hash(F.col("doc_host"), F.col("content")).alias("line"),
-        )
-        .join(frequent_lines(documents, limits, key, text, host), "line")
-        .where(~F.col("spared").eqNullSafe(F.col("doc_key")))
+        lines.join(frequent_lines(lines, limits), "line")
+        .where(~F.coalesce(F.col("spared") == F.col("doc_key"), F.lit(False)))
+        .select(F.col("row_key").alias("removed_from"), "nth", "words", "line")
         .distinct()  # rows of equal content
         .groupBy("removed_from")
         .agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))

@@ -67,7 +67,7 @@ def test_a_limit_means_the_same_in_a_hot_host(spark, others):
     data += [(i, own[i], "h") for i in range(29, 30 + others)]
     data += [(5_000 + i, f"{own[i]} {own[i][::-1]}\n{passage}", "other") for i in range(3)]
     frame = documents(spark, data)
-    limits = replace(Q.ABSOLUTE, max_repeat_percent=100)
+    limits = replace(Q.DEFAULT, max_repeat_percent=100)
     lost = {r.doc_id: r.removed_words for r in Q.quality_verdicts(frame, limits).collect()}
     assert {i: n for i, n in lost.items() if n} == dict.fromkeys(range(1, 25), 2) | dict.fromkeys(range(26, 29), 51)
     cleaned = {r.doc_id: r.text for r in corpus_pipeline.keep_regular(spark, frame, "").collect()}
@@ -87,6 +87,20 @@ def test_awkward_rows(spark):
     assert Q.quality_verdicts(documents(spark, [])).collect() == []
 
 
+def test_documents_are_counted_by_id(spark):
+    """Eleven documents, each there twice, are eleven; without ids each text is one."""
+    shared = "a line that all of them share"
+    twice = [(i % 11, f"{shared}\nown{chr(97 + i % 11)}") for i in range(22)]
+    assert {r.removed_words for r in Q.quality_verdicts(documents(spark, twice)).collect()} == {0}
+    more = [(i, f"{shared}\nown{chr(97 + i)}") for i in range(21)] * 2
+    lost = [r.removed_words for r in Q.quality_verdicts(documents(spark, more)).collect()]
+    assert sorted(lost) == [0] * 2 + [7] * 40
+    nameless = [(None, f"{shared}\nown{chr(97 + i)}") for i in range(21)]
+    assert {r.removed_words for r in Q.quality_verdicts(documents(spark, nameless)).collect()} == {7}
+    same = [(None, f"{shared}\nown")] * 30
+    assert {r.removed_words for r in Q.quality_verdicts(documents(spark, same)).collect()} == {0}
+
+
 def test_repeated_rows_lose_each_line_once(spark):
     rows_ = [(i, "a common line of the host\n" + "w" * (i + 1)) for i in range(30)] + [
         (5, "a common line of the host\n" + "w" * 6)
