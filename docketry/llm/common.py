@@ -38,6 +38,12 @@ def id_remainder(key: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % parts
 
 
+def content_of(*values: Column) -> Column:
+    """128 bits that stand for the values: two hashes; null counts as a value."""
+    tagged = [part for v in values for part in (v, v.isNull())]
+    return F.concat_ws(":", F.xxhash64(*tagged).cast("string"), F.xxhash64(F.lit(7), *tagged).cast("string"))
+
+
 def running_starts(amounts: DataFrame, place: str, amount: str, block: int = 1024) -> DataFrame:
     """(of_place, before): the sum of ``amount`` over all smaller places.
 

@@ -35,7 +35,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import LOWER, UPPER
+from docketry.llm.common import LOWER, UPPER, content_of
 from docketry.llm.urls import BLOCKS, WORDS, bits_of, block_of, bloom_filter
 from docketry.session import work_folder
 
@@ -221,14 +221,19 @@ def rarest_pairs(index: DataFrame, items: TestItems, size: int = SIZE) -> DataFr
     """(item, a, b, apart): the two rarest different terms of each window among
     those that have postings, and their smallest distance in the window."""
     counts = index.where("term >= 0").groupBy("term").agg(F.count(F.lit(1)).alias("postings"))
-    placed = items.places.join(counts, "term").join(items.items.select("item", "n"), "item")
+    # equal counts in the order of the words, which no numbering of terms changes
+    placed = (
+        items.places.join(counts, "term")
+        .join(items.terms, "term")
+        .join(items.items.select("item", "n"), "item")
+    )
     first = F.greatest(F.col("at") - (size - 1), F.lit(0))
     last = F.least(F.col("at"), F.greatest(F.col("n") - size, F.lit(0)))
     places = lambda term: F.filter("places", lambda p: p["term"] == F.col(term))
     return (
         placed.withColumn("window", F.explode(F.sequence(first, last)))
         .groupBy("item", "window")
-        .agg(F.sort_array(F.collect_list(F.struct("postings", "term", "at"))).alias("places"))
+        .agg(F.sort_array(F.collect_list(F.struct("postings", "word", "term", "at"))).alias("places"))
         .withColumn("a", F.col("places")[0]["term"])
         .withColumn("b", F.get(F.filter("places", lambda p: p["term"] != F.col("a")), F.lit(0))["term"])
         .where(F.col("b").isNotNull())
@@ -357,11 +362,13 @@ def contamination(
 def drop_contaminated(
     documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows whose id no contaminated row has; rows without an id stay."""
+    """The rows that are not contaminated themselves. The verdict depends on the text
+    alone, so rows are matched by it (by two hashes), whatever their ids."""
+    judged = documents.select(content_of(F.col(text)).alias("content"), F.col(text).alias("judged"))
     gone = (
-        contamination(documents, benchmark, key=key, text=text, slop=None)
+        contamination(judged, benchmark, key="content", text="judged", slop=None)
         .where("contaminated")
-        .select(F.col(key).alias("dropped"))
+        .select(F.col("content").alias("dropped"))
         .distinct()
     )
-    return documents.join(gone, F.col(key) == F.col("dropped"), "left_anti")
+    return documents.join(gone, content_of(F.col(text)) == F.col("dropped"), "left_anti")

@@ -69,11 +69,9 @@ lines AS (
           unnest(range(len(string_split(text, chr(10))))) AS nth FROM d)),
 dups AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE norm <> '' GROUP BY doc_id),
-hosts AS (SELECT source, count(*) AS host_docs FROM documents GROUP BY source),
 frequent AS (
-  SELECT l.source, norm, min(doc_id) AS spared FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  WHERE norm <> '' GROUP BY l.source, norm
-  HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) * 100 > any_value(host_docs) * 5),
+  SELECT source, norm, min(doc_id) AS spared FROM lines WHERE norm <> '' GROUP BY source, norm
+  HAVING count(DISTINCT doc_id) > CASE WHEN len(string_split(norm, ' ')) > 50 THEN 3 ELSE 20 END),
 removed AS (
   SELECT l.doc_id, sum(len(string_split(l.norm, ' '))) AS removed_words FROM lines l
   JOIN frequent f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source
@@ -112,11 +110,42 @@ hit AS (
   FROM found, LATERAL (SELECT unnest(generate_series(i, i + size - 1)) AS p) GROUP BY doc_id),
 named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id),
+item_terms AS (SELECT item_id, unnest(w) AS term, unnest(range(len(w))) AS pos, len(w) AS n FROM b),
+doc_terms AS (
+  SELECT doc_id, term, pos FROM (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d)
+  WHERE term IN (SELECT term FROM item_terms)),
+postings AS (SELECT term, count(*) AS postings FROM doc_terms GROUP BY term),
+inside AS (
+  SELECT item_id, start, t.term, pos, postings
+  FROM item_terms t JOIN postings USING (term),
+    LATERAL (SELECT unnest(generate_series(greatest(pos - 12, 0), least(pos, greatest(n - 13, 0)))) AS start)),
+ranked AS (
+  SELECT item_id, start, term, row_number() OVER (PARTITION BY item_id, start ORDER BY postings, term) AS rank
+  FROM (SELECT DISTINCT item_id, start, term, postings FROM inside)),
+rare AS (
+  SELECT x.item_id, x.start, x.term AS a, y.term AS b FROM ranked x JOIN ranked y USING (item_id, start)
+  WHERE x.rank = 1 AND y.rank = 2),
+pairs AS (
+  SELECT item_id, a, b, max(apart) AS apart FROM (
+    SELECT r.item_id, r.start, a, b, min(abs(x.pos - y.pos)) AS apart FROM rare r
+    JOIN inside x ON x.item_id = r.item_id AND x.start = r.start AND x.term = a
+    JOIN inside y ON y.item_id = r.item_id AND y.start = r.start AND y.term = b GROUP BY ALL)
+  GROUP BY item_id, a, b),
+wanted AS (SELECT a, b, max(apart) + 5 AS reach FROM pairs GROUP BY a, b),
+distances AS (
+  SELECT x.doc_id, a, b, min(abs(x.pos - y.pos)) AS distance
+  FROM wanted JOIN doc_terms x ON x.term = a JOIN doc_terms y ON y.term = b AND y.doc_id = x.doc_id
+  WHERE abs(x.pos - y.pos) <= reach GROUP BY x.doc_id, a, b),
+close_to AS (
+  SELECT doc_id, count(*) AS n_near, string_agg(id, ',' ORDER BY id) AS near_ids FROM (
+    SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id
+    FROM distances JOIN pairs USING (a, b) WHERE distance <= apart + 5) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(near_ids, '')) AS near_sha256
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN close_to USING (doc_id)
 """
 
 ORACLES["op13_merkle_manifest"] = r"""

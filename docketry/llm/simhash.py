@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.common import ascii_lower_bytes
+from docketry.llm.common import ascii_lower_bytes, content_of
 from docketry.session import work_folder
 
 BITS = 64
@@ -282,18 +282,20 @@ def star_components(links: DataFrame, purpose: str = "links") -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(
+def components(
     documents: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
+    key: str,
+    text: str,
+    carried: tuple[Column, ...] = (),
     distance: int = DISTANCE,
     blocks: int = BLOCKS,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """(key, print, component_id) of every row."""
+    """(key, print, carried columns, root, component_id) of every row. ``root`` is the
+    fingerprint that names a component, also one without ids."""
     spark = documents.sparkSession
     path = work_folder(spark, "fingerprints")
-    documents.select(F.col(key), fingerprints(F.col(text)).alias("print")).write.parquet(path)
+    documents.select(F.col(key), fingerprints(F.col(text)).alias("print"), *carried).write.parquet(path)
     printed = spark.read.parquet(path)
     nodes = printed.groupBy("print").agg(F.min(key).alias("least"))
     stars = star_components(candidate_links(nodes.select("print"), distance, blocks, chunk))
@@ -306,18 +308,49 @@ def near_duplicates(
         .groupBy(F.col("root").alias("of_root"))
         .agg(F.min("least").alias("component"))
     )
-    components = rooted.join(smallest, F.col("root") == F.col("of_root"), "left").select(
-        F.col("print").alias("of_print"), F.coalesce("component", "least").alias("component_id")
+    named = rooted.join(smallest, F.col("root") == F.col("of_root"), "left").select(
+        F.col("print").alias("of_print"), "root", F.coalesce("component", "least").alias("component_id")
     )
-    return printed.join(components, F.col("print") == F.col("of_print")).drop("of_print")
+    return printed.join(named, F.col("print") == F.col("of_print")).drop("of_print")
+
+
+def near_duplicates(
+    documents: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    distance: int = DISTANCE,
+    blocks: int = BLOCKS,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """(key, print, component_id) of every row."""
+    return components(documents, key, text, (), distance, blocks, chunk).drop("root")
 
 
 def drop_near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of each component's smallest id; rows without an id stay."""
-    others = (
-        near_duplicates(documents, key, text)
-        .where(F.col(key) != F.col("component_id"))
-        .select(F.col(key).alias("dropped"))
-        .distinct()
+    """One row of each component: one of the smallest id, null ids last.
+
+    Of the rows that share this id the one of the smallest content hash stays, and
+    of rows alike in all columns one. Decided by row: what other rows of the same id
+    do in other components does not matter.
+    """
+    spark = documents.sparkSession
+    content = content_of(*(F.col(f"`{c}`").cast("string") for c in documents.columns))
+    chosen = (
+        components(documents, key, text, (content.alias("content"),))
+        .groupBy("root", "content")  # copies count as one before a component meets
+        .agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("copies"))
+        .groupBy("root")
+        .agg(F.min(F.struct(F.col("id").isNull(), "id", "content", "copies")).alias("first"))
+        .select(F.col("first.content").alias("chosen"), "first.copies")
+    )
+    path = work_folder(spark, "near-duplicate-rows")
+    chosen.write.parquet(path)
+    chosen = spark.read.parquet(path)
+    kept = documents.join(chosen.where("copies = 1"), content == F.col("chosen"), "left_semi")
+    repeated = chosen.where("copies > 1")
+    if repeated.isEmpty():
+        return kept
+    alike = documents.withColumn("chosen_content", content).join(
+        repeated, F.col("chosen_content") == F.col("chosen"), "left_semi"
     )
-    return documents.join(others, F.col(key) == F.col("dropped"), "left_anti")
+    return kept.unionByName(alike.dropDuplicates(["chosen_content"]).drop("chosen_content"))

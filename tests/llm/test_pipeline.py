@@ -79,6 +79,33 @@ def test_every_document_is_encoded(stages):
     assert after.groupBy("doc_id").agg(F.countDistinct("ids").alias("n")).where("n < 1").count() == 0
 
 
+A = "the quick brown fox jumps over the lazy dog and runs far away from here"
+B = "an entirely different text about boats that sail on the wide open sea at night"
+
+
+def test_near_duplicates_are_decided_by_row(spark):
+    """One row for each group, whatever ids its rows share with other groups."""
+    rows = [(1, A), (2, A), (2, B), (1, A), (None, A)]
+    kept = corpus_pipeline.keep_one_of_each(spark, documents(spark, rows), "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, A), (2, B)]
+    nameless = corpus_pipeline.keep_one_of_each(spark, documents(spark, [(None, A), (None, A), (None, B)]), "").collect()
+    assert sorted((r.doc_id, r.text) for r in nameless) == sorted([(None, A), (None, B)])
+    sources = documents(spark, [(3, A, "x"), (3, A, "y"), (3, A, "y"), (3, A, None)])
+    assert corpus_pipeline.keep_one_of_each(spark, sources, "").count() == 1
+
+
+def test_contamination_is_decided_by_row(spark, tmp_path):
+    from helpers import written
+
+    item = spark.createDataFrame([(1, A)], "item_id long, text string")
+    folder = written(spark, item, tmp_path, "benchmark")
+    rows = [(1, A), (1, B), (None, A), (None, B), (None, None), (2, B), (2, B), (3, f"{B} {A}")]
+    kept = corpus_pipeline.keep_unseen(spark, documents(spark, rows), folder).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(
+        [(1, B), (None, B), (None, None), (2, B), (2, B)], key=repr
+    )
+
+
 @pytest.mark.parametrize("data", [[], AWKWARD])
 def test_stages_take_awkward_tables(spark, tables, data):
     docs = documents(spark, data)

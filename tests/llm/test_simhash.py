@@ -95,7 +95,7 @@ def test_awkward_rows(spark):
     assert component[None] is None
     kept = S.drop_near_duplicates(frame)
     assert kept.columns == frame.columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 4, 6, 7]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 6, 7]  # one of the two rows alike
     assert S.near_duplicates(documents(spark, [])).collect() == []
 
 
