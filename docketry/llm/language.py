@@ -198,16 +198,19 @@ def learnt_from(
     frequent = (
         rows.groupBy("own_language").count().orderBy(F.desc("count"), "own_language").limit(MAX_LANGUAGES)
     )
-    by_hash = Window.partitionBy("own_language").orderBy("order", "own_key", "text_hash")
+    # A row's place among all, 0 to 1, by hash: twice as many as needed are ranked,
+    # whatever the number of rows, and rows that repeat are one.
+    place = F.shiftrightunsigned(F.xxhash64("own_key", "own_text"), 11) / float(1 << 53)
+    of = F.col("own_language") == F.col("of_language")
+    by_place = Window.partitionBy("of_language").orderBy("place", "of_key")
     chosen = (
-        rows.select(
-            "own_key", "own_language", F.xxhash64("own_key").alias("order"), F.xxhash64("own_text").alias("text_hash")
-        )
-        .withColumn("nth", F.row_number().over(by_hash))
-        .where(F.col("nth") <= per_language)
-        .join(F.broadcast(frequent.select(F.col("own_language").alias("of_language"))), F.col("own_language") == F.col("of_language"))
-        .select(F.col("own_key").alias("of_key"), F.col("text_hash").alias("of_hash"), "of_language")
+        rows.select(F.col("own_key").alias("of_key"), "own_language", place.alias("place"))
+        .join(F.broadcast(frequent.select(F.col("own_language").alias("of_language"), "count")), of)
+        .where(F.col("place") * F.col("count") <= 2 * per_language)
+        .select("of_key", "of_language", "place")
         .distinct()
+        .withColumn("nth", F.row_number().over(by_place))
+        .where(F.col("nth") <= per_language)
     )
 
     @F.pandas_udf("binary")
@@ -216,8 +219,8 @@ def learnt_from(
 
     same = (
         F.col("own_key").eqNullSafe(F.col("of_key"))
-        & (F.xxhash64("own_text") == F.col("of_hash"))
-        & (F.col("own_language") == F.col("of_language"))
+        & (place == F.col("place"))
+        & of
     )
     return rows.join(F.broadcast(chosen), same).select("own_language", "own_key", sampled("own_text").alias("windows"))
 
