@@ -203,18 +203,20 @@ def path_sums(
     sums = np.full(int(bounds[-1]) + len(lengths), -np.inf)
     sums[first] = 0.0
     distance = np.arange(len(sums)) - np.repeat(first, lengths + 1)
-    order = np.lexsort((target, distance[target]))
+    order = np.argsort(distance[target] * len(sums) + target, kind="stable")
     source, target, weight = source[order], target[order], weight[order]
     steps = np.searchsorted(distance[target], np.arange(1, int(lengths.max(initial=0)) + 2))
-    for a, b in zip(steps[:-1], steps[1:]):
+    heads = np.flatnonzero(np.diff(target, prepend=-1))
+    sizes = np.diff(heads, append=len(target))
+    cuts = np.searchsorted(heads, steps)
+    for a, b, i, j in zip(steps[:-1], steps[1:], cuts[:-1], cuts[1:]):
         if a == b:
             continue
         values = sums[source[a:b]] + weight[a:b]
-        heads = np.flatnonzero(np.r_[True, target[a + 1 : b] != target[a : b - 1]])
-        most = np.maximum.reduceat(values, heads)
-        sizes = np.diff(np.r_[heads, b - a])
-        total = np.add.reduceat(np.exp(values - np.repeat(most, sizes)), heads)
-        sums[target[a + heads]] = most + np.log(total)
+        most = np.maximum.reduceat(values, heads[i:j] - a)
+        values -= np.repeat(most, sizes[i:j])
+        total = np.add.reduceat(np.exp(values, out=values), heads[i:j] - a)
+        sums[target[heads[i:j]]] = most + np.log(total)
     return sums
 
 

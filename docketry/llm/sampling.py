@@ -105,18 +105,16 @@ class Lattices:
 
     def ids(self, units: list[str]) -> np.ndarray:
         """Number of each unit; builds the lattices of new ones."""
-        found = list(map(self.unit_ids.get, units))
-        if None not in found:
-            return np.array(found, np.int64)
-        new = list(dict.fromkeys(u for u, i in zip(units, found) if i is None))
-        if not self.add(new):
-            distinct = list(dict.fromkeys(units))
+        distinct = dict.fromkeys(units)
+        new = [u for u in distinct if u not in self.unit_ids]
+        if new and not self.add(new):
+            new = list(distinct)
             self.allocate(MAX_NODES, MAX_EDGES)
-            if not self.add(distinct):
-                size = sum(map(len, distinct))
-                self.allocate(size + len(distinct), 17 * size)
-                self.add(distinct)
-        return np.array(list(map(self.unit_ids.get, units)), np.int64)
+            if not self.add(new):
+                size = sum(map(len, new))
+                self.allocate(size + len(new), 17 * size)
+                self.add(new)
+        return np.fromiter(map(self.unit_ids.__getitem__, units), np.int64, len(units))
 
     def add(self, units: list[str]) -> bool:
         """False, and nothing is added, if they do not fit."""
@@ -151,7 +149,7 @@ class Lattices:
         self.is_end[a : a + nodes] = False
         self.is_end[a + ends] = True
         start = len(self.unit_ids)
-        self.unit_ids.update((u, start + i) for i, u in enumerate(units))
+        self.unit_ids.update(zip(units, range(start, start + len(units))))
         self.first = np.r_[self.first, a + bounds[:-1] + np.arange(len(units))]
         self.n_nodes, self.n_edges = a + nodes, b + n
         return True
@@ -324,12 +322,17 @@ def piece_ids(tables: Lattices, path: np.ndarray) -> np.ndarray:
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
         return ids
-    parts, last = [], 0
-    for i in bare:
-        data = lattice.bytes_of(-1 - int(ids[i]))
-        parts += [ids[last:i], tables.vocabulary.byte_ids[list(data)].astype(np.int32)]
-        last = i + 1
-    return np.concatenate([*parts, ids[last:]])
+    # Each character without a piece gives way to the ids of its bytes.
+    kinds, which = np.unique(ids[bare], return_inverse=True)
+    spelled = [tables.vocabulary.byte_ids[list(lattice.bytes_of(-1 - int(k)))].astype(np.int32) for k in kinds]
+    sizes = np.ones(len(ids), np.int64)
+    sizes[bare] = np.array([len(x) for x in spelled])[which]
+    out = np.repeat(ids, sizes)
+    starts = np.cumsum(sizes) - sizes
+    for kind, data in enumerate(spelled):
+        at = starts[bare[which == kind]]
+        out[at[:, None] + np.arange(len(data))] = data
+    return out
 
 
 def units_of(text: str | None, pattern: re.Pattern) -> list[str]:
@@ -441,7 +444,7 @@ def decode(spark: SparkSession, ids: Column, vocabulary_path: str) -> Column:
         def one(found) -> str | None:
             if found is None:
                 return None
-            data = b"".join([pieces[i] for i in found])
+            data = b"".join(map(pieces.__getitem__, found.tolist()))
             return data.removeprefix(b" ").decode("utf-8", "replace")
 
         return lists.map(one, na_action=None)
