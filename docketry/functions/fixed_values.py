@@ -217,3 +217,8 @@ SCRAPE_SECONDS = 15
 RATE_WINDOW_SECONDS = 120
 LATENCY_WINDOW_SECONDS = 300
 STUCK_AFTER_SECONDS = 120
+
+# What changes from payment to payment in a description: words with a digit, with
+# the label in front of them; then signs left at the end. Ours.
+CHANGING_WORDS = r"(?i)(\b(?:ref|reference|no|nr|id|conf|trace|inv|invoice|txn|trn)\b[.:#]*\s*)?\S*[0-9]\S*"
+LOOSE_ENDS = r"[ .:#*/-]+$"

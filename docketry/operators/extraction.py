@@ -257,22 +257,35 @@ def average_daily_balance(statements: DataFrame, transactions: DataFrame) -> Dat
     )
 
 
+def expense_category(description: Column) -> Column:
+    """The words of a description that stay from payment to payment.
+
+    Dates, amounts and reference numbers (words with a digit) go, with a label such
+    as REF in front of them; a description of nothing else stays as it is.
+    """
+    words = F.regexp_replace(description, V.CHANGING_WORDS, " ")
+    plain = F.btrim(F.regexp_replace(F.btrim(F.regexp_replace(words, r"\s+", " ")), V.LOOSE_ENDS, ""))
+    return F.when(plain == "", description).otherwise(plain)
+
+
 def recurring_expenses(documents: DataFrame, transactions: DataFrame) -> DataFrame:
     """Average monthly amount and cadence per bank statement and expense
-    category; other types have none.
+    category (``expense_category``, whatever its case); other types have none.
 
     Expenses are netted per day before anything is sorted, so a category has
     at most one row per calendar day. A category seen on one day only is not
     recurring. Cadence is the median gap between days with an expense.
     """
-    daily = (
-        of_bank_statements(documents, transactions.where("amount < 0"))
-        .groupBy("doc_id", F.col("description").alias("category"), "txn_date")
-        .agg(F.sum(-F.col("amount")).alias("spent"))
+    named = of_bank_statements(documents, transactions.where("amount < 0")).withColumn(
+        "category", expense_category(F.col("description"))
+    )
+    daily = named.groupBy("doc_id", F.lower("category").alias("kind"), "txn_date").agg(
+        F.sum(-F.col("amount")).alias("spent"), F.min("category").alias("category")
     )
-    in_order = Window.partitionBy("doc_id", "category").orderBy("txn_date")
+    in_order = Window.partitionBy("doc_id", "kind").orderBy("txn_date")
     gaps = daily.withColumn("gap", F.datediff("txn_date", F.lag("txn_date").over(in_order)))
-    grouped = gaps.groupBy("doc_id", "category").agg(
+    grouped = gaps.groupBy("doc_id", "kind").agg(
+        F.min("category").alias("category"),
         F.sum("spent").alias("spent"),
         F.min("txn_date").alias("first"),
         F.max("txn_date").alias("last"),

@@ -424,17 +424,23 @@ FROM {{fx_statement}} AS s LEFT JOIN (
 ) AS b ON s.doc_id = b.doc_id
 WHERE s.document_type = 'bank_statement'
 """)
+CATEGORY = (
+    f"trim(regexp_replace(trim(regexp_replace(regexp_replace(description, {q(V.CHANGING_WORDS)}, ' ', 'g'), "
+    f"'\\s+', ' ', 'g')), {q(V.LOOSE_ENDS)}, ''))"
+)
 oracle("recurring_expenses", f"""
 SELECT doc_id, category, {rounded('cents', 'months')} AS average_monthly_amount,
   CASE WHEN gap BETWEEN 5 AND 9 THEN 'weekly' WHEN gap BETWEEN 12 AND 17 THEN 'biweekly' WHEN gap BETWEEN 26 AND 35 THEN 'monthly'
     ELSE 'irregular' END AS frequency
 FROM (
-  SELECT doc_id, category, CAST(sum(spent) * 100 AS bigint) AS cents, median(gap) AS gap,
+  SELECT doc_id, min(category) AS category, CAST(sum(spent) * 100 AS bigint) AS cents, median(gap) AS gap,
     12 * (year(max(txn_date)) - year(min(txn_date))) + month(max(txn_date)) - month(min(txn_date)) + 1 AS months
   FROM (
-    SELECT *, txn_date - lag(txn_date) OVER (PARTITION BY doc_id, category ORDER BY txn_date) AS gap
-    FROM (SELECT doc_id, description AS category, txn_date, sum(-amount) AS spent FROM {{fx_txn}} WHERE amount < 0 GROUP BY ALL) AS d
-  ) AS g GROUP BY doc_id, category
+    SELECT *, txn_date - lag(txn_date) OVER (PARTITION BY doc_id, kind ORDER BY txn_date) AS gap
+    FROM (SELECT doc_id, lower(category) AS kind, txn_date, sum(-amount) AS spent, min(category) AS category
+      FROM (SELECT *, coalesce(nullif({CATEGORY}, ''), description) AS category FROM {{fx_txn}} WHERE amount < 0) AS n
+      GROUP BY doc_id, lower(category), txn_date) AS d
+  ) AS g GROUP BY doc_id, kind
 ) AS c WHERE gap IS NOT NULL AND doc_id IN (SELECT doc_id FROM {{fx_extraction}} WHERE document_type = 'bank_statement')
 """)
 oracle("document_integrity_rules", """

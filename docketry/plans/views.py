@@ -80,7 +80,7 @@ VIEWS["fx_txn"] = """
 SELECT l_orderkey AS doc_id, CAST(l_shipdate AS date) AS txn_date,
   CASE l_partkey % 10 WHEN 0 THEN 'Direct Deposit - Payroll' WHEN 1 THEN 'Rent Payment' WHEN 2 THEN 'NSF Fee'
     WHEN 3 THEN 'Overdraft Fee' WHEN 4 THEN 'ATM Withdrawal' WHEN 5 THEN 'Sportsbook Bet'
-    WHEN 6 THEN 'Grocery Purchase' WHEN 7 THEN 'Utility Bill' WHEN 8 THEN 'Subscription'
+    WHEN 6 THEN 'Grocery Purchase' WHEN 7 THEN 'Utility Bill no. ' || CAST(l_partkey AS string) WHEN 8 THEN 'Subscription'
     ELSE 'Wire Deposit' END AS description,
   CAST(CASE WHEN l_partkey % 10 IN (0, 9) THEN CAST(l_quantity AS decimal(18,2)) * 40
             WHEN l_partkey % 10 IN (2, 3) THEN -35

@@ -145,3 +145,19 @@ def test_recurring_cadence(spark):
     }
     assert {name: f for name, (f, _) in found.items()} == {name: name for name in plans}
     assert found["weekly"][1] == Decimal("80.00")
+
+
+def test_expenses_whose_description_changes(spark):
+    txns = [
+        (1, date(2025, month, 1), Decimal("-900.00"), f"{name} 0{month}/01 REF 100{month}")
+        for month, name in ((1, "RENT"), (2, "Rent"), (3, "RENT"))
+    ]
+    txns += [(1, date(2025, 1, day), Decimal("-5.00"), f"Card 4{day} - 9.{day}") for day in (1, 8, 15)]
+    txns += [(1, date(2025, 1, day), Decimal("-1.00"), "4711") for day in (1, 3)] + [(1, date(2025, 1, 9), Decimal("-1.00"), "4712")]
+    found = extraction.recurring_expenses(
+        spark.createDataFrame([(1, "bank_statement")], "doc_id long, document_type string"),
+        spark.createDataFrame(txns, "doc_id long, txn_date date, amount decimal(18,2), description string"),
+    ).collect()
+    assert sorted((r.category, r.average_monthly_amount, r.frequency) for r in found) == [
+        ("4711", Decimal("2.00"), "irregular"), ("Card", Decimal("15.00"), "weekly"), ("RENT", Decimal("900.00"), "monthly"),
+    ]
