@@ -623,23 +623,25 @@ def _(c):
 
 @query("job_results")
 def _(c):
-    # One pass over the texts gives the report and the spans of a document.
-    screened = gates.relevance_classify(accepted_documents(c))
-    parts = red.with_spans(auth.with_authenticity(screened)).select(
+    # One pass over the texts gives the report and the spans of a document; texts
+    # that are not redacted are not searched.
+    reported = auth.with_authenticity(gates.relevance_classify(accepted_documents(c)))
+    parts = red.with_spans(reported.withColumn("text", F.when(F.col("is_financial"), F.col("text")))).select(
         "doc_id",
         F.col("report").alias("authenticity_report"),
-        F.when(F.col("is_financial") & (F.size("spans") > 0), F.col("spans")).alias("redaction_report"),
+        F.when(F.size("spans") > 0, F.col("spans")).alias("redaction_report"),
     )
+    # Some documents have reports, but no extraction.
+    extracted = nested_extractions(c).where("doc_id % 37 <> 5").withColumn("extracted", F.lit(True))
     report = F.col("authenticity_report")
     scored = scoring.score_columns(
-        nested_extractions(c)
-        .join(parts, "doc_id", "left")
+        extracted.join(parts, "doc_id", "full")
         .withColumns({"authentic": report["authentic"], "confidence": report["confidence"], "auth_flags": report["flags"]})
     )
     results = scored.select(
         "doc_id",
-        F.struct("document_type", "income", "account_summary", "risk_flags").alias("extraction"),
-        F.struct(*scoring.RESULT_COLUMNS).alias("score_breakdown"),
+        F.when(F.col("extracted"), F.struct("document_type", "income", "account_summary", "risk_flags")).alias("extraction"),
+        F.when(F.col("extracted"), F.struct(*scoring.RESULT_COLUMNS)).alias("score_breakdown"),
         "authenticity_report",
         "redaction_report",
     )
