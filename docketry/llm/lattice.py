@@ -146,7 +146,7 @@ def find_edges(vocabulary: Vocabulary, codes: np.ndarray, bounds: np.ndarray) ->
     ends = np.repeat(bounds[1:], np.diff(bounds))
     at, state, length = np.arange(n), np.zeros(n, np.int64), 0
     covered = np.zeros(n, bool)
-    # shortest first; turned round at the end, as long pieces are mostly taken
+    # shortest first; placed from the longest, as long pieces are mostly taken
     starts, stops, pieces = [], [], []
     while len(at):
         state = vocabulary.next_states(state, codes[at + length])
@@ -163,13 +163,19 @@ def find_edges(vocabulary: Vocabulary, codes: np.ndarray, bounds: np.ndarray) ->
         inside = at + length < ends[at]
         at, state = at[inside], state[inside]
     bare = np.flatnonzero(~covered)
-    start = np.concatenate([bare, *starts])[::-1]
-    order = np.argsort(start, kind="stable")
-    return Edges(
-        start[order],
-        np.concatenate([bare + 1, *stops])[::-1][order],
-        np.concatenate([np.full(len(bare), BYTE), *pieces])[::-1][order],
-    )
+    starts.insert(0, bare)
+    stops.insert(0, bare + 1)
+    pieces.insert(0, np.full(len(bare), BYTE))
+    counts = np.bincount(np.concatenate(starts), minlength=n)
+    # Where the next edge of each start goes; a start has one edge of each length.
+    place = np.cumsum(counts) - counts
+    start = np.repeat(np.arange(n), counts)
+    stop, piece = np.empty_like(start), np.empty_like(start)
+    for begin, end, found in zip(reversed(starts), reversed(stops), reversed(pieces)):
+        at = place[begin]
+        stop[at], piece[at] = end, found
+        place[begin] = at + 1
+    return Edges(start, stop, piece)
 
 
 def bytes_of(code: int) -> bytes:
@@ -203,9 +209,13 @@ def path_sums(
     sums = np.full(int(bounds[-1]) + len(lengths), -np.inf)
     sums[first] = 0.0
     distance = np.arange(len(sums)) - np.repeat(first, lengths + 1)
-    order = np.argsort(distance[target] * len(sums) + target, kind="stable")
+    # Edges come string by string, and a string has one node at each distance, so
+    # this groups them by target; 16-bit keys are sorted without comparisons.
+    most = int(lengths.max(initial=0))
+    key = distance[target]
+    order = np.argsort(key.astype(np.uint16) if most < 1 << 16 else key, kind="stable")
     source, target, weight = source[order], target[order], weight[order]
-    steps = np.searchsorted(distance[target], np.arange(1, int(lengths.max(initial=0)) + 2))
+    steps = np.r_[0, np.cumsum(np.bincount(key, minlength=most + 1)[1:])]
     heads = np.flatnonzero(np.diff(target, prepend=-1))
     sizes = np.diff(heads, append=len(target))
     cuts = np.searchsorted(heads, steps)

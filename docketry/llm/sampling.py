@@ -318,26 +318,36 @@ def sampled_paths(tables: Lattices, texts: list[list[str]], seeds: np.ndarray, s
 
 
 def piece_ids(tables: Lattices, path: np.ndarray) -> np.ndarray:
+    """The ids along a path."""
+    return split_ids(tables, path, np.array([0, len(path)]))[0]
+
+
+def split_ids(tables: Lattices, path: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """The ids along each of the paths laid end to end."""
     ids = tables.piece[path]
     bare = np.flatnonzero(ids < 0)
-    if not len(bare):
-        return ids
-    # Each character without a piece gives way to the ids of its bytes.
-    kinds, which = np.unique(ids[bare], return_inverse=True)
-    spelled = [tables.vocabulary.byte_ids[list(lattice.bytes_of(-1 - int(k)))].astype(np.int32) for k in kinds]
-    sizes = np.ones(len(ids), np.int64)
-    sizes[bare] = np.array([len(x) for x in spelled])[which]
-    out = np.repeat(ids, sizes)
-    starts = np.cumsum(sizes) - sizes
-    for kind, data in enumerate(spelled):
-        at = starts[bare[which == kind]]
-        out[at[:, None] + np.arange(len(data))] = data
-    return out
-
-
-def units_of(text: str | None, pattern: re.Pattern) -> list[str]:
-    """With the space that the vocabulary expects in front of a text."""
-    return pattern.findall(" " + text) if text else []
+    if len(bare):
+        # Each character without a piece gives way to the ids of its bytes.
+        kinds, which = np.unique(ids[bare], return_inverse=True)
+        spelled = [tables.vocabulary.byte_ids[list(lattice.bytes_of(-1 - int(k)))].astype(np.int32) for k in kinds]
+        sizes = np.ones(len(ids), np.int64)
+        sizes[bare] = np.array([len(x) for x in spelled])[which]
+        ends = np.r_[0, np.cumsum(sizes)]
+        out, by_kind = np.repeat(ids, sizes), np.argsort(which, kind="stable")
+        cuts = np.r_[0, np.cumsum(np.bincount(which, minlength=len(kinds)))]
+        for data, a, b in zip(spelled, cuts[:-1], cuts[1:]):
+            at = ends[bare[by_kind[a:b]]]
+            out[at[:, None] + np.arange(len(data))] = data
+        ids, bounds = out, ends[bounds]
+    return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+def units_of(text: str | None, pattern: re.Pattern, plain: re.Pattern | None = None) -> list[str]:
+    """With the space that the vocabulary expects in front of a text. ``plain`` cuts
+    texts without an underscore alike, and faster."""
+    if not text:
+        return []
+    return (plain if plain and "_" not in text else pattern).findall(" " + text)
 
 
 OUTPUT = "sample int, ids array<int>, log_prob double, log_inclusion double"
@@ -359,7 +369,9 @@ def encode(
     def sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, weights = shared.value
         tables = Lattices(lattice.Vocabulary(*parts), weights)
-        pattern = re.compile(tables.vocabulary.units)
+        units = tables.vocabulary.units
+        pattern = re.compile(units)
+        plain = re.compile(units.replace(lattice.WORD, r"\w").replace(lattice.SIGN, r"[^\w \n]"))
         for batch in batches:
             seeds = batch.column("row_seed").to_numpy().view(np.uint64)
             rows: list[int] = []
@@ -367,7 +379,7 @@ def encode(
             waiting = 0
             for row, value in enumerate(batch.column("row_text")):
                 rows.append(row)
-                texts.append(units_of(value.as_py(), pattern))
+                texts.append(units_of(value.as_py(), pattern, plain))
                 waiting += len(texts[-1])
                 if waiting > PORTION or row + 1 == batch.num_rows:
                     yield portion(tables, batch, rows, texts, seeds[rows])
@@ -375,13 +387,16 @@ def encode(
 
     def portion(tables, batch, rows, texts, seeds) -> pa.RecordBatch:
         where, number, ids, log_prob, inclusion = [], [], [], [], []
-        for row, search in zip(rows, sampled_paths(tables, texts, seeds, samples)):
+        searches = sampled_paths(tables, texts, seeds, samples)
+        rounds = {id(found): found for search in searches for found, _ in search.paths}
+        spelled = {key: split_ids(tables, found.path, found.bounds) for key, found in rounds.items()}
+        for row, search in zip(rows, searches):
             threshold = search.best()[0]
             for i, (found, text) in enumerate(search.paths):
                 own = float(found.log_prob[text])
                 where.append(row)
                 number.append(i)
-                ids.append(piece_ids(tables, found.path[found.bounds[text] : found.bounds[text + 1]]))
+                ids.append(spelled[id(found)][text])
                 log_prob.append(own)
                 inclusion.append(log_inclusion(own, threshold))
         offsets = np.r_[0, np.cumsum([len(x) for x in ids])]

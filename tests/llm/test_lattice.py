@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 from functools import cache
 
@@ -249,3 +250,23 @@ def test_lattices_that_do_not_fit_start_again(monkeypatch):
         for r, i in search.paths:
             ids = S.piece_ids(tables, r.path[r.bounds[i] : r.bounds[i + 1]])
             assert b"".join(pieces[j] for j in ids.tolist()).decode() == " " + text
+
+
+def test_texts_without_underscore_are_cut_alike():
+    units = vocabulary().units
+    pattern = re.compile(units)
+    plain = re.compile(units.replace(L.WORD, r"\w").replace(L.SIGN, r"[^\w \n]"))
+    for text in ["a b  c", "x1 -- y!\n\n z", "ü日本 ٣٤ ²½", "tab\there ▁ ", "", " ", "don't <s>[1]", "é 😀!"]:
+        assert S.units_of(text, pattern, plain) == S.units_of(text, pattern)
+
+
+def test_ids_of_many_paths_are_those_of_each():
+    tables = S.Lattices(vocabulary(), vocabulary().zipf_weights())
+    texts = ["plain words", "", "▁ and 😀😀 ü\x01", "more \x02 \x01"]
+    searches = S.sampled_paths(
+        tables, [S.units_of(t, re.compile(vocabulary().units)) for t in texts], np.arange(4, dtype=np.uint64), 1
+    )
+    found = searches[0].paths[0][0]
+    together = S.split_ids(tables, found.path, found.bounds)
+    each = [S.piece_ids(tables, found.path[a:b]) for a, b in zip(found.bounds[:-1], found.bounds[1:])]
+    assert [x.tolist() for x in together] == [x.tolist() for x in each]
