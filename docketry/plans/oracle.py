@@ -842,7 +842,7 @@ FROM {{ox_relevance}} AS v JOIN (
   FROM (SELECT *, min(doc_id) OVER (PARTITION BY batch_id, text) AS first_doc FROM {{fx_document}}) AS f GROUP BY batch_id
 ) AS r ON v.batch_id = r.batch_id
 """
-oracle("stream_intake", """
+INTAKE = """
 SELECT v.doc_id, v.batch_id, coalesce(v.gate_outcome, CASE WHEN v.best < 2 THEN 'FAILED' ELSE 'PROCESSED' END) AS outcome, v.gate_reason AS reason,
   CASE WHEN gate_outcome IS NULL THEN v.category END AS category,
   CASE WHEN done THEN r.document_type END AS document_type, CASE WHEN done THEN r.authentic END AS authentic,
@@ -850,8 +850,15 @@ SELECT v.doc_id, v.batch_id, coalesce(v.gate_outcome, CASE WHEN v.best < 2 THEN
   CASE WHEN done THEN t.redacted_text END AS redacted_text
 FROM (SELECT *, gate_outcome IS NULL AND best >= 2 AS done FROM {ox_gate}) AS v JOIN {ox_report} AS r ON v.doc_id = r.doc_id
 JOIN {ox_statement_redacted} AS t ON v.doc_id = t.doc_id
-""")
-oracle("stream_dedup", "SELECT DISTINCT batch_id, sha256(content) AS content_hash FROM {fx_file}")
+"""
+oracle("stream_intake", INTAKE)
+oracle("stream_intake_in_parts", INTAKE)
+oracle("stream_dedup", """
+SELECT doc_id, batch_id, content_hash, first_doc_id, doc_id <> first_doc_id AS is_repeat
+FROM (SELECT *, first_value(doc_id) OVER (PARTITION BY batch_id, content_hash ORDER BY created_at, doc_id) AS first_doc_id
+  FROM (SELECT doc_id, batch_id, sha256(content) AS content_hash, created_at FROM {fx_file}) AS h) AS f
+""")
+oracle("stream_dedup_keys", "SELECT DISTINCT batch_id, sha256(content) AS content_hash FROM {fx_file}")
 oracle("stream_step_metrics", """
 SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS window_start, step, count(*) AS runs, CAST(sum(seconds) AS decimal(28,4)) AS seconds,
   count(*) FILTER (WHERE outcome <> 'ok') AS failures
@@ -866,3 +873,8 @@ FROM (SELECT *, sum(fresh) OVER (PARTITION BY batch_id ORDER BY ts, event_id) AS
     FROM {fx_status_event}) AS f) AS s
 GROUP BY batch_id, session HAVING arg_max(status, (ts, event_id)) IN ('RUNNING', 'QUEUED')
 """)
+oracle("stream_stuck_now", """
+SELECT batch_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_event, arg_max(status, (ts, event_id)) AS last_status, count(*) AS events
+FROM {fx_status_event} GROUP BY batch_id
+HAVING arg_max(status, (ts, event_id)) IN ('RUNNING', 'QUEUED') AND max(ts) <= (SELECT max(ts) FROM {fx_status_event}) - INTERVAL 120 SECOND
+""")

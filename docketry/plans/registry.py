@@ -741,7 +741,24 @@ def _(c):
     return streams.run_intake(stream, work_folder(c.spark, "intake")).withColumn("flags", listed("flags"))
 
 
+@query("stream_intake_in_parts")
+def _(c):
+    """The files of a batch lie in four parts of the table, each a micro-batch."""
+    parts = work_folder(c.spark, "parts")
+    c["orders"].repartition(4, "o_orderkey").write.parquet(parts)
+    stream = c.view("fx_document", orders=table_stream(c.spark, parts, max_files_per_trigger=1))
+    expected = c["fx_document"].groupBy("batch_id").agg(F.count("*").alias("files"))
+    rows = streams.run_intake_in_parts(stream, expected, work_folder(c.spark, "intake"))
+    return rows.withColumn("flags", listed("flags"))
+
+
 @query("stream_dedup")
+def _(c):
+    stream = c.view("fx_file", documents=stream_of(c, "documents"))
+    return streams.run_first_files(gates.with_content_hash(stream), work_folder(c.spark, "dedup"))
+
+
+@query("stream_dedup_keys")
 def _(c):
     stream = c.view("fx_file", documents=stream_of(c, "documents"))
     return streams.run_dedup(gates.with_content_hash(stream).drop("content"), work_folder(c.spark, "dedup"))
@@ -777,3 +794,12 @@ def _(c):
     return streams.run_stuck_batches(stream, folder).select(
         "batch_id", stamp("session_start").alias("session_start"), "last_status", "events"
     )
+
+
+@query("stream_stuck_now")
+def _(c):
+    """As of the newest event."""
+    stream = c.view("fx_status_event", events=stream_of(c, "events"))
+    now = c["fx_status_event"].agg(F.max("ts")).scalar()
+    stuck = streams.run_stuck_now(stream, work_folder(c.spark, "stuck"), now)
+    return stuck.withColumn("last_event", stamp("last_event"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
@@ -11,8 +11,10 @@ from docketry.operators.authenticity import with_authenticity
 from docketry.operators.dashboard import RATE
 from docketry.operators.gates import batch_gate, relevance_classify
 from docketry.operators.redaction import redact_text
-from docketry.streaming.replay import run_to_folder, run_to_state, state_of
+from docketry.streaming.replay import run_to_folder, run_to_state, state_of, stored_stream
 
+# An upload that is not complete this long after its last file is taken as it is.
+UPLOAD_TIMEOUT = "15 minutes"
 # Spread of a hot duplicate key in the first of two dedup steps.
 DEDUP_SALTS = 32
 
@@ -50,6 +52,98 @@ def run_intake(documents: DataFrame, folder: str) -> DataFrame:
     return run_to_folder(documents, folder, each=intake).drop("epoch")
 
 
+def arrivals(stored: DataFrame) -> DataFrame:
+    """Files of each batch so far, the last one's time and the epoch of the first."""
+    return stored.groupBy("batch_id").agg(
+        F.count("*").alias("arrived"), F.max("created_at").alias("last_arrival"), F.min("epoch").alias("since")
+    )
+
+
+def run_intake_in_parts(
+    documents: DataFrame,
+    expected: DataFrame,
+    folder: str,
+    now: Column | None = None,
+    timeout: str = UPLOAD_TIMEOUT,
+) -> DataFrame:
+    """The intake where the files of a batch arrive over any number of micro-batches.
+
+    ``expected`` has batch_id and files, the number of files announced. Files are
+    stored as they arrive and counted per batch in the keyed state of a second
+    stream. In the micro-batch in which a batch has all its files it is gated and
+    processed as a whole; only files since its first one are read again.
+
+    With ``now``, a batch that was not announced or still lacks files is taken as it
+    is once ``timeout`` has passed since its last file. A file that comes when its
+    batch is complete has the batch gated once more, with it; the newest result of
+    a batch counts. So the rows depend on the files, not on how they are cut.
+
+    Documents without a batch are never complete; they are taken on time-out.
+    """
+    spark = documents.sparkSession
+    stored = run_to_folder(documents, f"{folder}/files")
+    announced = expected.select("batch_id", "files")
+    all_here = F.col("arrived") >= F.col("files")
+
+    def files_of(batches: DataFrame) -> DataFrame:
+        wanted = batches.select(F.col("batch_id").alias("_batch"))
+        return stored.join(wanted, F.col("batch_id").eqNullSafe(F.col("_batch")), "left_semi").drop("epoch")
+
+    def complete(changed: DataFrame) -> DataFrame:
+        ready = changed.join(announced, "batch_id").where(all_here)
+        first = ready.agg(F.min("since")).first()[0]
+        since = stored.where(F.col("epoch") >= (0 if first is None else first))
+        return intake(
+            since.join(ready.select("batch_id"), "batch_id", "left_semi").drop("epoch")
+        )
+
+    counted = arrivals(stored_stream(spark, f"{folder}/files").select("batch_id", "created_at", "epoch"))
+    results = run_to_folder(counted, f"{folder}/complete", mode="update", each=complete)
+    newest = results.groupBy("batch_id").agg(F.max("epoch").alias("epoch"))
+    done = results.join(newest, ["batch_id", "epoch"], "left_semi").drop("epoch")
+    if now is None:
+        return done
+    state = state_of(spark, f"{folder}/complete")
+    waiting = (
+        state.select("key.batch_id", "value.*")
+        .toDF("batch_id", "arrived", "last_arrival", "since")
+        .join(announced, "batch_id", "left")
+        .where(~F.coalesce(all_here, F.lit(False)) & (F.col("last_arrival") <= now - F.expr(f"INTERVAL {timeout}")))
+    )
+    return done.unionByName(intake(files_of(waiting)))
+
+
+def run_first_files(files: DataFrame, folder: str) -> DataFrame:
+    """Every file so far with the first file of its content in its batch.
+
+    The first is the earliest by created_at, then doc_id, whatever the order of
+    arrival: an earlier file that arrives later takes the place, and the former
+    first one is a repeat from then on. The earliest file of each (batch_id,
+    content_hash) is the keyed state of a stream over the stored files, cut by a
+    partial minimum in each task, so a content that most files share does not meet
+    in one task. NULLs are equal here. The state has one row for each distinct
+    content of a batch and is not expired; ``deduplicated`` has bounded state instead.
+    """
+    slim = files.select("doc_id", "batch_id", "content_hash", "created_at")
+    stored = run_to_folder(slim, f"{folder}/files").drop("epoch")
+    earliest = (
+        stored_stream(files.sparkSession, f"{folder}/files")
+        .groupBy("batch_id", "content_hash")
+        .agg(F.min(F.struct("created_at", "doc_id")).alias("first"))
+    )
+    run_to_state(earliest, f"{folder}/first")
+    state = state_of(files.sparkSession, f"{folder}/first")
+    first = state.select("key.*", "value.*").toDF("_batch", "_hash", "_first")
+    same = F.col("batch_id").eqNullSafe(F.col("_batch")) & F.col("content_hash").eqNullSafe(F.col("_hash"))
+    return stored.join(first, same).select(
+        "doc_id",
+        "batch_id",
+        "content_hash",
+        F.col("_first.doc_id").alias("first_doc_id"),
+        (F.col("doc_id") != F.col("_first.doc_id")).alias("is_repeat"),
+    )
+
+
 def deduplicated(files: DataFrame, event_time: str, delay: str) -> DataFrame:
     """First file of each (batch_id, content_hash) within the watermark.
 
@@ -168,3 +262,32 @@ def run_stuck_batches(status_events: DataFrame, folder: str) -> DataFrame:
     """Sessions that fell silent while the batch was still running."""
     stored = run_to_folder(quiet_sessions(status_events), folder)
     return stored.where(F.col("batch_id").isNotNull() & F.col("last_status").isin("RUNNING", "QUEUED")).drop("epoch")
+
+
+def last_statuses(status_events: DataFrame) -> DataFrame:
+    """The last event of each batch and the number of events."""
+    last = F.max(F.struct("ts", "event_id", "status"))
+    return status_events.groupBy("batch_id").agg(last.alias("last"), F.count("*").alias("events"))
+
+
+def run_stuck_now(status_events: DataFrame, folder: str, now: Column | None = None) -> DataFrame:
+    """Batches that are running and have been silent for 120 seconds at ``now``.
+
+    ``now`` is the clock unless given. The last status of a batch is keyed state, one
+    row for a batch, so a batch is found even when no stream delivers anything.
+    """
+    run_to_state(last_statuses(status_events), folder)
+    return stored_stuck_batches(status_events.sparkSession, folder, now)
+
+
+def stored_stuck_batches(spark, folder: str, now: Column | None = None) -> DataFrame:
+    """The same from what earlier runs on the folder have committed; to be asked at
+    any time, also while a run goes on."""
+    now = F.current_timestamp() if now is None else now
+    state = state_of(spark, folder)
+    last = state.select("key.batch_id", "value.*").toDF("batch_id", "last", "events")
+    return last.where(
+        F.col("batch_id").isNotNull()
+        & F.col("last.status").isin("RUNNING", "QUEUED")
+        & (F.col("last.ts") <= now - F.expr(f"INTERVAL {V.STUCK_AFTER_SECONDS} SECONDS"))
+    ).select("batch_id", F.col("last.ts").alias("last_event"), F.col("last.status").alias("last_status"), "events")

@@ -95,3 +95,14 @@ def run_to_state(stream: DataFrame, folder: str) -> None:
 def state_of(spark: SparkSession, folder: str) -> DataFrame:
     """The state of the last micro-batch that was committed: (key, value, partition_id)."""
     return spark.read.format("statestore").load(f"{folder}/checkpoint")
+
+
+def stored_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``run_to_folder`` has stored, as a stream of its own, with the epoch of
+    each row. Rows of an epoch that was repeated may come twice."""
+    rows = f"{folder}/rows"
+    schema = spark.read.parquet(rows).drop("epoch").schema
+    stream = spark.readStream.schema(schema).parquet(f"{rows}/epoch=*")
+    return stream.withColumn(
+        "epoch", F.regexp_extract("_metadata.file_path", r"/epoch=(\d+)/[^/]+$", 1).cast("long")
+    )

@@ -148,3 +148,108 @@ def test_marker_is_one_row(spark, tmp_path):
     stream = with_closing_marker(table_stream(spark, str(source)), "ts", str(tmp_path / "m"))
     stored = run_to_folder(stream, str(tmp_path / "out"))
     assert stored.where("n IS NULL").count() == 1 and stored.count() == 2
+
+
+FILES = "doc_id long, batch_id long, content_hash string, created_at timestamp"
+
+
+def test_first_files_whatever_the_order_of_arrival(spark, tmp_path):
+    rows = [(i, 1, "same", at(i)) for i in range(40)] + [
+        (50, 1, "tie", at(5)), (49, 1, "tie", at(5)), (60, 2, "same", at(0)), (70, None, None, at(1)),
+        (71, None, None, at(0)), (80, 3, "one", None),
+    ]
+    found = []
+    for name, order in [("one", [rows]), ("many", [rows[i::7] for i in reversed(range(7))])]:
+        source, out = tmp_path / name, str(tmp_path / f"{name}-out")
+        for part in order:
+            arrive(spark, source, part, FILES)
+            result = jobs.run_first_files(table_stream(spark, str(source)), out)
+        found.append(sorted((r.doc_id, r.first_doc_id, r.is_repeat) for r in result.collect()))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    first = {doc: kept for doc, kept, _ in found[0]}
+    assert {first[i] for i in range(40)} == {0}
+    assert (first[50], first[49], first[60], first[70], first[71], first[80]) == (49, 49, 60, 71, 71, 80)
+    assert all(repeat == (doc != kept) for doc, kept, repeat in found[0])
+
+
+def test_stuck_while_every_stream_is_quiet(spark, tmp_path):
+    schema = "event_id long, ts timestamp, batch_id long, job_id long, status string"
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    events = [
+        (1, at(0), 1, 1, "QUEUED"), (2, at(100), 1, 1, "RUNNING"), (3, at(0), 2, 2, "RUNNING"),
+        (4, at(50), 2, 2, "SUCCEEDED"), (5, at(150), 3, 3, "QUEUED"), (6, at(0), None, 4, "RUNNING"),
+    ]
+    arrive(spark, source, events, schema)
+
+    def stuck(seconds):
+        rows = jobs.stored_stuck_batches(spark, out, F.lit(at(seconds))).collect()
+        return sorted((r.batch_id, r.last_event, r.last_status, r.events) for r in rows)
+
+    jobs.run_stuck_now(table_stream(spark, str(source)), out, F.lit(at(0)))
+    # Nothing arrives any more; only the clock goes on.
+    assert stuck(219) == []
+    assert stuck(220) == [(1, at(100), "RUNNING", 2)]
+    assert stuck(300) == [(1, at(100), "RUNNING", 2), (3, at(150), "QUEUED", 1)]
+    arrive(spark, source, [(7, at(290), 1, 1, "RUNNING")], schema)
+    rows = jobs.run_stuck_now(table_stream(spark, str(source)), out, F.lit(at(300))).collect()
+    assert [r.batch_id for r in rows] == [3]
+
+
+DOCUMENTS = (
+    "doc_id long, batch_id long, filename string, content_type string, magic string, size_bytes long, "
+    "producer string, creation_date string, mod_date string, text string, first_page_text string, created_at timestamp"
+)
+
+
+def upload(doc, batch, name, text, second):
+    text = f"{text} gross pay net pay pay period {doc}"
+    return (doc, batch, name, "application/pdf", "%PDF", 5000, "x", "D:1", "D:1", text, text, at(second))
+
+
+def test_intake_in_parts(spark, tmp_path):
+    """One micro-batch or many: the batches come out alike."""
+    copy = upload(7, 2, "pay_7.pdf", "earnings statement", 3)
+    rows = [
+        upload(1, 1, "bank_1.pdf", "account summary", 0), upload(2, 1, "pay_2.pdf", "earnings statement", 400),
+        upload(5, 2, "bank_5.pdf", "account summary", 1), copy, (8, 2, "pay_8.pdf", *copy[3:]),
+        upload(9, 3, "bank_9.pdf", "account summary", 2),   # the second file never comes
+        upload(11, 4, "bank_11.pdf", "account summary", 2),  # not announced
+        upload(12, None, "bank_12.pdf", "account summary", 2),
+    ]
+    expected = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (9, 1)], "batch_id long, files long")
+    found = []
+    for name, limit in [("one", None), ("many", 1)]:
+        source, out = tmp_path / name, str(tmp_path / f"{name}-out")
+        for row in rows if limit else [None]:
+            arrive(spark, source, [row] if limit else rows, DOCUMENTS)
+
+        def run(seconds=None):
+            now = None if seconds is None else F.lit(at(seconds))
+            result = jobs.run_intake_in_parts(table_stream(spark, str(source), limit), expected, out, now)
+            return sorted((r.doc_id, r.outcome, r.reason) for r in result.collect())
+
+        complete = run()
+        assert [r[0] for r in complete] == [1, 2, 5, 7, 8]
+        assert {r[0]: r[1] for r in complete}[7] == "REJECTED"
+        assert run(600) == complete
+        late = run(1000)  # nothing new, but the time-out has passed
+        assert [r[0] for r in late] == [1, 2, 5, 7, 8, 9, 11, 12]
+        arrive(spark, source, [upload(10, 3, "pay_10.pdf", "earnings statement", 990)], DOCUMENTS)
+        found.append((complete, late, run(1000)))
+        assert [r[0] for r in found[-1][2]] == [1, 2, 5, 7, 8, 9, 10, 11, 12]
+    assert found[0] == found[1]
+
+
+def test_a_file_too_many_has_its_batch_gated_again(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    expected = spark.createDataFrame([(1, 2)], "batch_id long, files long")
+
+    def run():
+        result = jobs.run_intake_in_parts(table_stream(spark, str(source)), expected, out)
+        return {r.doc_id: r.outcome for r in result.collect()}
+
+    first = upload(1, 1, "bank_1.pdf", "account summary", 0)
+    arrive(spark, source, [first, upload(2, 1, "pay_2.pdf", "earnings statement", 1)], DOCUMENTS)
+    assert "REJECTED" not in run().values()
+    arrive(spark, source, [(3, 1, "bank_3.pdf", *first[3:])], DOCUMENTS)
+    assert run() == {1: "REJECTED", 2: "REJECTED", 3: "REJECTED"}
