@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from docketry.functions import fixed_values as V
 from docketry.operators.gates import guardrail_screen
 from docketry.operators.extraction import extraction_conformance, output_pii_scan, stamp_provenance
-from docketry.sources import artifacts
+from docketry.sources import artifacts, raw_objects
 from docketry.sources.extractions import load_extractions
 from docketry.sources.pages import assemble_pages
 from docketry.sources.raw_objects import scan_raw_documents
@@ -30,6 +30,49 @@ def test_scan(spark, tmp_path, monkeypatch):
     ]
 
 
+def test_scan_reads_four_bytes_of_a_file_of_any_size(spark, tmp_path):
+    folder = tmp_path / "raw" / "a doc %41 #1"
+    folder.mkdir(parents=True)
+    with open(folder / "b\u00fcg file.pdf", "wb") as file:
+        file.write(b"%PDF-1.7")
+        file.truncate(3 << 30)  # sparse: over the 2 GB that a whole content may have
+    (folder / "empty.pdf").write_bytes(b"")
+    found = {r.filename: (r.doc_id, r.size_bytes, bytes(r.magic)) for r in scan_raw_documents(spark, str(tmp_path / "raw")).collect()}
+    assert found == {
+        "b\u00fcg file.pdf": ("a doc %41 #1", 3 << 30, b"%PDF"), "empty.pdf": ("a doc %41 #1", 0, b""),
+    }
+
+
+def test_scan_lists_below_many_entries(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(raw_objects, "ENTRIES_IN_A_TASK", 3)
+    for doc in range(10):
+        folder = tmp_path / "raw" / str(doc) / "v1"
+        folder.mkdir(parents=True)
+        (folder / "f.pdf").write_bytes(b"%PDF")
+        (folder / "_f.pdf").write_bytes(b"%PDF")
+        (folder / "f.txt").write_bytes(b"text")
+    (tmp_path / "raw" / "loose.pdf").write_bytes(b"12")
+    (tmp_path / "none").mkdir()
+    found = scan_raw_documents(spark, str(tmp_path / "raw"), "*.pdf")
+    assert found.rdd.getNumPartitions() == 4
+    assert sorted((r.doc_id, r.filename, r.size_bytes) for r in found.collect()) == (
+        [("raw", "loose.pdf", 2)] + [("v1", "f.pdf", 4)] * 10
+    )
+    assert scan_raw_documents(spark, "file:" + str(tmp_path / "none")).count() == 0
+
+
+def test_scan_by_whole_content_agrees(spark, tmp_path):
+    for doc in range(5):
+        folder = tmp_path / "raw" / str(doc)
+        folder.mkdir(parents=True)
+        (folder / "f.pdf").write_bytes(b"%PDF-1.4"[: doc * 2 + 1])
+    ranged, whole = (
+        sorted((r.doc_id, r.filename, r.size_bytes, bytes(r.magic)) for r in scan_raw_documents(spark, str(tmp_path / "raw"), ranged=x).collect())
+        for x in (True, False)
+    )
+    assert ranged == whole and len(ranged) == 5
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, 2, "two"), (1, 1, "one"), (1, 10, None), (2, 1, "x")], "doc_id long, page_num long, text string")
     assert {r.doc_id: (r.text, r.first_page_text) for r in assemble_pages(pages).collect()} == {
