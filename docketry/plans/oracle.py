@@ -865,6 +865,10 @@ SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
 FROM {fx_step_event} GROUP BY 1, 2
 """)
 oracle("stream_request_rate", "SELECT * FROM {ox_rate}")
+oracle("stream_latency_p95", """
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(seconds) AS requests, TRUE AS rank_within_error
+FROM {fx_step_event} GROUP BY 1 HAVING count(seconds) > 0
+""")
 oracle("stream_batch_status", "SELECT batch_id, status, jobs FROM {ox_batch}")
 oracle("stream_stuck_batches", """
 SELECT batch_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, arg_max(status, (ts, event_id)) AS last_status, count(*) AS events

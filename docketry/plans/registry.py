@@ -781,6 +781,27 @@ def _(c):
     return rate.where("window_start < timestamp '2199-01-01'").withColumn("window_start", stamp("window_start"))
 
 
+@query("stream_latency_p95")
+def _(c):
+    """Days merged from sketches of five minutes, held against the rows themselves."""
+    folder = work_folder(c.spark, "latency")
+    events = c.view("fx_step_event", events=stream_of(c, "events")).select("ts", "seconds")
+    days = streams.run_latency(with_closing_marker(events, "ts", folder), folder, "1 day").where("requests > 0")
+    days = days.withColumnRenamed("seconds", "p95")
+    seconds = F.col("seconds").cast("double")
+    rows = c["fx_step_event"].select(F.window("ts", "1 day")["start"].alias("window_start"), seconds.alias("seconds"))
+    error = F.lit(streams.SKETCH_RANK_ERROR)
+    return (
+        rows.join(days, "window_start")
+        .groupBy("window_start", "requests")
+        .agg(
+            (F.avg((F.col("seconds") < F.col("p95")).cast("int")) <= 0.95 + error).alias("_low"),
+            (F.avg((F.col("seconds") <= F.col("p95")).cast("int")) >= 0.95 - error).alias("_high"),
+        )
+        .select(stamp("window_start").alias("window_start"), "requests", (F.col("_low") & F.col("_high")).alias("rank_within_error"))
+    )
+
+
 @query("stream_batch_status")
 def _(c):
     stream = c.view("fx_job", orders=stream_of(c, "orders"))

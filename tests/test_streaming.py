@@ -1,6 +1,7 @@
 """Streams: late rows, repeats across micro-batches, restarts."""
 
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,3 +254,25 @@ def test_a_file_too_many_has_its_batch_gated_again(spark, tmp_path):
     assert "REJECTED" not in run().values()
     arrive(spark, source, [(3, 1, "bank_3.pdf", *first[3:])], DOCUMENTS)
     assert run() == {1: "REJECTED", 2: "REJECTED", 3: "REJECTED"}
+
+
+def test_latency_of_sketches_goes_on_and_merges(spark, tmp_path):
+    schema = "ts timestamp, seconds decimal(18,2)"
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    # 5,000 requests in the first five minutes, more than a sketch has places; one without a time.
+    arrive(spark, source, [(at(i % 300), Decimal(i)) for i in range(5000)] + [(at(10), None)], schema)
+    arrive(spark, source, [(at(300 + i), Decimal(i)) for i in range(200)] + [(at(700), None), (at(7200), Decimal(1))], schema)
+
+    def run(period):
+        rows = jobs.run_latency(table_stream(spark, str(source)), out, period).collect()
+        return {r.window_start: (r.requests, r.seconds) for r in rows}
+
+    five = run("5 minutes")
+    assert set(five) == {at(0), at(300), at(600)}  # the last window is open
+    assert five[at(0)][0] == 5000 and abs(five[at(0)][1] - 4750) <= 50
+    assert five[at(300)] == (200, 189.0) and five[at(600)] == (0, None)
+    hour = run("1 hour")
+    share = sum(x <= hour[at(0)][1] for x in [*range(5000), *range(200)]) / 5200
+    assert hour[at(0)][0] == 5200 and abs(share - 0.95) <= jobs.SKETCH_RANK_ERROR
+    arrive(spark, source, [(at(4 * 3600), Decimal(1))], schema)
+    assert run("5 minutes")[at(7200)] == (1, 1.0)
