@@ -385,7 +385,12 @@ def redacted_preview(documents: DataFrame, second_pass: DataFrame | None = None)
     """Redacted text next to its span report, an empty list if there is none;
     documents without a text are left out."""
     readable = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    covered = _with_covers(_with_all_spans(readable, second_pass, RECOGNIZERS))
+    return with_redacted_preview(readable, second_pass).drop("text")
+
+
+def with_redacted_preview(documents: DataFrame, second_pass: DataFrame | None = None) -> DataFrame:
+    """Add ``redacted_text`` and ``redaction_report``, both NULL without a text."""
+    covered = _with_covers(_with_all_spans(documents, second_pass, RECOGNIZERS))
 
     def entries(spans: str, detector: str) -> Column:
         return F.transform(
@@ -404,7 +409,9 @@ def redacted_preview(documents: DataFrame, second_pass: DataFrame | None = None)
         more = entries("_more", SECOND_PASS)
         report = F.concat(report, F.coalesce(more, F.slice(report, 1, 0)))
     return covered.select(
-        "doc_id", F.expr(_replaced()).alias("redacted_text"), report.alias("redaction_report")
+        *documents.columns,
+        F.expr(_replaced()).alias("redacted_text"),
+        F.when(F.col("text").isNotNull(), report).alias("redaction_report"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from docketry.operators import redaction as red
 from docketry.operators import scoring
 from docketry.plans.views import Catalog
 from docketry.session import configure, work_folder
-from docketry.sources.artifacts import read_step_artifacts, write_step_artifacts
+from docketry.sources.artifacts import artifact_rows, read_step_artifacts, write_artifact_rows
 from docketry.sources.extractions import load_extractions
 from docketry.sources.pages import assemble_pages
 from docketry.sources.raw_objects import scan_raw_documents
@@ -145,23 +146,26 @@ def _(c):
 def _(c):
     """All seven kinds, read back: what each body holds as one line."""
     folder = work_folder(c.spark, "artifacts")
-    documents = accepted_documents(c)
     extractions = nested_extractions(c)
-    previews = red.redacted_preview(documents)
+    # Texts are searched once; what they give is stored and then taken apart.
+    documents = accepted_documents(c)
+    keys = ["doc_id", "batch_id", "created_at"]
+    searched = red.with_redacted_preview(auth.with_authenticity(documents).select(*keys, "text", "report"))
+    processed = stored(c, "processed", searched)
+    cards = scorecards(c, processed.select(*keys, "report.*"))
     stamped = ext.stamp_provenance(
         extractions.select("doc_id", F.col("doc_id").alias("job_id")), model="model-1", prompt_version="v5.1"
     )
-    artifacts = {
-        "parsed_text": documents.select("doc_id", "text"),
-        "authenticity_report": reports(c),
-        "redacted_text": previews.select("doc_id", "redacted_text"),
-        "redaction_report": previews.select("doc_id", "redaction_report"),
-        "extraction": extractions,
-        "extraction_meta": stamped.select("doc_id", "_meta"),
-        "score_breakdown": scorecards(c).select("doc_id", "score", "total_earned", "breakdown"),
-    }
-    for step, result in artifacts.items():
-        write_step_artifacts(result, step, folder)
+    of_texts = {"parsed_text": ["text"], "redacted_text": ["redacted_text"], "redaction_report": ["redaction_report"]}
+    report = processed.select(*keys, "report.*")
+    rows = [
+        artifact_rows(processed, of_texts),
+        artifact_rows(report, {"authenticity_report": None}),
+        artifact_rows(extractions, {"extraction": None}),
+        artifact_rows(stamped.select("doc_id", "_meta"), {"extraction_meta": None}),
+        artifact_rows(cards, {"score_breakdown": ["score", "total_earned", "breakdown"]}),
+    ]
+    write_artifact_rows(reduce(DataFrame.unionByName, rows), folder)
 
     def at(path: str) -> Column:
         return F.coalesce(F.get_json_object("body", f"$.{path}"), F.lit(""))

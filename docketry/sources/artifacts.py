@@ -6,7 +6,10 @@ nothing else; the newest run of a document wins on reading.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,15 +23,24 @@ ARTIFACT_SCHEMA = T.StructType(
 )
 
 
-def write_step_artifacts(results: DataFrame, step: str, path: str, run: int = 0) -> None:
-    """Write every row of a step's result as one JSON object."""
+def artifact_rows(results: DataFrame, steps: dict[str, list[str] | None]) -> DataFrame:
+    """(doc_id, body, step): for each step of a result row one JSON object of doc_id and
+    the step's columns, all columns if None. The row is read once for all its steps.
+    A step whose columns are all NULL has no object."""
+
+    def entry(step: str, columns: list[str] | None) -> Column:
+        body = F.to_json(F.struct("*") if columns is None else F.struct("doc_id", *columns))
+        there = reduce(or_, [F.col(c).isNotNull() for c in columns]) if columns else F.lit(True)
+        return F.when(there, F.struct(body.alias("body"), F.lit(step).alias("step")))
+
+    entries = F.array_compact(F.array(*[entry(step, columns) for step, columns in steps.items()]))
+    return results.select("doc_id", F.explode(entries).alias("_entry")).select("doc_id", "_entry.*")
+
+
+def write_artifact_rows(rows: DataFrame, path: str, run: int = 0) -> None:
+    """One write for any number of steps; each of these steps of the run is replaced."""
     (
-        results.select(
-            "doc_id",
-            F.to_json(F.struct("*")).alias("body"),
-            F.lit(step).alias("step"),
-            F.lit(run).alias("run"),
-        )
+        rows.select("doc_id", "body", "step", F.lit(run).alias("run"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("step", "run")
@@ -36,6 +48,11 @@ def write_step_artifacts(results: DataFrame, step: str, path: str, run: int = 0)
     )
 
 
+def write_step_artifacts(results: DataFrame, step: str, path: str, run: int = 0) -> None:
+    """Write every row of a step's result as one JSON object."""
+    write_artifact_rows(artifact_rows(results, {step: None}), path, run)
+
+
 def read_step_artifacts(spark: SparkSession, path: str, step: str | None = None) -> DataFrame:
     """The newest body per step and document."""
     stored = spark.read.schema(ARTIFACT_SCHEMA).json(path)

@@ -92,6 +92,18 @@ def test_artifacts_of_a_rerun_win(spark, tmp_path):
     assert {r.step: r.documents for r in artifacts.manifest(spark, path).collect()} == {"redact": 2, "classify": 2}
 
 
+def test_steps_of_one_pass(spark, tmp_path):
+    path = str(tmp_path / "a")
+    results = spark.createDataFrame([(1, "t", None, 5), (2, None, None, 6)], "doc_id long, text string, note string, n int")
+    rows = artifacts.artifact_rows(results, {"parse": ["text"], "both": ["note", "n"], "all": None})
+    artifacts.write_artifact_rows(rows, path)
+    found = artifacts.read_step_artifacts(spark, path).collect()
+    assert sorted((r.step, r.doc_id, r.body) for r in found) == [
+        ("all", 1, '{"doc_id":1,"text":"t","n":5}'), ("all", 2, '{"doc_id":2,"n":6}'),
+        ("both", 1, '{"doc_id":1,"n":5}'), ("both", 2, '{"doc_id":2,"n":6}'), ("parse", 1, '{"doc_id":1,"text":"t"}'),
+    ]
+
+
 GOOD = (
     '{"document_type":"paystub","income":{"monthly_net_estimated":null,"sources":["a"],"frequency":"weekly"},'
     '"account_summary":{"opening_balance":null,"closing_balance":null,"average_daily_balance_estimated":null,"statement_period_months":null},'
