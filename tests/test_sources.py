@@ -165,3 +165,14 @@ def test_leaks(spark):
 def test_provenance(spark):
     df = spark.createDataFrame([(1, 2)], "doc_id long, job_id long")
     assert stamp_provenance(df, "m", "v1").first()._meta.asDict() == {"model": "m", "prompt_version": "v1", "doc_id": 1, "job_id": 2}
+
+
+def test_artifacts_are_compressed_and_cut_down_where_they_are_read(spark, tmp_path):
+    path = tmp_path / "a"
+    results = spark.createDataFrame([(1, "x" * 50), (2, "y"), (2, "y")], "doc_id long, value string")
+    artifacts.write_step_artifacts(results, "redact", str(path))
+    files = [f.name for f in path.rglob("part-*")]
+    assert files and all(name.endswith(".json.gz") for name in files)
+    value = F.get_json_object("body", "$.value")
+    found = artifacts.read_step_artifacts(spark, str(path), "redact", body=F.length(value)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.body) for r in found] == [(1, 50), (2, 1)]
