@@ -347,3 +347,17 @@ def test_preview_from_stored_parts(spark):
     reports = redaction.redacted_preview(frame(spark, ["611-22-3333"])).drop("redacted_text")
     rows = redaction.preview_from_artifacts(texts, reports).orderBy("doc_id").collect()
     assert [len(r.redaction_report) for r in rows] == [1, 0]
+
+
+def test_spans_of_texts_that_hold_the_mark(spark):
+    """Marks that a text holds itself are characters like others; places are code points."""
+    from docketry.functions.text import MARK
+
+    texts = ["\U0001f600 a@b.co, c@d.co x@y.org", f"{MARK} a@b.co{MARK} c@d.co {MARK}{MARK} x@y.org", "none", "a@b.co", None]
+    email = [r for r in RECOGNIZERS if r.name == "email"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = redaction.detect_pii_spans(documents, email).orderBy("doc_id", "start").collect()
+    wanted = [
+        (i, m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer(r"[a-z]@[a-z]\.[a-z]+", t or "")
+    ]
+    assert [(r.doc_id, r.start, r.end) for r in found] == wanted

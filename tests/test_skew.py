@@ -161,3 +161,13 @@ def test_expenses_whose_description_changes(spark):
     assert sorted((r.category, r.average_monthly_amount, r.frequency) for r in found) == [
         ("4711", Decimal("2.00"), "irregular"), ("Card", Decimal("15.00"), "weekly"), ("RENT", Decimal("900.00"), "monthly"),
     ]
+
+
+def test_texts_are_searched_in_even_tasks(spark, tables):
+    """However few tasks the scan of the narrow rows has."""
+    from docketry.plans.registry import accepted_documents
+    from docketry.plans.views import Catalog
+
+    cores = spark.sparkContext.defaultParallelism
+    documents = accepted_documents(Catalog(spark, tables))
+    assert documents.select("doc_id").rdd.getNumPartitions() == 4 * cores
