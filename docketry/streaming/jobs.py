@@ -9,7 +9,7 @@ from docketry.functions import fixed_values as V
 from docketry.operators.application import status_of_batches
 from docketry.operators.authenticity import with_authenticity
 from docketry.operators.dashboard import RATE
-from docketry.operators.gates import batch_gate, relevance_classify
+from docketry.operators.gates import batch_gate, relevance_classify, with_content_hash
 from docketry.operators.redaction import redact_text
 from docketry.streaming.replay import run_to_folder, run_to_state, state_of, stored_stream
 
@@ -92,13 +92,18 @@ def run_intake_in_parts(
         wanted = batches.select(F.col("batch_id").alias("_batch"))
         return stored.join(wanted, F.col("batch_id").eqNullSafe(F.col("_batch")), "left_semi").drop("epoch")
 
+    ready_path = f"{folder}/ready"
+    # What is shuffled for the gate is the hash of a text; texts are shuffled once.
+    hashed = with_content_hash(stored, "text")
+
     def complete(changed: DataFrame) -> DataFrame:
-        ready = changed.join(announced, "batch_id").where(all_here)
+        # Stored, as it is used twice: the counting is not to run again for each use.
+        ready = changed.join(announced, "batch_id").where(all_here).select("batch_id", "since")
+        ready.write.mode("overwrite").parquet(ready_path)
+        ready = spark.read.schema(ready.schema).parquet(ready_path)
         first = ready.agg(F.min("since")).first()[0]
-        since = stored.where(F.col("epoch") >= (0 if first is None else first))
-        return intake(
-            since.join(ready.select("batch_id"), "batch_id", "left_semi").drop("epoch")
-        )
+        since = hashed.where(F.col("epoch") >= first) if first is not None else hashed.where("false")
+        return intake(since.join(ready.select("batch_id"), "batch_id", "left_semi").drop("epoch"))
 
     counted = arrivals(stored_stream(spark, f"{folder}/files").select("batch_id", "created_at", "epoch"))
     results = run_to_folder(counted, f"{folder}/complete", mode="update", each=complete)

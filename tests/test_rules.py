@@ -361,3 +361,13 @@ def test_spans_of_texts_that_hold_the_mark(spark):
         (i, m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer(r"[a-z]@[a-z]\.[a-z]+", t or "")
     ]
     assert [(r.doc_id, r.start, r.end) for r in found] == wanted
+
+
+def test_batch_gate_takes_hashes_that_are_there(spark):
+    names = [("bank_1.pdf", "Opening balance one"), ("paystub_2.pdf", "Net pay two")]
+    rows = [(i, 1, n, "application/pdf", "%PDF", 5000, t, "same") for i, (n, t) in enumerate(names)]
+    documents = spark.createDataFrame(
+        rows, "doc_id long, batch_id long, filename string, content_type string, magic string, size_bytes long, text string, content_hash string"
+    )
+    assert [r.gate_outcome for r in gates.batch_gate(documents).collect()] == ["REJECTED", "REJECTED"]
+    assert [r.gate_outcome for r in gates.batch_gate(documents.drop("content_hash")).collect()] == [None, None]
