@@ -13,7 +13,7 @@ task. A task holds one segment; segments are read independently of each other.
 The place of a document in the corpus needs only the number of ids of each
 segment, summed in two levels.
 
-Words are encoded once in a task: the tokenizer drops white space and never
+Words are encoded once in a worker, up to a bound: the tokenizer drops white space and never
 joins over it, so the ids of a text are those of its stretches between spaces
 and line breaks.
 
@@ -39,7 +39,7 @@ from docketry.llm.idcodec import decode_segment, encode_segment
 END = 1
 SEGMENT = 2_000_000
 PORTION = 200_000
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 150_000
 WORDS_AT_ONCE = 10_000
 
 
@@ -88,6 +88,14 @@ class Encoder:
         return [np.r_[p, np.int32(END)] for p in parts]
 
 
+def encoder_of(held: list) -> Encoder:
+    """The one encoder of a worker: made by its first task, whose list then holds it
+    behind the tokenizer's text. The memory of a tokenizer does not all come back."""
+    if len(held) == 1:
+        held.append(Encoder(held[0]))
+    return held[1]
+
+
 def write_token_files(
     documents: DataFrame,
     path: str,
@@ -98,7 +106,8 @@ def write_token_files(
 ) -> None:
     spark = documents.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        tokenizer = spark.sparkContext.broadcast(f.read())
+        # A worker keeps a broadcast value, so what is added to this list lasts from task to task.
+        tokenizer = spark.sparkContext.broadcast([f.read()])
     rows = (
         documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         .repartitionByRange("key")
@@ -108,7 +117,7 @@ def write_token_files(
     key_type = pa.struct([("key", arrow_type(rows)), ("n_tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer.value)
+        encoder = encoder_of(tokenizer.value)
         file = TaskContext.get().partitionId()
         number = size = 0
         keys: list = []

@@ -120,3 +120,14 @@ def test_no_documents(spark, tmp_path):
     T.write_token_files(documents(spark, []), path, PATH)
     assert T.read_token_files(spark, path).collect() == []
     assert T.segment_starts(spark, path).collect() == []
+
+
+def test_tasks_of_a_worker_share_an_encoder():
+    with open(PATH, encoding="utf-8") as f:
+        held = [f.read()]
+    first, texts = T.encoder_of(held), ["one two", "", "two"]
+    found = first.encode(texts)
+    again = T.encoder_of(held)
+    assert again is first
+    for now, then, alone in zip(again.encode(texts), found, T.Encoder(held[0]).encode(texts)):
+        assert now.tolist() == then.tolist() == alone.tolist()
