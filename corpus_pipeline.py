@@ -46,10 +46,15 @@ def keep_unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every document, with the check of decoding them."""
+    """Two sampled segmentations of every document, with the check of decoding them.
+
+    The samples are stored before they are decoded: in one stage, each task would hold a
+    Python worker for either, beside a heap that the stages before have filled.
+    """
     ready(spark)
-    path = tokenizer_path(PIECES)
-    encoded = sampling.encode(docs, path, samples=2)
+    path, samples = tokenizer_path(PIECES), work_folder(spark, "pipeline-samples")
+    sampling.encode(docs, path, samples=2).write.parquet(samples)
+    encoded = spark.read.parquet(samples)
     return encoded.withColumn(
         "decoded_crc32", F.crc32(sampling.decode(spark, F.col("ids"), path))
     )

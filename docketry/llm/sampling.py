@@ -36,7 +36,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -452,16 +451,16 @@ def decode(spark: SparkSession, ids: Column, vocabulary_path: str) -> Column:
     """The text of a list of ids; null where there is none."""
     shared = spark.sparkContext.broadcast(piece_bytes(vocabulary_path))
 
-    @F.pandas_udf(T.StringType())
-    def decoded(lists: pd.Series) -> pd.Series:
-        pieces = shared.value
+    @F.arrow_udf(T.StringType())
+    def decoded(lists: pa.Array) -> pa.Array:
+        pieces, known = shared.value, lists.is_valid().to_pylist()
+        bounds, found = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False)
 
-        def one(found) -> str | None:
-            if found is None:
-                return None
-            data = b"".join(map(pieces.__getitem__, found.tolist()))
+        def one(ids: np.ndarray) -> str:
+            data = b"".join(map(pieces.__getitem__, ids.tolist()))
             return data.removeprefix(b" ").decode("utf-8", "replace")
 
-        return lists.map(one, na_action=None)
+        texts = [one(found[a:b]) if k else None for k, a, b in zip(known, bounds, bounds[1:])]
+        return pa.array(texts, pa.string())
 
     return decoded(ids)

@@ -114,3 +114,27 @@ def test_stages_take_awkward_tables(spark, tables, data):
         out.collect()
         if name != "sentencepiece":
             assert out.columns == docs.columns
+
+
+def test_samples_are_decoded_in_a_stage_of_their_own(spark, tables):
+    """A task of the last stage has one Python worker, not one for each of two steps."""
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    out = corpus_pipeline.encode(spark, documents(spark, [(1, A), (2, B), (3, None)]), tables)
+    with redirect_stdout(StringIO()) as plan:
+        out.explain("simple")
+    assert plan.getvalue().count("ArrowEvalPython") == 1
+    assert "MapInArrow" not in plan.getvalue()
+    assert out.where("text_crc32 <> decoded_crc32").count() == 0
+    assert sorted(r.doc_id for r in out.where("sample = 0").collect()) == [1, 2, 3]
+
+
+def test_decoding_keeps_nulls(spark):
+    from docketry.llm import sampling
+    from docketry.llm.queries import PIECES, tokenizer_path
+
+    path = tokenizer_path(PIECES)
+    lists = spark.createDataFrame([(1, None), (2, []), (3, [])], "n int, ids array<int>")
+    texts = lists.select("n", sampling.decode(spark, F.col("ids"), path).alias("text")).collect()
+    assert sorted((r.n, r.text) for r in texts) == [(1, None), (2, ""), (3, "")]
