@@ -127,9 +127,11 @@ class Model:
     """Predictions of each lane over an alphabet of ``size`` symbols.
 
     A prediction is its symbol times 4 and a confidence from 0 (none) to 3.
+    Only a model for reading knows the owners of shares.
     """
 
-    def __init__(self, lanes: int, size: int):
+    def __init__(self, lanes: int, size: int, reading: bool):
+        self.reading = reading
         self.lanes, self.size, self.bits = lanes, size, share_bits(size)
         kind = np.uint16 if size < 1 << 14 else np.uint32
         rows = np.arange(lanes)
@@ -160,9 +162,10 @@ class Model:
         upto = (upto * 16 + np.arange(1, self.size + 1)) * spare // (total * 16 - 15 * self.size)
         below = np.zeros((self.lanes, self.size + 1), np.int32)
         below[:, 1:] = upto + np.arange(1, self.size + 1)
-        kind = np.uint16 if self.size < 1 << 16 else np.uint32
-        symbols = np.tile(np.arange(self.size, dtype=kind), self.lanes)
-        self.owner = np.repeat(symbols, np.diff(below, axis=1).reshape(-1))
+        if self.reading:
+            kind = np.uint16 if self.size < 1 << 16 else np.uint32
+            symbols = np.tile(np.arange(self.size, dtype=kind), self.lanes)
+            self.owner = np.repeat(symbols, np.diff(below, axis=1).reshape(-1))
         self.below = below.reshape(-1)
 
     def contexts(self, lanes: int) -> None:
@@ -282,7 +285,7 @@ def encode_segment(ids: np.ndarray) -> bytes:
     words: list[np.ndarray] = []
     for part in lane_groups(n_blocks, len(alphabet)):
         coder = Coder(part.stop - part.start)
-        run(Model(part.stop - part.start, len(alphabet)), coder, blocks[:, part], lengths[part])
+        run(Model(part.stop - part.start, len(alphabet), False), coder, blocks[:, part], lengths[part])
         words += coder.finished()
     sums = [checksum(ids[i * length : (i + 1) * length]) for i in range(n_blocks)]
     index = np.array([(s, len(w)) for s, w in zip(sums, words)], "<u4").reshape(-1, 2)
@@ -321,7 +324,7 @@ def decode_segment(data: bytes) -> np.ndarray:
     blocks = np.zeros((length, n_blocks), np.int32)
     for part in lane_groups(n_blocks, size):
         coder = Coder(part.stop - part.start, words[part])
-        run(Model(part.stop - part.start, size), coder, blocks[:, part], lengths[part])
+        run(Model(part.stop - part.start, size, True), coder, blocks[:, part], lengths[part])
     ids = alphabet[blocks.T.reshape(-1)[:n_ids]]
     for i, wanted in enumerate(index[:, 0].tolist()):
         if checksum(ids[i * length : (i + 1) * length]) != wanted:

@@ -131,3 +131,13 @@ def test_tasks_of_a_worker_share_an_encoder():
     assert again is first
     for now, then, alone in zip(again.encode(texts), found, T.Encoder(held[0]).encode(texts)):
         assert now.tolist() == then.tolist() == alone.tolist()
+
+
+def test_only_a_reader_builds_the_table_of_owners():
+    """It is as large as all shares of all lanes; the bytes written do not need it."""
+    assert not hasattr(C.Model(3, 7, reading=False), "owner")
+    assert len(C.Model(3, 7, reading=True).owner) == 3 << C.LEAST_SHARES
+    ids = np.random.default_rng(6).zipf(1.4, 5000).clip(max=900)
+    data = C.encode_segment(ids)
+    assert (len(data), zlib.crc32(data)) == (4934, 2242836251)  # as before
+    assert (C.decode_segment(data) == ids).all()
