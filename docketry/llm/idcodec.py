@@ -29,7 +29,8 @@ VERSION = 1
 BLOCK = 8192
 LEAST_BLOCK = 1024
 LANES = 1024  # wanted before blocks grow
-TABLE = 1 << 23  # entries of the order-0 tables: bounds the lanes worked on at once
+TABLE = 1 << 23  # half the entries of the order-1 tables: bounds the lanes worked on at once
+COUNTED = 1 << 18  # entries of the tables in which a writer counts symbols
 SLOT_BITS = 11  # of the order-2 table of a block
 FIRST_SUM = 64
 DENSE = 1 << 22  # ids below are ranked by a table
@@ -39,10 +40,11 @@ LEAST_SHARES = 14
 # Adaptive weights: 12 bits, moved by a 32nd of the distance to HIT or MISS.
 WEIGHT_BITS, HIT, MISS, RATE = 12, 4080, 8, 5
 U = np.uint64
-WORD = U(16)
-SETTLED = U(1 << 48)
+# Arrays of no dimension, which numpy takes faster than its numbers.
+ONE, WORD, TOP, WEIGHT_SHIFT = (np.array(x, U) for x in (1, 16, 48, WEIGHT_BITS))
+SETTLED = np.array(1 << 48, U)
 # Left after every id, so 12 bits of weights and up to 20 of order 0 can follow.
-LEAST_RANGE = U(1 << 42)
+LEAST_RANGE = np.array(1 << 42, U)
 
 
 class Corrupt(ValueError):
@@ -55,201 +57,270 @@ class Coder:
     def __init__(self, lanes: int, words: list[np.ndarray] | None = None):
         self.low = np.zeros(lanes, U)
         self.range = np.full(lanes, 2**64 - 1, U)
-        self.at = np.zeros(lanes, np.int64)
         self.reading = words is not None
         if words is None:
-            self.width = 1024
-            self.words = np.zeros(lanes * self.width, np.uint16)
+            self.written: list[tuple[np.ndarray, np.ndarray]] = []  # lanes and a word of each
+            self.lane_kind = np.uint16 if lanes <= 1 << 16 else np.uint32
         else:
-            self.width = max(map(len, words)) + 8
-            table = np.zeros((lanes, self.width), np.uint16)
-            for i, w in enumerate(words):
-                table[i, : len(w)] = w
-            self.words = table.reshape(-1)
+            sizes = np.fromiter(map(len, words), np.int64, lanes)
+            self.words = np.concatenate([*words, np.zeros(1, np.uint16)]).astype(np.uint16)
+            self.ends = np.cumsum(sizes)
+            self.at = self.ends - sizes
             self.code = np.zeros(lanes, U)
             for _ in range(4):
                 self.code = (self.code << WORD) | self.next_words(np.arange(lanes))
 
     def next_words(self, who: np.ndarray) -> np.ndarray:
-        at = self.at[who]
+        at = self.at.take(who)
         self.at[who] = at + 1
-        if int(at.max(initial=0)) >= self.width:
-            raise Corrupt("a block ends early")
-        return self.words.take(who * self.width + at).astype(U)
+        return self.words.take(at, mode="clip").astype(U)
+
+    def check_ends(self) -> None:
+        if (self.at != self.ends).any():
+            raise Corrupt("a block does not end with its words")
 
     def write_words(self, who: np.ndarray, words: np.ndarray) -> None:
-        at = self.at[who]
-        if int(at.max()) >= self.width:
-            table = self.words.reshape(-1, self.width)
-            self.words = np.concatenate([table, np.zeros_like(table)], axis=1).reshape(-1)
-            self.width *= 2
-        self.words[who * self.width + at] = words
-        self.at[who] = at + 1
+        self.written.append((who.astype(self.lane_kind), words.astype(np.uint16)))
 
     def settle(self, lanes: int) -> None:
         """Move words that are decided, until every range is wide enough."""
         low, span = self.low[:lanes], self.range[:lanes]
         decided = (low ^ (low + span)) < SETTLED
-        who = np.flatnonzero(decided | (span < LEAST_RANGE))
+        who = (decided | (span < LEAST_RANGE)).nonzero()[0]
+        low, span, decided = low.take(who), span.take(who), decided.take(who)
         while len(who):
-            low, span, decided = self.low[who], self.range[who], decided[who]
-            span = np.where(decided, span, (~low + U(1)) & (LEAST_RANGE - U(1)))
+            span = np.where(decided, span, (ONE + ~low) & (LEAST_RANGE - ONE))
             if self.reading:
-                self.code[who] = (self.code[who] << WORD) | self.next_words(who)
+                self.code[who] = (self.code.take(who) << WORD) | self.next_words(who)
             else:
-                self.write_words(who, low >> U(48))
+                self.write_words(who, low >> TOP)
             low, span = low << WORD, span << WORD
             self.low[who], self.range[who] = low, span
-            again = (low ^ (low + span)) < SETTLED
-            decided = np.zeros(lanes, bool)
-            decided[who] = again
-            who = who[again | (span < LEAST_RANGE)]
+            decided = (low ^ (low + span)) < SETTLED
+            more = (decided | (span < LEAST_RANGE)).nonzero()[0]
+            who, low, span, decided = who.take(more), low.take(more), span.take(more), decided.take(more)
 
     def finished(self) -> list[np.ndarray]:
         """The words of each lane; flushes the state."""
+        lanes = len(self.low)
         for shift in (48, 32, 16, 0):
-            self.write_words(np.arange(len(self.low)), (self.low >> U(shift)) & U(0xFFFF))
-        table = self.words.reshape(-1, self.width)
-        return [table[i, :n] for i, n in enumerate(self.at.tolist())]
+            self.write_words(np.arange(lanes), (self.low >> U(shift)) & U(0xFFFF))
+        lane, words = (np.concatenate(x) for x in zip(*self.written))
+        words = words[np.argsort(lane, kind="stable")]
+        return np.split(words, np.cumsum(np.bincount(lane, minlength=lanes))[:-1])
 
 
-# What the weights of order 2 and of order 1 move to after each kind of outcome.
-GOALS = np.array([[HIT, MISS, MISS], [MISS, HIT, MISS]], np.int16)
-# Confidence after a wrong (first row) or right (second row) prediction.
-NEXT_TRUST = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.int32)
+# What the weights of order 2 and of order 1 move to where either was right, or none.
+GOALS = np.array([[HIT, MISS], [MISS, HIT], [MISS, MISS]], np.int16).view(np.int32).reshape(-1)
+SECOND_RIGHT, FIRST_RIGHT, NONE_RIGHT = (np.array(x) for x in GOALS)
+HASH_BEFORE, HASH_LAST = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+HASH_SHIFT = np.uint32(32 - SLOT_BITS)
 
 
 def share_bits(size: int) -> int:
     return max(LEAST_SHARES, int(size).bit_length() + 2)
 
 
+def below(counts, symbols, seen: int, size: int):
+    """Shares below each symbol, ``counts`` of the ``seen`` ids being smaller."""
+    spare = (1 << share_bits(size)) - size
+    return (counts * 16 + symbols) * spare // (16 * seen + size) + symbols
+
+
 class Model:
     """Predictions of each lane over an alphabet of ``size`` symbols.
 
-    A prediction is its symbol times 4 and a confidence from 0 (none) to 3.
-    Only a model for reading knows the owners of shares.
+    A prediction is its symbol times 4 and a confidence from 0 (none) to 3. Those of
+    order 2 and of order 1 lie in one table, and in all arrays one behind the other.
     """
 
     def __init__(self, lanes: int, size: int, reading: bool):
         self.reading = reading
         self.lanes, self.size, self.bits = lanes, size, share_bits(size)
-        kind = np.uint16 if size < 1 << 14 else np.uint32
+        self.kind = np.uint16 if size < 1 << 14 else np.uint32
         rows = np.arange(lanes)
-        self.rows1, self.rows2 = rows * size, rows << SLOT_BITS
-        self.row_weights, self.row_shares, self.row_tables = rows * 32, rows << self.bits, rows * (size + 1)
-        self.last = np.zeros(lanes, np.int64)
-        self.before_last = np.zeros(lanes, np.int64)
-        self.guesses1 = np.zeros(lanes * size, kind)
-        self.guesses2 = np.zeros(lanes << SLOT_BITS, kind)
+        self.rows1, self.rows2 = rows * size + (lanes << SLOT_BITS), rows << SLOT_BITS
+        self.row_weights = rows * 32
+        self.last = np.zeros(lanes, np.uint32)
+        self.before_last = np.zeros(lanes, np.uint32)
+        self.guesses = np.zeros((lanes << SLOT_BITS) + lanes * size, self.kind)
+        self.two, self.three = np.array(2, self.kind), np.array(3, self.kind)
         # by confidences and agreement, in 4096ths: order 2 is right, order 1 is right
         trusts = [(b, a, same) for b in range(4) for a in range(4) for same in (0, 1)]
-        self.weights2 = np.tile(np.array([MISS + 600 * b for b, _, _ in trusts], np.int16), lanes)
-        self.weights1 = np.tile(
-            np.array([MISS + (0 if same else 300 * a) for _, a, same in trusts], np.int16), lanes
-        )
+        weights = [(MISS + 600 * b, MISS + (0 if same else 300 * a)) for b, a, same in trusts]
+        # the two weights of a context side by side, moved as one 32-bit number
+        self.weights = np.tile(np.array(weights, np.int16).reshape(-1), lanes).view(np.int32)
         self.steps, self.due = 0, FIRST_SUM
-        self.sum_up(np.zeros((0, lanes), np.int32))
+        if reading:
+            self.sum_up(np.zeros((0, lanes), np.int32))
 
     def sum_up(self, seen: np.ndarray) -> None:
-        """Order-0 shares after the symbols so far (steps x lanes): entry s of
-        ``below`` is what lies below symbol s, ``owner`` the symbol of a share."""
-        places = (self.rows1[: seen.shape[1]] + seen).reshape(-1)
-        counts = np.bincount(places, minlength=self.lanes * self.size).reshape(self.lanes, self.size)
-        spare = (1 << self.bits) - self.size
-        upto = np.cumsum(counts, axis=1)
-        # with nothing seen yet, or in lanes that have ended, as if each was seen once
-        total = upto[:, -1:] + self.size
-        upto = (upto * 16 + np.arange(1, self.size + 1)) * spare // (total * 16 - 15 * self.size)
-        below = np.zeros((self.lanes, self.size + 1), np.int32)
-        below[:, 1:] = upto + np.arange(1, self.size + 1)
-        if self.reading:
-            kind = np.uint16 if self.size < 1 << 16 else np.uint32
-            symbols = np.tile(np.arange(self.size, dtype=kind), self.lanes)
-            self.owner = np.repeat(symbols, np.diff(below, axis=1).reshape(-1))
-        self.below = below.reshape(-1)
+        """Order 0 after the symbols so far (steps x lanes): the different ones of each
+        lane, in order, with their shares. Before each lane's stands one below all."""
+        self.seen, lanes = len(seen), self.lanes
+        ordered = np.array(seen.T, order="C")  # a copy, also of one lane
+        ordered.sort(axis=1)
+        new = np.ones(ordered.shape, bool)
+        new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+        at = np.flatnonzero(new)
+        lane, place = np.divmod(at, max(1, self.seen))
+        after = np.where(np.r_[lane[1:] != lane[:-1], True][: len(at)], self.seen, np.r_[place[1:], 0][: len(at)])
+        symbol = ordered.reshape(-1).take(at).astype(np.int64)
+        start = below(place, symbol, self.seen, self.size)
+        stop = below(after, symbol + 1, self.seen, self.size)
+        slots = np.arange(len(at)) + lane + 1
+        # no share reaches the next lane's
+        self.start = np.full(len(at) + lanes + 1, 1 << self.bits, np.int32)
+        self.start[slots] = start
+        found = np.zeros((len(at) + lanes, 4), np.int32)
+        found[slots] = np.stack([symbol, start, stop, after], 1)
+        self.entries = found.view(np.complex128).reshape(-1)  # 16 bytes that are taken at once
+        # For each stretch of shares, the last symbol that starts before it. No symbol seen
+        # has fewer shares than a stretch, so at most one starts inside.
+        spare, total = (1 << self.bits) - self.size, 16 * self.seen + self.size
+        self.shift = (17 * spare // total + 1).bit_length() - 1
+        depth = max(0, self.bits - self.shift)
+        stretch = (lane << depth) + (start >> self.shift)
+        counts = np.bincount(stretch, minlength=lanes << depth)
+        found = np.cumsum(counts) - counts
+        self.nearest = (found.reshape(lanes, -1) + np.arange(lanes)[:, None]).astype(np.int32).reshape(-1)
+        self.row_stretch = np.arange(lanes) << depth
+
+    def find(self, who: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By order 0, the symbol that has a share of each lane, what lies below it and
+        its number of shares."""
+        at = self.nearest.take(self.row_stretch.take(who) + (point >> self.shift)).astype(np.int64)
+        at += self.start.take(at + 1) <= point
+        symbol, start, stop, after = self.entries.take(at).view(np.int32).reshape(-1, 4).T
+        unseen = (point >= stop).nonzero()[0]
+        if len(unseen):
+            symbol, start, stop = symbol.copy(), start.copy(), stop.copy()
+            spare, total = (1 << self.bits) - self.size, 16 * self.seen + self.size
+            count = after.take(unseen).astype(np.int64)
+            found = ((point.take(unseen) + 1) * total - 16 * spare * count - 1) // (spare + total)
+            symbol[unseen] = found
+            start[unseen] = below(count, found, self.seen, self.size)
+            stop[unseen] = below(count, found + 1, self.seen, self.size)
+        return symbol, start, stop - start
+
+    @property
+    def owner(self) -> np.ndarray:
+        """The symbol of every share, lane by lane, as it is found."""
+        if not self.reading:
+            raise AttributeError("a model that writes does not look for owners")
+        shares = 1 << self.bits
+        return self.find(np.repeat(np.arange(self.lanes), shares), np.tile(np.arange(shares), self.lanes))[0]
 
     def contexts(self, lanes: int) -> None:
         """Looks up the predictions for the next id of the first ``lanes`` lanes."""
         last = self.last[:lanes]
-        self.place1 = self.rows1[:lanes] + last
-        mixed = (self.before_last[:lanes] * 0x9E3779B1 + last * 0x85EBCA77) & 0xFFFFFFFF
-        self.place2 = self.rows2[:lanes] + (mixed >> (32 - SLOT_BITS))
-        found2 = self.guesses2.take(self.place2).astype(np.int32)
-        found1 = self.guesses1.take(self.place1).astype(np.int32)
-        self.trust2, self.trust1 = found2 & 3, found1 & 3
-        self.second, self.first = found2 >> 2, found1 >> 2
-        context = (self.trust2 << 3) + (self.trust1 << 1) + (self.first == self.second)
+        self.place = np.empty(2 * lanes, np.int64)
+        slot = (self.before_last[:lanes] * HASH_BEFORE + last * HASH_LAST) >> HASH_SHIFT
+        np.add(self.rows2[:lanes], slot, out=self.place[:lanes])
+        np.add(self.rows1[:lanes], last, out=self.place[lanes:])
+        found = self.guesses.take(self.place)
+        self.trust, self.guess = found & self.three, found >> self.two
+        self.second, self.first = self.guess[:lanes], self.guess[lanes:]
+        context = (self.trust[:lanes] << 3) + (self.trust[lanes:] << 1) + (self.first == self.second)
         self.context = self.row_weights[:lanes] + context
-        self.weight2 = self.weights2.take(self.context)
-        self.weight1 = self.weights1.take(self.context)
-
-    def learn(self, lanes: int, symbols: np.ndarray, kind: np.ndarray) -> None:
-        self.weights2[self.context] = self.weight2 + ((GOALS[0].take(kind) - self.weight2) >> RATE)
-        self.weights1[self.context] = self.weight1 + ((GOALS[1].take(kind) - self.weight1) >> RATE)
-        for guesses, place, guess, trust in (
-            (self.guesses2, self.place2, self.second, self.trust2),
-            (self.guesses1, self.place1, self.first, self.trust1),
-        ):
-            right = guess == symbols
-            kept = np.where(trust > 1, guess, symbols)  # the same if it was right
-            guesses[place] = (kept << 2) + NEXT_TRUST.take((right << 2) + trust)
+        self.weight = self.weights.take(self.context).view(np.int16)
+
+    def learn(self, lanes: int, symbols: np.ndarray, right: np.ndarray, goals: np.ndarray) -> None:
+        """``symbols`` twice, for either order; ``right``: whether its guess was."""
+        moved = self.weight + ((goals.view(np.int16) - self.weight) >> RATE)
+        self.weights[self.context] = moved.view(np.int32)
+        kept = np.where(self.trust > 1, self.guess, symbols)  # the same if it was right
+        # Confidence rises to 3 if right; if wrong, it falls to 2 from 3, else to 1.
+        full = (self.trust == self.three).view(np.uint8)
+        trust = (self.trust - (full << 1)) * right + (full + 1)
+        self.guesses[self.place] = (kept << self.two) | trust
         self.before_last[:lanes] = self.last[:lanes]
-        self.last[:lanes] = symbols
+        self.last[:lanes] = symbols[:lanes]
         self.steps += 1
 
 
+def order_0(symbols: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the symbols (steps x lanes), the shares below it and its own when it
+    is coded: after the steps before the last power of two from FIRST_SUM on."""
+    steps, lanes = symbols.shape
+    under, own = np.empty((steps, lanes), U), np.empty((steps, lanes), U)
+    group = max(1, COUNTED // size)
+    begin = 0
+    while begin < steps:
+        end = min(max(FIRST_SUM, 2 * begin), steps)
+        for a in range(0, lanes, group):
+            b = min(a + group, lanes)
+            rows, asked = np.arange(b - a) * size, symbols[begin:end, a:b].astype(np.int64)
+            counts = np.bincount((rows + symbols[:begin, a:b]).reshape(-1), minlength=(b - a) * size)
+            upto = np.cumsum(counts)
+            places = rows + asked
+            smaller = upto.take(places) - np.arange(b - a) * begin
+            start = below(smaller - counts.take(places), asked, begin, size)
+            under[begin:end, a:b] = start
+            own[begin:end, a:b] = below(smaller, asked + 1, begin, size) - start
+        begin = end
+    return under, own
+
+
 def run(model: Model, coder: Coder, symbols: np.ndarray, lengths: np.ndarray) -> None:
     """Code ``symbols`` (steps x blocks), or fill it in when the coder reads.
     Longer blocks come first."""
-    whole, bits = 1 << WEIGHT_BITS, U(model.bits)
-    for t in range(int(lengths[0])):
+    whole, bits = np.array(1 << WEIGHT_BITS, np.int16), np.array(model.bits, U)
+    nothing, steps = np.array(0, np.int16), int(lengths[0])
+    if not coder.reading:
+        under, own = order_0(symbols[:steps], model.size)
+    for t in range(steps):
         lanes = model.lanes if lengths[-1] > t else int(np.searchsorted(-lengths, -t))
         model.contexts(lanes)
-        weight2 = model.weight2
-        both = weight2 + model.weight1
+        weight2, weight1 = model.weight[0::2], model.weight[1::2]
+        both = weight2 + weight1
         low, span = coder.low[:lanes], coder.range[:lanes]
-        unit = span >> U(WEIGHT_BITS)
+        unit = span >> WEIGHT_SHIFT
+        twice = np.empty(2 * lanes, model.kind)
         if coder.reading:
-            point = ((coder.code[:lanes] - low) // unit).astype(np.int64)
-            kind = (point >= weight2).astype(np.int64) + (point >= both)
-            now = np.where(kind == 0, model.second, model.first)
+            point = coder.code[:lanes] - low
+            by_second = point < unit * weight2.astype(U)
+            by_first = ~by_second & (point < unit * both.astype(U))
         else:
-            now = symbols[t, :lanes]
-            kind = np.where(now == model.second, 0, np.where(now == model.first, 1, 2))
-        # bounds of the three kinds, side by side
-        edges = np.zeros((4, lanes), U)
-        edges[1], edges[2], edges[3] = weight2, both, whole
-        place = kind * lanes + np.arange(lanes)
-        below = edges.reshape(-1).take(place)
-        low += unit * below
-        np.multiply(unit, edges.reshape(-1).take(place + lanes) - below, out=span)
-        plain = np.flatnonzero(kind == 2)
-        if len(plain):
-            start = low.take(plain)
-            unit = span.take(plain) >> bits
-            if coder.reading:
-                point = ((coder.code.take(plain) - start) // unit).astype(np.int64)
-                np.minimum(point, (1 << model.bits) - 1, out=point)
-                symbol = model.owner.take(model.row_shares.take(plain) + point)
-                now[plain] = symbol
-            else:
-                symbol = now.take(plain)
-            place = model.row_tables.take(plain) + symbol
-            below = model.below.take(place)
-            width = model.below.take(place + 1) - below
-            low[plain] = start + unit * below.astype(U)
-            span[plain] = unit * width.astype(U)
-        coder.settle(lanes)
+            twice[:lanes] = twice[lanes:] = symbols[t, :lanes]
+            right = model.guess == twice
+            by_second = right[:lanes]
+            by_first = right[lanes:] & ~by_second
+        start = np.where(by_second, nothing, np.where(by_first, weight2, both))
+        width = np.where(by_second, weight2, np.where(by_first, weight1, whole - both))
+        low += unit * start.astype(U)
+        np.multiply(unit, width.astype(U), out=span)
+        plain = ~(by_second | by_first)
+        goals = np.where(by_second, SECOND_RIGHT, np.where(by_first, FIRST_RIGHT, NONE_RIGHT))
         if coder.reading:
+            now = np.where(by_second, model.second, model.first)
+            who = plain.nonzero()[0]
+            if len(who):
+                start, unit = low.take(who), span.take(who) >> bits
+                point = ((coder.code.take(who) - start) // unit).astype(np.int64)
+                np.minimum(point, (1 << model.bits) - 1, out=point)
+                symbol, below_, width = model.find(who, point)
+                now[who] = symbol
+                low[who] = start + unit * below_.astype(U)
+                span[who] = unit * width.astype(U)
             symbols[t, :lanes] = now
-        model.learn(lanes, now, kind)
-        if model.steps == model.due:
+            twice[:lanes] = twice[lanes:] = now
+            right = model.guess == twice
+        else:
+            unit = span >> bits
+            low += unit * (under[t, :lanes] * plain)
+            np.copyto(span, unit * own[t, :lanes], where=plain)
+        coder.settle(lanes)
+        model.learn(lanes, twice, right, goals)
+        if model.reading and model.steps == model.due:
             model.due *= 2
             model.sum_up(symbols[: model.steps])
+    if coder.reading:
+        coder.check_ends()
 
 
 def lane_groups(n_blocks: int, size: int) -> list[slice]:
-    step = max(1, TABLE >> share_bits(size))
+    step = max(1, 2 * TABLE // max(1, size))
     return [slice(a, min(a + step, n_blocks)) for a in range(0, n_blocks, step)]
 
 

@@ -13,9 +13,10 @@ task. A task holds one segment; segments are read independently of each other.
 The place of a document in the corpus needs only the number of ids of each
 segment, summed in two levels.
 
-Words are encoded once in a worker, up to a bound: the tokenizer drops white space and never
+Words are looked up by portions of texts: the tokenizer drops white space and never
 joins over it, so the ids of a text are those of its stretches between spaces
-and line breaks.
+and line breaks. The parts of words are encoded once in a worker, up to a bound, and
+kept as one array: far smaller than a dictionary of words.
 
 Edge cases: null and empty texts have the end id only; null ids come first;
 rows of an equal id are ordered by a hash of their text; a document longer than
@@ -25,10 +26,14 @@ columns may have any names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import os
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,54 +43,142 @@ from docketry.llm.idcodec import decode_segment, encode_segment
 
 END = 1
 SEGMENT = 2_000_000
-PORTION = 200_000
-KNOWN_WORDS = 150_000
+PORTION = 4_000_000  # bytes of texts encoded at once
+KNOWN_PARTS = 500_000
 WORDS_AT_ONCE = 10_000
 
 
+# The pipeline in front of the merges that ``PARTS`` repeats for ``EASY`` words.
+NORMAL = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CUTS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": CUT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# Printable ASCII and letters that stand alone in Latin-1: none of them joins another in NFC.
+EASY = "[!-~À-ÖØ-öø-ÿ]+"
+PARTS = f"({CUT.replace(r'\p{L}', 'a-zß-öø-ÿ').replace(r'\p{N}', '0-9')})"
+
+
+def byte_letters() -> dict[int, str]:
+    """What the library writes for the bytes from 128 on."""
+    unprinted = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+    return {b: chr(256 + i) for i, b in enumerate(unprinted) if b > 126}
+
+
 class Encoder:
-    """Token ids of texts; the ids of words met so far are kept, up to a bound."""
+    """Token ids of texts; the ids of parts met so far are kept, up to a bound.
+
+    The different words of ``EASY`` characters are put in lower case and cut here, as the
+    tokenizer's own pipeline does, and their parts go straight to its merges. All other
+    words are parts of their own and go through the whole pipeline, and so does every
+    word of a tokenizer whose pipeline is another.
+    """
 
     def __init__(self, tokenizer: str):
+        # A worker is one task of many: threads of its own would share its core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        rules = json.loads(tokenizer)
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        self.cuts = (
+            rules["normalizer"] == NORMAL
+            and rules["pre_tokenizer"] == CUTS
+            and rules["post_processor"] is None
+            and all("<|" in t["content"] for t in rules["added_tokens"])
+        )
+        self.byte_letters = byte_letters()
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.start = np.zeros(1, np.int64)  # of each word's ids, and the end of the last
+        self.parts = pa.array([], pa.large_string())
+        self.start = np.zeros(1, np.int64)  # of each part's ids, and the end of the last
         self.ids = np.zeros(0, np.int32)
 
-    def learn(self, words: list[str]) -> None:
-        found: list[list[int]] = []
-        for a in range(0, len(words), WORDS_AT_ONCE):  # an encoding is far larger than its ids
-            batch = self.tokenizer.encode_batch_fast(words[a : a + WORDS_AT_ONCE], add_special_tokens=False)
-            found += [e.ids for e in batch]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words))))
-        self.start = np.r_[self.start, self.start[-1] + np.cumsum(lengths)]
-        self.ids = np.r_[self.ids, np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum()))]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def easy(self, words: pa.Array) -> pa.Array:
+        fits = pc.match_substring_regex(words, f"^{EASY}$")
+        return pc.and_(pc.and_not(fits, pc.match_substring(words, "<|")), self.cuts)
+
+    def learn(self, parts: pa.Array) -> np.ndarray:
+        """The numbers that the parts get."""
+        easy = self.easy(parts)
+        order = np.argsort(pc.invert(easy).to_numpy(zero_copy_only=False), kind="stable")
+        numbers = np.empty(len(parts), np.int64)
+        numbers[order] = np.arange(len(self.parts), len(self.parts) + len(parts))
+        merged = (self.merged(x) for x in parts.filter(easy).to_numpy(zero_copy_only=False))
+        self.keep(parts.filter(easy), merged)
+        others = parts.filter(pc.invert(easy))
+        for a in range(0, len(others), WORDS_AT_ONCE):  # an encoding is far larger than its ids
+            batch = others.slice(a, WORDS_AT_ONCE)
+            found = self.tokenizer.encode_batch_fast(batch.to_pylist(), add_special_tokens=False)
+            self.keep(batch, (e.ids for e in found))
+        return numbers
+
+    def merged(self, part: str) -> list[int]:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.byte_letters)
+        return [token.id for token in self.tokenizer.model.tokenize(part)]
+
+    def keep(self, parts: pa.Array, found: Iterable[list[int]]) -> None:
+        ids, ends = array("i"), array("q")
+        for of_part in found:
+            ids.extend(of_part)
+            ends.append(len(ids))
+        self.parts = pa.concat_arrays([self.parts, parts])
+        self.start = np.r_[self.start, self.start[-1] + np.array(ends, np.int64)]
+        self.ids = np.r_[self.ids, np.array(ids, np.int32)]
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words, end to end, and their bounds."""
+        easy = self.easy(words)
+        cut = pc.replace_substring_regex(pc.utf8_lower(words.filter(easy)), PARTS, r"\1 ")
+        cut = pc.split_pattern(pc.replace_with_mask(words, easy, cut), " ")
+        met = cut.flatten().dictionary_encode()
+        if len(self.parts) > KNOWN_PARTS:
+            self.clear()
+        known = pc.index_in(met.dictionary, self.parts)
+        numbers = known.fill_null(-1).to_numpy().astype(np.int64)
+        if known.null_count:
+            numbers[numbers < 0] = self.learn(met.dictionary.filter(known.is_null()))
+        ids, ends = gathered(self.ids, self.start, numbers.take(met.indices.to_numpy()))
+        return ids, ends[np.r_[0, np.cumsum(pc.list_value_length(cut).to_numpy())]]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = [w for s in split for w in s]
-        found = list(map(self.numbers.get, words))
-        if None in found:
-            if len(self.numbers) > KNOWN_WORDS:
-                self.clear()
-                found = [None] * len(words)
-            self.learn(list(dict.fromkeys(w for w, i in zip(words, found) if i is None)))
-            found = list(map(self.numbers.__getitem__, words))
-        number = np.array(found, np.int64)
-        lengths = self.start[number + 1] - self.start[number]
-        ends = np.cumsum(lengths)
-        places = np.repeat(self.start[number] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-        ids = self.ids[places]
-        cuts = np.r_[0, ends][np.cumsum([len(s) for s in split])] if split else []
-        parts = np.split(ids, cuts[:-1]) if split else []
-        return [np.r_[p, np.int32(END)] for p in parts]
+        if not len(texts):
+            return []
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts)
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        met = split.flatten().dictionary_encode()
+        ids, bounds = self.of_words(met.dictionary)
+        # Behind each text a word of its own, the end id.
+        ids, bounds = np.r_[ids, np.int32(END)], np.r_[bounds, len(ids) + 1]
+        stops = np.cumsum(pc.list_value_length(split).to_numpy().astype(np.int64) + 1)
+        words = np.full(stops[-1], len(bounds) - 2, np.int64)
+        inside = np.ones(len(words), bool)
+        inside[stops - 1] = False
+        words[inside] = met.indices.to_numpy()
+        ids, ends = gathered(ids, bounds, words)
+        return np.split(ids, ends[stops[:-1]])
+
+
+def gathered(ids: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """These of the stretches of ids, end to end, and their bounds."""
+    starts = bounds.take(which)
+    lengths = bounds.take(which + 1) - starts
+    ends = np.r_[0, np.cumsum(lengths)]
+    return ids.take(np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])), ends
 
 
 def encoder_of(held: list) -> Encoder:
@@ -96,6 +189,24 @@ def encoder_of(held: list) -> Encoder:
     return held[1]
 
 
+def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, cut anew where the texts in the second column reach ``PORTION`` bytes."""
+    waiting, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(), dtype=np.int64)
+        start, past = 0, 0
+        while start < batch.num_rows:
+            stop = min(int(np.searchsorted(ends, past + PORTION - size)) + 1, batch.num_rows)
+            waiting.append(batch.slice(start, stop - start))
+            size += int(ends[stop - 1]) - past
+            start, past = stop, int(ends[stop - 1])
+            if size >= PORTION:
+                yield pa.concat_batches(waiting)
+                waiting, size = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
 def write_token_files(
     documents: DataFrame,
     path: str,
@@ -136,22 +247,14 @@ def write_token_files(
                 names=["file", "segment", "n_tokens", "documents", "data"],
             )
 
-        for batch in batches:
-            start = 0
-            while start < batch.num_rows:
-                texts, waiting = [], 0
-                while start + len(texts) < batch.num_rows and waiting < 8 * PORTION:
-                    texts.append(batch.column(1)[start + len(texts)].as_py())
-                    waiting += len(texts[-1])
-                names = batch.column(0).slice(start, len(texts)).to_pylist()
-                start += len(texts)
-                for name, ids in zip(names, encoder.encode(texts)):
-                    if held and size + len(ids) > segment:
-                        yield closed()
-                        keys, held, number, size = [], [], number + 1, 0
-                    keys.append(name)
-                    held.append(ids)
-                    size += len(ids)
+        for rows_ in portions(batches):
+            for name, ids in zip(rows_.column(0).to_pylist(), encoder.encode(rows_.column(1))):
+                if held and size + len(ids) > segment:
+                    yield closed()
+                    keys, held, number, size = [], [], number + 1, 0
+                keys.append(name)
+                held.append(ids)
+                size += len(ids)
         if held:
             yield closed()
 

@@ -5,6 +5,7 @@ import pytest
 from helpers import AWKWARD, documents, with_clashing_columns
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from docketry.llm import idcodec as C
 from docketry.llm import token_files as T
@@ -141,3 +142,69 @@ def test_only_a_reader_builds_the_table_of_owners():
     data = C.encode_segment(ids)
     assert (len(data), zlib.crc32(data)) == (4934, 2242836251)  # as before
     assert (C.decode_segment(data) == ids).all()
+
+
+ENCODERS = {}
+CHARACTERS = "aZeEß'’stSTvmd09.,-!<|>&×÷ªºµÀÖØÞàöøÿœİıŉſḰ̌JjΣσςдЙ中 \u0085\t\x1f\x7f😀 \n"
+
+
+@given(st.lists(st.text(st.sampled_from(CHARACTERS), max_size=12), min_size=1, max_size=20))
+@settings(max_examples=150, deadline=None)
+def test_words_are_cut_as_the_tokenizer_cuts_them(texts):
+    if PATH not in ENCODERS:
+        with open(PATH, encoding="utf-8") as f:
+            ENCODERS[PATH] = T.Encoder(f.read()), Tokenizer.from_file(PATH)
+    encoder, whole = ENCODERS[PATH]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_a_part_is_merged_once_whatever_stands_beside_it(monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        encoder = T.Encoder(f.read())
+    merged, seen = encoder.merged, []
+    monkeypatch.setattr(encoder, "merged", lambda part: seen.append(part) or merged(part), raising=False)
+    texts = ["Wherever, wherever", "(WHEREVER) wherever.", "wherever!"]
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode(texts)):
+            assert ids.tolist() == encoded_whole(text)
+    assert sorted(seen) == ["!", "(", ")", ",", ".", "wherever"]
+
+
+def test_parts_forgotten_are_learned_again(monkeypatch):
+    monkeypatch.setattr(T, "KNOWN_PARTS", 5)
+    with open(PATH, encoding="utf-8") as f:
+        encoder = T.Encoder(f.read())
+    for a in range(0, 60, 10):
+        texts = [f"word{i} {'x' * i} und{i}" for i in range(a, a + 10)] + TEXTS
+        assert [x.tolist() for x in encoder.encode(texts)] == [encoded_whole(t) for t in texts]
+        assert len(encoder.parts) < 60
+
+
+def test_portions_join_batches_and_cut_long_ones(monkeypatch):
+    monkeypatch.setattr(T, "PORTION", 10)
+    texts = ["abc"] * 7 + ["", "x" * 25, "", "abcdefghij", "ab"]
+    rows = [T.pa.record_batch([list(range(a, b)), texts[a:b]], names=["key", "text"]) for a, b in ((0, 2), (2, 2), (2, 12))]
+    rows = [r.cast(T.pa.schema([("key", T.pa.int64()), ("text", T.pa.string())])) for r in rows]
+    got = [x.column(1).to_pylist() for x in T.portions(rows)]
+    assert [t for x in got for t in x] == texts
+    assert [len(x) for x in got] == [4, 5, 2, 1]
+
+
+def test_large_alphabets_leave_lanes_together():
+    """Fewer lanes at once cost as many steps for each of more groups."""
+    assert len(C.lane_groups(1024, 10_000)) == 1
+    assert len(C.lane_groups(1024, 49_408)) <= 4
+
+
+@pytest.mark.parametrize("size", [1, 2, 70, 900, 5000])
+def test_owners_are_those_of_the_shares(size):
+    rng = np.random.default_rng(size)
+    seen = rng.zipf(1.3, (64, 3)).clip(max=size) - 1
+    model = C.Model(3, size, reading=True)
+    for steps in (0, 64):
+        model.sum_up(seen[:steps])
+        for lane, owner in enumerate(model.owner.reshape(3, -1)):
+            counts = np.bincount(seen[:steps, lane], minlength=size)
+            edges = C.below(np.r_[0, np.cumsum(counts)], np.arange(size + 1), steps, size)
+            assert (owner == np.repeat(np.arange(size), np.diff(edges))).all()
