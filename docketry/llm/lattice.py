@@ -46,9 +46,10 @@ class Vocabulary:
         """The state after each code point, -1 where the trie ends."""
         wanted = states * CODES + codes
         slot = first_slots(wanted, len(self.keys))
-        found = self.keys[slot]
-        out = np.where(found == wanted, self.child[slot], -1)
-        lost = np.flatnonzero((found != wanted) & (found >= 0))
+        found = self.keys.take(slot)
+        hit = found == wanted
+        out = np.where(hit, self.child.take(slot), -1)
+        lost = np.flatnonzero(~hit & (found >= 0))
         while len(lost):
             slot[lost] = (slot[lost] + 1) & (len(self.keys) - 1)
             found = self.keys[slot[lost]]
@@ -149,19 +150,19 @@ def find_edges(vocabulary: Vocabulary, codes: np.ndarray, bounds: np.ndarray) ->
     # shortest first; placed from the longest, as long pieces are mostly taken
     starts, stops, pieces = [], [], []
     while len(at):
-        state = vocabulary.next_states(state, codes[at + length])
-        goes_on = state >= 0
-        at, state = at[goes_on], state[goes_on]
+        state = vocabulary.next_states(state, codes.take(at + length))
+        goes_on = np.flatnonzero(state >= 0)
+        at, state = at.take(goes_on), state.take(goes_on)
         length += 1
-        piece = vocabulary.piece[state]
-        is_piece = piece >= 0
-        starts.append(at[is_piece])
-        stops.append(at[is_piece] + length)
-        pieces.append(piece[is_piece])
+        piece = vocabulary.piece.take(state)
+        is_piece = np.flatnonzero(piece >= 0)
+        starts.append(at.take(is_piece))
+        stops.append(starts[-1] + length)
+        pieces.append(piece.take(is_piece))
         if length == 1:
-            covered[at[is_piece]] = True
-        inside = at + length < ends[at]
-        at, state = at[inside], state[inside]
+            covered[starts[-1]] = True
+        inside = np.flatnonzero(at + length < ends.take(at))
+        at, state = at.take(inside), state.take(inside)
     bare = np.flatnonzero(~covered)
     starts.insert(0, bare)
     stops.insert(0, bare + 1)
@@ -172,7 +173,7 @@ def find_edges(vocabulary: Vocabulary, codes: np.ndarray, bounds: np.ndarray) ->
     start = np.repeat(np.arange(n), counts)
     stop, piece = np.empty_like(start), np.empty_like(start)
     for begin, end, found in zip(reversed(starts), reversed(stops), reversed(pieces)):
-        at = place[begin]
+        at = place.take(begin)
         stop[at], piece[at] = end, found
         place[begin] = at + 1
     return Edges(start, stop, piece)
@@ -212,27 +213,27 @@ def path_sums(
     # Edges come string by string, and a string has one node at each distance, so
     # this groups them by target; 16-bit keys are sorted without comparisons.
     most = int(lengths.max(initial=0))
-    key = distance[target]
+    key = distance.take(target)
     order = np.argsort(key.astype(np.uint16) if most < 1 << 16 else key, kind="stable")
-    source, target, weight = source[order], target[order], weight[order]
+    source, target, weight = source.take(order), target.take(order), weight.take(order)
     steps = np.r_[0, np.cumsum(np.bincount(key, minlength=most + 1)[1:])]
     heads = np.flatnonzero(np.diff(target, prepend=-1))
-    sizes = np.diff(heads, append=len(target))
+    sizes, ends = np.diff(heads, append=len(target)), target.take(heads)
     cuts = np.searchsorted(heads, steps)
     for a, b, i, j in zip(steps[:-1], steps[1:], cuts[:-1], cuts[1:]):
         if a == b:
             continue
-        values = sums[source[a:b]] + weight[a:b]
+        values = sums.take(source[a:b]) + weight[a:b]
         most = np.maximum.reduceat(values, heads[i:j] - a)
         values -= np.repeat(most, sizes[i:j])
         total = np.add.reduceat(np.exp(values, out=values), heads[i:j] - a)
-        sums[target[heads[i:j]]] = most + np.log(total)
+        sums[ends[i:j]] = most + np.log(total)
     return sums
 
 
 def nodes_of(bounds: np.ndarray, edges: Edges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, source node, target node) of each edge."""
-    string = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[edges.start]
+    string = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).take(edges.start)
     return string, edges.start + string, edges.stop + string
 
 
@@ -241,4 +242,4 @@ def backward_sums(bounds: np.ndarray, source: np.ndarray, target: np.ndarray, we
     lengths = np.diff(bounds)
     first = bounds[:-1] + np.arange(len(lengths))
     mirror = np.repeat(2 * first + lengths, lengths + 1) - np.arange(int(bounds[-1]) + len(lengths))
-    return path_sums(bounds, mirror[target], mirror[source], weight)[mirror]
+    return path_sums(bounds, mirror.take(target), mirror.take(source), weight).take(mirror)

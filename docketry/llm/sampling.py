@@ -79,6 +79,12 @@ def truncated_gumbel(location: np.ndarray, most: np.ndarray, u: np.ndarray) -> n
         )
 
 
+def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of stretches that begin at ``starts``, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Lattices:
     """The lattices of the units met so far, in arrays.
 
@@ -94,6 +100,7 @@ class Lattices:
     def allocate(self, nodes: int, edges: int) -> None:
         self.unit_ids: dict[str, int] = {}
         self.first = np.zeros(0, np.int64)
+        self.met_again = np.zeros(0, bool)  # in a portion after that which built it
         self.n_nodes = self.n_edges = 0
         self.begin = np.zeros(nodes + 1, np.int64)
         self.is_end = np.zeros(nodes, bool)
@@ -106,14 +113,45 @@ class Lattices:
         """Number of each unit; builds the lattices of new ones."""
         distinct = dict.fromkeys(units)
         new = [u for u in distinct if u not in self.unit_ids]
+        known = len(self.unit_ids)
         if new and not self.add(new):
-            new = list(distinct)
-            self.allocate(MAX_NODES, MAX_EDGES)
+            self.forget()
+            new = [u for u in distinct if u not in self.unit_ids]
+            known = len(self.unit_ids)
             if not self.add(new):
-                size = sum(map(len, new))
-                self.allocate(size + len(new), 17 * size)
-                self.add(new)
-        return np.fromiter(map(self.unit_ids.__getitem__, units), np.int64, len(units))
+                new, known = list(distinct), 0
+                self.allocate(MAX_NODES, MAX_EDGES)
+                if not self.add(new):
+                    size = sum(map(len, new))
+                    self.allocate(size + len(new), 17 * size)
+                    self.add(new)
+        numbers = np.fromiter(map(self.unit_ids.__getitem__, units), np.int64, len(units))
+        self.met_again[numbers[numbers < known]] = True
+        return numbers
+
+    def forget(self) -> None:
+        """Keep the units that were met in several portions, up to half of the room."""
+        nodes = np.diff(self.first, append=self.n_nodes)
+        edges = np.diff(self.begin[np.r_[self.first, self.n_nodes]])
+        kept = np.flatnonzero(self.met_again)
+        fits = (2 * np.cumsum(nodes[kept]) <= MAX_NODES) & (2 * np.cumsum(edges[kept]) <= MAX_EDGES)
+        kept = kept[fits]
+        names = list(self.unit_ids)
+        first, nodes, edges = self.first[kept], nodes[kept], edges[kept]
+        old_nodes, old_edges = stretches(first, nodes), stretches(self.begin[first], edges)
+        sizes, is_end = np.diff(self.begin[: self.n_nodes + 1])[old_nodes], self.is_end[old_nodes]
+        found = [x[old_edges] for x in (self.upto, self.log_share, self.target, self.piece)]
+        if len(self.is_end) != MAX_NODES:
+            self.allocate(MAX_NODES, MAX_EDGES)
+        self.first = np.cumsum(nodes) - nodes
+        self.n_nodes, self.n_edges = len(old_nodes), len(old_edges)
+        self.begin[1 : self.n_nodes + 1] = np.cumsum(sizes)
+        self.is_end[: self.n_nodes] = is_end
+        found[2] += np.repeat(self.first - first, edges).astype(np.int32)
+        for array, values in zip((self.upto, self.log_share, self.target, self.piece), found):
+            array[: self.n_edges] = values
+        self.unit_ids = {names[i]: n for n, i in enumerate(kept.tolist())}
+        self.met_again = np.zeros(len(kept), bool)
 
     def add(self, units: list[str]) -> bool:
         """False, and nothing is added, if they do not fit."""
@@ -130,7 +168,7 @@ class Lattices:
         _, source, target = lattice.nodes_of(bounds, edges)
         weight = lattice.edge_weights(self.vocabulary, codes, edges, self.weights)
         after = lattice.backward_sums(bounds, source, target, weight)
-        log_share = np.minimum(weight + after[target] - after[source], 0.0)
+        log_share = np.minimum(weight + after.take(target) - after.take(source), 0.0)
         a, b = self.n_nodes, self.n_edges
         heads = np.flatnonzero(np.r_[True, source[1:] != source[:-1]])
         sizes = np.diff(np.r_[heads, n])
@@ -150,32 +188,34 @@ class Lattices:
         start = len(self.unit_ids)
         self.unit_ids.update(zip(units, range(start, start + len(units))))
         self.first = np.r_[self.first, a + bounds[:-1] + np.arange(len(units))]
+        self.met_again = np.r_[self.met_again, np.zeros(len(units), bool)]
         self.n_nodes, self.n_edges = a + nodes, b + n
         return True
 
     def walk(self, nodes: np.ndarray, streams: np.ndarray, purpose: int):
         """A drawn path from each node to the end of its unit: edges end to end,
         and the bounds of each path."""
-        active = np.flatnonzero(~self.is_end[nodes])
-        at, step = nodes[active], 0
+        active = np.flatnonzero(~self.is_end.take(nodes))
+        at, step = nodes.take(active), 0
         counts = np.zeros(len(nodes), np.int64)
         taken: list[tuple[np.ndarray, np.ndarray]] = []
         while len(active):
-            u = uniform(streams[active], purpose, step)
-            edge = self.begin[at]
-            further = np.flatnonzero(self.upto[edge] <= u)
+            u = uniform(streams.take(active), purpose, step)
+            edge = self.begin.take(at)
+            further = np.flatnonzero(self.upto.take(edge) <= u)
             while len(further):
-                edge[further] += 1
-                further = further[self.upto[edge[further]] <= u[further]]
+                tried = edge.take(further) + 1
+                edge[further] = tried
+                further = further.take(np.flatnonzero(self.upto.take(tried) <= u.take(further)))
             taken.append((active, edge))
-            counts[active] += 1
-            at = self.target[edge].astype(np.int64)
-            going = ~self.is_end[at]
-            active, at, step = active[going], at[going], step + 1
+            counts[active] = step + 1
+            at = self.target.take(edge)
+            going = np.flatnonzero(~self.is_end.take(at))
+            active, at, step = active.take(going), at.take(going).astype(np.int64), step + 1
         bounds = np.r_[0, np.cumsum(counts)]
         path = np.zeros(bounds[-1], np.int64)
         for step, (who, edge) in enumerate(taken):
-            path[bounds[who] + step] = edge
+            path[bounds.take(who) + step] = edge
         return path, bounds
 
     def leave(self, edge: int, passed: list[int], u: float) -> tuple[int, float]:
@@ -217,7 +257,7 @@ class Round:
     ):
         self.path, self.units, self.bounds, self.values = path, units, bounds, values
         sizes = np.diff(bounds)
-        share = tables.log_share[path]
+        share = tables.log_share.take(path)
         sums = np.r_[0.0, np.cumsum(share)]
         self.before = sums[:-1] - np.repeat(sums[bounds[:-1]], sizes)
         self.log_prob = sums[bounds[1:]] - sums[bounds[:-1]]
@@ -323,7 +363,7 @@ def piece_ids(tables: Lattices, path: np.ndarray) -> np.ndarray:
 
 def split_ids(tables: Lattices, path: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """The ids along each of the paths laid end to end."""
-    ids = tables.piece[path]
+    ids = tables.piece.take(path)
     bare = np.flatnonzero(ids < 0)
     if len(bare):
         # Each character without a piece gives way to the ids of its bytes.
@@ -447,20 +487,36 @@ def piece_bytes(vocabulary_path: str) -> list[bytes]:
     ]
 
 
+def spelled(letters: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bytes of ids end to end, and 0 and the end of each. ``letters``: those of all
+    pieces, which have these sizes."""
+    starts = np.cumsum(sizes) - sizes
+    ends = np.r_[0, np.cumsum(sizes[ids])]
+    parts = []
+    for a in range(0, len(ids), PORTION):  # a place takes eight times its letter
+        now = ids[a : a + PORTION]
+        parts.append(letters.take(stretches(starts[now], sizes[now])).tobytes())
+    return b"".join(parts), ends
+
+
 def decode(spark: SparkSession, ids: Column, vocabulary_path: str) -> Column:
     """The text of a list of ids; null where there is none."""
-    shared = spark.sparkContext.broadcast(piece_bytes(vocabulary_path))
+    pieces = piece_bytes(vocabulary_path)
+    sizes = np.array([len(x) for x in pieces], np.int64)
+    shared = spark.sparkContext.broadcast((np.frombuffer(b"".join(pieces), np.uint8), sizes))
 
     @F.arrow_udf(T.StringType())
     def decoded(lists: pa.Array) -> pa.Array:
-        pieces, known = shared.value, lists.is_valid().to_pylist()
-        bounds, found = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False)
+        letters, sizes = shared.value
+        known, bounds = lists.is_valid().to_pylist(), lists.offsets.to_numpy().astype(np.int64)
+        found = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
+        data, ends = spelled(letters, sizes, found)
+        cuts = ends[bounds - bounds[0]].tolist()
 
-        def one(ids: np.ndarray) -> str:
-            data = b"".join(map(pieces.__getitem__, ids.tolist()))
-            return data.removeprefix(b" ").decode("utf-8", "replace")
+        def one(a: int, b: int) -> str:
+            return data[a:b].removeprefix(b" ").decode("utf-8", "replace")
 
-        texts = [one(found[a:b]) if k else None for k, a, b in zip(known, bounds, bounds[1:])]
+        texts = [one(a, b) if k else None for k, a, b in zip(known, cuts, cuts[1:])]
         return pa.array(texts, pa.string())
 
     return decoded(ids)

@@ -270,3 +270,40 @@ def test_ids_of_many_paths_are_those_of_each():
     together = S.split_ids(tables, found.path, found.bounds)
     each = [S.piece_ids(tables, found.path[a:b]) for a, b in zip(found.bounds[:-1], found.bounds[1:])]
     assert [x.tolist() for x in together] == [x.tolist() for x in each]
+
+
+def test_units_met_again_outlive_those_met_once(monkeypatch):
+    monkeypatch.setattr(S, "MAX_NODES", 120)
+    monkeypatch.setattr(S, "MAX_EDGES", 800)
+    tables = S.Lattices(vocabulary(), vocabulary().zipf_weights())
+    built, add = [], tables.add
+    monkeypatch.setattr(tables, "add", lambda units: add(units) and not built.extend(units))
+    for i in range(40):
+        units = [" often", f" once{i}", " also", "\n", f" 日{i}ü"]
+        numbers = tables.ids(units)
+        assert [list(tables.unit_ids)[n] for n in numbers] == units
+        for unit, number in zip(units, numbers):
+            alone = S.Lattices(vocabulary(), vocabulary().zipf_weights())
+            alone.ids([unit])
+            a, b = tables.first[number], alone.first[0]
+            nodes = len(unit) + 1
+            assert (tables.is_end[a : a + nodes] == alone.is_end[b : b + nodes]).all()
+            e, f = tables.begin[a : a + nodes + 1], alone.begin[b : b + nodes + 1]
+            assert (e - e[0] == f - f[0]).all()
+            ours, wanted = slice(e[0], e[-1]), slice(f[0], f[-1])
+            assert (tables.target[ours] - a == alone.target[wanted] - b).all()
+            assert (tables.piece[ours] == alone.piece[wanted]).all()
+            assert np.allclose(tables.log_share[ours], alone.log_share[wanted])
+            assert np.allclose(tables.upto[ours], alone.upto[wanted], atol=1e-5)
+    assert built.count(" often") == built.count(" also") == 1
+    assert built.count(" once3") == 1
+
+
+def test_ids_are_spelled_in_portions(monkeypatch):
+    monkeypatch.setattr(S, "PORTION", 7)
+    pieces = S.piece_bytes(PATH)
+    letters = np.frombuffer(b"".join(pieces), np.uint8)
+    ids = np.random.default_rng(5).integers(0, len(pieces), 100).astype(np.int32)
+    for some in (ids, ids[:7], ids[:0]):
+        data, ends = S.spelled(letters, np.array([len(p) for p in pieces]), some)
+        assert [data[a:b] for a, b in zip(ends, ends[1:])] == [pieces[i] for i in some]
