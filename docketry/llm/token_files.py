@@ -67,7 +67,8 @@ CUTS = {
 }
 # Printable ASCII and letters that stand alone in Latin-1: none of them joins another in NFC.
 EASY = "[!-~À-ÖØ-öø-ÿ]+"
-PARTS = f"({CUT.replace(r'\p{L}', 'a-zß-öø-ÿ').replace(r'\p{N}', '0-9')})"
+LETTERS = "a-zß-öø-ÿ"
+PARTS = f"({CUT.replace(r'\p{L}', LETTERS).replace(r'\p{N}', '0-9')})"
 
 
 def byte_letters() -> dict[int, str]:
@@ -142,8 +143,10 @@ class Encoder:
     def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of different words, end to end, and their bounds."""
         easy = self.easy(words)
-        cut = pc.replace_substring_regex(pc.utf8_lower(words.filter(easy)), PARTS, r"\1 ")
-        cut = pc.split_pattern(pc.replace_with_mask(words, easy, cut), " ")
+        words = pc.if_else(easy, pc.utf8_lower(words), words)
+        mixed = pc.and_not(easy, pc.match_substring_regex(words, f"^[{LETTERS}]+$"))
+        cut = pc.replace_substring_regex(words.filter(mixed), PARTS, r"\1 ")
+        cut = pc.split_pattern(pc.replace_with_mask(words, mixed, cut), " ")
         met = cut.flatten().dictionary_encode()
         if len(self.parts) > KNOWN_PARTS:
             self.clear()
