@@ -2,9 +2,10 @@
 
 A segment is a list of ids cut into blocks of equal length (the last may be
 shorter). Every block starts from a fresh model and carries the CRC-32 of its
-ids, so it can be decoded and checked on its own. All blocks of a segment are
-coded in step: lane i of every array belongs to block i, and step t codes the
-t-th id of all blocks.
+ids, so it can be decoded and checked on its own. All blocks of a segment, and of some
+segments, are coded in step: a lane of every array belongs to one block, and step t
+codes the t-th id of all blocks. A writer, which has all ids at hand, looks the predictions of
+a whole stretch of blocks up at once; a reader learns them step by step.
 
 Three predictions are mixed for each id: the id last seen after the last two ids
 (order 2) and after the last one (order 1), each with a confidence, and the
@@ -31,6 +32,9 @@ LEAST_BLOCK = 1024
 LANES = 1024  # wanted before blocks grow
 TABLE = 1 << 23  # half the entries of the order-1 tables: bounds the lanes worked on at once
 COUNTED = 1 << 18  # entries of the tables in which a writer counts symbols
+AHEAD = 1 << 20  # ids whose predictions a writer looks up at once
+STRETCH = 1 << 17  # ids whose weights and shares a writer holds at once
+TOGETHER = 6_000_000  # ids of several segments that are coded in step
 SLOT_BITS = 11  # of the order-2 table of a block
 FIRST_SUM = 64
 DENSE = 1 << 22  # ids below are ranked by a table
@@ -41,7 +45,7 @@ LEAST_SHARES = 14
 WEIGHT_BITS, HIT, MISS, RATE = 12, 4080, 8, 5
 U = np.uint64
 # Arrays of no dimension, which numpy takes faster than its numbers.
-ONE, WORD, TOP, WEIGHT_SHIFT = (np.array(x, U) for x in (1, 16, 48, WEIGHT_BITS))
+ONE, WORD_SHIFT, WORD, TOP, WEIGHT_SHIFT = (np.array(x, U) for x in (1, 4, 16, 48, WEIGHT_BITS))
 SETTLED = np.array(1 << 48, U)
 # Left after every id, so 12 bits of weights and up to 20 of order 0 can follow.
 LEAST_RANGE = np.array(1 << 42, U)
@@ -85,20 +89,39 @@ class Coder:
     def settle(self, lanes: int) -> None:
         """Move words that are decided, until every range is wide enough."""
         low, span = self.low[:lanes], self.range[:lanes]
-        decided = (low ^ (low + span)) < SETTLED
-        who = (decided | (span < LEAST_RANGE)).nonzero()[0]
-        low, span, decided = low.take(who), span.take(who), decided.take(who)
+        moving = (low ^ (low + span)) < SETTLED
+        who = ((span < LEAST_RANGE) > moving).nonzero()[0]
+        if len(who):
+            span[who] = (ONE + ~low.take(who)) & (LEAST_RANGE - ONE)
+            moving[who] = True
+        shift = moving.astype(U) << WORD_SHIFT  # by a word or not at all
+        if self.reading:
+            at, code = self.at[:lanes], self.code[:lanes]
+            code <<= shift
+            code |= self.words.take(at, mode="clip") * moving
+            at += moving
+        else:
+            who = moving.nonzero()[0]
+            self.write_words(who, low.take(who) >> TOP)
+        low <<= shift
+        span <<= shift
+        who = (span < SETTLED).nonzero()[0]  # no other can have a second word
         while len(who):
-            span = np.where(decided, span, (ONE + ~low) & (LEAST_RANGE - ONE))
+            low, span = self.low.take(who), self.range.take(who)
+            decided = (low ^ (low + span)) < SETTLED
+            more = (decided | (span < LEAST_RANGE)).nonzero()[0]
+            if not len(more):
+                break
+            who, low, span, decided = who.take(more), low.take(more), span.take(more), decided.take(more)
             if self.reading:
                 self.code[who] = (self.code.take(who) << WORD) | self.next_words(who)
             else:
                 self.write_words(who, low >> TOP)
-            low, span = low << WORD, span << WORD
-            self.low[who], self.range[who] = low, span
-            decided = (low ^ (low + span)) < SETTLED
-            more = (decided | (span < LEAST_RANGE)).nonzero()[0]
-            who, low, span, decided = who.take(more), low.take(more), span.take(more), decided.take(more)
+            if not decided.all():
+                span = np.where(decided, span, (ONE + ~low) & (LEAST_RANGE - ONE))
+            span <<= WORD
+            self.low[who], self.range[who] = low << WORD, span
+            who = who[span < SETTLED]
 
     def finished(self) -> list[np.ndarray]:
         """The words of each lane; flushes the state."""
@@ -113,8 +136,11 @@ class Coder:
 # What the weights of order 2 and of order 1 move to where either was right, or none.
 GOALS = np.array([[HIT, MISS], [MISS, HIT], [MISS, MISS]], np.int16).view(np.int32).reshape(-1)
 SECOND_RIGHT, FIRST_RIGHT, NONE_RIGHT = (np.array(x) for x in GOALS)
-HASH_BEFORE, HASH_LAST = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
-HASH_SHIFT = np.uint32(32 - SLOT_BITS)
+# What a prediction's confidence rises by if it is wrong, and if it is right. One below 2
+# that is wrong gives way.
+RISES = np.array([0, 0, -1, -1, 1, 1, 1, 0])
+HASH_BEFORE, HASH_LAST, HASH_SHIFT = 0x9E3779B1, 0x85EBCA77, 32 - SLOT_BITS
+LAST_SLOT = (1 << SLOT_BITS) - 1
 
 
 def share_bits(size: int) -> int:
@@ -127,29 +153,41 @@ def below(counts, symbols, seen: int, size: int):
     return (counts * 16 + symbols) * spare // (16 * seen + size) + symbols
 
 
+def first_weights(lanes: int) -> np.ndarray:
+    """By confidences and agreement, in 4096ths: order 2 is right, order 1 is right. The
+    two weights of a context lie side by side, moved as one 32-bit number."""
+    trusts = [(b, a, same) for b in range(4) for a in range(4) for same in (0, 1)]
+    weights = [(MISS + 600 * b, MISS + (0 if same else 300 * a)) for b, a, same in trusts]
+    return np.repeat(np.array(weights, np.int16).view(np.int32), lanes)
+
+
+def moved(weights: np.ndarray, goals: np.ndarray) -> np.ndarray:
+    weights = weights.view(np.int16)
+    return (weights + ((goals.view(np.int16) - weights) >> RATE)).view(np.int32)
+
+
 class Model:
-    """Predictions of each lane over an alphabet of ``size`` symbols.
+    """Predictions of each lane over an alphabet of its size, ``size`` at most.
 
     A prediction is its symbol times 4 and a confidence from 0 (none) to 3. Those of
     order 2 and of order 1 lie in one table, and in all arrays one behind the other.
+    Tables have the lanes side by side: most lanes look at few places, which stay near.
     """
 
-    def __init__(self, lanes: int, size: int, reading: bool):
+    def __init__(self, lanes: int, size: int, reading: bool, sizes: np.ndarray | None = None):
         self.reading = reading
-        self.lanes, self.size, self.bits = lanes, size, share_bits(size)
-        self.kind = np.uint16 if size < 1 << 14 else np.uint32
-        rows = np.arange(lanes)
-        self.rows1, self.rows2 = rows * size + (lanes << SLOT_BITS), rows << SLOT_BITS
-        self.row_weights = rows * 32
-        self.last = np.zeros(lanes, np.uint32)
-        self.before_last = np.zeros(lanes, np.uint32)
+        self.lanes, self.bits = lanes, share_bits(size)
+        self.sizes = np.full(lanes, size) if sizes is None else sizes
+        self.all_shares = np.fromiter((1 << share_bits(x) for x in self.sizes.tolist()), np.int64, lanes)
+        self.kind = prediction_kind(size)
+        self.row = np.arange(lanes)
+        self.row1 = self.row + (lanes << SLOT_BITS)
+        self.last = np.zeros(lanes, np.int64)
+        self.before_last = np.zeros(lanes, np.int64)
         self.guesses = np.zeros((lanes << SLOT_BITS) + lanes * size, self.kind)
-        self.two, self.three = np.array(2, self.kind), np.array(3, self.kind)
-        # by confidences and agreement, in 4096ths: order 2 is right, order 1 is right
-        trusts = [(b, a, same) for b in range(4) for a in range(4) for same in (0, 1)]
-        weights = [(MISS + 600 * b, MISS + (0 if same else 300 * a)) for b, a, same in trusts]
-        # the two weights of a context side by side, moved as one 32-bit number
-        self.weights = np.tile(np.array(weights, np.int16).reshape(-1), lanes).view(np.int32)
+        self.one, self.two, self.three, self.four = (np.array(x, self.kind) for x in (1, 2, 3, 4))
+        self.rises = RISES.astype(self.kind)
+        self.weights = first_weights(lanes)
         self.steps, self.due = 0, FIRST_SUM
         if reading:
             self.sum_up(np.zeros((0, lanes), np.int32))
@@ -166,157 +204,263 @@ class Model:
         lane, place = np.divmod(at, max(1, self.seen))
         after = np.where(np.r_[lane[1:] != lane[:-1], True][: len(at)], self.seen, np.r_[place[1:], 0][: len(at)])
         symbol = ordered.reshape(-1).take(at).astype(np.int64)
-        start = below(place, symbol, self.seen, self.size)
-        stop = below(after, symbol + 1, self.seen, self.size)
+        self.spare, self.total = self.all_shares - self.sizes, 16 * self.seen + self.sizes
+        spare, total = self.spare.take(lane), self.total.take(lane)
+        start = (place * 16 + symbol) * spare // total + symbol
+        stop = (after * 16 + symbol + 1) * spare // total + symbol + 1
         slots = np.arange(len(at)) + lane + 1
+        kind = np.uint16 if max(self.bits, self.seen.bit_length()) < 16 else np.int32
         # no share reaches the next lane's
-        self.start = np.full(len(at) + lanes + 1, 1 << self.bits, np.int32)
+        self.start = np.full(len(at) + lanes + 1, 1 << self.bits, kind)
         self.start[slots] = start
-        found = np.zeros((len(at) + lanes, 4), np.int32)
-        found[slots] = np.stack([symbol, start, stop, after], 1)
-        self.entries = found.view(np.complex128).reshape(-1)  # 16 bytes that are taken at once
+        found = np.zeros((len(at) + lanes, 4), kind)
+        for column, of_entry in enumerate((symbol, start, stop, after)):
+            found[slots, column] = of_entry
+        # 8 or 16 bytes that are taken at once
+        self.entries = found.view(np.uint64 if kind == np.uint16 else np.complex128).reshape(-1)
         # For each stretch of shares, the last symbol that starts before it. No symbol seen
         # has fewer shares than a stretch, so at most one starts inside.
-        spare, total = (1 << self.bits) - self.size, 16 * self.seen + self.size
-        self.shift = (17 * spare // total + 1).bit_length() - 1
+        self.shift = int((17 * self.spare // self.total + 1).min()).bit_length() - 1
         depth = max(0, self.bits - self.shift)
-        stretch = (lane << depth) + (start >> self.shift)
-        counts = np.bincount(stretch, minlength=lanes << depth)
-        found = np.cumsum(counts) - counts
-        self.nearest = (found.reshape(lanes, -1) + np.arange(lanes)[:, None]).astype(np.int32).reshape(-1)
+        starts = np.zeros((lanes, 1 << depth), kind)
+        starts.reshape(-1)[(lane << depth) + (start >> self.shift)] = 1
+        self.nearest = (np.cumsum(starts, axis=1, dtype=kind) - starts).reshape(-1)
         self.row_stretch = np.arange(lanes) << depth
+        counts = np.bincount(lane, minlength=lanes)
+        self.row_entry = np.cumsum(counts) - counts + np.arange(lanes)
+
+    def find(self, point: np.ndarray) -> np.ndarray:
+        """By order 0, the symbol that has a share of each of the first lanes, and the
+        shares where its own start and stop."""
+        return self.entry(slice(len(point)), point)
 
-    def find(self, who: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By order 0, the symbol that has a share of each lane, what lies below it and
-        its number of shares."""
-        at = self.nearest.take(self.row_stretch.take(who) + (point >> self.shift)).astype(np.int64)
+    def entry(self, lane: slice | np.ndarray, point: np.ndarray) -> np.ndarray:
+        at = self.row_entry[lane] + self.nearest.take(self.row_stretch[lane] + (point >> self.shift))
         at += self.start.take(at + 1) <= point
-        symbol, start, stop, after = self.entries.take(at).view(np.int32).reshape(-1, 4).T
-        unseen = (point >= stop).nonzero()[0]
+        found = self.entries.take(at).view(self.start.dtype).reshape(-1, 4).T.astype(np.int64)
+        unseen = (point >= found[2]).nonzero()[0]
         if len(unseen):
-            symbol, start, stop = symbol.copy(), start.copy(), stop.copy()
-            spare, total = (1 << self.bits) - self.size, 16 * self.seen + self.size
-            count = after.take(unseen).astype(np.int64)
-            found = ((point.take(unseen) + 1) * total - 16 * spare * count - 1) // (spare + total)
-            symbol[unseen] = found
-            start[unseen] = below(count, found, self.seen, self.size)
-            stop[unseen] = below(count, found + 1, self.seen, self.size)
-        return symbol, start, stop - start
+            spare, total = self.spare[lane].take(unseen), self.total[lane].take(unseen)
+            smaller = found[3].take(unseen) * (16 * spare)
+            found[0, unseen] = symbol = ((point.take(unseen) + 1) * total - (smaller + 1)) // (spare + total)
+            smaller += symbol * spare
+            found[1, unseen] = smaller // total + symbol
+            found[2, unseen] = (smaller + spare) // total + symbol + 1
+        return found[:3]
 
     @property
     def owner(self) -> np.ndarray:
         """The symbol of every share, lane by lane, as it is found."""
         if not self.reading:
             raise AttributeError("a model that writes does not look for owners")
-        shares = 1 << self.bits
-        return self.find(np.repeat(np.arange(self.lanes), shares), np.tile(np.arange(shares), self.lanes))[0]
+        lane = np.repeat(self.row, self.all_shares)
+        return self.entry(lane, np.concatenate([np.arange(x) for x in self.all_shares]))[0]
 
     def contexts(self, lanes: int) -> None:
         """Looks up the predictions for the next id of the first ``lanes`` lanes."""
-        last = self.last[:lanes]
+        last, row = self.last[:lanes], self.row[:lanes]
         self.place = np.empty(2 * lanes, np.int64)
-        slot = (self.before_last[:lanes] * HASH_BEFORE + last * HASH_LAST) >> HASH_SHIFT
-        np.add(self.rows2[:lanes], slot, out=self.place[:lanes])
-        np.add(self.rows1[:lanes], last, out=self.place[lanes:])
-        found = self.guesses.take(self.place)
-        self.trust, self.guess = found & self.three, found >> self.two
+        slot = ((self.before_last[:lanes] * HASH_BEFORE + last * HASH_LAST) >> HASH_SHIFT) & LAST_SLOT
+        np.add(slot * self.lanes, row, out=self.place[:lanes])
+        np.add(last * self.lanes, self.row1[:lanes], out=self.place[lanes:])
+        self.found = found = self.guesses.take(self.place)
+        trust, self.guess = found & self.three, found >> self.two
         self.second, self.first = self.guess[:lanes], self.guess[lanes:]
-        context = (self.trust[:lanes] << 3) + (self.trust[lanes:] << 1) + (self.first == self.second)
-        self.context = self.row_weights[:lanes] + context
-        self.weight = self.weights.take(self.context).view(np.int16)
-
-    def learn(self, lanes: int, symbols: np.ndarray, right: np.ndarray, goals: np.ndarray) -> None:
-        """``symbols`` twice, for either order; ``right``: whether its guess was."""
-        moved = self.weight + ((goals.view(np.int16) - self.weight) >> RATE)
-        self.weights[self.context] = moved.view(np.int32)
-        kept = np.where(self.trust > 1, self.guess, symbols)  # the same if it was right
-        # Confidence rises to 3 if right; if wrong, it falls to 2 from 3, else to 1.
-        full = (self.trust == self.three).view(np.uint8)
-        trust = (self.trust - (full << 1)) * right + (full + 1)
-        self.guesses[self.place] = (kept << self.two) | trust
+        context = (trust[:lanes] << self.three) + (trust[lanes:] << self.one) + (self.first == self.second)
+        self.context = row + context.astype(np.int64) * self.lanes
+        self.weight = self.weights.take(self.context)
+
+    def learn(self, lanes: int, symbols: np.ndarray, goals: np.ndarray) -> None:
+        self.weights[self.context] = moved(self.weight, goals)
+        found, now = self.found, np.empty(2 * lanes, self.kind)
+        now[:lanes] = (symbols << 2) + 1
+        now[lanes:] = now[:lanes]
+        right = (now ^ found) < self.four
+        # Few are right or kept though wrong; the others give way to the symbol.
+        few = np.logical_or(right, found & self.two).nonzero()[0]
+        if len(few):
+            kept = found.take(few)
+            now[few] = kept + self.rises.take((kept & self.three) + (right.take(few) * self.four))
+        self.guesses[self.place] = now
         self.before_last[:lanes] = self.last[:lanes]
-        self.last[:lanes] = symbols[:lanes]
+        self.last[:lanes] = symbols
         self.steps += 1
 
 
+def prediction_kind(size: int) -> type:
+    return np.uint16 if size < 1 << 14 else np.uint32
+
+
+def predictions(places: np.ndarray, symbols: np.ndarray, kind: type) -> np.ndarray:
+    """What a table of predictions holds at the place of each step (lanes x steps) when it
+    comes up: at once for all places that come up for the n-th time."""
+    lanes, steps = symbols.shape
+    order = np.argsort(places, axis=1, kind="stable")
+    order += (np.arange(lanes) * steps)[:, None]
+    order = order.reshape(-1)
+    place = places.reshape(-1).take(order)
+    new = np.ones(len(order), bool)
+    new[1:] = place[1:] != place[:-1]
+    new[::steps] = True
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.r_[starts, len(order)])
+    still = np.cumsum(np.bincount(sizes)[::-1])[::-1].tolist()  # places of at least as many steps
+    again = sizes > 1
+    shorter = (steps - sizes[again]).astype(np.uint16 if steps < 1 << 16 else np.uint32)
+    starts = starts[again].take(np.argsort(shorter, kind="stable"))
+    fresh = (symbols * 4 + 1).astype(kind).reshape(-1).take(order)
+    found = np.zeros(len(order), kind)
+    held, rises = fresh.take(starts), RISES.astype(kind)
+    for nth in range(1, len(still) - 1):
+        at = starts[: still[nth + 1]] + nth
+        kept, now = held[: len(at)], fresh.take(at)
+        found[at] = kept
+        right = (kept ^ now) < 4
+        few = np.logical_or(right, kept & kind(2)).nonzero()[0]
+        kept, held = kept.take(few), now
+        held[few] = kept + rises.take((kept & kind(3)) + right.take(few) * kind(4))
+    out = np.empty(len(order), kind)
+    out[order] = found
+    return out.reshape(lanes, steps)
+
+
 def order_0(symbols: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the symbols (steps x lanes), the shares below it and its own when it
+    """For each of the symbols (lanes x steps), the shares below it and its own when it
     is coded: after the steps before the last power of two from FIRST_SUM on."""
-    steps, lanes = symbols.shape
-    under, own = np.empty((steps, lanes), U), np.empty((steps, lanes), U)
-    group = max(1, COUNTED // size)
+    lanes, steps = symbols.shape
+    kind = np.uint32 if (16 * steps + size) << share_bits(size) < 1 << 32 else np.int64
+    under, own = np.empty((lanes, steps), np.uint32), np.empty((lanes, steps), np.uint32)
+    rows = (np.arange(lanes) * size)[:, None]
     begin = 0
     while begin < steps:
         end = min(max(FIRST_SUM, 2 * begin), steps)
-        for a in range(0, lanes, group):
-            b = min(a + group, lanes)
-            rows, asked = np.arange(b - a) * size, symbols[begin:end, a:b].astype(np.int64)
-            counts = np.bincount((rows + symbols[:begin, a:b]).reshape(-1), minlength=(b - a) * size)
-            upto = np.cumsum(counts)
-            places = rows + asked
-            smaller = upto.take(places) - np.arange(b - a) * begin
-            start = below(smaller - counts.take(places), asked, begin, size)
-            under[begin:end, a:b] = start
-            own[begin:end, a:b] = below(smaller, asked + 1, begin, size) - start
+        asked = symbols[:, begin:end].astype(kind)
+        if begin:
+            counts = np.bincount((rows + symbols[:, :begin]).reshape(-1), minlength=lanes * size)
+            places = rows + symbols[:, begin:end]
+            smaller = (np.cumsum(counts).take(places) - (np.arange(lanes) * begin)[:, None]).astype(kind)
+            counts = counts.take(places).astype(kind)
+        else:
+            smaller = counts = np.zeros_like(asked)
+        start = below(smaller - counts, asked, begin, size)
+        under[:, begin:end] = start
+        own[:, begin:end] = below(smaller, asked + kind(1), begin, size) - start
         begin = end
     return under, own
 
 
-def run(model: Model, coder: Coder, symbols: np.ndarray, lengths: np.ndarray) -> None:
-    """Code ``symbols`` (steps x blocks), or fill it in when the coder reads.
-    Longer blocks come first."""
-    whole, bits = np.array(1 << WEIGHT_BITS, np.int16), np.array(model.bits, U)
-    nothing, steps = np.array(0, np.int16), int(lengths[0])
-    if not coder.reading:
-        under, own = order_0(symbols[:steps], model.size)
-    for t in range(steps):
+class Ahead:
+    """What a writer knows of a segment's blocks (blocks x steps) before it codes them. What
+    a shorter block is filled up with is worked out, too, but not coded."""
+
+    def __init__(self, symbols: np.ndarray, size: int):
+        lanes, steps = symbols.shape
+        kind = prediction_kind(size)
+        self.bits = share_bits(size)
+        self.contexts, self.goals = np.empty((steps, lanes), np.uint8), np.empty((steps, lanes), np.uint8)
+        self.shares = np.empty((2, steps, lanes), np.uint32)
+        group = max(1, AHEAD // steps)
+        for a in range(0, lanes, group):
+            asked = symbols[a : a + group]
+            last, before = (np.zeros(asked.shape, np.int64) for _ in range(2))
+            last[:, 1:], before[:, 2:] = asked[:, :-1], asked[:, :-2]
+            slot = (((before * HASH_BEFORE + last * HASH_LAST) >> HASH_SHIFT) & LAST_SLOT).astype(np.uint16)
+            second = predictions(slot, asked, kind)
+            first = predictions(last.astype(np.uint16 if size <= 1 << 16 else np.uint32), asked, kind)
+            guess2, guess1 = second >> kind(2), first >> kind(2)
+            context = ((second & kind(3)) << kind(3)) + ((first & kind(3)) << kind(1)) + (guess1 == guess2)
+            self.contexts[:, a : a + group] = context.T
+            self.goals[:, a : a + group] = ((guess2 != asked) * (np.uint8(2) - (guess1 == asked))).T
+        group = max(1, min(STRETCH // steps, COUNTED // size))
+        for a in range(0, lanes, group):
+            for of_all, found in zip(self.shares, order_0(symbols[a : a + group], size)):
+                of_all[:, a : a + group] = found.T
+
+
+def write(coder: Coder, aheads: list[Ahead], lengths: np.ndarray, order: np.ndarray) -> None:
+    """Code the blocks; ``order`` has them with the longer ones first."""
+    lengths = lengths[order]
+    lanes = len(order)
+    weights, row = first_weights(lanes), np.arange(lanes)
+    all_bits = np.repeat([x.bits for x in aheads], [x.goals.shape[1] for x in aheads])[order].astype(U)
+    stretch = max(1, STRETCH // lanes)
+
+    def laid(parts: list[np.ndarray]) -> np.ndarray:
+        """A stretch of all blocks, side by side; zeros where a segment is over."""
+        steps = max(map(len, parts))
+        out = [np.pad(x, ((0, steps - len(x)), (0, 0))) if len(x) < steps else x for x in parts]
+        return np.concatenate(out, axis=1).take(order, axis=1)
+
+    for a in range(0, int(lengths[0]), stretch):
+        here = slice(a, a + stretch)
+        goal = laid([x.goals[here] for x in aheads])
+        at = row + laid([x.contexts[here] for x in aheads]).astype(np.int64) * lanes
+        weight = np.empty(at.shape, np.int32)
+        for place, aim, found in zip(at, GOALS.take(goal), weight):
+            weights.take(place, out=found, mode="clip")
+            weights[place] = moved(found, aim)
+        weight2, weight1 = weight.view(np.int16)[:, 0::2], weight.view(np.int16)[:, 1::2]
+        plain = goal == 2
+        # From start to stop, then of that, unless it was predicted, the order-0 shares.
+        start = (weight2 * (goal > 0) + weight1 * plain).astype(U)
+        width = np.where(plain, (1 << WEIGHT_BITS) - weight2 - weight1, np.where(goal, weight1, weight2)).astype(U)
+        bits = plain * all_bits
+        under = (laid([x.shares[0, here] for x in aheads]) * plain).astype(U)
+        own = np.where(plain, laid([x.shares[1, here] for x in aheads]), np.uint32(1)).astype(U)
+        for t in range(len(goal)):
+            n = lanes if lengths[-1] > a + t else int(np.searchsorted(-lengths, -a - t))
+            low, span = coder.low[:n], coder.range[:n]
+            span >>= WEIGHT_SHIFT
+            low += span * start[t, :n]
+            span *= width[t, :n]
+            span >>= bits[t, :n]
+            low += span * under[t, :n]
+            span *= own[t, :n]
+            coder.settle(n)
+
+
+def read(model: Model, coder: Coder, symbols: np.ndarray, lengths: np.ndarray) -> None:
+    """Fill ``symbols`` (steps x blocks) in. Longer blocks come first."""
+    last_share = (model.all_shares - 1).astype(U)
+    bits = np.array([share_bits(x) for x in model.sizes.tolist()], U)
+    nothing, unpredicted = np.array(0, U), np.full(model.lanes, NONE_RIGHT)
+    for t in range(int(lengths[0])):
         lanes = model.lanes if lengths[-1] > t else int(np.searchsorted(-lengths, -t))
         model.contexts(lanes)
-        weight2, weight1 = model.weight[0::2], model.weight[1::2]
-        both = weight2 + weight1
+        weight = model.weight.view(np.int16)
         low, span = coder.low[:lanes], coder.range[:lanes]
         unit = span >> WEIGHT_SHIFT
-        twice = np.empty(2 * lanes, model.kind)
-        if coder.reading:
-            point = coder.code[:lanes] - low
-            by_second = point < unit * weight2.astype(U)
-            by_first = ~by_second & (point < unit * both.astype(U))
-        else:
-            twice[:lanes] = twice[lanes:] = symbols[t, :lanes]
-            right = model.guess == twice
-            by_second = right[:lanes]
-            by_first = right[lanes:] & ~by_second
-        start = np.where(by_second, nothing, np.where(by_first, weight2, both))
-        width = np.where(by_second, weight2, np.where(by_first, weight1, whole - both))
+        start, stop = unit * (weight[0::2] + weight[1::2]).astype(U), unit << WEIGHT_SHIFT
+        point = coder.code[:lanes] - low
+        goals = unpredicted[:lanes].copy()
+        who = (point < start).nonzero()[0]  # predicted
+        if len(who):
+            ends = start.take(who)
+            middle = unit.take(who) * weight[0::2].take(who).astype(U)
+            by_second = point.take(who) < middle
+            start[who] = np.where(by_second, nothing, middle)
+            stop[who] = np.where(by_second, middle, ends)
+            goals[who] = np.where(by_second, SECOND_RIGHT, FIRST_RIGHT)
+            guess = np.where(by_second, model.second.take(who), model.first.take(who))
+        low += start
+        np.subtract(stop, start, out=span)
+        unit = span >> bits[:lanes]
+        point -= start
+        point //= unit
+        now, start, stop = model.find(np.minimum(point, last_share[:lanes]).view(np.int64))
+        if len(who):
+            now[who], start[who], kept = guess, 0, span.take(who)
+        np.multiply(unit, (stop - start).astype(U), out=span)
         low += unit * start.astype(U)
-        np.multiply(unit, width.astype(U), out=span)
-        plain = ~(by_second | by_first)
-        goals = np.where(by_second, SECOND_RIGHT, np.where(by_first, FIRST_RIGHT, NONE_RIGHT))
-        if coder.reading:
-            now = np.where(by_second, model.second, model.first)
-            who = plain.nonzero()[0]
-            if len(who):
-                start, unit = low.take(who), span.take(who) >> bits
-                point = ((coder.code.take(who) - start) // unit).astype(np.int64)
-                np.minimum(point, (1 << model.bits) - 1, out=point)
-                symbol, below_, width = model.find(who, point)
-                now[who] = symbol
-                low[who] = start + unit * below_.astype(U)
-                span[who] = unit * width.astype(U)
-            symbols[t, :lanes] = now
-            twice[:lanes] = twice[lanes:] = now
-            right = model.guess == twice
-        else:
-            unit = span >> bits
-            low += unit * (under[t, :lanes] * plain)
-            np.copyto(span, unit * own[t, :lanes], where=plain)
+        if len(who):
+            span[who] = kept
+        symbols[t, :lanes] = now
         coder.settle(lanes)
-        model.learn(lanes, twice, right, goals)
-        if model.reading and model.steps == model.due:
+        model.learn(lanes, now, goals)
+        if model.steps == model.due:
             model.due *= 2
             model.sum_up(symbols[: model.steps])
-    if coder.reading:
-        coder.check_ends()
+    coder.check_ends()
 
 
 def lane_groups(n_blocks: int, size: int) -> list[slice]:
@@ -341,63 +485,112 @@ def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(met), (np.cumsum(met, dtype=np.int32) - np.int32(1))[ids]
 
 
+def lengths_of(n_ids: int, length: int) -> np.ndarray:
+    """Of the blocks."""
+    lengths = np.full(-(-n_ids // length), length)
+    if n_ids:
+        lengths[-1] = n_ids - (len(lengths) - 1) * length
+    return lengths
+
+
 def encode_segment(ids: np.ndarray) -> bytes:
     """The ids, non-negative and below 2**32, as one segment."""
-    ids = np.asarray(ids)
-    length = block_length(len(ids))
-    alphabet, symbols = ranked(ids)
-    n_blocks = -(-len(ids) // length)
-    padded = np.zeros(n_blocks * length, np.int32)
-    padded[: len(ids)] = symbols
-    blocks = np.ascontiguousarray(padded.reshape(n_blocks, length).T)
-    lengths = np.full(n_blocks, length)
-    if n_blocks:
-        lengths[-1] = len(ids) - (n_blocks - 1) * length
+    return encode_segments([ids])[0]
+
+
+def encode_segments(segments: list[np.ndarray]) -> list[bytes]:
+    """Each as ``encode_segment`` has it; ``TOGETHER`` ids are coded in step."""
+    heads, pieces = [], []
+    for ids in map(np.asarray, segments):
+        length = block_length(len(ids))
+        alphabet, symbols = ranked(ids)
+        lengths = lengths_of(len(ids), length)
+        sums = [checksum(ids[i * length : (i + 1) * length]) for i in range(len(lengths))]
+        heads.append((np.array([VERSION, len(ids), length, len(alphabet)], "<u4"), alphabet, sums))
+        padded = np.zeros(len(lengths) * length, np.int32)
+        padded[: len(ids)] = symbols
+        blocks, step = padded.reshape(len(lengths), length), max(1, TOGETHER // length)
+        for a in range(0, len(lengths), step):
+            pieces.append((blocks[a : a + step, : lengths[a]], lengths[a : a + step], len(alphabet)))
     words: list[np.ndarray] = []
-    for part in lane_groups(n_blocks, len(alphabet)):
-        coder = Coder(part.stop - part.start)
-        run(Model(part.stop - part.start, len(alphabet), False), coder, blocks[:, part], lengths[part])
-        words += coder.finished()
-    sums = [checksum(ids[i * length : (i + 1) * length]) for i in range(n_blocks)]
-    index = np.array([(s, len(w)) for s, w in zip(sums, words)], "<u4").reshape(-1, 2)
-    head = np.array([VERSION, len(ids), length, len(alphabet)], "<u4")
-    return b"".join(
-        [
-            MAGIC,
-            head.tobytes(),
-            alphabet.astype("<u4").tobytes(),
-            index.tobytes(),
-            *(w.astype("<u2").tobytes() for w in words),
-        ]
-    )
+    waiting: list = []
+    for piece in pieces:
+        if waiting and sum(x.size for x, _, _ in [*waiting, piece]) > TOGETHER:
+            words += words_of(waiting)
+            waiting = []
+        waiting.append(piece)
+    if waiting:
+        words += words_of(waiting)
+    out, first = [], 0
+    for head, alphabet, sums in heads:
+        own = words[first : first + len(sums)]
+        first += len(sums)
+        index = np.array([(s, len(w)) for s, w in zip(sums, own)], "<u4").reshape(-1, 2)
+        parts = [head, alphabet.astype("<u4"), index, *(w.astype("<u2") for w in own)]
+        out.append(MAGIC + b"".join(x.tobytes() for x in parts))
+    return out
+
+
+def words_of(pieces: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
+    """The words of each block of pieces of segments: blocks, their lengths, alphabet size."""
+    lengths = np.concatenate([x for _, x, _ in pieces])
+    order = np.argsort(-lengths, kind="stable")
+    coder = Coder(len(order))
+    write(coder, [Ahead(blocks, size) for blocks, _, size in pieces], lengths, order)
+    written = coder.finished()
+    return [written[i] for i in np.argsort(order)]
+
+
+class Segment:
+    """The parts of a segment's bytes; raises Corrupt unless they fit together."""
+
+    def __init__(self, data: bytes):
+        if data[:4] != MAGIC:
+            raise Corrupt("not a segment")
+        version, self.n_ids, self.length, self.size = np.frombuffer(data, "<u4", 4, 4).tolist()
+        if version != VERSION:
+            raise Corrupt(f"version {version}")
+        self.alphabet = np.frombuffer(data, "<u4", self.size, 20).astype(np.int64)
+        self.lengths = lengths_of(self.n_ids, self.length)
+        at = 20 + 4 * self.size
+        index = np.frombuffer(data, "<u4", 2 * len(self.lengths), at).reshape(-1, 2)
+        at += 8 * len(self.lengths)
+        self.sums, sizes = index[:, 0].tolist(), index[:, 1].astype(np.int64)
+        if len(data) != at + 2 * int(sizes.sum()):
+            raise Corrupt("wrong size")
+        stream = np.frombuffer(data, "<u2", -1, at)
+        self.words = np.split(stream, np.cumsum(sizes)[:-1]) if self.n_ids else []
+
+    def ids(self, symbols: np.ndarray) -> np.ndarray:
+        ids = self.alphabet[symbols.reshape(-1)[: self.n_ids]]
+        for i, wanted in enumerate(self.sums):
+            if checksum(ids[i * self.length : (i + 1) * self.length]) != wanted:
+                raise Corrupt(f"block {i} has another checksum")
+        return ids
 
 
 def decode_segment(data: bytes) -> np.ndarray:
     """The ids; raises Corrupt unless every block has its checksum."""
-    if data[:4] != MAGIC:
-        raise Corrupt("not a segment")
-    version, n_ids, length, size = np.frombuffer(data, "<u4", 4, 4).tolist()
-    if version != VERSION:
-        raise Corrupt(f"version {version}")
-    alphabet = np.frombuffer(data, "<u4", size, 20).astype(np.int64)
-    n_blocks = -(-n_ids // length)
-    at = 20 + 4 * size
-    index = np.frombuffer(data, "<u4", 2 * n_blocks, at).reshape(-1, 2)
-    at += 8 * n_blocks
-    sizes = index[:, 1].astype(np.int64)
-    if len(data) != at + 2 * int(sizes.sum()):
-        raise Corrupt("wrong size")
-    stream = np.frombuffer(data, "<u2", -1, at)
-    words = np.split(stream, np.cumsum(sizes)[:-1]) if n_blocks else []
-    lengths = np.full(n_blocks, length)
-    if n_blocks:
-        lengths[-1] = n_ids - (n_blocks - 1) * length
-    blocks = np.zeros((length, n_blocks), np.int32)
-    for part in lane_groups(n_blocks, size):
-        coder = Coder(part.stop - part.start, words[part])
-        run(Model(part.stop - part.start, size, True), coder, blocks[:, part], lengths[part])
-    ids = alphabet[blocks.T.reshape(-1)[:n_ids]]
-    for i, wanted in enumerate(index[:, 0].tolist()):
-        if checksum(ids[i * length : (i + 1) * length]) != wanted:
-            raise Corrupt(f"block {i} has another checksum")
-    return ids
+    return decode_segments([data])[0]
+
+
+def decode_segments(all_data: list[bytes]) -> list[np.ndarray]:
+    """Each as ``decode_segment`` has it, all decoded in step."""
+    segments = [Segment(data) for data in all_data]
+    lengths = np.concatenate([np.zeros(0, np.int64), *(x.lengths for x in segments)])
+    sizes = np.repeat([x.size for x in segments], [len(x.lengths) for x in segments])
+    words = [w for x in segments for w in x.words]
+    order = np.argsort(-lengths, kind="stable")
+    symbols = np.zeros((len(order), int(lengths.max(initial=0))), np.int32)
+    for part in lane_groups(len(order), int(sizes.max(initial=0))):
+        who = order[part]
+        coder = Coder(len(who), [words[i] for i in who])
+        found = np.zeros((int(lengths[who[0]]), len(who)), np.int32)
+        read(Model(len(who), int(sizes[who].max()), True, sizes[who]), coder, found, lengths[who])
+        symbols[who, : len(found)] = found.T
+    out, first = [], 0
+    for x in segments:
+        n_blocks = len(x.lengths)
+        out.append(x.ids(symbols[first : first + n_blocks, : x.length if n_blocks > 1 else x.n_ids]))
+        first += n_blocks
+    return out

@@ -9,7 +9,8 @@ Rows of a table, not loose files, so that Spark's commit keeps a repeated task
 from leaving two copies, and any storage that Spark writes to will do.
 
 Scale: texts are shuffled once, for the order; equal ids are neighbours in one
-task. A task holds one segment; segments are read independently of each other.
+task. A task holds segments of 6 million ids together, or one that is longer, and codes
+them in step; each is written, and can be read, by itself.
 The place of a document in the corpus needs only the number of ids of each
 segment, summed in two levels.
 
@@ -26,6 +27,7 @@ columns may have any names.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 from array import array
@@ -39,12 +41,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.common import running_starts
-from docketry.llm.idcodec import decode_segment, encode_segment
+from docketry.llm.idcodec import TOGETHER, decode_segments, encode_segments
 
 END = 1
 SEGMENT = 2_000_000
-PORTION = 4_000_000  # bytes of texts encoded at once
-KNOWN_PARTS = 500_000
+PORTION = 8_000_000  # bytes of texts encoded at once
+KNOWN_PARTS = 1_000_000
 WORDS_AT_ONCE = 10_000
 
 
@@ -71,10 +73,11 @@ LETTERS = "a-zß-öø-ÿ"
 PARTS = f"({CUT.replace(r'\p{L}', LETTERS).replace(r'\p{N}', '0-9')})"
 
 
-def byte_letters() -> dict[int, str]:
-    """What the library writes for the bytes from 128 on."""
-    unprinted = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
-    return {b: chr(256 + i) for i, b in enumerate(unprinted) if b > 126}
+def byte_letters() -> str:
+    """What the library writes for each byte."""
+    letters = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
+    unprinted = [b for b in range(256) if b not in letters]
+    return "".join(letters.get(b) or chr(256 + unprinted.index(b)) for b in range(256))
 
 
 class Encoder:
@@ -93,6 +96,7 @@ class Encoder:
 
         rules = json.loads(tokenizer)
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        self.merges = self.tokenizer.model
         self.cuts = (
             rules["normalizer"] == NORMAL
             and rules["pre_tokenizer"] == CUTS
@@ -128,8 +132,8 @@ class Encoder:
 
     def merged(self, part: str) -> list[int]:
         if not part.isascii():
-            part = part.encode().decode("latin-1").translate(self.byte_letters)
-        return [token.id for token in self.tokenizer.model.tokenize(part)]
+            part = codecs.charmap_decode(part.encode(), "strict", self.byte_letters)[0]
+        return [token.id for token in self.merges.tokenize(part)]
 
     def keep(self, parts: pa.Array, found: Iterable[list[int]]) -> None:
         ids, ends = array("i"), array("q")
@@ -150,10 +154,14 @@ class Encoder:
         met = cut.flatten().dictionary_encode()
         if len(self.parts) > KNOWN_PARTS:
             self.clear()
-        known = pc.index_in(met.dictionary, self.parts)
-        numbers = known.fill_null(-1).to_numpy().astype(np.int64)
-        if known.null_count:
-            numbers[numbers < 0] = self.learn(met.dictionary.filter(known.is_null()))
+        # Those known are looked up among those met, which are fewer.
+        place = pc.index_in(self.parts, met.dictionary)
+        known = place.is_valid().to_numpy(zero_copy_only=False).nonzero()[0]
+        numbers = np.full(len(met.dictionary), -1)
+        numbers[place.drop_null().to_numpy()] = known
+        new = numbers < 0
+        if new.any():
+            numbers[new] = self.learn(met.dictionary.filter(pa.array(new)))
         ids, ends = gathered(self.ids, self.start, numbers.take(met.indices.to_numpy()))
         return ids, ends[np.r_[0, np.cumsum(pc.list_value_length(cut).to_numpy())]]
 
@@ -236,30 +244,42 @@ def write_token_files(
         number = size = 0
         keys: list = []
         held: list[np.ndarray] = []
+        full: list[tuple[list, np.ndarray]] = []  # segments that wait to be coded together
 
-        def closed() -> pa.RecordBatch:
+        def closed() -> None:
             documents_ = [{"key": k, "n_tokens": len(x)} for k, x in zip(keys, held)]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([file], pa.int32()),
-                    pa.array([number], pa.int32()),
-                    pa.array([size], pa.int64()),
-                    pa.array([documents_], pa.list_(key_type)),
-                    pa.array([encode_segment(np.concatenate(held))], pa.binary()),
-                ],
-                names=["file", "segment", "n_tokens", "documents", "data"],
-            )
+            full.append((documents_, np.concatenate(held)))
+
+        def coded() -> Iterator[pa.RecordBatch]:
+            data = encode_segments([ids for _, ids in full])
+            for at, ((documents_, ids), of_segment) in enumerate(zip(full, data), number - len(full)):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([file], pa.int32()),
+                        pa.array([at], pa.int32()),
+                        pa.array([len(ids)], pa.int64()),
+                        pa.array([documents_], pa.list_(key_type)),
+                        pa.array([of_segment], pa.binary()),
+                    ],
+                    names=["file", "segment", "n_tokens", "documents", "data"],
+                )
+            full.clear()
 
         for rows_ in portions(batches):
             for name, ids in zip(rows_.column(0).to_pylist(), encoder.encode(rows_.column(1))):
                 if held and size + len(ids) > segment:
-                    yield closed()
+                    closed()
                     keys, held, number, size = [], [], number + 1, 0
+                    if sum(len(x) for _, x in full) + segment > TOGETHER:
+                        yield from coded()
                 keys.append(name)
                 held.append(ids)
                 size += len(ids)
         if held:
-            yield closed()
+            closed()
+            number += 1
+        if full:
+            yield from coded()
 
     rows.mapInArrow(
         write,
@@ -267,6 +287,20 @@ def write_token_files(
     ).write.parquet(path)
 
 
+def together(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows, one segment each, that have ``TOGETHER`` ids at most; a larger one alone."""
+    waiting, size = [], 0
+    for batch in batches:
+        for row, n_tokens in enumerate(batch.column("n_tokens").to_pylist()):
+            if waiting and size + n_tokens > TOGETHER:
+                yield waiting
+                waiting, size = [], 0
+            waiting.append(batch.slice(row, 1))
+            size += n_tokens
+    if waiting:
+        yield waiting
+
+
 def arrow_type(rows: DataFrame) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -278,33 +312,37 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
 
     ``first``: ids before it in its segment; ``ids``: little-endian unsigned 32-bit.
     """
-    segments = spark.read.parquet(path).select("file", "segment", "documents", "data")
+    segments = spark.read.parquet(path).select("file", "segment", "n_tokens", "documents", "data")
     kind = segments.schema["documents"].dataType.elementType["key"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                found = batch.column("documents")[row].values
-                lengths = found.field("n_tokens").to_numpy()
-                ends = np.cumsum(lengths)
-                data = decode_segment(batch.column("data")[row].as_py()).astype("<u4").tobytes()
-                n = len(found)
-                for a in range(0, n, 2000):
-                    b = min(a + 2000, n)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *(pa.array([batch.column(c)[row].as_py()] * (b - a), pa.int32()) for c in ("file", "segment")),
-                            pa.array(range(a, b), pa.int32()),
-                            found.field("key").slice(a, b - a),
-                            pa.array(ends[a:b] - lengths[a:b]),
-                            pa.array(lengths[a:b]),
-                            pa.array(
-                                [data[4 * (e - s) : 4 * e] for e, s in zip(ends[a:b].tolist(), lengths[a:b].tolist())],
-                                pa.binary(),
-                            ),
-                        ],
-                        names=["file", "segment", "nth", "key", "first", "n_tokens", "ids"],
-                    )
+        for rows_ in together(batches):
+            found = decode_segments([row.column("data")[0].as_py() for row in rows_])
+            for row in rows_:
+                yield from documents_of(row, found.pop(0))
+
+    def documents_of(row: pa.RecordBatch, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = row.column("documents")[0].values
+        lengths = found.field("n_tokens").to_numpy()
+        ends = np.cumsum(lengths)
+        data = ids.astype("<u4").tobytes()
+        n = len(found)
+        for a in range(0, n, 2000):
+            b = min(a + 2000, n)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array([row.column(c)[0].as_py()] * (b - a), pa.int32()) for c in ("file", "segment")),
+                    pa.array(range(a, b), pa.int32()),
+                    found.field("key").slice(a, b - a),
+                    pa.array(ends[a:b] - lengths[a:b]),
+                    pa.array(lengths[a:b]),
+                    pa.array(
+                        [data[4 * (e - s) : 4 * e] for e, s in zip(ends[a:b].tolist(), lengths[a:b].tolist())],
+                        pa.binary(),
+                    ),
+                ],
+                names=["file", "segment", "nth", "key", "first", "n_tokens", "ids"],
+            )
 
     return segments.mapInArrow(
         read,

@@ -208,3 +208,50 @@ def test_owners_are_those_of_the_shares(size):
             counts = np.bincount(seen[:steps, lane], minlength=size)
             edges = C.below(np.r_[0, np.cumsum(counts)], np.arange(size + 1), steps, size)
             assert (owner == np.repeat(np.arange(size), np.diff(edges))).all()
+
+
+@pytest.mark.parametrize("together", [1500, C.TOGETHER])
+def test_segments_in_step_have_the_bytes_of_each_alone(monkeypatch, together):
+    monkeypatch.setattr(C, "TOGETHER", together)
+    rng = np.random.default_rng(8)
+    sizes = [(3000, 40), (0, 1), (2100, 20_000), (1, 1), (5000, 700), (1024, 5)]
+    segments = [rng.zipf(1.3, n).clip(max=most) for n, most in sizes]
+    data = C.encode_segments(segments)
+    assert data == [C.encode_segment(ids) for ids in segments]
+    assert zlib.crc32(data[4]) == 570743110  # as before
+    for ids, found in zip(segments, C.decode_segments(data), strict=True):
+        assert (ids == found).all()
+
+
+def test_segments_in_step_take_the_steps_of_one(monkeypatch):
+    """Steps cost as much for few lanes as for many."""
+    steps, settle = [], C.Coder.settle
+    monkeypatch.setattr(C.Coder, "settle", lambda coder, lanes: steps.append(lanes) or settle(coder, lanes))
+    segments = [np.random.default_rng(i).integers(0, 90, 3000) for i in range(4)]
+    data = C.encode_segments(segments)
+    assert (len(steps), max(steps)) == (1024, 12)
+    C.decode_segments(data)
+    assert (len(steps), max(steps)) == (2048, 12)
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 1000])
+def test_predictions_are_those_a_table_learns(most):
+    rng = np.random.default_rng(most)
+    symbols, places = rng.integers(0, most + 1, (3, 400)), rng.integers(0, 5, (3, 400)).astype(np.uint16)
+    found = C.predictions(places, symbols, np.uint16)
+    for lane in range(3):
+        table = dict.fromkeys(range(5), (0, 0))
+        for place, symbol, entry in zip(*(x[lane].tolist() for x in (places, symbols, found))):
+            guess, trust = table[place]
+            assert entry == 4 * guess + trust
+            if guess == symbol:
+                table[place] = guess, min(trust + 1, 3)
+            else:
+                table[place] = (guess, trust - 1) if trust > 1 else (symbol, 1)
+
+
+def test_small_segments_are_read_together(monkeypatch):
+    monkeypatch.setattr(T, "TOGETHER", 10)
+    batches = [T.pa.record_batch([x], names=["n_tokens"]) for x in ([4, 5, 2], [], [8, 30, 1])]
+    got = [[row.column(0)[0].as_py() for row in rows] for rows in T.together(batches)]
+    assert got == [[4, 5], [2, 8], [30], [1]]
