@@ -32,6 +32,7 @@ import json
 import os
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,10 @@ from docketry.llm.idcodec import TOGETHER, decode_segments, encode_segments
 
 END = 1
 SEGMENT = 2_000_000
-PORTION = 8_000_000  # bytes of texts encoded at once
+PORTION = 16_000_000  # bytes of texts encoded at once
 KNOWN_PARTS = 1_000_000
 WORDS_AT_ONCE = 10_000
+WORDS_GATHERED = 100_000  # words whose ids are put in the order of the texts at once
 
 
 # The pipeline in front of the merges that ``PARTS`` repeats for ``EASY`` words.
@@ -176,12 +178,19 @@ class Encoder:
         # Behind each text a word of its own, the end id.
         ids, bounds = np.r_[ids, np.int32(END)], np.r_[bounds, len(ids) + 1]
         stops = np.cumsum(pc.list_value_length(split).to_numpy().astype(np.int64) + 1)
-        words = np.full(stops[-1], len(bounds) - 2, np.int64)
-        inside = np.ones(len(words), bool)
-        inside[stops - 1] = False
-        words[inside] = met.indices.to_numpy()
-        ids, ends = gathered(ids, bounds, words)
-        return np.split(ids, ends[stops[:-1]])
+        places = met.indices.to_numpy()
+        cuts = np.searchsorted(stops, np.arange(WORDS_GATHERED, stops[-1], WORDS_GATHERED))
+        out: list[np.ndarray] = []
+        for a, b in pairwise(np.unique(np.r_[0, cuts, len(stops)]).tolist()):
+            before = stops[a - 1] if a else 0
+            ends_at = stops[a:b] - before
+            words = np.full(ends_at[-1], len(bounds) - 2, np.int64)
+            inside = np.ones(len(words), bool)
+            inside[ends_at - 1] = False
+            words[inside] = places[before - a : stops[b - 1] - b]
+            of_texts, ends = gathered(ids, bounds, words)
+            out += np.split(of_texts, ends[ends_at[:-1]])
+        return out
 
 
 def gathered(ids: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +198,9 @@ def gathered(ids: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np
     starts = bounds.take(which)
     lengths = bounds.take(which + 1) - starts
     ends = np.r_[0, np.cumsum(lengths)]
-    return ids.take(np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])), ends
+    places = np.repeat(starts - ends[:-1], lengths)
+    places += np.arange(ends[-1])
+    return ids.take(places), ends
 
 
 def encoder_of(held: list) -> Encoder:

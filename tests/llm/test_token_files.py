@@ -255,3 +255,12 @@ def test_small_segments_are_read_together(monkeypatch):
     batches = [T.pa.record_batch([x], names=["n_tokens"]) for x in ([4, 5, 2], [], [8, 30, 1])]
     got = [[row.column(0)[0].as_py() for row in rows] for rows in T.together(batches)]
     assert got == [[4, 5], [2, 8], [30], [1]]
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 40])
+def test_texts_are_put_together_in_pieces(monkeypatch, at_once):
+    monkeypatch.setattr(T, "WORDS_GATHERED", at_once)
+    with open(PATH, encoding="utf-8") as f:
+        encoder = T.Encoder(f.read())
+    texts = ["", *TEXTS, "", "one two three " * 9, "", ""]
+    assert [ids.tolist() for ids in encoder.encode(texts)] == [encoded_whole(t) for t in texts]
